@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, sharding
+from . import exact_dedup, mixing, near_dedup, packing, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": packing.op1_packing,
         "op2_lpt_sharding": sharding.op2_lpt_sharding,
+        "op3_prob_minhash": near_dedup.op3_prob_minhash,
         "op4_pfair_mixing": mixing.op4_pfair_mixing,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, near_dedup, packing, sharding
+from . import exact_dedup, mixing, near_dedup, packing, pii, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_lpt_sharding": sharding.op2_lpt_sharding,
         "op3_prob_minhash": near_dedup.op3_prob_minhash,
         "op4_pfair_mixing": mixing.op4_pfair_mixing,
+        "op5_surrogates": pii.op5_surrogates,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     }
 

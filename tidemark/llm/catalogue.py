@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, near_dedup, packing, pii, sharding
+from . import exact_dedup, html_extract, language_id, media, mixing, near_dedup, packing, pii, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_pfair_mixing": mixing.op4_pfair_mixing,
         "op5_surrogates": pii.op5_surrogates,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op7_tag_path_ratios": html_extract.op7_tag_path_ratios,
+        "op8_media_columns": media.op8_media_columns,
+        "op9_language_id": language_id.op9_language_id,
+        "op10_ordinal_quality": quality.op10_ordinal_quality,
     }
 
 

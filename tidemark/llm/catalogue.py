@@ -9,8 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from . import exact_dedup, html_extract, language_id, media, mixing, near_dedup, packing, pii, quality, sharding
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": pipeline,
         "op1_packing": packing.op1_packing,
         "op2_lpt_sharding": sharding.op2_lpt_sharding,
         "op3_prob_minhash": near_dedup.op3_prob_minhash,

@@ -26,6 +26,7 @@ from __future__ import annotations
 import bisect
 import heapq
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -41,24 +42,41 @@ PIECES = (
     "tier int, step_group long"
 )
 #: Words whose ids a process remembers.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 
 
-class _Words(dict):
-    """Word to its ids as little-endian 32-bit numbers."""
+class _Words:
+    """Word to its ids as little-endian 32-bit numbers; the first ``CACHED_WORDS`` are remembered."""
 
     def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        self[word] = out = _bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        self.tokenizer, self.known = tokenizer, {}
+        self.ends = {i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")}
+
+    def ids(self, words: list[str]) -> bytes:
+        found = list(map(self.known.get, words))
+        if None in found:
+            new = list(dict.fromkeys(w for w, f in zip(words, found, strict=True) if f is None))
+            made = dict(zip(new, self._encode(new), strict=True))
+            found = [made[w] if f is None else f for w, f in zip(words, found, strict=True)]
+            if len(self.known) < CACHED_WORDS:
+                self.known.update(made)
+        return b"".join(found)
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """All words in one call; a word's last id is one that ends a word."""
+        out, at, n = [], 0, 0
+        data = _bytes(ids := self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids)
+        for n, i in enumerate(ids, 1):
+            if i in self.ends:
+                out.append(data[4 * at : 4 * n])
+                at = n
+        if len(out) != len(words) or at != len(ids):
+            return [_bytes(self.tokenizer.encode(w, add_special_tokens=False).ids) for w in words]
         return out
 
 
 def _bytes(ids: list[int]) -> bytes:
-    return b"".join(i.to_bytes(4, "little") for i in ids)
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def _class(first: str) -> str:
@@ -79,13 +97,13 @@ def word_encoder(path: str):
         tokenizer = Tokenizer.from_file(path)
         letter, number = _class("L"), _class("N")
         other = re.compile(r"[^\t\n\r -įı-ſ]|<\|")
-        split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^\s{letter}{number}]+").findall
+        split = re.compile(rf"[{letter}]+|'(?:s|t|re|ve|m|ll|d)|[{number}]|[^\s{letter}{number}]+").findall
         words = _Words(tokenizer)
 
         def encode(text: str) -> bytes:
             if other.search(text):
                 return _bytes(tokenizer.encode(text, add_special_tokens=False).ids)
-            return b"".join([words[w] for w in split(text.lower())])
+            return words.ids(split(text.lower()))
 
         cache[path] = encode
     return cache[path]

@@ -43,7 +43,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     depend on a partition's number or order are fixed once the write has committed.
     """
     spark, path = df.sparkSession, fresh_dir(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

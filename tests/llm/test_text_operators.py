@@ -1,0 +1,228 @@
+"""Operators 5, 7, 8, 9, 10 and the pipeline."""
+
+import hashlib
+import re
+import tarfile
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tidemark.llm import html_extract, language_id, media, pii, quality
+
+SF = "/root/testdata/sf0.001"
+
+
+# Personal data
+
+
+def replaced(spark, texts, **options):
+    df = spark.createDataFrame([(i, t, "keep", "clash") for i, t in enumerate(texts)], "doc_id long, text string, lang string, _tidemark_at string")
+    out = pii.pseudonymised(df, "key", **options)
+    assert set(out.columns) == {*df.columns, "n_entities"}
+    return {r["doc_id"]: (r["text"], r["n_entities"]) for r in out.collect()}
+
+
+def luhn(digits):
+    total = 0
+    for k, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + k % 2)
+        total += d - 9 if d > 9 else d
+    return total % 10
+
+
+def test_surrogates_keep_type_and_format(spark):
+    card = "4111 1111 1111 1111"
+    texts = [
+        "Mail Ann.Lee@mail3.example.com, call +1 (640) 555-0953.", f"Card {card}### and 221.26.125.211&&& end", "SSN 012-34-5678; token = \"ffc3105535f423f352535e4ac53b5fefe076ac6d\"",
+        "Mrs. Anna SMITH met Mr. John Smith. Г-н Иванов, Κυρία Παππά.", None, "", "no entity here 12", "ann.lee@MAIL3.example.com",
+    ]
+    got = replaced(spark, texts)
+    assert got[4] == (None, 0) and got[5] == ("", 0) and got[6] == (texts[6], 0)
+    m = re.fullmatch(r"Mail ([A-Z][a-z]{2}\.[A-Z][a-z]{2})@([a-z]{4}[0-9]\.[a-z]{7})\.com, call \+1 \(([0-9]{3})\) ([0-9]{3})-([0-9]{4})\.", got[0][0])
+    assert m and "Ann" not in got[0][0] and "0953" not in got[0][0]
+    # One mailbox, whatever its case.
+    assert got[7][0].lower() == f"{m[1]}@{m[2]}.com".lower()
+    m = re.fullmatch(r"Card ([0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4})### and ([0-9.]+)&&& end", got[1][0])
+    assert m and m[1] != card and luhn(m[1].replace(" ", "")) == luhn(card.replace(" ", "")) == 0
+    assert len(m[2].split(".")) == 4 and all(0 <= int(x) <= 255 for x in m[2].split("."))
+    assert re.fullmatch(r'SSN [0-9]{3}-[0-9]{2}-[0-9]{4}; token = "[0-9a-f]{40}"', got[2][0]) and "012-34" not in got[2][0]
+    m = re.fullmatch(r"Mrs\. (\w+) (\w+) met Mr\. (\w+) (\w+)\. Г-н ([а-яА-Я]+), Κυρία ([α-ωίΑ-Ω]+)\.", got[3][0])
+    assert m and m[1].endswith("na") and m[3].endswith("rn")
+    assert m[2].isupper() and m[2].lower() == m[4].lower()  # one family
+
+
+def test_surrogates_are_distinct_and_stable(spark):
+    emails = [f"{a}{b}@x.example.com" for a in "abcdefgh" for b in "0123456789"]
+    phones = [f"+1 (555) 555-{i:04d}" for i in range(200)]
+    cards = [f"{4000000000000000 + i * 7}" for i in range(200)]
+    names = [f"Mr. {chr(65 + i // 26)}{chr(97 + i % 26)}n" for i in range(400)]
+    texts = [" ; ".join(x) for x in (emails, phones, cards, names)]
+    got = replaced(spark, texts)
+    for i, n in enumerate((80, 200, 200, 400)):
+        parts = got[i][0].split(" ; ")
+        assert len(set(p.lower() for p in parts)) == n and not set(parts) & set(texts[i].split(" ; "))
+    assert replaced(spark, texts, literal_limit=0) == got  # keyed anew by a join instead of a literal
+
+
+def test_surrogates_of_nothing(spark):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert pii.pseudonymised(df, "key").count() == 0
+
+
+# Pages
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
+<nav><ul><li><a href="/a">Home page</a></li></ul></nav><div class="ad">Buy now, cheap.</div>{body}
+<div id="comments"><p>First! Great, great post, I say.</p></div><aside>More, more.</aside><form><p>Your mail?</p></form><footer>&copy; me</footer></body></html>"""
+
+
+def test_main_text():
+    body = "<article><h1>Head &amp;  line</h1><p><b>One.<br><p>Two\n three &lt;x&gt; &eacute; &#8212;</p><p> </p><p>4</p></article>"
+    assert html_extract.main_text(PAGE.format(body=body)) == "Head & line\nOne.\nTwo three <x> é —\n4"
+    assert html_extract.main_text(None) == html_extract.main_text("") == ""
+    assert html_extract.main_text("<p>unclosed <b>bold") == "unclosed bold"
+    assert html_extract.main_text("plain text only") == "plain text only"
+
+
+def test_main_text_without_landmarks():
+    body = "<div><div><p>" + "</p><p>".join(f"Sentence number {i}, which is long enough, says this." for i in range(6)) + "</p></div></div>"
+    got = html_extract.main_text(PAGE.format(body=body)).split("\n")
+    assert got == [f"Sentence number {i}, which is long enough, says this." for i in range(6)]
+
+
+def test_extraction_against_the_known_article(spark):
+    import html as h
+
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    rows = html_extract.op7_tag_path_ratios(spark, SF).collect()
+    assert len(rows) == len(pages)
+    for r in rows:
+        article = re.search(r"<article>(.*?)</article>", pages[r["page_id"]], re.S)[1]
+        blocks = (re.sub(r"\s+", " ", h.unescape(re.sub("<[^>]*>", "", b))).strip() for b in re.split(r"</?(?:h1|p)>", article))
+        assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
+
+
+def test_extraction_of_odd_rows(spark):
+    df = spark.createDataFrame([(1, "u", None, "x"), (1, "u", None, "x"), (None, None, "<p>a, b.</p>", "x")], "page_id long, url string, html string, text string")
+    assert sorted(map(tuple, html_extract.extracted(df).collect()), key=str) == sorted([(1, "u", "", 0), (1, "u", "", 0), (None, None, "a, b.", 5)], key=str)
+    assert html_extract.extracted(df.limit(0)).count() == 0
+
+
+# Media
+
+
+def test_png_round_trip():
+    for data in (b"", b"x" * 64, bytes(range(256)) * 5):
+        payload = media.payload_of(data)
+        image = media.png_of(payload)
+        assert len(payload) % 64 == 0 and payload and media.png_payload(image) == payload
+        assert media.png_header(image[: media.HEADER]) == (64, len(payload) // 64, 8, 0)
+
+
+def test_media_columns(spark, tmp_path):
+    texts = [None, "", "hello", "hello", "ñ" * 70, "long " * 50_000]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(None, "hello", "x")], "doc_id long, text string, digest string").repartition(2)
+    folder = f"file://{tmp_path}/shards"
+    index = media.stored(df, folder, shard_bytes=4096)
+    rows = media.with_features(media.with_headers(media.addresses(index), folder), folder).collect()
+    by_digest = {r["digest"]: r for r in rows}
+    assert len(rows) == 4
+    for t in texts:
+        payload = media.payload_of((t or "").encode())
+        r = by_digest[hashlib.sha256(payload).hexdigest()]
+        assert r["payload_sha256"] == r["digest"] and r["payload_bytes"] == len(payload) == r["height"] * 64
+        assert r["tail_crc32"] == zlib.crc32(payload[-64:]) and r["media_bytes"] == r["length"]
+        with tarfile.open(tmp_path / "shards" / r["shard"]) as tar:
+            assert media.png_payload(tar.extractfile(f"{r['digest']}.png").read()) == payload
+    assert media.unused_shards(index, folder) == []
+    out = media.media_columns(df, folder).collect()
+    assert len(out) == 7 and len({(r["offset"], r["feature"]) for r in out if r["n_bytes"] == 5}) == 1
+    assert media.media_columns(df.limit(0), folder).count() == 0
+
+
+# Language
+
+
+def test_language_on_rows_never_learnt_from(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = language_id.op9_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in got if r["held_out"]]
+    assert len(got) == docs.count() and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
+    assert np.mean([r["lang"] == r["lang_pred"] for r in held]) > 0.97
+    assert all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_language_of_odd_rows(spark):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de")] * 20)]
+    rows += [(90, None, "en"), (91, "", "de"), (92, "123 ...", None), (None, "the cat", "en"), (93, "the cat", None), (93, "the cat", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(language_id.learnable(df))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.language_of(df, model).collect()}
+    assert got[90] == got[91] == got[92] == ("und", 0.0) and got[93][0] == "en" and got[None][0] == "en"
+    none = language_id.fit(language_id.learnable(df.withColumn("lang", F.lit(None).cast("string"))))
+    assert {r["lang_pred"] for r in language_id.language_of(df, none).collect()} == {"und"}
+    assert language_id.language_of(df.limit(0), model).count() == 0
+
+
+def test_temperature_calibrates():
+    rng = np.random.default_rng(0)
+    labels = rng.integers(0, 3, 4000)
+    scores = rng.normal(size=(4000, 3)) + np.eye(3)[labels] * 1.5
+    assert language_id.fit_temperature(scores * 4, labels) == pytest.approx(4 * language_id.fit_temperature(scores, labels), rel=0.2)
+
+
+# Quality
+
+
+def test_ordinal_model_orders_grades():
+    rng = np.random.default_rng(0)
+    rows = []
+    for _ in range(1500):
+        y = int(rng.integers(0, 3))
+        at = np.unique(np.r_[rng.integers(10, 200, 8), y if rng.random() < 0.95 else (y + 1) % 3])
+        rows.append((at, np.ones(len(at)), y))
+    model = quality.OrdinalModel(10, 3)
+    model.fit(rows, epochs=6, alpha=0.3, beta=1.0, l1=0.5, l2=0.1, rate=0.3)
+    assert model.thresholds[0] < model.thresholds[1]
+    assert model.weights[0] < model.weights[1] < model.weights[2]
+
+
+def test_quality_keeps_clean_and_drops_bad(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = {r["doc_id"]: (r["quality"], r["toxic"]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = [(labels[r["doc_id"]], r["kept"]) for r in quality.op10_ordinal_quality(spark, sf).collect() if r["doc_id"] in labels]
+    share = lambda which: np.mean([kept for label, kept in got if which(label)])
+    assert share(lambda x: x == (1, 0)) > 0.99
+    assert share(lambda x: x[0] == 0) < 0.05 and share(lambda x: x[1] == 1) < 0.15
+
+
+def test_quality_of_odd_rows(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "fine words"), (3, "fine words"), (None, "x")], "doc_id long, text string")
+    empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, quality.graded(empty))
+    assert [r["kept"] for r in quality.scored(docs, model).collect()] == [True] * 5
+    odd = spark.createDataFrame([(3, 1, None), (3, None, 1), (None, 0, 0), (77, 0, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, quality.graded(odd))
+    assert quality.scored(docs, model).count() == 5 and quality.accepted(docs, model).columns == docs.columns
+    assert quality.scored(docs.limit(0), model).count() == 0
+
+
+# Pipeline
+
+
+def test_pipeline_stages_take_effect(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    columns = docs.columns
+    counts = [docs.count()]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, "/root/testdata/sf0.01").toPandas(), docs.schema)
+        assert docs.columns == columns
+        counts.append(docs.count())
+    assert counts[0] > counts[1] > counts[2] >= counts[3] == counts[4]
+    assert docs.select("text").distinct().count() == counts[4]
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, "")
+    assert pieces.select("doc_id").distinct().count() == counts[4]
+    assert [n.split()[0] for n, _ in corpus_pipeline.STAGES] == ["quality", "exact", "near", "mixing", "packing"]

@@ -54,7 +54,7 @@ def text_source(spark: SparkSession, config: dict) -> DataFrame:
     """Whole files under a path; an empty file is no document."""
     raw = spark.read.text(config["path"], wholetext=True).select("value", F.col("_metadata.file_path").alias("ref"), F.col("_metadata.file_modification_time").alias("at"))
     name = F.element_at(F.split("ref", "/"), -1)
-    return raw.filter(F.trim("value") != "").select(
+    return raw.filter(F.col("value").rlike(r"\S")).select(
         "ref", name.alias("title"), F.col("value").alias("content"), F.col("at").cast("timestamp_ntz").alias("event_time"), _typed("doc").alias("metadata")
     )
 
@@ -121,9 +121,9 @@ def sql_source(spark: SparkSession, config: dict) -> DataFrame:
 
 def commit_log(lines: DataFrame) -> DataFrame:
     """Commits from a log of records 'hash 0x1f author 0x1f date 0x1f subject 0x1f body', ended by 0x1e."""
-    records = lines.select(F.explode(F.split("value", "\x1e")).alias("r")).filter(F.trim("r") != "")
+    records = lines.select(F.explode(F.split("value", "\x1e")).alias("r")).filter(F.col("r").rlike(r"\S"))
     f = F.split("r", "\x1f")
-    sha = F.trim(f[0])
+    sha = F.regexp_replace(f[0], r"\s", "")
     return records.select(
         F.concat(F.lit("commit:"), sha).alias("ref"),
         f[3].alias("title"),

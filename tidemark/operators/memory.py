@@ -31,7 +31,7 @@ def live(memories: DataFrame, namespaces: Sequence[str] = (), *, as_of: dt.datet
     else:
         at = ntz(as_of)
         out = out.filter((F.col("valid_at") <= at) & (F.col("invalid_at").isNull() | (F.col("invalid_at") > at)))
-    names = [n.strip() for n in namespaces if n.strip() and n.strip() != "*"]
+    names = [n.strip() for n in namespaces if n.strip() and n.strip() != "*" and "," not in n]
     return out.filter(F.col("namespace").isin(*names)) if names else out
 
 
@@ -128,6 +128,62 @@ def planned_writes(new: DataFrame, current: DataFrame) -> DataFrame:
     return out.select("id", "top_id", "similarity", decision.alias("decision"))
 
 
+def planned_by_ref(new: DataFrame, current: DataFrame) -> DataFrame:
+    """Rows with a source_ref: an update of the newest live row with that ref, else an addition; similarity has no say."""
+    newest = current.filter("source_ref is not null").groupBy("namespace", "source_ref").agg(F.max_by("id", F.struct("valid_at", "id")).alias("top_id"))
+    out = new.join(newest, ["namespace", "source_ref"], "left")
+    return out.select("id", "source_ref", "top_id", F.when(F.col("top_id").isNull(), "add").otherwise("update").alias("decision"))
+
+
+def applied(current: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Current rows and new ones after a batch of decisions: id, live, superseded_by, importance.
+
+    A repeated statement makes its row a little more important; an update or a denial retires it,
+    and an update leaves a pointer to its successor.  Rows are derived, never changed in place.
+    """
+    hits = decisions.filter("top_id is not null and decision <> 'add'").groupBy(F.col("top_id").alias("id")).agg(
+        F.count_if(F.col("decision") == "noop").alias("noops"),
+        F.max(F.when(F.col("decision") == "update", F.col("id"))).alias("superseded_by"),
+        F.count_if(F.col("decision").isin("update", "invalidate")).alias("retirements"),
+    )
+    old = current.select("id", "importance").join(hits, "id", "left").select(
+        "id",
+        (F.coalesce("retirements", F.lit(0)) == 0).alias("live"),
+        "superseded_by",
+        F.round(F.least(F.lit(1.0), F.col("importance") + NOOP_BUMP * F.coalesce("noops", F.lit(0))), 6).alias("importance"),
+    )
+    added = decisions.filter("decision in ('add', 'update')").select(
+        "id", F.lit(True).alias("live"), F.lit(None).cast("string").alias("superseded_by"), F.lit(0.5).alias("importance")
+    )
+    return old.unionByName(added)
+
+
+def forgotten(memories: DataFrame, ids: DataFrame, reason: str, now: dt.datetime) -> DataFrame:
+    """The rows among ``ids`` that are live, as they are after being forgotten."""
+    live_rows = memories.filter("invalid_at is null").join(ids.select("id"), "id", "left_semi")
+    return live_rows.select("id", ntz(now).alias("invalid_at"), F.to_json(F.struct(F.lit(reason).alias("forget_reason"))).alias("metadata"))
+
+
+def edited(memory: DataFrame, content: Column, now: dt.datetime) -> DataFrame:
+    """A new version of a row with other content; it is embedded again, so its embedding is empty."""
+    return memory.withColumns({"content": content, "embedding": F.lit(None).cast("array<float>"), "valid_at": ntz(now), "invalid_at": F.lit(None).cast("timestamp_ntz")})
+
+
+def searchable(grants: DataFrame, agent: str, requested: Sequence[str]) -> list[str]:
+    """The requested namespaces that an agent may read; none is an error, not an empty result."""
+    allowed = {r["namespace"] for r in grants.filter((F.col("agent_id") == agent) & F.col("can_read")).select("namespace").collect()}
+    names = sorted(allowed & set(requested)) if requested else sorted(allowed)
+    if not names:
+        raise PermissionError(f"{agent} may read none of the namespaces")
+    return names
+
+
+def shared(memories: DataFrame, ids: DataFrame, grants: DataFrame, agent: str) -> DataFrame:
+    """Copies of rows made visible to all; the agent needs write access to their namespace."""
+    writable = grants.filter((F.col("agent_id") == agent) & F.col("can_write")).select("namespace")
+    return memories.join(ids.select("id"), "id", "left_semi").join(writable, "namespace", "left_semi").withColumn("visibility", F.lit("global"))
+
+
 def current_state(log: DataFrame) -> DataFrame:
     """The version of each source_ref that is current in an append-only log, and how many it has had."""
     # One max per ref; ties in time go to the larger id.

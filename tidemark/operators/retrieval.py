@@ -134,7 +134,10 @@ def token_overlap(content: Column, terms: Sequence[str]) -> Column:
 
 
 def expanded(seeds: DataFrame, memories: DataFrame, memory_entities: DataFrame, entities: DataFrame, limit: int) -> DataFrame:
-    """Memories that share an entity with the seeds, best by importance; via the first such entity by name."""
+    """Memories that share an entity with the seeds, best by importance; via the first such entity by name.
+
+    ``memories`` is what recall was given, so its filters (time window, point in time) hold for these rows as well.
+    """
     budget = max(2, limit // 2)
     of_seeds = memory_entities.join(F.broadcast(seeds.select(F.col("id").alias("memory_id"))), "memory_id", "left_semi").select("entity_id").distinct()
     linked = memory_entities.join(of_seeds, "entity_id").join(seeds.select(F.col("id").alias("memory_id")), "memory_id", "left_anti")

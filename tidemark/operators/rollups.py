@@ -255,7 +255,10 @@ def agent_week_digest(actions: DataFrame, k: int = 25) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("at"), "short"))
     head = latest.withColumn("rank", rank).filter(F.col("rank") <= k)
     text = head.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "short"))).alias("all"))
-    return counts.join(text, keys).select(*keys, "actions", "kinds", F.array_join(F.transform("all", lambda x: x["short"]), "; ").alias("content"))
+    # Actions without a venture have a digest, too: the keys are compared null-safe.
+    text = text.select(*[F.col(k).alias(f"{k}_") for k in keys], "all")
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
+    return counts.join(text, same).select(*keys, "actions", "kinds", F.array_join(F.transform("all", lambda x: x["short"]), "; ").alias("content"))
 
 
 def content_hash(c: Column) -> Column:
@@ -326,5 +329,16 @@ def screened(rows: DataFrame, text: str, least_chars: int = 120, roles: Sequence
     return out.filter(F.col("role").isin(*roles)) if roles else out
 
 
-def daily(df: DataFrame, time: str) -> DataFrame:
-    return df.groupBy(day(time).alias("day")).agg(n().alias("rows"))
+def cwd_coverage(claude: DataFrame) -> DataFrame:
+    """How many events name a working folder, in percent, and over which days."""
+    return claude.agg(
+        n().alias("events"), F.count("cwd").alias("with_cwd"), F.round(100.0 * F.count("cwd") / F.nullif(n(), F.lit(0)), 1).alias("share"),
+        day(F.min("created_at")).alias("first_day"), day(F.max("created_at")).alias("last_day"),
+    )
+
+
+def commits_of_usernames(commits: DataFrame, people: DataFrame) -> DataFrame:
+    """Commits per person, where people list their user names in an array; case doesn't matter."""
+    names = people.select("person", F.explode("usernames").alias("name")).select("person", F.lower("name").alias("low"))
+    by = commits.groupBy(F.lower("author_login").alias("low")).agg(n().alias("commits"))
+    return by.join(names, "low").groupBy("person").agg(F.sum("commits").alias("commits"))

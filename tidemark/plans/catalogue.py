@@ -12,6 +12,8 @@ from ..functions import text as tx
 from ..operators import analytics as an
 from ..operators import chunking as ch
 from ..operators import graph as gr
+from ..operators import knowledge as kn
+from ..operators import mappings as mp
 from ..operators import memory as me
 from ..operators import retrieval as re_
 from ..operators import rollups as ro
@@ -148,6 +150,102 @@ def _hashed_rerank(t: Tables) -> DataFrame:
     return re_.reranked(pool, lambda df: F.round(re_.token_overlap(df["content"], TERMS), 6), re_.RECALL_LIMIT).select("id", "score")
 
 
+def _files(t: Tables) -> DataFrame:
+    """Parts as files of repositories."""
+    path = F.concat_ws("/", F.lit("src"), F.lower("p_type"), F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), F.col("p_partkey").cast("string"), F.lit(".go")))
+    return t.part.select(F.col("p_brand").alias("repo"), path.alias("path"), F.lower("p_type").alias("language"), (F.col("p_size") * 1000).cast("long").alias("bytes"))
+
+
+def _doc_files(t: Tables) -> DataFrame:
+    n = F.col("doc_id").cast("string")
+    k = F.pmod("doc_id", F.lit(5))
+    path = F.when(k == 0, F.concat(F.lit("pkg"), n, F.lit("/README.md"))).when(k == 1, F.concat(F.lit("docs/g"), n, F.lit(".mdx"))).when(k == 2, F.concat(F.lit("src/n"), n, F.lit(".md"))).otherwise(F.concat(F.lit("src/c"), n, F.lit(".go")))
+    return t.documents.select(path.alias("path"), F.length("text").cast("long").alias("bytes"), F.col("text").alias("content"))
+
+
+def _labels(t: Tables) -> DataFrame:
+    repos = t.part.select(F.concat(F.lit("r:"), "p_brand").alias("id"), F.col("p_brand").alias("name"), F.lit("repo").alias("kind"))
+    teams = t.part.filter("p_size > 48").select(F.concat(F.lit("t:"), "p_brand", F.lit(":"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_brand").alias("name"), F.lit("team").alias("kind"))
+    return kn.disambiguated(repos.unionByName(teams))
+
+
+def _feeds(t: Tables) -> DataFrame:
+    e = t.events
+    posts = e.select(
+        F.col("event_type").alias("kind"), F.col("user_id").alias("author"), F.concat(F.lit("ch"), F.pmod("user_id", F.lit(10)).cast("string")).alias("channel"),
+        F.when(F.pmod("event_id", F.lit(3)) != 0, F.concat(F.lit("v"), F.pmod("user_id", F.lit(25)).cast("string"))).alias("venture_id"),
+    )
+    channels = t.nation.filter("n_nationkey < 5").select(F.concat(F.lit("ch"), F.col("n_nationkey").cast("string")).alias("channel"), F.concat(F.lit("v"), F.col("n_nationkey").cast("string")).alias("venture_id"))
+    return kn.feed_nodes(posts, channels)
+
+
+def _titles(t: Tables) -> DataFrame:
+    two = F.when(F.pmod("event_id", F.lit(7)) == 0, F.lit(" and NATION_1")).otherwise("")
+    titles = t.events.filter("event_id < 500").select(F.col("event_id").alias("id"), F.concat(F.lit("Sync: nation_"), F.pmod("event_id", F.lit(40)).cast("string"), two).alias("title"))
+    return kn.title_matches(titles, t.dim_ventures)
+
+
+def _relink(t: Tables) -> DataFrame:
+    """Rollups of a nation's customers, whose links to the first customers of the nation exist."""
+    c = t.customer.filter("c_custkey < 150")
+    ranked = F.array_sort(F.collect_list("c_name"))
+    by = c.groupBy("c_nationkey").agg(ranked.alias("ranking")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    rollups = by.select(
+        F.concat(F.lit("rollup:"), F.col("c_nationkey").cast("string")).alias("source_ref"), F.to_json(F.struct(F.lower("n_name").alias("scope"), F.col("ranking"))).alias("metadata")
+    )
+    have = c.filter("c_custkey < 50").select(F.concat(F.lit("rollup:"), F.col("c_nationkey").cast("string")).alias("source_ref"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("entity_id"))
+    return kn.relinked(rollups, t.entities, have)
+
+
+def _retired_edges(t: Tables) -> DataFrame:
+    produced = t.customer.filter("c_custkey % 3 <> 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"))
+    return kn.retired(t.entity_edges, produced, "MEMBER_OF", NOW)
+
+
+def _reopened(t: Tables) -> DataFrame:
+    return kn.new_open_edges(t.entity_edges.select("src_id", "relation", "dst_id"), t.entity_edges)
+
+
+def _mirror_links(t: Tables) -> DataFrame:
+    links = t.memory_entities.select(F.when(F.pmod(F.length("memory_id"), F.lit(2)) == 0, "en").otherwise("fr").alias("namespace"), "memory_id", "entity_id")
+    return kn.mirrored(t.entities.select(F.lit("en").alias("namespace"), "name"), links, t.entities.limit(0).select(F.lit("en").alias("namespace"), "name"), me.live(t.memories))[1]
+
+
+def _applied(t: Tables) -> DataFrame:
+    current = me.live(t.memories).filter("embedding is not null")
+    return me.applied(current, me.planned_writes(_batch(t), current))
+
+
+def _by_ref(t: Tables) -> DataFrame:
+    new = t.documents.filter("doc_id % 10 = 3").select(
+        F.concat(F.lit("new"), F.col("doc_id").cast("string")).alias("id"), F.col("lang").alias("namespace"), F.concat(F.lit("doc:"), F.floor(F.col("doc_id") / 2.0).cast("string")).alias("source_ref")
+    )
+    return me.planned_by_ref(new, me.live(t.memories))
+
+
+def _usernames(t: Tables) -> DataFrame:
+    people = t.people.groupBy("person").agg(F.collect_list(F.upper("login")).alias("usernames"))
+    return ro.commits_of_usernames(t.github_commits, people)
+
+
+def _scoped(t: Tables) -> DataFrame:
+    return me.live(t.memories, me.searchable(t.grants, "a1", ["en", "de"])).select("id", "namespace")
+
+
+def _post_memories(t: Tables) -> DataFrame:
+    return mp.as_memories(_mapping(t).select(F.regexp_replace("ref_id", "^db:order:", "").alias("ref_id"), "event_time", "content"), "post_threads", "en")
+
+
+def _nation_people(t: Tables) -> DataFrame:
+    lists = mp.children_list(t.supplier, "s_nationkey", F.col("s_name"))
+    content = F.concat(F.col("n_name"), F.lit(": "), F.coalesce("items", F.lit("nobody")))
+    return t.nation.join(lists, F.col("n_nationkey") == F.col("s_nationkey"), "left").select(F.col("n_nationkey").cast("long").alias("ref_id"), content.alias("content"))
+
+
+def _file_boosts() -> dict[str, float]:
+    return {"ring": 5.0, "widget": 4.0, "economy": 2.0, "bolt": -3.0}
+
+
 TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     # Views
     "v_feature_daily": lambda t: an.feature_daily(t.feature_events),
@@ -255,6 +353,39 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "coverage_gap": lambda t: ro.coverage_gap(t.github_commits, t.repo_links.filter("org = 'org0'")),
     "edge_provenance_classify": _provenance,
     "episodes_latest": lambda t: ro.episodes(t.memories),
+    # Tending the graph and the memories
+    "graph_candidates": lambda t: kn.candidates(t.entities, "nation_1"),
+    "graph_spine_roles": lambda t: kn.roles_of(gr.spine(t.entity_edges, t.entities, "nation_7")).select("role", "total", "shown", "place"),
+    "graph_labels": _labels,
+    "graph_activity_nodes": lambda t: kn.activity_nodes(
+        ro.repo_weekly(t.github_commits, t.people).withColumn("repo", F.regexp_extract("source_ref", "([^:]+)$", 1)), "repo"
+    ),
+    "feed_nodes": _feeds,
+    "meeting_title_match": _titles,
+    "rollup_relink": _relink,
+    "stale_edges_retired": _retired_edges,
+    "edges_to_open": _reopened,
+    "mirror_links": _mirror_links,
+    "provenance_stats": lambda t: kn.provenance_stats(_provenance(t)),
+    "brain_facets": lambda t: kn.facets(me.live(t.memories), ["namespace", "source_kind", "domain_raw"]),
+    "search_scoped": _scoped,
+    "write_decision_by_ref": _by_ref,
+    "write_applied": _applied,
+    "memory_forget": lambda t: me.forgotten(t.memories, t.memories.filter("importance > 0.85").select("id"), "outdated", NOW),
+    "coverage_share": lambda t: ro.cwd_coverage(t.claude_activity_events),
+    "commits_by_username": _usernames,
+    # Mappings and digests
+    "mapping_memories": _post_memories,
+    "mapping_nation_people": _nation_people,
+    "deployment_digest": lambda t: mp.deployment_digest(t.agent_actions, "venture_id", "agent_id", F.col("kind") == "signup"),
+    "pulse_survey_digest": lambda t: mp.survey_digest(t.events, "event_type", "props", "$.k"),
+    "doc_collection": lambda t: mp.document_files(_doc_files(t)),
+    "code_shortlist": lambda t: mp.code_shortlist(_files(t), _file_boosts()),
+    "repository_overview": lambda t: mp.repository_overview(_files(t)),
+    "etl_stats": lambda t: etl.stats(
+        etl.watermark(t.events, "events", "ts", NOW, "full")
+        .unionByName(etl.watermark(t.github_pull_requests, "pulls", "created_at", NOW, "full")).unionByName(etl.watermark(t.agent_actions, "actions", "created_at", NOW, "full"))
+    ),
     # Sources
     "html_to_text": lambda t: co.page_documents(t.pages).select(F.col("ref"), F.sha2("content", 256).alias("content_sha"), F.length("content").alias("n_chars"), "title"),
     "chunk_text": lambda t: ch.chunked(t.documents, "doc_id", "text"),

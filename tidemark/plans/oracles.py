@@ -434,6 +434,80 @@ SQL: dict[str, str] = {
     "episodes_latest": """select namespace, source_ref, id, concat(upper(substring(k, 1, 1)), substring(k, 2), ' · ', substring(split_part(content, chr(10), 1), 1, 90)) as label from (
         select *, replace(coalesce(source_kind, 'memory'), '-', ' ') as k,
           row_number() over (partition by namespace, source_ref order by invalid_at is null desc, valid_at desc, id desc) as r from memories) where r = 1""",
+    "graph_candidates": """select name, entity_type from entities where contains(lower(name), 'nation_1')
+        order by entity_type in ('portfolio', 'venture') desc, length(name), name limit 10""",
+    "graph_spine_roles": f"""select role, max(total) as total, count(*) as shown, cast(case role when 'portfolio' then 1 when 'venture' then 2 when 'person' then 3
+        when 'agent' then 4 when 'repo' then 5 else 16 end as integer) as place from ({_spine("true", "'repo', 'venture', 'feed'", 10)}) group by role""",
+    "graph_labels": """with nodes as (select concat('r:', p_brand) as id, p_brand as name, 'repo' as kind from part
+          union all select concat('t:', p_brand, ':', p_partkey), p_brand, 'team' from part where p_size > 48),
+        one as (select name, kind, min(id) as id, count(*) over (partition by name) as kinds from nodes group by name, kind)
+        select id, kind, case when kinds > 1 then concat(name, ' (', kind, ')') else name end as label from one""",
+    "graph_activity_nodes": f"""with {_COMMITS16}, by_repo as (select week, repo_full_name as repo, count(*) as n from recent group by 1, 2),
+        kept as (select *, row_number() over (partition by week order by n desc, repo) as rank from by_repo)
+        select concat_ws(':', 'activity', repo, {_label('week')}) as src, 'ACTIVITY_OF' as relation, repo as dst, n as weight from kept where rank <= 12 and n >= 3""",
+    "feed_nodes": f"""with posts as (select event_type as kind, user_id as author, coalesce(case when event_id % 3 <> 0 then concat('v', user_id % 25) end,
+          case when user_id % 10 < 5 then concat('v', user_id % 10) end, 'studio') as venture from events),
+        kinds as (select venture, kind, count(*) as n, row_number() over (partition by venture order by count(*) desc, kind) as r from posts group by 1, 2)
+        select concat('feed:', k.venture) as feed, cast(sum(n) as bigint) as posts, {_list('kind', 'n')} filter (r <= 3) as kinds,
+          (select count(distinct author) from posts p where p.venture = k.venture) as authors from kinds k group by k.venture""",
+    "meeting_title_match": """with titles as (select event_id as id, concat('nation_', event_id % 40) as a, case when event_id % 7 = 0 then 'nation_1' end as b from events where event_id < 500),
+        named as (select distinct t.id, v.id as venture_id from titles t join dim_ventures v on lower(v.name) in (t.a, t.b))
+        select id, 'MEETING_ABOUT' as relation, min(venture_id) as venture_id from named group by id having count(*) = 1""",
+    "rollup_relink": """select concat('rollup:', c_nationkey) as source_ref, concat('c', c_custkey) as entity_id from customer where c_custkey between 50 and 149
+        union all select distinct concat('rollup:', c_nationkey), concat('n', c_nationkey) from customer where c_custkey < 150""",
+    "stale_edges_retired": f"""select src_id, relation, dst_id, valid_from, timestamp '2024-01-15 12:00:00' as valid_to from entity_edges
+        where {_OPEN} and relation = 'MEMBER_OF' and cast(substring(src_id, 2) as bigint) % 3 = 0""",
+    "edges_to_open": "select distinct src_id, relation, dst_id from entity_edges where valid_to is not null",
+    "mirror_links": f"""select distinct namespace, memory_id, entity_id from (
+        select case when length(memory_id) % 2 = 0 then 'en' else 'fr' end as namespace, memory_id, entity_id from memory_entities)
+        where (namespace, memory_id) in (select (namespace, id) from memories where {_LIVE})""",
+    "provenance_stats": """with e as (select concat('c', o_custkey) as src, concat('n', o_orderkey % 25) as dst, count(*) as n from orders group by 1, 2)
+        select 'ORDERED_IN' as relation, case when n = 1 then 'link' else 'aggregate' end as kind, count(*) as edges, cast(sum(n) as bigint) as records from e group by 2""",
+    "brain_facets": f"""select facet, value, count(*) as memories, count(*) filter (importance >= 0.7) as important from (
+        select 'namespace' as facet, namespace as value, importance from memories where {_LIVE} union all select 'source_kind', source_kind, importance from memories where {_LIVE}
+        union all select 'domain_raw', domain_raw, importance from memories where {_LIVE}) where value is not null group by 1, 2""",
+    "search_scoped": f"select id, namespace from memories where {_LIVE} and namespace = 'en'",
+    "write_decision_by_ref": f"""with newest as (select namespace, source_ref, arg_max(id, (valid_at, id)) as top_id from memories where {_LIVE} group by 1, 2),
+        new as (select concat('new', doc_id) as id, lang as namespace, concat('doc:', cast(floor(doc_id / 2.0) as bigint)) as source_ref from documents where doc_id % 10 = 3)
+        select id, new.source_ref, top_id, case when top_id is null then 'add' else 'update' end as decision from new left join newest using (namespace, source_ref)""",
+    "write_applied": f"""with decided as (SELECT_DECISIONS),
+        hits as (select top_id as id, count(*) filter (decision = 'noop') as noops, max(case when decision = 'update' then id end) as superseded_by,
+          count(*) filter (decision in ('update', 'invalidate')) as gone from decided where decision <> 'add' group by 1)
+        select m.id, coalesce(gone, 0) = 0 as live, superseded_by, round(least(1.0::double, importance + 0.02::double * coalesce(noops, 0)), 6) as importance
+        from memories m left join hits h on h.id = m.id where {_LIVE} and embedding is not null
+        union all select id, true, null, 0.5::double from decided where decision in ('add', 'update')""",
+    "memory_forget": """select id, timestamp '2024-01-15 12:00:00' as invalid_at, '{"forget_reason":"outdated"}' as metadata from memories
+        where invalid_at is null and importance > 0.85::double""",
+    "coverage_share": """select count(*) as events, count(cwd) as with_cwd, round(100.0::double * count(cwd) / count(*), 1) as share,
+        cast(min(created_at) as date) as first_day, cast(max(created_at) as date) as last_day from claude_activity_events""",
+    "commits_by_username": "select person, count(*) as commits from github_commits join people on lower(author_login) = lower(login) group by 1",
+    "mapping_memories": """select concat('db:post-thread:', o_orderkey) as source_ref, 'en' as namespace, 'post_thread' as source_kind, 'post-thread' as domain_raw, o_orderdate as valid_at,
+        concat('Order ', o_orderkey, ' by ', coalesce(c_name, 'unknown'), ' (', coalesce(n_name, '-'), '), status ', o_orderstatus, ', priority ', o_orderpriority) as content,
+        0.45::double as importance from orders left join customer on c_custkey = o_custkey left join nation on n_nationkey = c_nationkey""",
+    "mapping_nation_people": """select cast(n_nationkey as bigint) as ref_id, concat(n_name, ': ', coalesce((select string_agg(s_name, ', ' order by s_name) from supplier
+        where s_nationkey = n_nationkey), 'nobody')) as content from nation""",
+    "deployment_digest": """select venture_id, count(*) as runs, count(*) filter (kind = 'signup') as failed, array_to_string(list_sort(list(distinct agent_id)), ', ') as "by"
+        from agent_actions group by 1""",
+    "pulse_survey_digest": f"""with a as (select event_type, json_extract_string(props, '$.k') as choice, count(*) as n from events where json_extract_string(props, '$.k') is not null group by 1, 2),
+        r as (select *, row_number() over (partition by event_type order by n desc, choice) as r from a)
+        select event_type, cast(sum(n) as bigint) as responses, count(*) as choices, {_list('choice', 'n')} filter (r <= 5) as top from r group by 1""",
+    "doc_collection": """with f as (select case doc_id % 5 when 0 then concat('pkg', doc_id, '/README.md') when 1 then concat('docs/g', doc_id, '.mdx') when 2 then concat('src/n', doc_id, '.md') end as path,
+          case doc_id % 5 when 0 then 0 when 1 then 1 else 2 end as place, length(text) as bytes from documents)
+        select path, cast(place as integer) as place, bytes from f where path is not null and bytes between 120 and 400000""",
+    "code_shortlist": """with f as (select concat('src/', lower(p_type), '/', replace(p_name, ' ', '_'), '_', p_partkey, '.go') as path, p_size * 1000 as bytes from part),
+        s as (select path, regexp_replace(path, '/[^/]*$', '') as dir, round((case when contains(path, 'ring') then 5.0 else 0 end + case when contains(path, 'widget') then 4.0 else 0 end
+          + case when contains(path, 'economy') then 2.0 else 0 end + case when contains(path, 'bolt') then -3.0 else 0 end) - 0.8 * 2
+          + case when bytes between 1500 and 30000 then 3.0 else 0 end, 6) as score from f),
+        r as (select *, row_number() over (partition by dir order by score desc, path) as r from s)
+        select path, cast(score as double) as score from r where r <= 3 order by score desc, path limit 14""",
+    "repository_overview": f"""with f as (select p_brand as repo, concat('src/', lower(p_type), '/', replace(p_name, ' ', '_'), '_', p_partkey, '.go') as path, lower(p_type) as language, p_size * 1000 as bytes from part),
+        l as (select repo, language, count(*) as n from f group by 1, 2),
+        b as (select *, row_number() over (partition by repo order by bytes desc, path) as r from f)
+        select repo, cast(sum(n) as bigint) as files, {_list('language', 'n')} as languages,
+          (select string_agg(path, ', ' order by r) from b where b.repo = l.repo and r <= 3) as largest from l group by repo""",
+    "etl_stats": """select 'events' as "table", max(ts) as max_time, count(*) as row_count, timestamp '2024-01-15 12:00:00' as last_run, 'full' as last_mode from events
+        union all select 'pulls', max(created_at), count(*), timestamp '2024-01-15 12:00:00', 'full' from github_pull_requests
+        union all select 'actions', max(created_at), count(*), timestamp '2024-01-15 12:00:00', 'full' from agent_actions""",
     "html_to_text": rf"""select url as ref, sha256({_HTML}) as content_sha, cast(length({_HTML}) as integer) as n_chars,
         substring(trim(regexp_replace(regexp_extract(substring(coalesce(html, ''), 1, 4194304), '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), 1, 300) as title from pages""",
     "sql_rows_to_documents": r"""select cast(c_custkey as varchar) as ref, c_name as title, concat_ws(chr(10), 'c_custkey: ' || c_custkey, 'c_name: ' || c_name,
@@ -455,5 +529,8 @@ SQL: dict[str, str] = {
 }
 
 
+SQL["write_applied"] = SQL["write_applied"].replace("SELECT_DECISIONS", SQL["write_decision"])
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: with_adapters(text) for name, text in SQL.items()}

@@ -33,3 +33,21 @@ def newest_by_key(rows: DataFrame, key: str, time: str, *tie: str) -> DataFrame:
     """One row per key, the newest; an aggregate, so a hot key is folded before it is moved."""
     whole = F.struct(*[F.col(c) for c in rows.columns])
     return rows.groupBy(key).agg(F.max_by(whole, F.struct(time, *tie)).alias("r")).select("r.*")
+
+
+def stats(watermarks: DataFrame) -> DataFrame:
+    """Loaded tables, the largest first."""
+    return watermarks.orderBy(F.desc("row_count"), "table")
+
+
+def snapshot(rows: DataFrame, path: str) -> None:
+    """A dimension, loaded whole; columns that must not leave the source are dropped."""
+    without_private(rows).write.mode("overwrite").parquet(path)
+
+
+def extract(rows: DataFrame, path: str, key: str, time: str, previous: DataFrame | None, mark: dt.datetime | None) -> None:
+    """A full load without a watermark, else an incremental one on the previous version; written as a new version."""
+    rows = without_private(rows)
+    if previous is not None and mark is not None:
+        rows = incremental(previous, rows, key, time, mark)
+    rows.write.mode("overwrite").parquet(path)

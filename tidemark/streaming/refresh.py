@@ -73,3 +73,20 @@ def daily_events(spark: SparkSession, path: str) -> DataFrame:
     """Events per day and type, computed by a stream over the files at ``path``."""
     days = tumbling(event_stream(spark, path), "ts", "1 day", "event_type")
     return once(days).select(F.to_date("start").alias("day"), "event_type", "events")
+
+
+def pushed_documents(spark: SparkSession, path: str, target: str, checkpoint: str):
+    """Documents pushed as JSON lines (ref, content) into a folder: cut into chunks and appended to ``target``.
+
+    A document without a ref counts as 'webhook'.
+    """
+    from ..operators.chunking import chunked
+
+    stream = spark.readStream.schema("ref string, content string").json(path)
+
+    def apply(batch: DataFrame, number: int) -> None:
+        rows = batch.filter("content is not null").select(F.coalesce("ref", F.lit("webhook")).alias("ref"), "content")
+        # A batch that is run again overwrites its own part.
+        chunked(rows, "ref", "content").write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return upserting(stream, apply, checkpoint)

@@ -13,12 +13,12 @@
 * Classes are the connected components of the links.
 
 Equal word sequences are folded first, so a text with a third of all rows is one candidate.
-Within a bucket not all pairs are made.  First every member is compared with the bucket's
-smallest id.  While a bucket still holds members of several classes, further leaders, taken
-from its smaller classes, are compared with all members of other classes and then retire;
-their number per bucket is four times larger each round, and rounds end when no bucket has an
-open pair.  So each candidate pair is compared, or is in one class already: no cap, no loss.
-Pairs whose set sizes alone put them below the threshold are not compared.
+Within a bucket not all pairs are made.  First every member is compared with the bucket's head.
+While a bucket still holds members of several classes, leaders, taken from its smaller
+classes, are compared with all members of other classes and then retire; their number per
+bucket is sixteen times larger each round, and rounds end when no bucket has an open pair.  So each
+candidate pair is compared, or is in one class already, or is ruled out by an exact bound
+(``_bounds``, ``_in_reach``): no cap, no loss.
 
 Links, labels and keys stay in tables; the driver sees counts only.
 
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, process_cache, staged, text_or_empty
@@ -178,8 +178,10 @@ def _sketcher(bands: int, rows: int, width: int):
     return run
 
 
-def _verifier(width: int, threshold: float):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
+def _comparer(width: int):
+    """Exact comparison of the pairs: the size of what both have, the similarity, and, as bits over the
+    first document's runs in the order of their hashes, which of them the second one has."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("both", pa.int64()), ("similarity", pa.float64()), ("bits", pa.list_(pa.int64()))])
 
     def distinct(text: str) -> np.ndarray:
         return np.unique(shingle_hashes([words_of(text)], width)[0])
@@ -187,20 +189,19 @@ def _verifier(width: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, left = None, np.zeros(0, dtype=np.uint64)
         for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [])
             for a, b, text_a, text_b in zip(*(batch.column(k) for k in range(4)), strict=True):
                 if a != at:  # pairs come sorted by their first document
                     at, left = a, distinct(text_a.as_py())
                 right = distinct(text_b.as_py())
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                s = both / max(1, len(left) + len(right) - both)
-                if s >= threshold:
-                    out[0].append(a.as_py())
-                    out[1].append(b.as_py())
-                    out[2].append(s)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema
-            )
+                has = np.isin(left, right, assume_unique=True)
+                both = int(has.sum())
+                bits = np.zeros(-(-len(left) // 64) * 64, dtype=np.uint8)
+                bits[: len(left)] = has
+                row = a.as_py(), b.as_py(), both, both / max(1, len(left) + len(right) - both), np.packbits(bits).view(np.int64)
+                for column, value in zip(out, row, strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
 
     return run
 
@@ -252,44 +253,55 @@ def near_classes(
     folded = known.groupBy("digest").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")
     )
-    member = folded.select("rep", "n", F.explode("keys").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = staged(member.join(shared, "bucket").select("bucket", "leader", "rep", "n"), "bucket-members")
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    member = _shared(folded.select("rep", F.explode("keys").alias("bucket")))
+    member = staged(member, "bucket-members")
+    wanted = member.select(F.col("rep").alias("doc_id")).distinct()
     sources = staged(texts.join(wanted, "doc_id", "left_semi"), "candidate-texts")
-
-    sizes = members.select(F.col("rep").alias("leader"), F.col("n").alias("leader_n")).distinct()
-    first = members.filter("rep > leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"), F.col("n").alias("nb"))
-    first = first.distinct().join(sizes.select(F.col("leader").alias("a"), F.col("leader_n").alias("na")), "a")
-    able = f"least(na, nb) >= {threshold} * greatest(na, nb)"
-    pairs = staged(first.filter(able).select("a", "b"), "pairs")
-    tested, links, labels = pairs, None, None
-    open_members = members.filter("rep <> leader").select("bucket", "rep", "n")
-    leaders = 16
-    while True:
-        found = staged(_verified(pairs, sources, width, threshold), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links, labels)
-        open_members = _open(open_members, labels)
-        if open_members.isEmpty():
-            break
+    bounds = staged(_bounds(sources, width).filter(f"u >= {threshold} * n"), "bounds")
+    members = staged(_shared(member.join(bounds, "rep").select("bucket", "rep", "n", "u")), "bounded-members")
+
+    # First every member meets its bucket's head: of its members the one that shares most of its runs.
+    order = F.struct((-F.col("u") / F.col("n")).alias("o"), "rep")
+    heads = members.groupBy("bucket").agg(F.min_by(F.struct("rep", "n", "u"), order).alias("h"))
+    headed = members.join(heads, "bucket").select(
+        "bucket", "rep", "n", "u", F.col("h.rep").alias("head"), F.col("h.n").alias("hn"), F.col("h.u").alias("hu")
+    ).filter("rep <> head")
+    first = headed.filter(f"least(u, hu) >= {threshold} * (n + hn - least(u, hu))").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
+    met = staged(_compared(staged(first, "pairs"), sources, width), "compared")
+    found = met.filter(F.col("similarity") >= threshold).select("a", "b")
+    labels = components(found)
+    seen = met.select(F.col("a").alias("head"), F.col("b").alias("rep"), F.col("both").alias("i"), "bits")
+    members = _open(headed.select("bucket", "rep", "n", "u", "head").join(seen, ["head", "rep"], "left"), labels)
+    tested, leaders = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), 16
+    while not members.isEmpty():
         # Spark keeps the first ranks of each input partition before it shuffles for the window.
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("rep"), "rep"))
+        rank = F.row_number().over(Window.partitionBy("bucket").orderBy(-F.col("u") / F.col("n"), "rep"))
         lead = staged(
-            open_members.filter("minor").withColumn("rank", rank).filter(F.col("rank") <= leaders), "leaders"
-        ).select("bucket", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
+            members.filter("minor").withColumn("rank", rank).filter(F.col("rank") <= leaders).drop("rank"), "leaders"
+        )
+        # What is still open is small; there a pair is made in the first band that it shares, and not in each.
+        reps = members.select(F.col("rep").alias("doc_id")).distinct()
+        keys = staged(known.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "keys"), "open-keys")
+        names = ("rep", "n", "u", "i", "bits", "label")
+        left = lead.select("bucket", *[F.col(c).alias(f"{c}_x") for c in names])
+        left = left.join(keys.select(F.col("doc_id").alias("rep_x"), F.col("keys").alias("keys_x")), "rep_x")
+        right = members.join(keys.select(F.col("doc_id").alias("rep"), "keys"), "rep")
         made = (
-            lead.join(open_members.select("bucket", F.col("rep").alias("y"), F.col("n").alias("ny"), "label"), "bucket")
-            .filter("x <> y and lx <> label")
-            .filter(f"least(nx, ny) >= {threshold} * greatest(nx, ny)")
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+            left.join(right, "bucket")
+            .filter("rep_x <> rep and label_x <> label")
+            .filter(f"least(u_x, u) >= {threshold} * (n_x + n - least(u_x, u))")
+            .filter(_in_reach(threshold))
+            .filter(_first_shared())
+            .select(F.least("rep_x", "rep").alias("a"), F.greatest("rep_x", "rep").alias("b"))
             .distinct()
         )
         pairs = staged(made.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.unionByName(pairs)
-        retired = lead.select("bucket", F.col("x").alias("rep"))
-        open_members = open_members.select("bucket", "rep", "n").join(retired, ["bucket", "rep"], "left_anti")
-        leaders *= 4
+        links = staged(_compared(pairs, sources, width).filter(F.col("similarity") >= threshold).select("a", "b"), "links")
+        labels = _joined(labels, links)
+        retired = lead.select("bucket", "rep")
+        members = _open(members.drop("label", "minor").join(retired, ["bucket", "rep"], "left_anti"), labels)
+        leaders *= 16
     of = folded.select("digest", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
     of = of.select("digest", F.coalesce("label", "rep").alias("class_id"))
     out = known.select("doc_id", "digest", "n").join(of, "digest")
@@ -303,16 +315,92 @@ def near_classes(
     )
 
 
-def _verified(pairs: DataFrame, sources: DataFrame, width: int, threshold: float) -> DataFrame:
+def _shared(members: DataFrame) -> DataFrame:
+    """Members of buckets that hold more than one document."""
+    several = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket")
+    return members.join(several, "bucket")
+
+
+def _bounds(sources: DataFrame, width: int) -> DataFrame:
+    """Per candidate document its number of runs, n, and of those that another candidate has too, u.
+
+    Two documents share at most min(u, u') runs, so their similarity is at most
+    min(u, u') / (n + n' - min(u, u')): an exact bound that rules out most pairs of a large
+    family of edited copies, and of documents that only share a passage, without comparing them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = [np.unique(shingle_hashes([words_of(t.as_py())], width)[0]).view(np.int64) for t in part.column(1)]
+                offsets = np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))],
+                    names=["rep", "runs"],
+                )
+
+    sets = staged(
+        sources.select("doc_id", "text").mapInArrow(run, "rep long, runs array<long>"), "candidate-runs"
+    )
+    lonely = (
+        sets.select("rep", F.explode("runs").alias("run"))
+        .groupBy("run")
+        .agg(F.count(F.lit(1)).alias("docs"), F.min("rep").alias("rep"))
+        .filter("docs = 1")
+        .groupBy("rep")
+        .agg(F.count(F.lit(1)).alias("lonely"))
+    )
+    n = F.size("runs").cast("long")
+    return sets.select("rep", n.alias("n")).join(lonely, "rep", "left").select(
+        "rep", "n", (F.col("n") - F.coalesce("lonely", F.lit(0))).alias("u")
+    )
+
+
+def _compared(pairs: DataFrame, sources: DataFrame, width: int) -> DataFrame:
     b = pairs.join(sources.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = b.join(sources.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(
-        _verifier(width, threshold), "a long, b long, similarity double"
-    ).select("a", "b")
+        _comparer(width), "a long, b long, both long, similarity double, bits array<long>"
+    )
+
+
+def _in_reach(threshold: float) -> Column:
+    """Whether two members may be similar, by what each shares with their bucket's head.
+
+    Of the head's runs both have those whose bits both have set; of other runs that any candidate
+    shares, the first has u_x - i_x and the second u - i, so both have at most the smaller number.
+    Without bits (not compared with the head) nothing is ruled out.
+    """
+    common = F.aggregate(F.zip_with("bits_x", "bits", lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0), lambda acc, c: acc + c)
+    most = common + F.least(F.col("u_x") - F.col("i_x"), F.col("u") - F.col("i"))
+    return F.coalesce(most >= threshold * (F.col("n_x") + F.col("n") - most), F.lit(True))
+
+
+def _first_shared() -> Column:
+    """Whether this bucket is the first band that both members share."""
+    same = F.zip_with("keys_x", "keys", lambda a, b: a == b)
+    return F.try_element_at("keys_x", F.array_position(same, F.lit(True)).cast("int")) == F.col("bucket")
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after further links: the links, as edges between labels, are a small graph of their own."""
+    of = labels.select(F.col("node"), "label")
+    ends = links.join(of.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(
+        of.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left"
+    )
+    ends = staged(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a <> b").distinct(), "label-links")
+    if ends.isEmpty():
+        return labels
+    merged = components(ends)
+    moved = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
+    moved = moved.select("node", F.coalesce("to", "label").alias("label"))
+    new = merged.join(labels.select("node"), "node", "left_anti").select("node", "label")
+    return staged(moved.unionByName(new), "labels")
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets that hold several classes: bucket, rep, n, label, minor (not of its largest class)."""
+    """Members of buckets that hold several classes, with label and minor (not of its largest class)."""
     at = members.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn(
         "label", F.coalesce("label", "rep")
     )
@@ -322,7 +410,7 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     )
     several = at.join(of.filter("classes > 1").select("bucket", "major"), "bucket")
     several = several.withColumn("minor", F.col("label") != F.col("major"))
-    return staged(several.select("bucket", "rep", "n", "label", "minor"), "open-members")
+    return staged(several.drop("major"), "open-members")
 
 
 def op3_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ def one(spark, column):
         ("Uses Postgres", "Uses Postgres 16", 0.9, "update"),
         ("Uses Postgres", "Likes tea", 0.3, "add"),
         ("Uses Postgres", "No longer uses Postgres", 0.92, "invalidate"),
-        ("Uses Postgres", "Uses Postgres instead of MySQL", 0.99, "invalidate"),
+        ("Uses Postgres", "That Postgres is used was wrong", 0.99, "invalidate"),
     ],
 )
 def test_write_decision(spark, top, content, similarity, decision):
@@ -36,7 +36,7 @@ def test_write_decision(spark, top, content, similarity, decision):
 
 def test_norm_text_and_negation(spark):
     assert one(spark, text.norm_text(F.lit("  A\t b\n\nC "))) == "a b c"
-    for s in ("It is no longer so", "replaced by X", "was Deprecated", "switched to Y"):
+    for s in ("It is no longer so", "That is WRONG", "Correction: X", "never mind that"):
         assert one(spark, text.has_negation(F.lit(s)))
     for s in ("It is so", "a place"):
         assert not one(spark, text.has_negation(F.lit(s)))
@@ -113,13 +113,13 @@ def test_boundary_minutes_and_weeks(spark):
 
 def test_html_to_text(spark):
     page = "<html><head><style>x{}</style></head><body><p>A &amp; B</p><script>var a = '<p>';</script><div>C&nbsp; D</div></body></html>"
-    assert one(spark, text.html_to_text(F.lit(page))) == "A & B\n \nC D"
+    assert one(spark, text.html_to_text(F.lit(page))) == "A & B\n\n C D"
 
 
 def test_classification(spark):
     kind = lambda d, s: one(spark, text.memory_type(F.lit(d), F.lit(s)))
-    assert [kind("venture", "x"), kind("playbook", "x"), kind("post", "x"), kind("item", "learning:7"), kind("item", "x")] == [
-        "semantic", "procedural", "episodic", "procedural", "episodic",
+    assert [kind("venture", "x"), kind("playbook", "x"), kind("post", "x"), kind("?", "learning:7"), kind("?", "howto/x"), kind("?", ":doc")] == [
+        "semantic", "procedural", "episodic", "semantic", "procedural", "episodic",
     ]
     explicit = text.memory_type(F.lit("venture"), F.lit("x"), F.lit("working"))
     assert one(spark, explicit) == "working"
@@ -127,14 +127,15 @@ def test_classification(spark):
 
 def test_number_formats(spark):
     scaled = lambda x: one(spark, text.scaled(F.lit(x)))
-    assert [scaled(999), scaled(1200), scaled(3_400_000), scaled(5_600_000_000)] == ["999", "1.2k", "3.4M", "5.6B"]
+    assert [scaled(999), scaled(1200), scaled(3_400_000), scaled(5_600_000_000)] == ["999", "1.2k", "3.4M", "5.60B"]
     assert one(spark, text.thousands(F.lit(1234567))) == "1,234,567"
 
 
 def test_screening_and_redaction(spark):
     assert one(spark, text.has_credential(F.lit("my PASSWORD: x")))
-    assert not one(spark, text.has_credential(F.lit("the word password alone")))
+    assert not one(spark, text.has_credential(F.lit("the users pass by")))
     assert one(spark, text.redacted(F.lit("v"), F.lit("apiKey"))) == "••••"
+    assert one(spark, text.redacted(F.lit(""), F.lit("token"))) == ""
     assert one(spark, text.redacted(F.lit("v"), F.lit("name"))) == "v"
 
 
@@ -148,9 +149,22 @@ def test_chunks():
     assert len(chunking.chunk_text("é" * 700 + "\n\n" + "é" * 900)) == 2
     sections = chunking.markdown_chunks("# A\n" + "x" * 2000 + "\n# B\n" + "y" * 2000 + "\n## C\nz")
     assert [s[:3] for s in sections] == ["# A", "# B"] and sections[1].endswith("z")
-    assert chunking.interleaved([["a1", "a2"], ["b1"]]) == ["a1", "b1", "a2"]
-    pack = "## File: a\none\n\ntwo\n## File: b\nthree\n"
-    assert chunking.code_chunks(pack) == ["## File: a\none\n\n## File: b\nthree\n\n## File: a\ntwo"]
+    assert [len(s) for s in chunking.markdown_chunks("# A\n" + "x" * 12_000)] == [5600, 5600, 804]
+    assert chunking.markdown_chunks(None) == chunking.markdown_chunks(" \n") == []
+
+
+def test_code_packs():
+    big = "\n".join(f"line {i} " + "x" * 90 for i in range(100))
+    pack = f"# intro\n## File: a/one.go\nsmall\n## File: b/two.go\n{big}\n## File: a/three.go\nsmaller\n"
+    assert [p for p, _ in chunking.pack_sections(pack)] == ["a/one.go", "b/two.go", "a/three.go"]
+    assert [p for p, _ in chunking.breadth_first(chunking.pack_sections(pack))] == ["b/two.go", "a/three.go", "a/one.go"]
+    chunks = chunking.code_chunks(pack, "r")
+    assert chunks[0].startswith("r — b/two.go  (part 1/3)\n\nline 0 ") and all(len(c) <= 4100 for c in chunks)
+    assert chunks[-1] == "r — a/three.go\n\nsmaller\n\nr — a/one.go\n\nsmall"
+    assert chunking.body_pieces("x" * 9000 + "\nend\n") == ["x" * 4000, "x" * 4000, "x" * 1000 + "\nend\n"]
+    assert chunking.code_chunks(None) == []
+    turns = chunking.breadth_first([(f"a/{i}", "x" * (10 - i)) for i in range(6)] + [("b/0", "y")], block=4)
+    assert [p for p, _ in turns] == ["a/0", "a/1", "a/2", "a/3", "b/0", "a/4", "a/5"]
 
 
 def test_chunked_refs(spark):

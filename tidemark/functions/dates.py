@@ -45,13 +45,13 @@ def period_end(start: Column, unit: str) -> Column:
     return F.date_add(start, 6) if unit == "week" else F.last_day(start)
 
 
-_WINDOW = re.compile(r"^(?:last\s+)?(\d+)\s*([hdwm])$")
+_WINDOW = re.compile(r"^(?:last)?\s*(\d+)\s*([hdwm])$")
 
 
 def parse_window(text: str) -> dt.timedelta | None:
     """'24h', '7d', '2w', '3m' (a month is 30 days), with or without 'last'; None if it is none."""
     m = _WINDOW.match((text or "").strip().lower())
-    if not m:
+    if not m or not int(m[1]):
         return None
     n = int(m[1])
     return {"h": dt.timedelta(hours=n), "d": dt.timedelta(days=n), "w": dt.timedelta(weeks=n), "m": dt.timedelta(days=30 * n)}[m[2]]

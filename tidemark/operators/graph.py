@@ -16,6 +16,11 @@ from pyspark.sql import functions as F
 
 from ..plans.staging import staged
 
+# How many nodes of a type a sample takes at most; other types share what the limit leaves.
+QUOTAS = {
+    "portfolio": 500, "venture": 500, "person": 500, "agent": 500, "repo": 500, "channel": 500, "campaign": 500, "goal": 200, "okr": 200, "roadmap": 200,
+    "code_module": 200, "doc": 100, "feed": 80, "issue": 80, "learning": 60, "activity": 60, "meeting": 60,
+}
 HUBS = ("repo", "venture", "feed")
 TIME_ROLES = ("activity", "meeting", "channel", "feed")
 
@@ -200,20 +205,20 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def sample_by_quota(edges: DataFrame, entities: DataFrame, quotas: dict[str, int], *, limit: int = 3000) -> DataFrame:
+def sample_by_quota(edges: DataFrame, entities: DataFrame, quotas: dict[str, int] = QUOTAS, *, limit: int = 3000) -> DataFrame:
     """The best-connected nodes of each type, up to the type's quota, then up to the limit."""
-    limit = 3000 if limit > 8000 or limit < 1 else limit
-    types = max(1, len(quotas))
-    default = max(20, limit // types)
-    quota = F.lit(default)
+    limit = 3000 if limit < 1 else min(limit, 8000)
+    typed = entities.withColumn("entity_type", F.coalesce(F.nullif("entity_type", F.lit("")), F.lit("entity")))
+    types = typed.agg(F.countDistinct("entity_type")).scalar()
+    quota = F.greatest(F.lit(20), F.floor(limit / types)).cast("long")
     for name, n in sorted(quotas.items()):
         quota = F.when(F.col("entity_type") == name, n).otherwise(quota)
     ranked = (
-        entities.join(degrees(open_edges(edges)), "id", "left")
+        typed.join(degrees(open_edges(edges)), "id", "left")
         .withColumn("degree", F.coalesce("degree", F.lit(0)).cast("long"))
         .withColumn("rank", F.row_number().over(Window.partitionBy("entity_type").orderBy(F.desc("degree"), "name")))
     )
-    kept = ranked.filter(F.col("rank") <= quota).orderBy(F.desc("degree"), "name").limit(limit)
+    kept = ranked.filter(F.col("rank") <= quota).orderBy(F.desc("degree"), "entity_type", "name").limit(limit)
     return kept.select("id", "name", "entity_type", "degree")
 
 

@@ -12,7 +12,10 @@ from ..functions.vectors import hashed_embedding
 from .rollups import ranked_list
 
 # The order in which roles are shown; others follow by name.
-ROLE_ORDER = ("portfolio", "venture", "person", "agent", "repo", "goal", "okr", "roadmap", "issue", "meeting", "channel", "feed", "activity", "learning", "doc")
+ROLE_ORDER = (
+    "portfolio", "venture", "repo", "person", "agent", "activity", "feed", "channel", "goal", "okr", "roadmap", "code_module", "doc", "learning", "issue",
+    "meeting", "campaign",
+)
 
 
 def ntz(t: dt.datetime) -> Column:
@@ -63,14 +66,37 @@ def feed_nodes(posts: DataFrame, channels: DataFrame) -> DataFrame:
     return top.join(authors, "venture").select(F.concat(F.lit("feed:"), "venture").alias("feed"), "posts", "kinds", "authors")
 
 
+def _collapsed(c: Column) -> Column:
+    """Letters and digits alone, lower case."""
+    return F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+
+
 def title_matches(titles: DataFrame, ventures: DataFrame) -> DataFrame:
-    """Titles that name a venture by one of their words, only where exactly one venture is named."""
-    words = titles.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit("[a-z0-9_]+"), F.lit(0)))).alias("low"))
-    named = words.join(ventures.select(F.lower("name").alias("low"), F.col("id").alias("venture_id")), "low")
+    """Titles that name exactly one venture.
+
+    A venture's tokens are its id and name, collapsed, of four characters or more, unless another venture
+    has the token, too.  A title names it by a word, or, for tokens of five or more, anywhere in
+    the collapsed title: then by one of the title's substrings of the tokens' lengths, so that this is
+    an equi-join as well.
+    """
+    tokens = ventures.select("id", F.explode(F.array_distinct(F.array(_collapsed(F.col("id")), _collapsed(F.col("name"))))).alias("token"))
+    own = tokens.filter(F.length("token") >= 4).groupBy("token").agg(F.countDistinct("id").alias("k"), F.min("id").alias("venture_id")).filter("k = 1").drop("k")
+    # The distinct lengths of names: a handful.
+    lengths = sorted(r["n"] for r in own.select(F.length("token").alias("n")).distinct().collect())
+    whole = _collapsed(F.coalesce("title", F.lit("")))
+    parts = [F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("title", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))]
+    for n in (n for n in lengths if n >= 5):
+        starts = F.when(F.length(whole) >= n, F.sequence(F.lit(1), F.length(whole) - n + 1)).otherwise(F.array().cast("array<int>"))
+        parts.append(_pieces(whole, starts, n))
+    named = titles.select("id", F.explode(F.array_distinct(F.concat(*parts))).alias("token")).join(own, "token")
     by = named.groupBy("id").agg(F.countDistinct("venture_id").alias("k"), F.min("venture_id").alias("venture_id"))
     return by.filter("k = 1").select("id", F.lit("MEETING_ABOUT").alias("relation"), "venture_id")
 
 
+def _pieces(text: Column, starts: Column, n: int) -> Column:
+    return F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
+
+
 def retired(edges: DataFrame, produced: DataFrame, relation: str, now: dt.datetime) -> DataFrame:
     """Open edges of a relation whose source this run hasn't produced, closed at ``now``."""
     stale = edges.filter((F.col("relation") == relation) & F.col("valid_to").isNull())

@@ -103,19 +103,49 @@ def survey_digest(answers: DataFrame, survey: str, value: str, path: str = "$.ch
 def document_files(files: DataFrame) -> DataFrame:
     """Markdown files of a useful size: READMEs first, then docs/, then the rest, by path."""
     low = F.lower("path")
-    keep = low.rlike(r"\.mdx?$") & (F.col("bytes") <= 400_000) & (F.length("content") >= 120)
-    place = F.when(F.element_at(F.split(low, "/"), -1).startswith("readme"), 0).when(low.rlike(r"(?:^|/)docs/"), 1).otherwise(2)
-    return files.filter(keep).select("path", place.alias("place"), "bytes").orderBy("place", "path")
-
-
-def code_shortlist(files: DataFrame, boosts: dict[str, float], *, per_dir: int = 3, limit: int = 14) -> DataFrame:
-    """The files most worth reading: boosts by pattern, less depth, more if of a good size; few per folder."""
+    keep = F.col("path").rlike(r"\.mdx?$") & (F.col("bytes") <= 400_000) & (F.length(F.trim("content")) >= 120)
+    place = F.when(low.contains("readme"), 0).when(low.startswith("docs/"), 1).otherwise(2)
+    return files.filter(keep).select("path", place.alias("place"), "bytes").orderBy("place", low)
+
+
+# What in a path makes a source file worth reading, or not; each group counts once.
+BOOSTS = (
+    (("readme.md",), 14), (("main.go", "index.ts", "index.js", "app.py", "server.ts", "server.js", "main.py", "app.tsx", "bootstrap"), 8),
+    (("route", "router", "handler", "controller", "endpoint", "/api/"), 7), (("service", "usecase", "core/", "engine", "domain/", "repository"), 6),
+    (("auth", "token", "session", "permission", "livekit", "webhook", "payment", "billing", "subscription", "queue", "worker", "cron", "agent"), 6),
+    (("schema", "model", "migration", ".sql", "entity", "types.ts"), 5), (("config", "settings", "env", "docker-compose", "dockerfile", ".tf"), 4),
+    (("hook", "store", "context", "provider", "middleware", "util", "helper"), 2),
+    (("test", "spec", "mock", "stub", "example", "demo", "sample"), -8), (("component", "widget", "styles", "css", "icon", "svg"), -3), (("docs/", "doc/"), -1),
+)
+# Suffixes of files that are read, and what in a path or a name rules a file out.
+SUFFIXES = (".go", ".ts", ".tsx", ".js", ".jsx", ".py", ".sql", ".md", ".yaml", ".yml", ".tf", ".php", ".vue")
+SKIPPED_PATHS = (
+    "node_modules/", "vendor/", "dist/", "build/", ".next/", "out/", "testdata/", "__pycache__/", ".venv/", "coverage/", "third_party/", "public/build/",
+    "storage/framework/", "__snapshots__/", "bootstrap/cache/", ".github/workflows/", "locales/", "translations/", "lang/", "fixtures/", "seeders/", "assets/",
+)
+SKIPPED_NAMES = (
+    ".min.", ".gen.", ".d.ts", "_test.go", ".test.ts", ".spec.ts", ".test.tsx", "-lock.json", "package-lock.json", "yarn.lock", "composer.lock",
+    "pnpm-lock.yaml", "go.sum", "changelog.md", "license",
+)
+
+
+def _has_any(c: Column, parts: Sequence[str]) -> Column:
+    return c.rlike("|".join(p.replace(".", r"\.") for p in parts))
+
+
+def code_shortlist(files: DataFrame, *, per_dir: int = 3, limit: int = 14) -> DataFrame:
+    """The files most worth reading: by what their path says, less depth, more if of a good size; few per folder."""
+    low = F.lower("path")
+    base = F.element_at(F.split(low, "/"), -1)
+    keep = base.rlike("(?:" + "|".join(s.replace(".", r"\.") for s in SUFFIXES) + ")$") & F.col("bytes").between(250, 60_000)
+    keep = keep & ~_has_any(low, SKIPPED_PATHS) & ~_has_any(base, SKIPPED_NAMES)
     score = F.lit(0.0)
-    for pattern, boost in sorted(boosts.items()):
-        score = score + F.when(F.col("path").rlike(pattern), boost).otherwise(0.0)
+    for parts, weight in BOOSTS:
+        score = score + F.when(_has_any(low, parts), float(weight)).otherwise(0.0)
     depth = F.size(F.split("path", "/")) - 1
-    score = F.round(score - 0.8 * depth + F.when(F.col("bytes").between(1_500, 30_000), 3.0).otherwise(0.0), 6)
-    rows = files.select("path", F.regexp_replace("path", "/[^/]*$", "").alias("dir"), score.alias("score"))
+    score = F.round(score - 0.8 * depth + F.when(F.col("bytes").between(800, 25_000), 3.0).otherwise(0.0), 6)
+    folder = F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).otherwise(".")
+    rows = files.filter(keep).select("path", folder.alias("dir"), score.alias("score"))
     rank = F.row_number().over(Window.partitionBy("dir").orderBy(F.desc("score"), "path"))
     return rows.withColumn("rank", rank).filter(F.col("rank") <= per_dir).orderBy(F.desc("score"), "path").limit(limit).select("path", "score")
 

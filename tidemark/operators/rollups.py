@@ -7,8 +7,6 @@ small groups.  Ordered lists have a total order, so texts are reproducible.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -321,12 +319,22 @@ def fk_edges(df: DataFrame, relation: str, src: Column, dst: Column, ref: Column
     return df.select(src.alias("src"), dst.alias("dst"), F.lit(relation).alias("relation"), ref.alias("ref")).filter("src is not null and dst is not null")
 
 
-def screened(rows: DataFrame, text: str, least_chars: int = 120, roles: Sequence[str] = ()) -> DataFrame:
-    """Rows of substance without a credential in them."""
+def screened_threads(messages: DataFrame, *, least_chars: int = 120, latest: int = 30, cap: int = 400) -> DataFrame:
+    """Team threads (thread, at, sender, body, scope) as transcripts: no private ones, no message with a
+    credential in it, and only threads whose latest messages have some substance."""
     from ..functions.text import has_credential
 
-    out = rows.filter(~has_credential(F.coalesce(text, F.lit(""))) & (F.length(F.trim(text)) >= least_chars))
-    return out.filter(F.col("role").isin(*roles)) if roles else out
+    clean = messages.filter((F.coalesce("scope", F.lit("")) != "direct") & (F.coalesce("body", F.lit("")) != "") & ~has_credential(F.coalesce("body", F.lit(""))))
+    rank = F.row_number().over(Window.partitionBy("thread").orderBy(F.desc("at"), "sender", "body"))
+    kept = clean.withColumn("rank", rank).filter(F.col("rank") <= latest)
+    line = F.concat(F.coalesce("sender", F.lit("someone")), F.lit(": "), F.substring(F.regexp_replace("body", r"\s+", " "), 1, cap))
+    by = kept.groupBy("thread").agg(
+        n().alias("messages"),
+        F.sum(F.length("body")).alias("substance"),
+        F.array_sort(F.collect_list(F.struct((-F.col("rank")).alias("r"), line.alias("line")))).alias("all"),
+    )
+    text = F.array_join(F.transform("all", lambda x: x["line"]), " | ")
+    return by.filter(F.col("substance") >= least_chars).select("thread", "messages", "substance", text.alias("content"))
 
 
 def cwd_coverage(claude: DataFrame) -> DataFrame:

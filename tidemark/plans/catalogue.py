@@ -25,7 +25,6 @@ from ..streaming import refresh
 NOW = dt.datetime(2024, 1, 15, 12)
 AS_OF = dt.datetime(2024, 1, 20)
 TERMS = ("thing", "disgusting", "trash")
-QUOTAS = {"person": 40, "agent": 30, "repo": 20}
 
 
 def _query_vector(t: Tables) -> Column:
@@ -114,9 +113,11 @@ def _late(t: Tables) -> DataFrame:
 
 
 def _secret_screen(t: Tables) -> DataFrame:
-    docs = t.documents.select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("ref"), "text")
-    turns = t.conversations.select(F.concat_ws(":", F.lit("turn"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("ref"), "text")
-    return ro.screened(docs.unionByName(turns), "text").select("ref", F.length("text").alias("n_chars"))
+    """Conversations as team chats; some messages get a credential, some threads are private."""
+    body = F.when(F.pmod(F.col("conv_id") + F.col("turn"), F.lit(4)) == 0, F.concat(F.lit("Pass: 123 "), "text")).otherwise(F.col("text"))
+    scope = F.when(F.pmod("conv_id", F.lit(9)) == 0, "direct").otherwise("team")
+    rows = t.conversations.select(F.col("conv_id").alias("thread"), F.col("turn").alias("at"), F.col("role").alias("sender"), body.alias("body"), scope.alias("scope"))
+    return ro.screened_threads(rows)
 
 
 def _mapping(t: Tables) -> DataFrame:
@@ -152,7 +153,7 @@ def _hashed_rerank(t: Tables) -> DataFrame:
 
 def _files(t: Tables) -> DataFrame:
     """Parts as files of repositories."""
-    path = F.concat_ws("/", F.lit("src"), F.lower("p_type"), F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), F.col("p_partkey").cast("string"), F.lit(".go")))
+    path = F.concat_ws("/", F.lit("src"), F.lower("p_type"), F.concat(F.when(F.pmod("p_partkey", F.lit(5)) == 0, "handler_").otherwise(""), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), F.col("p_partkey").cast("string"), F.lit(".go")))
     return t.part.select(F.col("p_brand").alias("repo"), path.alias("path"), F.lower("p_type").alias("language"), (F.col("p_size") * 1000).cast("long").alias("bytes"))
 
 
@@ -242,10 +243,6 @@ def _nation_people(t: Tables) -> DataFrame:
     return t.nation.join(lists, F.col("n_nationkey") == F.col("s_nationkey"), "left").select(F.col("n_nationkey").cast("long").alias("ref_id"), content.alias("content"))
 
 
-def _file_boosts() -> dict[str, float]:
-    return {"ring": 5.0, "widget": 4.0, "economy": 2.0, "bolt": -3.0}
-
-
 TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     # Views
     "v_feature_daily": lambda t: an.feature_daily(t.feature_events),
@@ -281,7 +278,7 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "dedup_forget_metadata": lambda t: me.forget_metadata(me.live(t.memories), "duplicate"),
     "classify_memory": lambda t: me.classified(t.memories),
     "norm_text": lambda t: t.documents.select("doc_id", F.sha2(tx.norm_text(F.col("text")), 256).alias("norm_sha"), F.length(tx.norm_text(F.col("text"))).alias("norm_chars")),
-    "negation_cues": lambda t: t.documents.select("doc_id", tx.has_negation(F.when(F.pmod("doc_id", F.lit(9)) == 0, F.concat(F.lit("It is NO LONGER so. "), "text")).otherwise(F.col("text"))).alias("negates")),
+    "negation_cues": lambda t: t.documents.select("doc_id", tx.has_negation(F.when(F.pmod("doc_id", F.lit(9)) == 0, F.concat(F.lit("That Was WRONG. "), "text")).otherwise(F.col("text"))).alias("negates")),
     "brain_stats": lambda t: me.stats(t.memories, t.memory_events, NOW),
     "namespaces": lambda t: me.namespaces(t.memories),
     "brain_detail_types": lambda t: me.histogram(t.memories, "en", "type"),
@@ -318,8 +315,8 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "graph_communities": lambda t: gr.label_propagation(t.entity_edges, t.entities),
     "community_leads": lambda t: gr.communities(gr.label_propagation(t.entity_edges, t.entities), t.entities),
     "graph_degree": lambda t: gr.degrees(gr.open_edges(t.entity_edges)),
-    "graph_sample_quota": lambda t: gr.sample_by_quota(t.entity_edges, t.entities, QUOTAS),
-    "graph_sample_edges": lambda t: gr.edges_between(t.entity_edges, gr.sample_by_quota(t.entity_edges, t.entities, QUOTAS), 12000),
+    "graph_sample_quota": lambda t: gr.sample_by_quota(t.entity_edges, t.entities),
+    "graph_sample_edges": lambda t: gr.edges_between(t.entity_edges, gr.sample_by_quota(t.entity_edges, t.entities), 12000),
     "graph_type_counts": lambda t: gr.type_counts(t.entities),
     "graph_relation_counts": lambda t: gr.relation_counts(t.entity_edges),
     "graph_cooccurrence": lambda t: gr.cooccurrence(t.memory_entities, t.entities),
@@ -380,7 +377,7 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "deployment_digest": lambda t: mp.deployment_digest(t.agent_actions, "venture_id", "agent_id", F.col("kind") == "signup"),
     "pulse_survey_digest": lambda t: mp.survey_digest(t.events, "event_type", "props", "$.k"),
     "doc_collection": lambda t: mp.document_files(_doc_files(t)),
-    "code_shortlist": lambda t: mp.code_shortlist(_files(t), _file_boosts()),
+    "code_shortlist": lambda t: mp.code_shortlist(_files(t)),
     "repository_overview": lambda t: mp.repository_overview(_files(t)),
     "etl_stats": lambda t: etl.stats(
         etl.watermark(t.events, "events", "ts", NOW, "full")
@@ -390,7 +387,7 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "html_to_text": lambda t: co.page_documents(t.pages).select(F.col("ref"), F.sha2("content", 256).alias("content_sha"), F.length("content").alias("n_chars"), "title"),
     "chunk_text": lambda t: ch.chunked(t.documents, "doc_id", "text"),
     "md_chunks": lambda t: ch.chunked(t.documents.select("doc_id", F.regexp_replace("text", "(?m)^(\\w+)\\.$", "# $1").alias("text")), "doc_id", "text", ch.markdown_chunks),
-    "pack_chunks": lambda t: ch.chunked(t.documents.select("doc_id", F.concat(F.lit("## File: a\n"), F.replace("text", F.lit("\n"), F.lit("\n\n"))).alias("text")), "doc_id", "text", ch.code_chunks),
+    "pack_chunks": lambda t: ch.chunked(t.documents.select("doc_id", F.concat(F.lit("## File: src/a.go\n"), "text", F.lit("\n## File: b.go\nfunc b() {}\n")).alias("text")), "doc_id", "text", ch.code_chunks),
     "sql_rows_to_documents": lambda t: co.rows_as_documents(t.customer, "c_custkey", "c_name").select("ref", "title", "content", "metadata"),
     "mapping_orders": _mapping,
     "mapping_customer_orders": _mapping_top_list,

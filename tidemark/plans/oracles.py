@@ -8,6 +8,7 @@ from __future__ import annotations
 from ..functions.text import CREDENTIAL, EPISODIC, NEGATION_CUES, PROCEDURAL, SEMANTIC
 from ..sources.adapters import with_adapters
 
+_CUES = tuple(c.replace("'", "''") for c in NEGATION_CUES)
 _LIVE = "tier = 'hot' and invalid_at is null"
 _OPEN = "valid_to is null"
 
@@ -137,15 +138,22 @@ def _spine(where: str, hubs: str, per_group: int) -> str:
     select role, total, cast(rank as integer) as rank, name, cast(depth as integer) as depth, relation from ranked where rank <= {per_group}"""
 
 
-_HTML = r"""
- regexp_replace(regexp_replace(regexp_replace(
-  replace(replace(replace(replace(replace(replace(replace(replace(
-   regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(substring(coalesce(html, ''), 1, 4194304),
-    '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?is)<noscript[^>]*>.*?</noscript>', ' ', 'g'),
-    '(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|header|footer)(?:\s[^>]*)?/?>', chr(10), 'g'), '<[^>]+>', '', 'g'),
-   '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&mdash;', '—'), '&amp;', '&'),
-  '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"""
+def _html() -> str:
+    out = r"regexp_replace(substring(coalesce(html, ''), 1, 4194304), '(?is)<(?:script|style|noscript)[^>]*>.*?</\s*(?:script|style|noscript)\s*>', ' ', 'g')"
+    for tag, lines in (("<br>", 1), ("<br/>", 1), ("<br />", 1), ("</p>", 2), ("</div>", 1), ("</li>", 1), ("</h1>", 2), ("</h2>", 2), ("</h3>", 2)):
+        out = f"replace({out}, '{tag}', repeat(chr(10), {lines}))"
+    out = _decoded(f"regexp_replace({out}, '(?s)<[^>]+>', '', 'g')")
+    out = rf"regexp_replace(regexp_replace({out}, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')"
+    return rf"regexp_replace({out}, '^\s+|\s+$', '', 'g')"
 
+
+def _decoded(c: str) -> str:
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("nbsp", " "), ("mdash", "—"), ("rsquo", "''"), ("amp", "&")):
+        c = f"replace({c}, '&{name};', '{char}')"
+    return c
+
+
+_HTML = _html()
 _NORM = r"trim(regexp_replace(lower({}), '\s+', ' ', 'g'))"
 
 
@@ -220,8 +228,8 @@ SQL: dict[str, str] = {
         select id, domain_type, coalesce((select {_CLASSES} from (select domain_type as k)), (select {_CLASSES} from (select source_kind as k)), 'episodic') as memory_type
         from (select id, coalesce(nullif(domain_raw, ''), 'item') as domain_type, source_kind from memories))""",
     "norm_text": f"select doc_id, sha256({_NORM.format('text')}) as norm_sha, cast(length({_NORM.format('text')}) as integer) as norm_chars from documents",
-    "negation_cues": "select doc_id, " + " or ".join(f"contains(lower(t), '{c}')" for c in NEGATION_CUES)
-    + " as negates from (select doc_id, case when doc_id % 9 = 0 then 'It is NO LONGER so. ' || text else text end as t from documents)",
+    "negation_cues": "select doc_id, " + " or ".join(f"contains(lower(t), '{c}')" for c in _CUES)
+    + " as negates from (select doc_id, case when doc_id % 9 = 0 then 'That Was WRONG. ' || text else text end as t from documents)",
     "brain_stats": f"""select * from (select count(*) as memories, count(*) filter ({_LIVE}) as live, count(*) filter (invalid_at is not null) as retired,
         count(distinct namespace) as namespaces, count(*) filter (tier = 'cold') as cold from memories),
         (select count(*) filter (recent and op = 'recall') as recalls_24h, count(*) filter (recent and op = 'retain') as retains_24h,
@@ -241,14 +249,14 @@ SQL: dict[str, str] = {
         order by status = 'open' desc, hits desc, last_seen desc, namespace, query limit 60""",
     "acl_readable_memories": "select id, namespace from memories where namespace in (select namespace from grants where agent_id = 'a1' and can_read)",
     "write_decision": f"""with live as (select *, cast(regexp_extract(id, '([0-9]+)$', 1) as bigint) as k from memories where {_LIVE} and embedding is not null),
-        batch as (select 'new-' || id as id, namespace, case k % 3 when 0 then content when 1 then 'no longer ' || content else content || ' more' end as content,
+        batch as (select 'new-' || id as id, namespace, case k % 3 when 0 then content when 1 then 'Correction: ' || content else content || ' more' end as content,
           list_transform(embedding::double[], lambda x, i: x + case when i = 1 then (case k % 3 when 1 then 0.3 when 2 then 0.02 else 0 end)::double else 0 end) as embedding
           from live where k % 50 = 1),
         scored as (select b.id, b.content, m.id as top_id, m.content as top_content, round({_cosine('b.embedding', 'm.embedding')}, 6) as similarity
           from batch b join live m on m.namespace = b.namespace),
         best as (select * from (select *, row_number() over (partition by id order by similarity desc, top_id) as r from scored) where r = 1)
         select id, top_id, similarity, case when {_NORM.format('content')} = {_NORM.format('top_content')} then 'noop'
-          when similarity >= 0.88 and ({" or ".join(f"contains(lower(content), '{c}')" for c in NEGATION_CUES)}) then 'invalidate'
+          when similarity >= 0.88 and ({" or ".join(f"contains(lower(content), '{c}')" for c in _CUES)}) then 'invalidate'
           when similarity >= 0.97 then 'noop' when similarity >= 0.88 then 'update' else 'add' end as decision from best""",
     "apply_writes_current_state": """select namespace, source_ref, arg_max(id, (valid_at, id)) as current_id, max(valid_at) as valid_at, count(*) as versions
         from memories group by 1, 2""",
@@ -312,12 +320,12 @@ SQL: dict[str, str] = {
           union all select dst_id from entity_edges where {_OPEN}) group by id)
         select id, name, entity_type, degree from (select e.*, coalesce(d.degree, 0) as degree,
           row_number() over (partition by entity_type order by coalesce(d.degree, 0) desc, name) as r from entities e left join degree d using (id))
-        where r <= case entity_type when 'person' then 40 when 'agent' then 30 when 'repo' then 20 else 1000 end order by degree desc, name limit 3000""",
+        where r <= 500 order by degree desc, entity_type, name limit 3000""",
     "graph_sample_edges": f"""with degree as (select id, count(*) as degree from (select src_id as id from entity_edges where {_OPEN}
           union all select dst_id from entity_edges where {_OPEN}) group by id),
         kept as (select id from (select e.*, coalesce(d.degree, 0) as degree,
           row_number() over (partition by entity_type order by coalesce(d.degree, 0) desc, name) as r from entities e left join degree d using (id))
-        where r <= case entity_type when 'person' then 40 when 'agent' then 30 when 'repo' then 20 else 1000 end)
+        where r <= 500)
         select src_id, relation, dst_id from entity_edges where {_OPEN} and src_id in (select id from kept) and dst_id in (select id from kept)""",
     "graph_type_counts": "select entity_type, count(*) as nodes from entities group by 1",
     "graph_relation_counts": "select relation, count(*) as edges, count(*) filter (valid_to is null) as open from entity_edges group by 1",
@@ -436,8 +444,8 @@ SQL: dict[str, str] = {
           row_number() over (partition by namespace, source_ref order by invalid_at is null desc, valid_at desc, id desc) as r from memories) where r = 1""",
     "graph_candidates": """select name, entity_type from entities where contains(lower(name), 'nation_1')
         order by entity_type in ('portfolio', 'venture') desc, length(name), name limit 10""",
-    "graph_spine_roles": f"""select role, max(total) as total, count(*) as shown, cast(case role when 'portfolio' then 1 when 'venture' then 2 when 'person' then 3
-        when 'agent' then 4 when 'repo' then 5 else 16 end as integer) as place from ({_spine("true", "'repo', 'venture', 'feed'", 10)}) group by role""",
+    "graph_spine_roles": f"""select role, max(total) as total, count(*) as shown, cast(case role when 'portfolio' then 1 when 'venture' then 2 when 'repo' then 3
+        when 'person' then 4 when 'agent' then 5 else 18 end as integer) as place from ({_spine("true", "'repo', 'venture', 'feed'", 10)}) group by role""",
     "graph_labels": """with nodes as (select concat('r:', p_brand) as id, p_brand as name, 'repo' as kind from part
           union all select concat('t:', p_brand, ':', p_partkey), p_brand, 'team' from part where p_size > 48),
         one as (select name, kind, min(id) as id, count(*) over (partition by name) as kinds from nodes group by name, kind)
@@ -450,8 +458,12 @@ SQL: dict[str, str] = {
         kinds as (select venture, kind, count(*) as n, row_number() over (partition by venture order by count(*) desc, kind) as r from posts group by 1, 2)
         select concat('feed:', k.venture) as feed, cast(sum(n) as bigint) as posts, {_list('kind', 'n')} filter (r <= 3) as kinds,
           (select count(distinct author) from posts p where p.venture = k.venture) as authors from kinds k group by k.venture""",
-    "meeting_title_match": """with titles as (select event_id as id, concat('nation_', event_id % 40) as a, case when event_id % 7 = 0 then 'nation_1' end as b from events where event_id < 500),
-        named as (select distinct t.id, v.id as venture_id from titles t join dim_ventures v on lower(v.name) in (t.a, t.b))
+    "meeting_title_match": """with tok as (select token, min(id) as venture_id from (
+          select id, lower(regexp_replace(name, '[^A-Za-z0-9]', '', 'g')) as token from dim_ventures union select id, lower(id) from dim_ventures)
+          where length(token) >= 4 group by token having count(distinct id) = 1),
+        titles as (select event_id as id, lower(concat('Sync: nation_', event_id % 40, case when event_id % 7 = 0 then ' and NATION_1' else '' end)) as title from events where event_id < 500),
+        named as (select distinct t.id, venture_id from titles t join tok on list_contains(regexp_extract_all(title, '[a-z0-9]+'), token)
+          or (length(token) >= 5 and contains(regexp_replace(title, '[^a-z0-9]', '', 'g'), token)))
         select id, 'MEETING_ABOUT' as relation, min(venture_id) as venture_id from named group by id having count(*) = 1""",
     "rollup_relink": """select concat('rollup:', c_nationkey) as source_ref, concat('c', c_custkey) as entity_id from customer where c_custkey between 50 and 149
         union all select distinct concat('rollup:', c_nationkey), concat('n', c_nationkey) from customer where c_custkey < 150""",
@@ -492,15 +504,16 @@ SQL: dict[str, str] = {
         r as (select *, row_number() over (partition by event_type order by n desc, choice) as r from a)
         select event_type, cast(sum(n) as bigint) as responses, count(*) as choices, {_list('choice', 'n')} filter (r <= 5) as top from r group by 1""",
     "doc_collection": """with f as (select case doc_id % 5 when 0 then concat('pkg', doc_id, '/README.md') when 1 then concat('docs/g', doc_id, '.mdx') when 2 then concat('src/n', doc_id, '.md') end as path,
-          case doc_id % 5 when 0 then 0 when 1 then 1 else 2 end as place, length(text) as bytes from documents)
-        select path, cast(place as integer) as place, bytes from f where path is not null and bytes between 120 and 400000""",
-    "code_shortlist": """with f as (select concat('src/', lower(p_type), '/', replace(p_name, ' ', '_'), '_', p_partkey, '.go') as path, p_size * 1000 as bytes from part),
-        s as (select path, regexp_replace(path, '/[^/]*$', '') as dir, round((case when contains(path, 'ring') then 5.0 else 0 end + case when contains(path, 'widget') then 4.0 else 0 end
-          + case when contains(path, 'economy') then 2.0 else 0 end + case when contains(path, 'bolt') then -3.0 else 0 end) - 0.8 * 2
-          + case when bytes between 1500 and 30000 then 3.0 else 0 end, 6) as score from f),
+          case doc_id % 5 when 0 then 0 when 1 then 1 else 2 end as place, length(text) as bytes, length(trim(text)) as n from documents)
+        select path, cast(place as integer) as place, bytes from f where path is not null and bytes <= 400000 and n >= 120""",
+    "code_shortlist": """with f as (select concat('src/', lower(p_type), '/', case when p_partkey % 5 = 0 then 'handler_' else '' end, replace(p_name, ' ', '_'), '_', p_partkey, '.go') as path,
+          p_size * 1000 as bytes from part),
+        s as (select path, regexp_replace(path, '/[^/]*$', '') as dir, round(case when contains(path, 'handler') then 7.0 else 0 end
+          + case when contains(path, 'widget') then -3.0 else 0 end - 0.8 * 2 + case when bytes between 800 and 25000 then 3.0 else 0 end, 6) as score
+          from f where bytes between 250 and 60000),
         r as (select *, row_number() over (partition by dir order by score desc, path) as r from s)
         select path, cast(score as double) as score from r where r <= 3 order by score desc, path limit 14""",
-    "repository_overview": f"""with f as (select p_brand as repo, concat('src/', lower(p_type), '/', replace(p_name, ' ', '_'), '_', p_partkey, '.go') as path, lower(p_type) as language, p_size * 1000 as bytes from part),
+    "repository_overview": f"""with f as (select p_brand as repo, concat('src/', lower(p_type), '/', case when p_partkey % 5 = 0 then 'handler_' else '' end, replace(p_name, ' ', '_'), '_', p_partkey, '.go') as path, lower(p_type) as language, p_size * 1000 as bytes from part),
         l as (select repo, language, count(*) as n from f group by 1, 2),
         b as (select *, row_number() over (partition by repo order by bytes desc, path) as r from f)
         select repo, cast(sum(n) as bigint) as files, {_list('language', 'n')} as languages,
@@ -508,8 +521,9 @@ SQL: dict[str, str] = {
     "etl_stats": """select 'events' as "table", max(ts) as max_time, count(*) as row_count, timestamp '2024-01-15 12:00:00' as last_run, 'full' as last_mode from events
         union all select 'pulls', max(created_at), count(*), timestamp '2024-01-15 12:00:00', 'full' from github_pull_requests
         union all select 'actions', max(created_at), count(*), timestamp '2024-01-15 12:00:00', 'full' from agent_actions""",
-    "html_to_text": rf"""select url as ref, sha256({_HTML}) as content_sha, cast(length({_HTML}) as integer) as n_chars,
-        substring(trim(regexp_replace(regexp_extract(substring(coalesce(html, ''), 1, 4194304), '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), 1, 300) as title from pages""",
+    "html_to_text": f"""select ref, sha256(content) as content_sha, cast(length(content) as integer) as n_chars, coalesce(nullif(trim(title), ''), ref) as title from (
+        select url as ref, {_HTML} as content, {_decoded("regexp_extract(substring(coalesce(html, ''), 1, 4194304), '(?is)<title[^>]*>(.*?)</title>', 1)")} as title from pages)
+        where content <> ''""",
     "sql_rows_to_documents": r"""select cast(c_custkey as varchar) as ref, c_name as title, concat_ws(chr(10), 'c_custkey: ' || c_custkey, 'c_name: ' || c_name,
         'c_nationkey: ' || c_nationkey, 'c_acctbal: ' || c_acctbal, 'c_mktsegment: ' || c_mktsegment) as content, '{"type":"row"}' as metadata from customer""",
     "mapping_orders": """select concat('db:order:', o_orderkey) as ref_id, o_orderdate as event_time, concat('Order ', o_orderkey, ' by ', coalesce(c_name, 'unknown'), ' (',
@@ -518,9 +532,10 @@ SQL: dict[str, str] = {
     "mapping_customer_orders": """select concat('db:customer:', c_custkey) as ref_id, concat(c_name, ': ', coalesce(l, 'no orders')) as content from customer left join (
         select o_custkey, string_agg(cast(o_orderkey as varchar), ', ' order by r) as l from (
           select *, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as r from orders) where r <= 3 group by 1) o on o.o_custkey = c_custkey""",
-    "secret_screen": f"""select ref, cast(length(text) as integer) as n_chars from (select concat('doc:', doc_id) as ref, text from documents
-        union all select concat('turn:', conv_id, ':', turn), text from conversations)
-        where not regexp_matches(coalesce(text, ''), '{CREDENTIAL}') and length(trim(text)) >= 120""",
+    "secret_screen": rf"""with m as (select conv_id as thread, turn, role, case when (conv_id + turn) % 4 = 0 then 'Pass: 123 ' || text else text end as body from conversations where conv_id % 9 <> 0),
+        c as (select *, row_number() over (partition by thread order by turn desc, role, body) as r from m where body <> '' and not regexp_matches(body, '{CREDENTIAL}'))
+        select thread, count(*) as messages, cast(sum(length(body)) as bigint) as substance,
+          string_agg(role || ': ' || substring(regexp_replace(body, '\s+', ' ', 'g'), 1, 400), ' | ' order by r desc) as content from c where r <= 30 group by thread having sum(length(body)) >= 120""",
     "incremental_upsert": """select event_id, ts, event_type, case when ts >= timestamp '2024-01-08' and event_id % 7 = 0 then value + 1 else value end as value from events""",
     "late_data_dedupe": """select event_id, case when event_id % 5 = 0 then ts + interval 1 hour else ts end as ts, event_type,
         case when event_id % 5 = 0 then value + 1 else value end as value from events""",

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import html_to_text, squeezed
+from ..functions.text import decoded, html_to_text
 
 Reader = Callable[[SparkSession, dict], DataFrame]
 REGISTRY: dict[str, Reader] = {}
@@ -37,9 +37,12 @@ MEMORY_SCHEMA = T.StructType(
         T.StructField("metadata", T.StringType()),
     ]
 )
-# What a repository reader leaves out.
-SKIPPED_DIRS = "node_modules dist build vendor .git .next coverage target out __pycache__ .venv venv third_party generated .cache tmp".split()
-SKIPPED_NAMES = r"(?i)(?:package-lock\.json|yarn\.lock|pnpm-lock\.yaml|go\.sum|cargo\.lock|\.min\.(?:js|css)|\.d\.ts|[._-]gen\.\w+|\.pb\.go|_test\.go|[._](?:test|spec)\.\w+)$"
+# What a repository reader leaves out, by part of the path and by file name.
+SKIPPED_PATHS = (
+    "node_modules/", "vendor/", "/dist/", "dist/", "build/", ".next/", "out/", "testdata/", "__pycache__/", ".venv/", "coverage/", "third_party/", ".git/",
+    "public/build/", "storage/framework/", "__snapshots__/",
+)
+SKIPPED_NAMES = r"(?:\.lock|-lock\.json|pnpm-lock\.yaml|go\.sum|\.generated\.ts|_test\.go|\.d\.ts)$|\.min\.[^/]*$|\.gen\.[^/]*$"
 
 
 def register(kind: str, reader: Reader) -> None:
@@ -60,12 +63,15 @@ def text_source(spark: SparkSession, config: dict) -> DataFrame:
 
 
 def page_documents(pages: DataFrame, cap: int = 4 << 20) -> DataFrame:
-    """Pages as documents: the title tag, and the text without markup; a page over the cap is read up to it."""
+    """Pages as documents: the title tag (else the url), and the text without markup; a page is read up to the cap,
+    and one without text is no document."""
     page = F.substring(F.coalesce("html", F.lit("")), 1, cap)
-    title = squeezed(F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title>", 1), 300)
-    return pages.select(
-        F.col("url").alias("ref"), title.alias("title"), html_to_text(page).alias("content"), F.lit(None).cast("timestamp_ntz").alias("event_time"), _typed("doc").alias("metadata")
-    )
+    title = F.trim(decoded(F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title>", 1)))
+    rows = pages.select(
+        F.col("url").alias("ref"), F.coalesce(F.nullif(title, F.lit("")), F.col("url")).alias("title"), html_to_text(page).alias("content"),
+        F.lit(None).cast("timestamp_ntz").alias("event_time"), _typed("doc").alias("metadata"),
+    )
+    return rows.filter("content <> ''")
 
 
 def crawler_source(spark: SparkSession, config: dict) -> DataFrame:
@@ -75,8 +81,9 @@ def crawler_source(spark: SparkSession, config: dict) -> DataFrame:
 
 def skipped_file(path: Column) -> Column:
     """Lock, generated, minified and test files, and folders of built or foreign code."""
-    folders = "|".join(d.replace(".", r"\.") for d in SKIPPED_DIRS)
-    return path.rlike(rf"(?:^|/)(?:{folders})/") | path.rlike(SKIPPED_NAMES)
+    low = F.lower(path)
+    folders = "|".join(d.replace(".", r"\.") for d in SKIPPED_PATHS)
+    return low.rlike(folders) | F.element_at(F.split(low, "/"), -1).rlike(SKIPPED_NAMES)
 
 
 def repository_source(spark: SparkSession, config: dict) -> DataFrame:

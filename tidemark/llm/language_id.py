@@ -172,10 +172,21 @@ def fit(
     idf = np.log((1 + total) / (1 + frequency)) + 1
 
     each = max(1, train_rows // len(langs))
-    limit = F.when(F.col("fold") == 1, max(1, each // 4)).otherwise(each)
-    by = Window.partitionBy("lang", F.col("fold") == 1).orderBy(F.xxhash64("id"), "id")
-    ids = rows.select("id", "lang", "fold").withColumn("k", F.row_number().over(by)).filter(F.col("k") <= each)
-    picked = [(r["id"],) for r in ids.filter(F.col("k") <= limit).select("id").distinct().collect()]
+    part = (F.col("fold") == 1).cast("int")
+    sizes = {(r["lang"], r["part"]): r["n"] for r in rows.groupBy("lang", part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    # A share of each language by hash, a little over what is wanted, so that only about the sample is ranked.
+    span = 1 << 30
+    shares, limits = [], []
+    for (lang, p), n in sorted(sizes.items()):
+        limit = max(1, each // 4) if p else each
+        name = F.lit(f"{lang}|{p}")
+        shares += [name, F.lit(min(span, int(span * (1.3 * limit + 20) / n)))]
+        limits += [name, F.lit(limit)]
+    key = F.concat(F.col("lang"), F.lit("|"), part.cast("string"))
+    head = rows.select("id", key.alias("key")).filter(F.pmod(F.xxhash64("id"), F.lit(span)) < F.create_map(*shares)[F.col("key")])
+    by = Window.partitionBy("key").orderBy(F.pmod(F.xxhash64("id"), F.lit(span)), "id")
+    ids = head.withColumn("k", F.row_number().over(by)).filter(F.col("k") <= F.create_map(*limits)[F.col("key")])
+    picked = [(r["id"],) for r in ids.select("id").distinct().collect()]
     # At most train_rows * 5 / 4 ids, and a language at least one.
     sample = rows.join(F.broadcast(spark.createDataFrame(picked, "id long")), "id")
     sparse = (

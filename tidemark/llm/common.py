@@ -2,49 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
 import sys
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.staging import fresh_dir, shared_dir, staged
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where neither that setting nor a checkpoint folder exists (tests in one JVM) a
-    temporary folder is made and set, and removed when the process ends.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        own = tempfile.mkdtemp(prefix="tidemark-")
-        atexit.register(shutil.rmtree, own, True)
-        sc.setCheckpointDir(f"file://{own}")
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a Parquet table in the shared folder and read back.
-
-    Cuts lineage: a lost executor costs a re-read, never a recomputation, and values that
-    depend on a partition's number or order are fixed once the write has committed.
-    """
-    spark, path = df.sparkSession, fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["documents", "fresh_dir", "process_cache", "shared_dir", "shuffle_width", "staged", "text_or_empty"]
 
 
 def text_or_empty(col: str = "text") -> Column:
@@ -62,7 +27,3 @@ def shuffle_width(spark: SparkSession) -> int:
 def process_cache() -> dict:
     """One dictionary per Python process, which tasks of one worker share."""
     return sys.__dict__.setdefault("_tidemark_cache", {})
-
-
-def local_path(path: str) -> str:
-    return path[len("file:") :].replace("//", "/", 1) if path.startswith("file:") else os.fspath(path)

@@ -412,14 +412,14 @@ def pseudonymised(docs: DataFrame, key: str, *, text_col: str = "text", literal_
         return docs.select(*others, replaced(text, key, attempts).alias(text_col), count)
     at = F.xxhash64(text)
     uses = (
-        docs.filter(text.rlike(HINT)).select(at.alias("_at"), F.explode(_entities(text)).alias("e"))
-        .select("_at", F.explode(atoms(F.col("e"))).alias("a"))
-        .select("_at", F.concat("a.kind", F.lit("|"), "a.norm").alias("k")).distinct()
+        docs.filter(text.rlike(HINT)).select(at.alias("_tidemark_at"), F.explode(_entities(text)).alias("e"))
+        .select("_tidemark_at", F.explode(atoms(F.col("e"))).alias("a"))
+        .select("_tidemark_at", F.concat("a.kind", F.lit("|"), "a.norm").alias("k")).distinct()
     )
-    maps = uses.join(again, "k").groupBy("_at").agg(F.map_from_entries(F.collect_list(F.struct("k", "attempt"))).alias("_attempts"))
-    named = docs.withColumn("_at", at).join(maps, "_at", "left")
-    with_map, without = named.filter("_attempts is not null"), named.filter("_attempts is null")
-    return with_map.select(*others, replaced(text, key, F.col("_attempts")).alias(text_col), count).unionByName(
+    maps = uses.join(again, "k").groupBy("_tidemark_at").agg(F.map_from_entries(F.collect_list(F.struct("k", "attempt"))).alias("_tidemark_attempts"))
+    named = docs.withColumn("_tidemark_at", at).join(maps, "_tidemark_at", "left")
+    with_map, without = named.filter("_tidemark_attempts is not null"), named.filter("_tidemark_attempts is null")
+    return with_map.select(*others, replaced(text, key, F.col("_tidemark_attempts")).alias(text_col), count).unionByName(
         without.select(*others, replaced(text, key).alias(text_col), count)
     )
 

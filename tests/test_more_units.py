@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import knowledge, mappings, memory, rollups
+from tidemark.plans import staging
 from tidemark.sources import etl
 from tidemark.streaming import refresh
 
@@ -99,3 +100,12 @@ def test_pushed_documents_are_chunked(spark, tmp_path):
     (tmp_path / "in" / "a.json").write_text(json.dumps({"ref": "r", "content": "x" * 2000}) + "\n" + json.dumps({"content": "y"}) + "\n")
     refresh.pushed_documents(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert sorted(r["ref"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["r#0", "r#1", "webhook"]
+
+
+def test_staged_tables_are_released(spark):
+    df = staging.staged(spark.range(3), "numbers")
+    assert df.count() == 3 and df.columns == ["id"]
+    path = df.inputFiles()[0].rpartition("/")[0]
+    assert staging.release(spark) >= 1
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()

@@ -218,6 +218,8 @@ def sample_by_quota(edges: DataFrame, entities: DataFrame, quotas: dict[str, int
         .withColumn("degree", F.coalesce("degree", F.lit(0)).cast("long"))
         .withColumn("rank", F.row_number().over(Window.partitionBy("entity_type").orderBy(F.desc("degree"), "name")))
     )
+    # The fixed bound lets Spark drop all but the first rows of a type before it shuffles for the ranks.
+    ranked = ranked.filter(F.col("rank") <= max(limit, *quotas.values()))
     kept = ranked.filter(F.col("rank") <= quota).orderBy(F.desc("degree"), "entity_type", "name").limit(limit)
     return kept.select("id", "name", "entity_type", "degree")
 

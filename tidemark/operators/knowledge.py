@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import hashed_embedding
-from .rollups import ranked_list
+from .rollups import top_list
 
 # The order in which roles are shown; others follow by name.
 ROLE_ORDER = (
@@ -61,7 +61,7 @@ def feed_nodes(posts: DataFrame, channels: DataFrame) -> DataFrame:
     at = posts.join(channels.select("channel", F.col("venture_id").alias("channel_venture")), "channel", "left")
     at = at.withColumn("venture", F.coalesce("venture_id", "channel_venture", F.lit("studio")))
     kinds = at.groupBy("venture", "kind").agg(F.count(F.lit(1)).alias("n"))
-    top = kinds.groupBy("venture").agg(F.sum("n").alias("posts"), ranked_list("kind", "n", 3).alias("kinds"))
+    top = kinds.groupBy("venture").agg(F.sum("n").alias("posts")).join(top_list(kinds, ["venture"], "kind", "n", 3, "kinds"), "venture")
     authors = at.groupBy("venture").agg(F.countDistinct("author").alias("authors"))
     return top.join(authors, "venture").select(F.concat(F.lit("feed:"), "venture").alias("feed"), "posts", "kinds", "authors")
 

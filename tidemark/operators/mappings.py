@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import squeezed
-from .rollups import ranked_list
+from .rollups import top_list
 
 CAP, IMPORTANCE = 1500, 0.6
 # Entity, domain type, source kind; then caps and importances that differ from the defaults.
@@ -97,7 +97,8 @@ def survey_digest(answers: DataFrame, survey: str, value: str, path: str = "$.ch
     """Per survey: responses, how often each choice was made, and the texts given, shortest first."""
     choice = F.get_json_object(value, path)
     by = answers.filter(choice.isNotNull()).groupBy(survey, choice.alias("choice")).agg(F.count(F.lit(1)).alias("n"))
-    return by.groupBy(survey).agg(F.sum("n").alias("responses"), F.count(F.lit(1)).alias("choices"), ranked_list("choice", "n", 5).alias("top"))
+    total = by.groupBy(survey).agg(F.sum("n").alias("responses"), F.count(F.lit(1)).alias("choices"))
+    return total.join(top_list(by, [survey], "choice", "n", 5, "top"), survey)
 
 
 def document_files(files: DataFrame) -> DataFrame:
@@ -153,6 +154,7 @@ def code_shortlist(files: DataFrame, *, per_dir: int = 3, limit: int = 14) -> Da
 def repository_overview(files: DataFrame) -> DataFrame:
     """Per repository: files, files by language, the largest files."""
     language = files.groupBy("repo", "language").agg(F.count(F.lit(1)).alias("n"))
-    counted = language.groupBy("repo").agg(F.sum("n").alias("files"), ranked_list("language", "n").alias("languages"))
+    counted = language.groupBy("repo").agg(F.sum("n").alias("files"))
+    counted = counted.join(top_list(language, ["repo"], "language", "n", 50, "languages"), "repo")
     largest = top_children(files, "repo", [F.desc("bytes"), F.asc("path")], F.col("path"), 3)
     return counted.join(largest.withColumnRenamed("items", "largest"), "repo")

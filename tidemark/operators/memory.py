@@ -103,18 +103,28 @@ def write_decision(top: Column, content: Column, top_content: Column, similarity
     )
 
 
+#: Up to so many new rows are sent to all tasks; more are dealt out with the current rows, by salts.
+BROADCAST_ROWS, SALTS = 5_000, 64
+
+
 def nearest(new: DataFrame, current: DataFrame) -> DataFrame:
     """For each new row the most similar current row of its namespace.
 
-    ``new`` is a batch of writes.  Each is compared with all live rows of its namespace; the best is
-    an aggregate (partial before the shuffle), so neither side is sorted or gathered.
+    ``new`` is a batch of writes, and each is compared with all live rows of its namespace.  A batch of a checked
+    size goes to where the current rows are; a larger one is copied once per salt, so that a large namespace
+    is many tasks.  The best is an aggregate (partial before the shuffle), so neither side is sorted or gathered.
     """
     sim = F.round(cosine(F.col("embedding"), F.col("top_embedding")), 6)
-    pairs = new.join(
-        current.select("namespace", F.col("id").alias("top_id"), F.col("content").alias("top_content"), F.col("embedding").alias("top_embedding")),
-        "namespace",
-    ).filter("embedding is not null and top_embedding is not null and id <> top_id")
-    scored = pairs.select("id", "top_id", "top_content", sim.alias("similarity"))
+    new = new.filter("embedding is not null").select("id", "namespace", "embedding")
+    tops = current.filter("embedding is not null").select(
+        "namespace", F.col("id").alias("top_id"), F.col("content").alias("top_content"), F.col("embedding").alias("top_embedding")
+    )
+    if len(new.select("id").take(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS:
+        pairs = tops.join(F.broadcast(new), "namespace")
+    else:
+        copies = new.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        pairs = tops.withColumn("salt", F.pmod(F.xxhash64("top_id"), F.lit(SALTS)).cast("int")).join(copies, ["namespace", "salt"])
+    scored = pairs.filter("id <> top_id").select("id", "top_id", "top_content", sim.alias("similarity"))
     # The largest similarity, then the smallest id.
     best = scored.groupBy("id").agg(F.min(F.struct((-F.col("similarity")).alias("d"), "top_id", "top_content")).alias("t"))
     return best.select("id", "t.top_id", "t.top_content", (-F.col("t.d")).alias("similarity"))

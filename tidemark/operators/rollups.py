@@ -23,12 +23,18 @@ def n() -> Column:
     return F.count(F.lit(1))
 
 
-def ranked_list(label: Column | str, value: Column | str, k: int | None = None) -> Column:
-    """'X (3), Y (2)': by value descending, then label, the first k."""
-    label, value = (F.col(x) if isinstance(x, str) else x for x in (label, value))
-    items = F.array_sort(F.collect_list(F.struct((-value).alias("v"), label.alias("l"))))
-    items = F.slice(items, 1, k) if k else items
-    return F.array_join(F.transform(items, lambda x: F.concat(x["l"], F.lit(" ("), (-x["v"]).cast("string"), F.lit(")"))), ", ")
+def top_list(df: DataFrame, keys: Sequence[str], label: Column | str, value: str, k: int, name: str) -> DataFrame:
+    """keys and 'X (3), Y (2)': each group's first k by value, then label.
+
+    Ranks are cut before anything is gathered, so a group of any size sends k rows a task.
+    """
+    label = F.col(label) if isinstance(label, str) else label
+    rows = df.select(*keys, label.alias("_label"), F.col(value).alias("_value"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_value"), "_label"))
+    head = rows.withColumn("_rank", rank).filter(F.col("_rank") <= k)
+    item = F.concat("_label", F.lit(" ("), F.col("_value").cast("string"), F.lit(")"))
+    listed = F.array_sort(F.collect_list(F.struct("_rank", item.alias("item"))))
+    return head.groupBy(*keys).agg(F.array_join(F.transform(listed, lambda x: x["item"]), ", ").alias(name))
 
 
 def last_weeks(df: DataFrame, time: str, weeks: int = WEEKS) -> DataFrame:
@@ -47,11 +53,10 @@ def repo_weekly(commits: DataFrame, people: DataFrame, top: int = TOP, floor: in
     """Per week the top repositories, of those the ones with enough commits: the cap comes first."""
     small = last_weeks(commits, "day").groupBy("week", "repo_full_name", "author_login").agg(n().alias("commits"))
     people_of = with_people(small, people, "author_login").groupBy("week", "repo_full_name", "person").agg(F.sum("commits").alias("commits"))
-    by_repo = people_of.groupBy("week", "repo_full_name").agg(
-        F.sum("commits").alias("total"), n().alias("contributors"), ranked_list("person", "commits", 5).alias("who")
-    )
+    by_repo = people_of.groupBy("week", "repo_full_name").agg(F.sum("commits").alias("total"), n().alias("contributors"))
     rank = F.row_number().over(Window.partitionBy("week").orderBy(F.desc("total"), "repo_full_name"))
-    kept = by_repo.withColumn("rank", rank).filter((F.col("rank") <= top) & (F.col("total") >= floor))
+    kept = by_repo.withColumn("rank", rank).filter(F.col("rank") <= top).filter(F.col("total") >= floor)
+    kept = kept.join(top_list(people_of, ["week", "repo_full_name"], "person", "commits", 5, "who"), ["week", "repo_full_name"])
     newest = commits.agg(F.max("day")).scalar()
     return kept.select(
         F.concat_ws(":", F.lit("rollup:repo"), F.col("week").cast("string"), "repo_full_name").alias("source_ref"),
@@ -74,11 +79,11 @@ def person_weekly(commits: DataFrame, people: DataFrame, top: int = TOP, floor:
         F.sum("commits").alias("commits"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions")
     )
     by = by_repo.groupBy("week", "person").agg(
-        F.sum("commits").alias("total"), n().alias("repos"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"),
-        ranked_list("repo_full_name", "commits", 3).alias("top_repos"),
-    )
+        F.sum("commits").alias("total"), n().alias("repos"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions")
+    )
     rank = F.row_number().over(Window.partitionBy("week").orderBy(F.desc("total"), "person"))
-    kept = by.withColumn("rank", rank).filter((F.col("rank") <= top) & (F.col("total") >= floor))
+    kept = by.withColumn("rank", rank).filter(F.col("rank") <= top).filter(F.col("total") >= floor)
+    kept = kept.join(top_list(by_repo, ["week", "person"], "repo_full_name", "commits", 3, "top_repos"), ["week", "person"])
     return kept.select(
         iso_week_label(F.col("week")).alias("period"), "person", "rank", F.col("total").alias("commits"), "repos", "additions", "deletions", "top_repos"
     )
@@ -102,7 +107,7 @@ def studio_weekly(commits: DataFrame, people: DataFrame, claude: DataFrame) -> D
 
     def top(key: str, k: int, name: str) -> DataFrame:
         by = named.groupBy("week", key).agg(F.sum("commits").alias("c"))
-        return by.groupBy("week").agg(ranked_list(key, "c", k).alias(name))
+        return top_list(by, ["week"], key, "c", k, name)
 
     ai = claude.groupBy(week("created_at").alias("week")).agg(n().alias("ai_events"))
     out = total.join(top("person", 5, "top_people"), "week").join(top("repo_full_name", 5, "top_repos"), "week")
@@ -142,10 +147,9 @@ def leaderboard_idle(commits: DataFrame, people: DataFrame) -> DataFrame:
 def studio_claude_weekly(claude: DataFrame) -> DataFrame:
     by = last_weeks(claude, "created_at").groupBy("week", "user_id").agg(n().alias("events"), F.sum("total_tokens").alias("tokens"))
     user = F.col("user_id").cast("string")
-    return by.groupBy("week").agg(
-        F.sum("events").alias("events"), n().alias("users"), F.sum("tokens").alias("tokens"),
-        ranked_list(user, "events", 5).alias("top_by_events"), ranked_list(user, "tokens", 3).alias("top_by_tokens"),
-    )
+    total = by.groupBy("week").agg(F.sum("events").alias("events"), n().alias("users"), F.sum("tokens").alias("tokens"))
+    out = total.join(top_list(by, ["week"], user, "events", 5, "top_by_events"), "week")
+    return out.join(top_list(by, ["week"], user, "tokens", 3, "top_by_tokens"), "week")
 
 
 def org_monthly(commits: DataFrame, people: DataFrame, top: int = TOP) -> DataFrame:
@@ -156,7 +160,7 @@ def org_monthly(commits: DataFrame, people: DataFrame, top: int = TOP) -> DataFr
     rank = F.row_number().over(Window.partitionBy("month", "org_slug").orderBy(F.desc("commits"), "author_login"))
     head = with_people(by.withColumn("rank", rank).filter(F.col("rank") <= top), people, "author_login")
     merged = head.groupBy("month", "org_slug", "person").agg(F.sum("commits").alias("commits"))
-    who = merged.groupBy("month", "org_slug").agg(ranked_list("person", "commits", 5).alias("top_people"))
+    who = top_list(merged, ["month", "org_slug"], "person", "commits", 5, "top_people")
     return total.join(who, ["month", "org_slug"])
 
 

@@ -33,12 +33,27 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
 
 
+_MADE: dict[str, list[str]] = {}
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that this process has staged in the session; results that read them must be written by then."""
+    made = _MADE.pop(spark.sparkContext.applicationId, [])
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in made:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    return len(made)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read back.
 
     Cuts lineage: a lost executor costs a re-read, never a recomputation, and values that
-    depend on a partition's number or order are fixed once the write has committed.
+    depend on a partition's number or order are fixed once the write has committed.  ``release``
+    deletes them.
     """
     spark, path = df.sparkSession, fresh_dir(df.sparkSession, name)
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

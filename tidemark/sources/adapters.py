@@ -129,27 +129,34 @@ ADAPTERS = {
 }
 
 
-def adapter_sql(name: str, dialect: str, sf_dir: str = "") -> str:
-    """An adapter's text for 'spark' (reads the files under ``sf_dir``) or 'duckdb' (reads views)."""
+def adapter_sql(name: str, dialect: str) -> str:
+    """An adapter's text for 'spark', base tables in braces, or for 'duckdb', where they are views."""
     spark = dialect == "spark"
     get = "get_json_object(props, '$.k')" if spark else "json_extract_string(props, '$.k')"
     text = ADAPTERS[name].replace("{J}", f"cast(cast({get} as int) % 10 as varchar(20))")
     text = text.replace("{T}", "timestamp_ntz" if spark else "timestamp")
-    return re.sub(r"\{(\w+)\}", (lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`") if spark else r"\1", text)
+    return text if spark else re.sub(r"\{(\w+)\}", r"\1", text)
 
 
 class Tables:
-    """Base tables and adapters of one folder, as lazy DataFrames: ``Tables(spark, sf_dir).memories``."""
+    """Base tables and adapters of one folder, as lazy DataFrames: ``Tables(spark, sf_dir).memories``.
+
+    Each is made once per object, so files are listed and their schema is read once; a new object sees new files.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name in ADAPTERS:
-            return self.spark.sql(adapter_sql(name, "spark", self.sf_dir))
         if name in BASE:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        raise AttributeError(name)
+            made = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        elif name in ADAPTERS:
+            text = adapter_sql(name, "spark")
+            made = self.spark.sql(text, **{t: getattr(self, t) for t in set(re.findall(r"\{(\w+)\}", text))})
+        else:
+            raise AttributeError(name)
+        self.__dict__[name] = made
+        return made
 
 
 def with_adapters(sql: str) -> str:

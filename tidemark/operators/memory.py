@@ -251,6 +251,17 @@ def histogram(memories: DataFrame, namespace: str, by: str) -> DataFrame:
     )
 
 
+def detail(memories: DataFrame, memory_events: DataFrame, namespace: str) -> DataFrame:
+    """One row about a namespace: live rows and their first and last time, open gaps, recalls."""
+    m = memories.filter((F.col("namespace") == namespace) & F.col("invalid_at").isNull()).agg(
+        F.count(F.lit(1)).alias("memories"), F.min("valid_at").alias("first"), F.max("valid_at").alias("last")
+    )
+    own = memory_events.filter(F.col("namespace") == namespace)
+    g = gaps(own).agg(F.count(F.lit(1)).alias("open_gaps"))
+    r = own.agg(F.count_if(F.col("op") == "recall").alias("recalls"))
+    return m.join(F.broadcast(g)).join(F.broadcast(r))  # one row each
+
+
 def activity_log(memory_events: DataFrame, limit: int = 50, namespace: str | None = None, kind: str | None = None) -> DataFrame:
     """Newest operations; ``kind``: 'searches', 'writes' or all."""
     out = memory_events

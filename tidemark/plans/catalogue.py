@@ -15,6 +15,7 @@ from ..operators import graph as gr
 from ..operators import knowledge as kn
 from ..operators import mappings as mp
 from ..operators import memory as me
+from ..operators import ontology as on
 from ..operators import retrieval as re_
 from ..operators import rollups as ro
 from ..sources import connectors as co
@@ -224,6 +225,16 @@ def _by_ref(t: Tables) -> DataFrame:
     return me.planned_by_ref(new, me.live(t.memories))
 
 
+def _families(t: Tables) -> DataFrame:
+    """Edges of three families, straight from the foreign keys."""
+    s = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    return (
+        on.family("BELONGS_TO", t.nation, s("n", "n_nationkey"), s("r", "n_regionkey"), F.col("n_nationkey"))
+        .unionByName(on.family("MEMBER_OF", t.customer, s("c", "c_custkey"), s("n", "c_nationkey"), F.col("c_custkey")))
+        .unionByName(on.family("ASSIGNED_TO", t.orders.filter("o_orderstatus = 'O'"), s("c", "o_custkey"), F.lit("n1"), F.col("o_orderkey")))
+    )
+
+
 def _usernames(t: Tables) -> DataFrame:
     people = t.people.groupBy("person").agg(F.collect_list(F.upper("login")).alias("usernames"))
     return ro.commits_of_usernames(t.github_commits, people)
@@ -283,6 +294,7 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "namespaces": lambda t: me.namespaces(t.memories),
     "brain_detail_types": lambda t: me.histogram(t.memories, "en", "type"),
     "brain_detail_sources": lambda t: me.histogram(t.memories, "en", "source"),
+    "brain_detail": lambda t: me.detail(t.memories, t.memory_events, "en"),
     "activity_log": lambda t: me.activity_log(t.memory_events, 50, "en", "searches"),
     "gap_upsert": lambda t: me.gaps(t.memory_events),
     "gaps_ranked": lambda t: me.gaps_ranked(t.memory_events, resolved=["q3", "q7"], limit=60),
@@ -326,6 +338,9 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     ),
     "ontology_counts": lambda t: gr.ontology_counts(t.declared_types, t.entities),
     "ontology_undeclared": lambda t: gr.undeclared(t.declared_types, t.entities),
+    "ontology_reconciled": lambda t: on.reconciled(t.declared_types, t.entities),
+    "fk_edge_families": _families,
+    "attended_with": lambda t: on.together(t.events.select((F.floor(F.col("event_id") / 4)).alias("meeting"), "user_id"), "meeting", "user_id"),
     "edge_endpoint_types": lambda t: gr.endpoint_types(t.entity_edges, t.entities),
     "hop_trace": lambda t: gr.hop_trace(t.entity_edges, t.entities, "NATION_7"),
     # Rollups

@@ -239,6 +239,9 @@ SQL: dict[str, str] = {
     "brain_detail_types": """select coalesce(nullif(domain_raw, ''), 'item') as type, count(*) as memories from memories
         where invalid_at is null and namespace = 'en' group by 1""",
     "brain_detail_sources": "select coalesce(source_kind, '') as source, count(*) as memories from memories where invalid_at is null and namespace = 'en' group by 1",
+    "brain_detail": """select * from (select count(*) as memories, min(valid_at) as first, max(valid_at) as last from memories where namespace = 'en' and invalid_at is null),
+        (select count(distinct query) filter (op in ('recall', 'search') and outcome = 'empty') as open_gaps, count(*) filter (op = 'recall') as recalls
+         from memory_events where namespace = 'en')""",
     "activity_log": """select id, ts, namespace, op, agent_id, latency_ms from memory_events where namespace = 'en' and op = 'recall'
         order by ts desc, id desc limit 50""",
     "gap_upsert": f"""select namespace, substring({_NORM.format('query')}, 1, 2000) as query, count(*) as hits, min(ts) as first_seen, max(ts) as last_seen
@@ -341,6 +344,13 @@ SQL: dict[str, str] = {
         from (select id, concat('Venture: ', source_kind, ' (x)', chr(10), 'Status: ', tier, chr(10), content) as t from memories)""",
     "ontology_counts": "select d.name, count(e.id) as nodes from declared_types d left join entities e on e.entity_type = d.name group by 1",
     "ontology_undeclared": "select entity_type, count(*) as nodes from entities where entity_type not in (select name from declared_types) group by 1",
+    "ontology_reconciled": """select coalesce(d.name, e.name) as name, case when d.name is not null then 'declared' else 'observed' end as origin, coalesce(n, 0) as nodes
+        from declared_types d full join (select entity_type as name, count(*) as n from entities group by 1) e on e.name = d.name""",
+    "fk_edge_families": """select concat('n', n_nationkey) as src, concat('r', n_regionkey) as dst, 'BELONGS_TO' as relation, concat('db:ventures:', n_nationkey) as ref from nation
+        union all select concat('c', c_custkey), concat('n', c_nationkey), 'MEMBER_OF', null from customer
+        union all select concat('c', o_custkey), 'n1', 'ASSIGNED_TO', concat('db:issues:', o_orderkey) from orders where o_orderstatus = 'O'""",
+    "attended_with": """with m as (select distinct event_id // 4 as meeting, user_id from events)
+        select a.user_id as src, b.user_id as dst, count(*) as times, 'ATTENDED_WITH' as relation from m a join m b on a.meeting = b.meeting and a.user_id < b.user_id group by 1, 2""",
     "edge_endpoint_types": """select relation, cast(sum(n) as bigint) as edges, case when max(n) / sum(n) >= 0.95 then arg_max(entity_type, n)
         else string_agg(entity_type, '|' order by n desc, entity_type) end as dst_types from (
           select relation, entity_type, count(*) as n from entity_edges join entities e on e.id = dst_id group by 1, 2) group by relation""",

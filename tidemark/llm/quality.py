@@ -5,9 +5,9 @@ probability sigmoid(t_k - s), with ordered thresholds t_0 < t_1 < ...  The thres
 first one and positive steps, so they stay ordered; the weights are fitted by FTRL with
 elastic-net penalties, the thresholds by adaptive gradient steps.
 
-Features, hashed to 2**bits buckets: which words occur (lower case, outer punctuation cut
-off), and, as shares of all words, their shapes (case, digits, trailing sign) and how many are
-repeats.
+Features, hashed to 2**bits buckets: which words and beginnings of words occur (lower case, outer
+punctuation cut off), and, as shares of all words, their shapes (case, digits, trailing sign) and how
+many are repeats.
 
 Grades come from the labels: 0 for quality 0, 1 for toxic text of quality 1, 2 for the rest.
 The weights are fitted to a bounded sample: the ``train_rows`` labelled documents with the
@@ -37,26 +37,30 @@ from pyspark.sql import functions as F
 from .common import documents, process_cache
 
 BITS = 18
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
+#: Lengths of the beginnings of words that are features, too: inflected and compound forms share them.
+BEGINNINGS = (4, 5)
 _CORE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
 class _Buckets(dict):
-    """Word to (bucket of the word, bucket of its shape)."""
+    """Word to (bucket of its shape, buckets of the word and of its beginnings)."""
 
     def __init__(self, bits: int):
         self.mask = (1 << bits) - 1
 
-    def __missing__(self, word: str) -> tuple[int, int]:
+    def _bucket(self, name: str) -> int:
+        return zlib.crc32(name.encode("utf-8", "replace")) & self.mask
+
+    def __missing__(self, word: str) -> tuple[int, tuple[int, ...]]:
         if len(self) > CACHED_WORDS:
             self.clear()
         core = _CORE.sub("", word)
         last = "" if word[-1].isalnum() else word[-1]
         case = "U" if len(core) > 1 and core.isupper() else "n" if any(c.isdigit() for c in core) else "w" if core else "-"
-        self[word] = out = (
-            zlib.crc32(("w:" + core.lower()).encode("utf-8", "replace")) & self.mask,
-            zlib.crc32(f"s:{case}{last}".encode("utf-8", "replace")) & self.mask,
-        )
+        core = core.lower()
+        parts = ["w:" + core, *(f"p:{core[:k]}" for k in BEGINNINGS if len(core) > k)]
+        self[word] = out = self._bucket(f"s:{case}{last}"), tuple(map(self._bucket, parts))
         return out
 
 
@@ -66,13 +70,17 @@ def features(text: str | None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray
     if not words:
         return np.zeros(0, dtype=np.int64), np.zeros(0)
     known = process_cache().setdefault(("buckets", bits), _Buckets(bits))
-    each = [known[w] for w in words]
-    seen = {w for w, _ in each}
-    shapes = Counter(s for _, s in each)
+    counted = Counter(words)
+    seen: set[int] = set()
+    shapes: dict[int, int] = {}
+    for word, times in counted.items():
+        shape, parts = known[word]
+        seen.update(parts)
+        shapes[shape] = shapes.get(shape, 0) + times
     n = len(words)
-    mask = (1 << bits) - 1
-    at = list(seen) + list(shapes) + [zlib.crc32(b"r:repeats") & mask]
-    value = [1.0] * len(seen) + [2 * c / n for c in shapes.values()] + [2 * (1 - len(seen) / n)]
+    repeats = zlib.crc32(b"r:repeats") & ((1 << bits) - 1)
+    at = [*seen, *shapes, repeats]
+    value = [1.0] * len(seen) + [2 * c / n for c in shapes.values()] + [2 * (1 - len(counted) / n)]
     return np.array(at, dtype=np.int64), np.array(value)
 
 
@@ -107,6 +115,7 @@ class OrdinalModel:
         last = self.grades - 1
         for _ in range(epochs):
             for at, x, y in rows:
+                x = x.astype(np.float64)
                 shrunk = np.sign(z[at]) * np.maximum(np.abs(z[at]) - l1, 0)
                 w = -shrunk / ((beta + np.sqrt(n[at])) / alpha + l2)
                 t = first + np.r_[0, np.cumsum(np.exp(steps))]
@@ -150,16 +159,20 @@ def fit(
     id_col: str = "doc_id",
     text_col: str = "text",
     bits: int = BITS,
-    train_rows: int = 6000,
-    epochs: int = 6,
-    alpha: float = 0.3,
+    train_rows: int = 8_000,
+    epochs: int = 8,
+    alpha: float = 1.0,
     beta: float = 1.0,
-    l1: float = 1.0,
-    l2: float = 0.1,
+    noise: float = 0.09,
+    l2: float = 0.0,
     rate: float = 0.3,
     keep_clean: float = 0.998,
 ) -> OrdinalModel:
-    picked = grades.groupBy("doc_id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    # A share of the labels by hash, a little over what is wanted, so that only about the sample is ranked.
+    span, n = 1 << 30, grades.count()
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(span))
+    head = grades.filter(at < min(span, int(span * (1.3 * train_rows + 20) / max(1, n))))
+    picked = head.groupBy("doc_id").agg(F.min("grade").alias("grade")).orderBy(at, "doc_id").limit(train_rows)
     sample = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(
         F.broadcast(picked), "doc_id"
     )
@@ -171,29 +184,27 @@ def fit(
                 [
                     batch.column(0),
                     batch.column(1),
-                    pa.array([r[0].astype(np.int32) for r in rows], pa.list_(pa.int32())),
-                    pa.array([r[1].astype(np.float32) for r in rows], pa.list_(pa.float32())),
+                    pa.array([r[0].astype(np.int32).tobytes() for r in rows], pa.binary()),
+                    pa.array([r[1].astype(np.float16).tobytes() for r in rows], pa.binary()),
                 ],
                 names=["doc_id", "grade", "at", "x"],
             )
 
-    rows = (
-        sample.select("doc_id", "grade", "text")
-        .mapInArrow(run, "doc_id long, grade int, at array<int>, x array<float>")
-        .toPandas()
-    )
-    rows = rows.assign(h=[zlib.crc32(str(i).encode()) for i in rows["doc_id"]]).sort_values(["h", "doc_id"], kind="stable")
+    # Six bytes a feature; rows are widened one at a time, when they are learnt from.
+    got = sample.select("doc_id", "grade", "text").mapInArrow(run, "doc_id long, grade int, at binary, x binary").collect()
+    rows = sorted((zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], bytes(r["at"]), bytes(r["x"]), r["grade"]) for r in got)
+    del got
     model = OrdinalModel(bits, 3)
     if not len(rows):
         model.thresholds, model.cut = np.array([-40.0, -39.0]), 0.0
         return model
-    data = [(np.asarray(r.at, dtype=np.int64), np.asarray(r.x, dtype=np.float64), int(r.grade)) for r in rows.itertuples()]
-    held = [d for d, h in zip(data, rows["h"], strict=True) if h % 5 == 0]
-    model.fit(
-        [d for d, h in zip(data, rows["h"], strict=True) if h % 5 != 0],
-        epochs=epochs, alpha=alpha, beta=beta, l1=l1, l2=l2, rate=rate,
-    )
-    clean = np.array([x @ model.weights[at] for at, x, y in held if y == model.grades - 1])
+    data = [(h % 5 == 0, np.frombuffer(at, dtype=np.int32), np.frombuffer(x, dtype=np.float16), int(y)) for h, _, at, x, y in rows]
+    held = [d[1:] for d in data if d[0]]
+    train = [d[1:] for d in data if not d[0]]
+    # Gradients that carry nothing add up to about the root of their number: so does the L1 penalty.
+    l1 = noise * max(1, len(train)) ** 0.5
+    model.fit(train, epochs=epochs, alpha=alpha, beta=beta, l1=l1, l2=l2, rate=rate)
+    clean = np.array([x.astype(np.float64) @ model.weights[at] for at, x, y in held if y == model.grades - 1])
     if len(clean):
         model.cut = float(min(0.5, np.quantile(model.tails(clean)[:, -1], 1 - keep_clean)))
     return model

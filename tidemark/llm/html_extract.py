@@ -1,7 +1,7 @@
 """Operator 7, main text of HTML pages by tag-path ratios.
 
-A page is read into text nodes, each with its path of open tags from the root; a tag counts with
-what its class, id and role say about it.  Per path:
+A page is read into text nodes, each with its path of open block tags from the root (inline tags belong to their
+block); a tag counts with what its class, id and role say about it.  Per path:
 
 * text ratio: characters of text, less those inside links, per node of the path;
 * punctuation ratio: sentence punctuation per node of the path.
@@ -11,7 +11,8 @@ between paths (how many tags differ) and fused as text ratio x (1 + punctuation
 whose fused ratio reaches ``share`` of the page's mean over paths (weighted by text) are content.  A
 path below an element that says it is a menu, header, footer, sidebar, notice, advert, form,
 comment section, script or style has the fused ratio 0; one below an element that says it
-is the article has at least the threshold, so its short paragraphs and headings stay.
+is the article has at least the threshold, so its short paragraphs and headings stay.  On a page that
+doesn't say, headings, lists and short paragraphs in the element that holds the longest content stay with it.
 
 Character references are decoded; white space inside a block becomes one space and is trimmed;
 blocks are joined in page order by one newline.  Inline tags and line breaks do not end a block.
@@ -54,6 +55,7 @@ CLOSED_BY = {
 }
 ASIDE = set("nav header footer aside form script style noscript template button select option svg canvas iframe dialog menu head title object audio video textarea noembed noframes xmp".split())
 LANDMARK = {"article", "main"}
+TEXTUAL = set("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tr td th caption figure figcaption".split())
 _ASIDE_WORDS = re.compile(
     r"(?:^|[^a-z])(?:ads?|advert\w*|adbox|adslot|banner|sponsor\w*|promo\w*|nav\w*|menus?|breadcrumbs?|masthead|sidebar|side-bar|widget\w*|footer|foot|header|cookies?|consent|notice|notification|gdpr|popup|modal|newsletter|subscribe|signup|login|search|share|social|related|recommend\w*|comments?|reply|replies|disqus|respond|pagination|pager|toolbar|skip)(?:[^a-z]|$)",
     re.I,
@@ -101,7 +103,7 @@ def text_nodes(page: str) -> Iterator[tuple[tuple[str, ...], str, str, int, bool
 
     def node(raw: str):
         stance = stack[-1][2] if stack else ""
-        return tuple(x[1] for x in stack), stance, html.unescape(raw), block, links > 0
+        return tuple(x[1] for x in stack if x[0] not in INLINE), stance, html.unescape(raw), block, links > 0
 
     raw_until = None
     for m in _TOKEN.finditer(page):
@@ -165,8 +167,9 @@ def content_paths(nodes: list[tuple], *, share: float = 0.5, reach: int = 2) ->
         length = len(_SPACE.sub(" ", text).strip())
         if not length:
             continue
-        s = stats.setdefault((path, stance), [0.0, 0.0, 0.0])
+        s = stats.setdefault((path, stance), [0.0, 0.0, 0.0, 0.0])
         s[0] += 0 if linked else length
+        s[3] += length
         s[1] += len(_MARKS.findall(text))
         s[2] += 1
     keys = list(stats)
@@ -182,9 +185,21 @@ def content_paths(nodes: list[tuple], *, share: float = 0.5, reach: int = 2) ->
         fused[key] = 0.0 if key[1] == "-" else text / total * (1 + marks / total)
     size = sum(stats[k][0] for k in keys if k[1] != "-")
     mean = sum(fused[k] * stats[k][0] for k in keys if k[1] != "-") / size if size else 0.0
-    landmark = any(k[1] == "+" for k in keys)
-    # Where the page says what its article is, nothing outside of it is content.
-    return {k for k in keys if k[1] == "+" or (k[1] == "" and not landmark and fused[k] >= share * mean and fused[k] > 0)}
+    if any(k[1] == "+" for k in keys):
+        # Where the page says what its article is, nothing outside of it is content.
+        return {k for k in keys if k[1] == "+"}
+    chosen = {k for k in keys if k[1] == "" and fused[k] >= share * mean and fused[k] > 0}
+    if chosen:
+        # Headings, lists and short paragraphs beside the longest content belong to it, whatever their ratio.
+        longest = max(chosen, key=lambda k: (stats[k][0], -keys.index(k)))[0]
+        depth = len(longest)
+        while depth and longest[depth - 1].split(".")[0] in TEXTUAL | INLINE:
+            depth -= 1
+        for k in keys:
+            beside = k[1] == "" and k[0][:depth] == longest[:depth] and all(x.split(".")[0] in TEXTUAL | INLINE for x in k[0][depth:])
+            if beside and 2 * stats[k][0] >= stats[k][3]:
+                chosen.add(k)
+    return chosen
 
 
 def main_text(page: str | None) -> str:

@@ -93,6 +93,12 @@ def test_main_text_without_landmarks():
     assert got == [f"Sentence number {i}, which is long enough, says this." for i in range(6)]
 
 
+def test_main_text_keeps_headings_and_lists_beside_the_content():
+    long = "A long sentence, with commas, that says something at length about its subject. " * 4
+    body = f"<div class=wrap><div><h2>Short head</h2><p>{long}</p><ul><li>One</li><li>Two</li></ul><p>Tiny.</p><p><a href=x>only a link to elsewhere</a></p></div><div class=links><a href=y>more, more, more</a></div></div>"
+    assert html_extract.main_text(PAGE.format(body=body)).split("\n") == ["Short head", long.strip(), "One", "Two", "Tiny.", "only a link to elsewhere"]
+
+
 def test_extraction_against_the_known_article(spark):
     import html as h
 
@@ -128,15 +134,15 @@ def test_media_columns(spark, tmp_path):
     folder = f"file://{tmp_path}/shards"
     index = media.stored(df, folder, shard_bytes=4096)
     rows = media.with_features(media.with_headers(media.addresses(index), folder), folder).collect()
-    by_digest = {r["digest"]: r for r in rows}
+    by_digest = {bytes(r["digest"]): r for r in rows}
     assert len(rows) == 4
     for t in texts:
         payload = media.payload_of((t or "").encode())
-        r = by_digest[hashlib.sha256(payload).hexdigest()]
-        assert r["payload_sha256"] == r["digest"] and r["payload_bytes"] == len(payload) == r["height"] * 64
+        r = by_digest[hashlib.sha256(payload).digest()]
+        assert r["payload_digest"] == r["digest"] and r["payload_bytes"] == len(payload) == r["height"] * 64
         assert r["tail_crc32"] == zlib.crc32(payload[-64:]) and r["media_bytes"] == r["length"]
         with tarfile.open(tmp_path / "shards" / r["shard"]) as tar:
-            assert media.png_payload(tar.extractfile(f"{r['digest']}.png").read()) == payload
+            assert media.png_payload(tar.extractfile(f"{r['digest'].hex()}.png").read()) == payload
     assert media.unused_shards(index, folder) == []
     out = media.media_columns(df, folder).collect()
     assert len(out) == 7 and len({(r["offset"], r["feature"]) for r in out if r["n_bytes"] == 5}) == 1

@@ -3,7 +3,7 @@
 A payload (here a text's UTF-8 bytes, zero bytes up to a positive multiple of 64) is stored
 as a lossless 8-bit grayscale PNG, 64 samples wide, under its digest as the member's name.  Each
 task appends to tar shards of its own in the shared folder; equal payloads of one task are stored
-once.  Rows carry digest, shard, offset and length.  Over all shards one place per digest, the first
+once.  Rows carry digest (32 bytes), shard, offset and length.  Over all shards one place per digest, the first
 in (shard, offset) order, is the address that all rows with that digest get; so equal texts
 have equal addresses, no text is shuffled, and a text with a third of all rows is stored at most once a task.
 
@@ -57,7 +57,7 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
 
-def png_of(payload: bytes, level: int = 3) -> bytes:
+def png_of(payload: bytes, level: int = 6) -> bytes:
     """8-bit grayscale, one row of samples per 64 bytes, no filter."""
     rows = np.frombuffer(payload, dtype=np.uint8).reshape(-1, WIDTH)
     lines = np.zeros((len(rows), WIDTH + 1), dtype=np.uint8)
@@ -138,22 +138,22 @@ class _Shards:
 def stored(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 256 << 20) -> DataFrame:
     """Writes the shards; doc_id, n_bytes, digest, shard, offset, length of every row (its own task's copy)."""
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("digest", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]
+        [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("digest", pa.binary()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         shards = _Shards(folder, TaskContext.get().partitionId(), shard_bytes)
-        placed: dict[str, tuple[str, int, int]] = {}
+        placed: dict[bytes, tuple[str, int, int]] = {}
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = text.as_py().encode("utf-8", "surrogatepass")
                 payload = payload_of(data)
-                digest = hashlib.sha256(payload).hexdigest()
+                digest = hashlib.sha256(payload).digest()
                 if digest not in placed:
-                    placed[digest] = shards.add(f"{digest}.png", png_of(payload))
+                    placed[digest] = shards.add(f"{digest.hex()}.png", png_of(payload))
                 rows.append((doc_id, len(data), digest, *placed[digest]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema],
@@ -163,7 +163,7 @@ def stored(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: st
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return staged(
-        rows.mapInArrow(run, "doc_id long, n_bytes long, digest string, shard string, offset long, length long"), "media-index"
+        rows.mapInArrow(run, "doc_id long, n_bytes long, digest binary, shard string, offset long, length long"), "media-index"
     )
 
 
@@ -208,9 +208,9 @@ def with_headers(places: DataFrame, folder: str) -> DataFrame:
 
 
 def with_features(places: DataFrame, folder: str) -> DataFrame:
-    """``places`` with what the stored bytes hold: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
+    """``places`` with what the stored bytes hold: payload_bytes, payload_digest, tail_crc32, media_bytes, media_digest, feature."""
     names = places.schema.names
-    own = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
+    own = [("payload_bytes", pa.int64()), ("payload_digest", pa.binary()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_digest", pa.binary()), ("feature", pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _Reader(folder)
@@ -220,7 +220,7 @@ def with_features(places: DataFrame, folder: str) -> DataFrame:
                 image = reader.read(s, o, n)
                 payload = png_payload(image)
                 rows.append(
-                    (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(image), hashlib.sha256(image).hexdigest(), features_of(payload))
+                    (len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-WIDTH:]), len(image), hashlib.sha256(image).digest(), features_of(payload))
                 )
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in own]
             yield pa.RecordBatch.from_arrays(
@@ -230,7 +230,7 @@ def with_features(places: DataFrame, folder: str) -> DataFrame:
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in places.schema)
     return places.mapInArrow(
-        run, f"{kinds}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+        run, f"{kinds}, payload_bytes long, payload_digest binary, tail_crc32 long, media_bytes long, media_digest binary, feature string"
     )
 
 
@@ -253,6 +253,6 @@ def media_columns(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = media_columns(documents(spark, sf_dir), fresh_dir(spark, "media-shards"))
     return out.select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature",
-        "digest", "offset", "length", "width", "height", "bit_depth",
+        "doc_id", "n_bytes", "payload_bytes", F.lower(F.hex("payload_digest")).alias("payload_sha256"), "tail_crc32", "media_bytes",
+        F.lower(F.hex("media_digest")).alias("media_sha256"), "feature", "offset", "length", "width", "height", "bit_depth",
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import knowledge, mappings, memory, rollups
 from tidemark.plans import staging
-from tidemark.sources import etl
+from tidemark.sources import connectors, etl
 from tidemark.streaming import refresh
 
 NOW = dt.datetime(2024, 1, 15)
@@ -109,3 +109,13 @@ def test_staged_tables_are_released(spark):
     assert staging.release(spark) >= 1
     with pytest.raises(Exception):
         spark.read.parquet(path).count()
+
+
+def test_stored_memories_are_pruned_by_namespace(spark, tmp_path):
+    rows = spark.createDataFrame([(str(i), "en" if i % 3 else "fr", "x") for i in range(30)], "id string, namespace string, content string")
+    for _ in range(2):
+        connectors.store_memories(rows, str(tmp_path / "log"))
+    one = spark.read.parquet(str(tmp_path / "log")).filter("namespace = 'fr'")
+    assert one.count() == 20
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(namespace" in plan

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..functions.vectors import cosine
+from ..plans.staging import staged
 
 RRF_K = 60
 SALIENCE = 0.01
@@ -45,8 +46,8 @@ def _times(words: str, term: str) -> Column:
 def bm25_scores(memories: DataFrame, terms: Sequence[str]) -> DataFrame:
     """Okapi BM25 of rows that hold one of the terms: id, score.
 
-    Only the query's terms are counted: term frequencies come from filters over each row's
-    words, and the corpus figures (rows, mean length, document frequencies) from one small aggregate.
+    Only the query's terms are counted, in one pass over the texts that leaves a few numbers a row; the corpus
+    figures (rows, mean length, document frequencies) and the scores come from those.
     """
     terms = sorted({t.lower() for t in terms})
     words = memories.select("id", tokens(F.col("content")).alias("words"))
@@ -55,6 +56,7 @@ def bm25_scores(memories: DataFrame, terms: Sequence[str]) -> DataFrame:
         F.size("words").alias("length"),
         *[_times("words", t).alias(f"tf{i}") for i, t in enumerate(terms)],
     )
+    counted = staged(counted, "term-counts")
     corpus = counted.agg(
         F.count(F.lit(1)).alias("rows"),
         F.avg("length").alias("mean_length"),

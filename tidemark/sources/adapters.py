@@ -8,6 +8,7 @@ the only two places where the dialects differ.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -144,11 +145,21 @@ class Tables:
     Each is made once per object, so files are listed and their schema is read once; a new object sees new files.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, loaded: dict[str, str] | None = None):
+        self.spark, self.sf_dir, self.loaded = spark, sf_dir, loaded or {}
+
+    def load(self, path: str, names: Iterable[str], files: int) -> Tables:
+        """Writes tables or adapters as Parquet of so many files each, and gives tables that read them from there."""
+        loaded = dict(self.loaded)
+        for name in names:
+            loaded[name] = f"{path}/{name}.parquet"
+            getattr(self, name).repartition(files).write.mode("overwrite").parquet(loaded[name])
+        return Tables(self.spark, self.sf_dir, loaded)
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name in BASE:
+        if name in self.loaded:
+            made = self.spark.read.parquet(self.loaded[name])
+        elif name in BASE:
             made = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         elif name in ADAPTERS:
             text = adapter_sql(name, "spark")

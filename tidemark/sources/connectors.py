@@ -191,6 +191,14 @@ def import_memories(spark: SparkSession, path: str, namespace: str | None = None
     return out.withColumn("namespace", F.lit(namespace)) if namespace else out
 
 
+def store_memories(memories: DataFrame, path: str) -> None:
+    """Appends to an append-only log, one folder per namespace: a read of some namespaces lists and scans those alone.
+
+    Rows are dealt out by namespace, and Spark splits a large one over tasks, so it is many files and a small one is few.
+    """
+    memories.hint("rebalance", "namespace").write.partitionBy("namespace").mode("append").parquet(path)
+
+
 def checked(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid, rejected) by the declared vocabularies and ranges."""
     ok = (

@@ -24,6 +24,13 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def process_cache() -> dict:
-    """One dictionary per Python process, which tasks of one worker share."""
-    return sys.__dict__.setdefault("_tidemark_cache", {})
+def process_cache(owner: str) -> dict:
+    """One dictionary per Python process, which an operator's tasks share; another operator's tasks empty it.
+
+    Workers outlive stages, so what one stage remembers must not stay beside what the next one does.
+    """
+    cache = sys.__dict__.setdefault("_tidemark_cache", {})
+    if cache.get("owner") != owner:
+        cache.clear()
+        cache["owner"] = owner
+    return cache

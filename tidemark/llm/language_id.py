@@ -34,7 +34,7 @@ _CHUNK_DOCS = 128
 
 
 def _letters() -> np.ndarray:
-    cache = process_cache()
+    cache = process_cache("language")
     if "letters" not in cache:
         cache["letters"] = np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
     return cache["letters"]

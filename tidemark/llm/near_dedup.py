@@ -39,9 +39,9 @@ from pyspark.sql import functions as F
 from .common import documents, process_cache, staged, text_or_empty
 
 #: Words whose hashes a process remembers.
-CACHED_WORDS = 400_000
-#: Characters of text that are sketched at a time (a longer document alone).
-CHUNK_CHARS = 2_000_000
+CACHED_WORDS = 300_000
+#: Characters of text and documents that are sketched at a time (a longer document alone).
+CHUNK_CHARS, CHUNK_DOCS = 2_000_000, 4_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _PRIME = np.uint64(0x100000001B3)
 
@@ -73,7 +73,7 @@ def words_of(text: str) -> list[str]:
 
 def shingle_hashes(words: list[list[str]], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """All runs of ``width`` words: their hashes, and how many each document has."""
-    cache = process_cache().setdefault("word-hashes", _WordHashes())
+    cache = process_cache("near-dedup").setdefault("word-hashes", _WordHashes())
     n = np.array([len(w) for w in words], dtype=np.int64)
     full = np.where(n > 0, np.maximum(n, width), 0)
     hashes = np.zeros(int(full.sum()), dtype=np.uint64)
@@ -169,7 +169,7 @@ def _sketcher(bands: int, rows: int, width: int):
                 ids.append(i)
                 texts.append(t)
                 size += len(t)
-                if size >= CHUNK_CHARS:
+                if size >= CHUNK_CHARS or len(ids) >= CHUNK_DOCS:
                     yield sketch(ids, texts)
                     ids, texts, size = [], [], 0
             if ids:

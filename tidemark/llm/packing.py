@@ -90,7 +90,7 @@ def word_encoder(path: str):
     are remembered.  That holds for text whose characters lower and split alike here and in
     the tokenizer; any other text goes to the tokenizer whole.
     """
-    cache = process_cache()
+    cache = process_cache("packing")
     if path not in cache:
         from tokenizers import Tokenizer
 

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import documents, process_cache
 
 BITS = 18
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 #: Lengths of the beginnings of words that are features, too: inflected and compound forms share them.
 BEGINNINGS = (4, 5)
 _CORE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -69,7 +69,7 @@ def features(text: str | None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray
     words = (text or "").split()
     if not words:
         return np.zeros(0, dtype=np.int64), np.zeros(0)
-    known = process_cache().setdefault(("buckets", bits), _Buckets(bits))
+    known = process_cache("quality").setdefault(("buckets", bits), _Buckets(bits))
     counted = Counter(words)
     seen: set[int] = set()
     shapes: dict[int, int] = {}

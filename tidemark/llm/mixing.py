@@ -109,14 +109,15 @@ def mix_positions(
     salts: int = 64,
     id_col: str = "doc_id",
     source_col: str = "source",
-    text_col: str = "text",
+    text_col: str | None = "text",
 ) -> DataFrame:
     """``docs`` with _source, _block, _slot, _phase and _position, the row's place in the mixture.
 
-    Without ``weights`` a source's weight is its number of rows to the power ``alpha``.
+    Without ``weights`` a source's weight is its number of rows to the power ``alpha``.  ``text_col`` orders rows
+    that share an id; None if they are equal in all columns, so that texts need not be read.
     """
     names = docs.columns
-    tie = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in (id_col, text_col) if c])
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"),
         F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")).alias("_source"),
@@ -170,8 +171,7 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, **options) -
 
 
 def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "source", F.xxhash64("text").alias("text"))
-    at = mix_positions(docs)
+    at = mix_positions(documents(spark, sf_dir).select("doc_id", "source"), text_col=None)
     return at.select(
         F.col("_row.doc_id").alias("doc_id"),
         F.col("_source").alias("source"),

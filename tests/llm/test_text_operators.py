@@ -99,6 +99,23 @@ def test_main_text_keeps_headings_and_lists_beside_the_content():
     assert html_extract.main_text(PAGE.format(body=body)).split("\n") == ["Short head", long.strip(), "One", "Two", "Tiny.", "only a link to elsewhere"]
 
 
+LONG = [f"Sentence number {i} of the story, which is long enough, says this; it goes on, and on, at length." for i in range(5)]
+
+
+def test_ratios_choose_inside_a_broad_landmark():
+    story = "".join(f"<p>{x}</p>" for x in LONG)
+    body = f"""<main><header><h1>Head</h1></header><div class=a><ul><li><a href=/1>One story</a></li><li><a href=/2>Another story</a></li></ul></div>
+    <div class=b><div>Buy now</div></div><div class=c>{story}<h2>Short head</h2><p>Tiny.</p></div><section><div>We store data</div></section>
+    <div class=d><h3>More</h3><div class=e><a href=/3>Third, a story.</a><a href=/4>Fourth.</a></div></div></main>"""
+    assert html_extract.main_text(PAGE.format(body=body)).split("\n") == ["Head", *LONG, "Short head", "Tiny."]
+
+
+def test_ratios_choose_outside_a_landmark_that_misses_the_article():
+    story = "".join(f"<p>{x}</p>" for x in LONG)
+    body = f"<div class=top><article><h3><a href=/1>Teaser</a></h3><p>Read more.</p></article></div><div class=text><h1>Head</h1>{story}<p>Tiny.</p></div>"
+    assert html_extract.main_text(PAGE.format(body=body)).split("\n") == ["Head", *LONG, "Tiny."]
+
+
 def test_extraction_against_the_known_article(spark):
     import html as h
 

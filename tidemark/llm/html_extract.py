@@ -10,9 +10,13 @@ Ratios are smoothed over the paths in page order with weights that fall with the
 between paths (how many tags differ) and fused as text ratio x (1 + punctuation ratio).  Paths
 whose fused ratio reaches ``share`` of the page's mean over paths (weighted by text) are content.  A
 path below an element that says it is a menu, header, footer, sidebar, notice, advert, form,
-comment section, script or style has the fused ratio 0; one below an element that says it
-is the article has at least the threshold, so its short paragraphs and headings stay.  On a page that
-doesn't say, headings, lists and short paragraphs in the element that holds the longest content stay with it.
+comment section, script or style has the fused ratio 0; for one below an element that says it
+is the article the fused ratio counts ``landmark`` times.  Ratios choose on every page: a link list inside
+the landmark falls, and rich text outside it stays.
+
+Headings, lists and short paragraphs stay with content in the same element: on a page that says what its article
+is with all content therein, else with the longest content.  A heading in the article
+stays with the content that it heads.
 
 Character references are decoded; white space inside a block becomes one space and is trimmed;
 blocks are joined in page order by one newline.  Inline tags and line breaks do not end a block.
@@ -55,6 +59,7 @@ CLOSED_BY = {
 }
 ASIDE = set("nav header footer aside form script style noscript template button select option svg canvas iframe dialog menu head title object audio video textarea noembed noframes xmp".split())
 LANDMARK = {"article", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 TEXTUAL = set("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tr td th caption figure figcaption".split())
 _ASIDE_WORDS = re.compile(
     r"(?:^|[^a-z])(?:ads?|advert\w*|adbox|adslot|banner|sponsor\w*|promo\w*|nav\w*|menus?|breadcrumbs?|masthead|sidebar|side-bar|widget\w*|footer|foot|header|cookies?|consent|notice|notification|gdpr|popup|modal|newsletter|subscribe|signup|login|search|share|social|related|recommend\w*|comments?|reply|replies|disqus|respond|pagination|pager|toolbar|skip)(?:[^a-z]|$)",
@@ -160,8 +165,16 @@ def path_distance(a: tuple[str, ...], b: tuple[str, ...]) -> int:
     return len(a) + len(b) - 2 * same
 
 
-def content_paths(nodes: list[tuple], *, share: float = 0.5, reach: int = 2) -> set[tuple]:
-    """The (path, stance) pairs whose fused, smoothed ratio reaches the threshold."""
+def _holder(path: tuple[str, ...]) -> int:
+    """Depth of the element that holds the path's paragraphs, lists and headings."""
+    depth = len(path)
+    while depth and path[depth - 1].split(".")[0] in TEXTUAL | INLINE:
+        depth -= 1
+    return depth
+
+
+def content_paths(nodes: list[tuple], *, share: float = 0.5, reach: int = 2, landmark: float = 2.0) -> set[tuple]:
+    """The (path, stance) pairs whose fused, smoothed ratio reaches the threshold, and what stays with them."""
     stats: dict[tuple, list[float]] = {}
     for path, stance, text, _, linked in nodes:
         length = len(_SPACE.sub(" ", text).strip())
@@ -182,35 +195,50 @@ def content_paths(nodes: list[tuple], *, share: float = 0.5, reach: int = 2) ->
             total += w
             text += w * ratio[j][0]
             marks += w * ratio[j][1]
-        fused[key] = 0.0 if key[1] == "-" else text / total * (1 + marks / total)
+        fused[key] = {"-": 0.0, "": 1.0, "+": landmark}[key[1]] * text / total * (1 + marks / total)
     size = sum(stats[k][0] for k in keys if k[1] != "-")
     mean = sum(fused[k] * stats[k][0] for k in keys if k[1] != "-") / size if size else 0.0
-    if any(k[1] == "+" for k in keys):
-        # Where the page says what its article is, nothing outside of it is content.
-        return {k for k in keys if k[1] == "+"}
-    chosen = {k for k in keys if k[1] == "" and fused[k] >= share * mean and fused[k] > 0}
+    chosen = {k for k in keys if k[1] != "-" and fused[k] >= share * mean and fused[k] > 0}
     if chosen:
-        # Headings, lists and short paragraphs beside the longest content belong to it, whatever their ratio.
-        longest = max(chosen, key=lambda k: (stats[k][0], -keys.index(k)))[0]
-        depth = len(longest)
-        while depth and longest[depth - 1].split(".")[0] in TEXTUAL | INLINE:
-            depth -= 1
+        # Headings, lists and short paragraphs beside the longest content, and beside all content of the article, belong to it.
+        longest = max(chosen, key=lambda k: (stats[k][0], -keys.index(k)))
+        holders = {(k[1], k[0][: _holder(k[0])]) for k in chosen if k[1] == "+" or k == longest}
         for k in keys:
-            beside = k[1] == "" and k[0][:depth] == longest[:depth] and all(x.split(".")[0] in TEXTUAL | INLINE for x in k[0][depth:])
+            beside = k[1] != "-" and any((k[1], k[0][:depth]) in holders for depth in range(_holder(k[0]), len(k[0]) + 1))
             if beside and 2 * stats[k][0] >= stats[k][3]:
                 chosen.add(k)
     return chosen
 
 
+def _headings(nodes: list[tuple], content: set[tuple]) -> set[int]:
+    """Numbers of the nodes of the article's headings with content before the next heading of their level or above."""
+    out, seen, last = set(), [False] * 7, None
+    for i in range(len(nodes) - 1, -1, -1):
+        path, stance, text, block, _ = nodes[i]
+        if stance == "-" or not text.strip():
+            continue
+        level = next((int(x[1]) for x in path if x.split(".")[0] in HEADINGS), 0)
+        if not level:
+            seen = [True] * 7 if (path, stance) in content else seen
+            continue
+        if block != last:
+            last, kept = block, stance == "+" and seen[level]
+            seen[level:] = [False] * (7 - level)
+        if kept:
+            out.add(i)
+    return out
+
+
 def main_text(page: str | None) -> str:
     nodes = list(text_nodes(page or ""))
     content = content_paths(nodes)
+    heads = _headings(nodes, content)
     out, now, parts = [], None, []
-    for path, stance, text, block, _ in nodes:
+    for i, (path, stance, text, block, _) in enumerate(nodes):
         if block != now:
             out.append("".join(parts))
             now, parts = block, []
-        if (path, stance) in content:
+        if (path, stance) in content or i in heads:
             parts.append(text)
         elif stance != "-":
             parts.append(" ")

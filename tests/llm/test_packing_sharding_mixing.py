@@ -140,6 +140,23 @@ def test_phases_place_every_block_once(blocks, w):
     assert sorted(slots) == list(range(sum(blocks.values())))
 
 
+def test_phases_keep_to_the_unrounded_weights():
+    blocks = {**{f"s{i:02d}": 700 + 13 * i for i in range(20)}, "hot": 9000, "tiny": 3}
+    weights = {s: n**0.5 for s, n in blocks.items()} | {"tiny": 1e-3}
+    phases = mixing.pfair_phases(blocks, weights)
+    turn = np.empty(sum(blocks.values()), dtype=object)
+    for s, n in blocks.items():
+        turn[mixing.slots_of(phases, s, np.arange(n))[0]] = s
+    ends = [p["slot"] for p in phases[1:]] + [len(turn)]
+    assert ends[0] > 10_000
+    for phase, end in zip(phases, ends, strict=True):
+        total = sum(weights[s] for s in phase["sources"])
+        t = np.arange(1, end - phase["slot"] + 1)
+        for s in phase["sources"]:
+            done = np.cumsum(turn[phase["slot"] : end] == s)
+            assert np.abs(done - weights[s] / total * t).max() < 1 + 1e-9, s
+
+
 def test_mixing_positions(spark):
     texts = [f"t{i}" for i in range(700)]
     df = docs(spark, texts, ("hot", "hot", "hot", "a", None))

@@ -3,13 +3,14 @@
 Each source's rows are cut into blocks.  With weight w a source's block j is released at slot
 floor(j / w) and due by slot ceil((j + 1) / w).  Earliest deadline first among the released
 blocks fills one slot after another.  The schedule is feasible, as the weights sum to 1, so
-after t slots a source has had w * t blocks with less than one block of deviation.
+after t slots of a phase a source has had w * t blocks with less than one block of deviation.
 
-Weights are whole shares of ``resolution`` slots, so the schedule repeats and one period of it
-says where block j goes: its place in the period, plus j div share periods.  When a source has
-run out, the weights of the others are scaled up and a new phase begins; no row is dropped or
-repeated.  The driver holds ``resolution`` numbers per phase, and one phase per source: nothing
-there grows with the rows.
+Weights are taken as they are: a floating-point number is a fraction, and releases and deadlines are
+whole numbers computed from fractions, so nothing is rounded however long a phase is.  When a
+source has run out, the weights of the others are scaled up and a new phase begins; no row is dropped or
+repeated.  The driver walks through the slots (one per block of rows) once and holds, per source and
+``resolution`` slots, how many blocks the source has had by then; tasks walk from there to the
+slots of their own blocks.
 
 Ranks within a source come from a salted count: (source, salt) cells are ranked on their own,
 and the sizes of the cells before a cell are its offset.  A source with a third of all rows is
@@ -23,6 +24,10 @@ less, is scheduled after all sources with a weight, in proportion to its size.
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -32,56 +37,63 @@ from pyspark.sql import functions as F
 from .common import documents, shuffle_width
 
 
-def shares(weights: dict[str, float], resolution: int) -> dict[str, int]:
-    """Whole shares, at least 1 each, by largest remainder; they sum to about ``resolution``."""
-    total = sum(weights.values())
-    exact = {s: w / total * resolution for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s)):
-        if sum(out.values()) >= resolution:
-            break
-        out[s] += 1
-    return out
+def whole_weights(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the proportion of ``weights``."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    whole = {s: int(x * scale) for s, x in exact.items()}
+    common = math.gcd(*whole.values())
+    return {s: n // common for s, n in whole.items()}
+
+
+def pfair_slots(share: dict[str, int], done: dict[str, int] | None = None, slot: int = 0) -> Iterator[str]:
+    """The source of each slot from ``slot`` on, if sources have had ``done`` blocks before it."""
+    period, done = sum(share.values()), dict(done or dict.fromkeys(share, 0))
+    waiting = [(done[s] * period // n, s) for s, n in share.items()]
+    heapq.heapify(waiting)
+    # A source's next block alone stands for the source: later ones have later deadlines.
+    ready: list[tuple[int, str]] = []
+    while True:
+        while waiting and waiting[0][0] <= slot:
+            s = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(done[s] + 1) * period // share[s]), s))
+        s = heapq.heappop(ready)[1]
+        yield s
+        done[s] += 1
+        slot += 1
+        heapq.heappush(waiting, (done[s] * period // share[s], s))
 
 
 def pfair_period(share: dict[str, int]) -> list[str]:
     """One period of the schedule: the source of each slot."""
-    period = sum(share.values())
-    release = sorted((j * period // n, -(-(j + 1) * period // n), s) for s, n in share.items() for j in range(n))
-    ready: list[tuple[int, str]] = []
-    out, k = [], 0
-    for slot in range(period):
-        while k < len(release) and release[k][0] <= slot:
-            heapq.heappush(ready, release[k][1:])
-            k += 1
-        out.append(heapq.heappop(ready)[1])
-    return out
+    return list(islice(pfair_slots(share), sum(share.values())))
 
 
 def pfair_phases(blocks: dict[str, int], weights: dict[str, float], resolution: int = 1000) -> list[dict]:
-    """Phases of the schedule: first slot, period, and for each source its first block, its
-    number of blocks in the phase, its share and its slots in the period."""
+    """Phases of the schedule: first slot, whole weights, and for each source its first block, its number
+    of blocks in the phase, and how many of them it has had before each stretch of ``resolution`` slots."""
     left, done = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0)
     out, at = [], 0
     while left:
         live = {s: float(weights.get(s) or 0) for s in left}
         live = {s: w for s, w in live.items() if w > 0} or {s: float(blocks[s]) for s in left}
-        share = shares(live, resolution)
-        turn = pfair_period(share)
-        places: dict[str, list[int]] = {s: [] for s in share}
-        for i, s in enumerate(turn):
-            places[s].append(i)
-        period = len(turn)
-        last = min((left[s] - 1) // share[s] * period + places[s][(left[s] - 1) % share[s]] for s in share)
-        phase = {"slot": at, "period": period, "sources": {}}
-        for s, n in share.items():
-            here = (last + 1) // period * n + int(np.searchsorted(places[s], (last + 1) % period))
-            phase["sources"][s] = {"block": done[s], "blocks": here, "share": n, "places": places[s]}
-            done[s] += here
-            left[s] -= here
+        share = whole_weights(live)
+        had, stretches, slots = dict.fromkeys(share, 0), [], 0
+        for s in pfair_slots(share):
+            if slots % resolution == 0:
+                stretches.append(list(had.values()))
+            had[s] += 1
+            slots += 1
+            if had[s] == left[s]:
+                break
+        phase = {"slot": at, "share": share, "every": resolution, "sources": {}}
+        for s, before in zip(share, np.array(stretches, dtype=np.int64).T, strict=True):
+            phase["sources"][s] = {"block": done[s], "blocks": had[s], "had": before}
+            done[s] += had[s]
+            left[s] -= had[s]
         left = {s: n for s, n in left.items() if n}
         out.append(phase)
-        at += last + 1
+        at += slots
     return out
 
 
@@ -92,9 +104,19 @@ def slots_of(phases: list[dict], source: str, block: np.ndarray) -> tuple[np.nda
         x = phase["sources"].get(source)
         if x is None or not x["blocks"]:
             continue
-        here = (block >= x["block"]) & (block < x["block"] + x["blocks"])
-        j = block[here] - x["block"]
-        slot[here] = phase["slot"] + j // x["share"] * phase["period"] + np.asarray(x["places"])[j % x["share"]]
+        here = np.flatnonzero((block >= x["block"]) & (block < x["block"] + x["blocks"]))
+        if not len(here):
+            continue
+        j, inverse = np.unique(block[here] - x["block"], return_inverse=True)
+        stretch = np.searchsorted(x["had"], j, side="right") - 1
+        at = np.zeros(len(j), dtype=np.int64)
+        for k, first in zip(*np.unique(stretch, return_index=True), strict=True):
+            had = {s: int(y["had"][k]) for s, y in phase["sources"].items()}
+            turn = islice(pfair_slots(phase["share"], had, int(k) * phase["every"]), phase["every"])
+            places = np.array([i for i, s in enumerate(turn) if s == source], dtype=np.int64)
+            some = slice(first, first + int((stretch == k).sum()))
+            at[some] = k * phase["every"] + places[j[some] - had[source]]
+        slot[here] = phase["slot"] + at[inverse]
         which[here] = p
     return slot, which
 

@@ -115,6 +115,18 @@ def test_near_classes_against_brute_force(spark):
     assert got == brute_classes(pairs)
 
 
+def test_near_classes_of_copies_with_a_much_repeated_passage(spark):
+    rng = random.Random(5)
+    pairs = []
+    for k in range(12):
+        words = [f"w{k}x{i}" for i in range(104)]
+        passage = [f"p{k}x{i}" for i in range(16)]
+        pairs += [(4 * k, " ".join(words)), (4 * k + 1, " ".join(words + passage * 1000)), (4 * k + 2, " ".join([*words[:50], "x", *words[50:]] + passage * 30))]
+    rng.shuffle(pairs)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(docs(spark, pairs)).collect()}
+    assert got == brute_classes(pairs) and got[1] == 0
+
+
 def test_near_classes_of_odd_rows(spark):
     pairs = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")]
     got = sorted((tuple(r) for r in near_dedup.near_classes(docs(spark, pairs)).collect()), key=str)

@@ -7,7 +7,9 @@
   the element that came first.  An element whose next arrival is later than the latest of the
   document's registers can change nothing and is done (early termination).  Two documents
   agree in a register with the probability Jaccard similarity of their weighted sets.
-* Banding: ``bands`` keys of ``rows`` registers each.
+* Banding: ``bands`` keys of ``rows`` registers each.  A document in which a run recurs has the keys of
+  its unweighted set as well: links are decided by plain Jaccard similarity, which a much repeated
+  run leaves high and the weighted one doesn't.  Where no run recurs the two sets of keys are one.
 * Verification: candidate pairs are compared by the exact Jaccard similarity of their sets of
   five-word runs; links are pairs of ``threshold`` or more.
 * Classes are the connected components of the links.
@@ -134,6 +136,15 @@ def band_keys(signatures: np.ndarray, bands: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _unit_keys(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the documents in which a run recurs, and their band keys with all weights 1."""
+    plain = np.unique(doc[weight > 1])
+    some = np.isin(doc, plain)
+    at = np.searchsorted(plain, doc[some])
+    signatures = prob_minhash(at, element[some], np.ones(len(at)), len(plain), bands * rows)
+    return plain, band_keys(signatures, bands)
+
+
 def _sketcher(bands: int, rows: int, width: int):
     schema = pa.schema(
         [("doc_id", pa.int64()), ("digest", pa.binary()), ("n", pa.int32()), ("keys", pa.list_(pa.int64()))]
@@ -149,14 +160,21 @@ def _sketcher(bands: int, rows: int, width: int):
         n = np.bincount(doc, minlength=len(texts))
         some = np.flatnonzero(n)
         number = np.cumsum(n > 0) - 1
-        keys = band_keys(prob_minhash(number[doc], element, weight, len(some), bands * rows), bands)
-        offsets = np.r_[0, np.cumsum(np.where(n > 0, bands, 0))].astype(np.int32)
+        at = number[doc]
+        keys = band_keys(prob_minhash(at, element, weight, len(some), bands * rows), bands)
+        plain, unit = _unit_keys(at, element, weight, bands, rows)
+        new = unit != keys[plain]
+        owner = np.r_[np.repeat(np.arange(len(some)), bands), np.repeat(plain, bands)[new.reshape(-1)]]
+        keys = np.r_[keys.reshape(-1), unit[new]][np.argsort(owner, kind="stable")]
+        many = np.zeros(len(texts), dtype=np.int64)
+        many[some] = np.bincount(owner, minlength=len(some))
+        offsets = np.r_[0, np.cumsum(many)].astype(np.int32)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(ids, pa.int64()),
                 pa.array(digests, pa.binary()),
                 pa.array(n.astype(np.int32)),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1))),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys)),
             ],
             schema=schema,
         )
@@ -279,7 +297,7 @@ def near_classes(
         lead = staged(
             members.filter("minor").withColumn("rank", rank).filter(F.col("rank") <= leaders).drop("rank"), "leaders"
         )
-        # What is still open is small; there a pair is made in the first band that it shares, and not in each.
+        # What is still open is small; there a pair is made in one bucket that it shares, and not in each.
         reps = members.select(F.col("rep").alias("doc_id")).distinct()
         keys = staged(known.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "keys"), "open-keys")
         names = ("rep", "n", "u", "i", "bits", "label")
@@ -291,7 +309,7 @@ def near_classes(
             .filter("rep_x <> rep and label_x <> label")
             .filter(f"least(u_x, u) >= {threshold} * (n_x + n - least(u_x, u))")
             .filter(_in_reach(threshold))
-            .filter(_first_shared())
+            .filter(_least_shared())
             .select(F.least("rep_x", "rep").alias("a"), F.greatest("rep_x", "rep").alias("b"))
             .distinct()
         )
@@ -377,10 +395,9 @@ def _in_reach(threshold: float) -> Column:
     return F.coalesce(most >= threshold * (F.col("n_x") + F.col("n") - most), F.lit(True))
 
 
-def _first_shared() -> Column:
-    """Whether this bucket is the first band that both members share."""
-    same = F.zip_with("keys_x", "keys", lambda a, b: a == b)
-    return F.try_element_at("keys_x", F.array_position(same, F.lit(True)).cast("int")) == F.col("bucket")
+def _least_shared() -> Column:
+    """Whether this bucket is the one with the smallest key of those that both members share."""
+    return F.array_min(F.array_intersect("keys_x", "keys")) == F.col("bucket")
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:

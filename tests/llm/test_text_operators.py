@@ -116,6 +116,14 @@ def test_ratios_choose_outside_a_landmark_that_misses_the_article():
     assert html_extract.main_text(PAGE.format(body=body)).split("\n") == ["Head", *LONG, "Tiny."]
 
 
+def test_names_of_headings_and_paragraphs_in_the_article_drop_nothing():
+    names = ["search", "cookies", "social-history", "navier-stokes", "navy"]
+    heads = "".join(f"<h2 id={n}>About {n}</h2><p>{x}</p>" for n, x in zip(names, LONG, strict=True))
+    body = f'<article>{heads}<section id="related-work"><h2>Work</h2><p class="notice">{LONG[0]}</p></section><div id="navy"><p>{LONG[1]}</p></div><div class="navbar"><p>{LONG[2]}</p></div></article>'
+    want = [y for n, x in zip(names, LONG, strict=True) for y in (f"About {n}", x)]
+    assert html_extract.main_text(PAGE.format(body=body)).split("\n") == [*want, "Work", LONG[0], LONG[1]]
+
+
 def test_extraction_against_the_known_article(spark):
     import html as h
 

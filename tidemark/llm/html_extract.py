@@ -11,7 +11,7 @@ between paths (how many tags differ) and fused as text ratio x (1 + punctuation
 whose fused ratio reaches ``share`` of the page's mean over paths (weighted by text) are content.  A
 path below an element that says it is a menu, header, footer, sidebar, notice, advert, form,
 comment section, script or style has the fused ratio 0; for one below an element that says it
-is the article the fused ratio counts ``landmark`` times.  Ratios choose on every page: a link list inside
+is the article (where what paragraphs, headings, lists and tables are called, and sections' ids, say nothing) the fused ratio counts ``landmark`` times.  Ratios choose on every page: a link list inside
 the landmark falls, and rich text outside it stays.
 
 Headings, lists and short paragraphs stay with content in the same element: on a page that says what its article
@@ -62,7 +62,7 @@ LANDMARK = {"article", "main"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 TEXTUAL = set("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tr td th caption figure figcaption".split())
 _ASIDE_WORDS = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|adbox|adslot|banner|sponsor\w*|promo\w*|nav\w*|menus?|breadcrumbs?|masthead|sidebar|side-bar|widget\w*|footer|foot|header|cookies?|consent|notice|notification|gdpr|popup|modal|newsletter|subscribe|signup|login|search|share|social|related|recommend\w*|comments?|reply|replies|disqus|respond|pagination|pager|toolbar|skip)(?:[^a-z]|$)",
+    r"(?:^|[^a-z])(?:ads?|advert\w*|adbox|adslot|banner|sponsor\w*|promo\w*|nav(?:s|bars?|igations?|menus?|links?|list|box|items?)?|menus?|breadcrumbs?|masthead|sidebar|side-bar|widget\w*|footer|foot|header|cookies?|consent|notice|notification|gdpr|popup|modal|newsletter|subscribe|signup|login|search|share|social|related|recommend\w*|comments?|reply|replies|disqus|respond|pagination|pager|toolbar|skip)(?:[^a-z]|$)",
     re.I,
 )
 _ARTICLE_WORDS = re.compile(r"(?:^|[^a-z])(?:article|article-?body|post-?body|post-?content|entry-?content|story-?body|main-?content)(?:[^a-z]|$)", re.I)
@@ -88,7 +88,10 @@ def _stance(tag: str, attributes: str, inside: bool) -> str:
     if names and tag not in ("html", "body"):
         if _ARTICLE_WORDS.search(names):
             return "+"
-        if _ASIDE_WORDS.search(names):
+        if inside and tag in TEXTUAL:
+            return ""
+        # In an article, a section's id is the anchor of its heading.
+        if _ASIDE_WORDS.search(said.get("class", "") if inside and tag == "section" else names):
             return "-"
     return ""
 

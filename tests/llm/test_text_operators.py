@@ -67,6 +67,13 @@ def test_surrogates_are_distinct_and_stable(spark):
     assert replaced(spark, texts, literal_limit=0) == got  # keyed anew by a join instead of a literal
 
 
+def test_surrogates_of_cards_in_pairs_and_of_long_tokens(spark):
+    texts = ["pay 41 11 11 11 11 11 11 11 now", "token " + "0a1b" * 50]
+    got = replaced(spark, texts)
+    assert got[0][1] == got[1][1] == 1 and got[0][0] != texts[0] and got[1][0] != texts[1]
+    assert re.fullmatch(r"pay [0-9]{2}(?: [0-9]{2}){7} now", got[0][0]) and re.fullmatch(r"token [0-9a-f]{200}", got[1][0])
+
+
 def test_surrogates_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert pii.pseudonymised(df, "key").count() == 0

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import documents, staged
 
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}"
-SECRET = r"(?<![0-9A-Za-z])(?=[0-9a-f]*[a-f])[0-9a-f]{32,128}(?![0-9A-Za-z])"
+SECRET = r"(?<![0-9A-Za-z])(?=[0-9a-f]*[a-f])[0-9a-f]{32,}(?![0-9A-Za-z])"
 CARD = r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])"
 PHONE = r"\+[0-9]{1,3}[ .\-]?\(?[0-9]{2,4}\)?[ .\-]?[0-9]{2,4}[ .\-]?[0-9]{3,5}(?![0-9])|(?<![0-9])\(?[0-9]{3}\)?[ .\-][0-9]{3}[ .\-][0-9]{4}(?![0-9])"
 IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"
@@ -45,7 +45,7 @@ NAME = rf"(?<!\p{{L}})(?:{FEMALE}|{MALE}|{EITHER})\.?[  ]{PART}(?:[  ]{PART})?
 #: In this order; at one place the first that matches wins.
 ENTITY = "|".join((EMAIL, SECRET, SSN, IP, PHONE, CARD, NAME))
 #: A text without any of these has no entity.
-HINT = rf"[@]|[0-9]{{3}}|[0-9]\.[0-9]|[0-9a-f]{{32}}|(?:{FEMALE}|{MALE}|{EITHER})"
+HINT = rf"[@]|[0-9]{{3}}|[0-9]\.[0-9]|[0-9a-f]{{32}}|[0-9](?:[ \-]?[0-9]){{12}}|(?:{FEMALE}|{MALE}|{EITHER})"
 
 # Syllables of made-up names, by script, and the endings by gender.
 SYLLABLES = {

@@ -57,7 +57,7 @@ def test_surrogates_keep_type_and_format(spark):
 def test_surrogates_are_distinct_and_stable(spark):
     emails = [f"{a}{b}@x.example.com" for a in "abcdefgh" for b in "0123456789"]
     phones = [f"+1 (555) 555-{i:04d}" for i in range(200)]
-    cards = [f"{4000000000000000 + i * 7}" for i in range(200)]
+    cards = [f"{4000000000000000 + i * 10 + -luhn(f'{4000000000000000 + i * 10}') % 10}" for i in range(200)]
     names = [f"Mr. {chr(65 + i // 26)}{chr(97 + i % 26)}n" for i in range(400)]
     texts = [" ; ".join(x) for x in (emails, phones, cards, names)]
     got = replaced(spark, texts)

@@ -131,6 +131,36 @@ def test_names_of_headings_and_paragraphs_in_the_article_drop_nothing():
     assert html_extract.main_text(PAGE.format(body=body)).split("\n") == [*want, "Work", LONG[0], LONG[1]]
 
 
+def test_a_telling_name_alone_loses_no_article():
+    story = "".join(f"<p>{x}</p>" for x in LONG)
+    for body in (
+        f'<div class="post share-story">{story}</div>', f'<article class="search">{story}</article>', f'<main><section class="related-work">{story}</section></main>',
+        f'<div class="social">{story}</div>', f"<article>Word</article><div>{story}</div>", f'<div class="share">{story}</div><div>Copyright</div>',
+    ):
+        assert html_extract.main_text(f"<html><body>{body}</body></html>").split("\n")[:5] == LONG or body.startswith("<article>Word"), body
+    assert html_extract.main_text(f"<article>Word</article><div>{story}</div>").split("\n")[-5:] == LONG
+    body = f'<div class="post">{story}</div><div class="post-comments"><p>{LONG[0]} I say.</p></div><div class="ad-slot-top">{LONG[1]} Buy.</div><div class="relatedPosts"><p>{LONG[2]} Too.</p></div>'
+    assert html_extract.main_text(body).split("\n") == LONG
+
+
+def test_tags_that_are_broken_end_where_the_next_begins():
+    story = "".join(f"<p>{x}</p>" for x in LONG)
+    got = html_extract.main_text(f'<article><h1><a href="x>Head</a></h1>{story}<p title=\'a > b\'>Tiny "quoted" one.</p><p class="c"<b>Bold</b> end.</p></article>')
+    assert got.split("\n") == ["Head", *LONG, 'Tiny "quoted" one.', "Bold end."]
+    assert html_extract.main_text("<p>1 < 2 and 3 > 2, so 2<3</p>") == "1 < 2 and 3 > 2, so 2<3"
+
+
+@pytest.mark.parametrize(
+    "page", ["<a " * 330_000 + "'", "<a href='" * 100_000, "<div>" * 200_000, "<div><b>x" * 60_000, "</p>" * 250_000 + "<div>" * 900, "<!--" * 250_000, "".join(f"<p class=c{i}>x</p>" for i in range(20_000)), "<script>" * 100_000, "a " * 500_000]
+)
+def test_hostile_pages_take_linear_time(page):
+    import time
+
+    start = time.process_time()
+    html_extract.main_text(page)
+    assert time.process_time() - start < 6
+
+
 def test_extraction_against_the_known_article(spark):
     import html as h
 

@@ -111,8 +111,30 @@ def test_near_classes_against_brute_force(spark):
     texts += ["one two", "one two", "ONE  two", "three four five six seven", "", None, " \n", "x", "long word list " * 3000]
     pairs = list(enumerate(texts))
     rng.shuffle(pairs)
-    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(docs(spark, pairs)).collect()}
+    rows = near_dedup.near_classes(docs(spark, pairs)).collect()
+    got = {r["doc_id"]: r["class_id"] for r in rows}
     assert got == brute_classes(pairs)
+    # A document whose class holds another text has a link, and only such a one.
+    words = {i: " ".join((t or "").lower().split()) for i, t in pairs}
+    members = defaultdict(set)
+    for i, c in got.items():
+        members[c].add(words[i])
+    assert {r["doc_id"] for r in rows if r["links"]} == {i for i, c in got.items() if len(members[c]) > 1}
+
+
+@pytest.mark.parametrize("times", [2, 5, 16, 64, 100])
+def test_keys_are_shared_by_copies_with_a_repeated_line(times):
+    """Recall of the candidates at a plain similarity of 0.8 and above, whatever the weights are."""
+    rng = random.Random(times)
+    texts = []
+    for k in range(100):
+        words = [f"w{k}x{i}" for i in range(84)]
+        line = [f"l{k}x{i}" for i in range(rng.choice([8, 12, 15]))]
+        texts += [" ".join(words), " ".join(words + line * times)]
+    batch = near_dedup.pa.RecordBatch.from_arrays([near_dedup.pa.array(range(len(texts))), near_dedup.pa.array(texts)], names=["doc_id", "text"])
+    keys = [set(x) for out in near_dedup._sketcher(32, 6, 5)(iter([batch])) for x in out.column(3).to_pylist()]
+    similar = [k for k in range(0, len(texts), 2) if len(runs(texts[k]) & runs(texts[k + 1])) >= 0.8 * len(runs(texts[k]) | runs(texts[k + 1]))]
+    assert len(similar) > 50 and sum(bool(keys[k] & keys[k + 1]) for k in similar) >= 0.99 * len(similar)
 
 
 def test_near_classes_of_copies_with_a_much_repeated_passage(spark):
@@ -130,7 +152,7 @@ def test_near_classes_of_copies_with_a_much_repeated_passage(spark):
 def test_near_classes_of_odd_rows(spark):
     pairs = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")]
     got = sorted((tuple(r) for r in near_dedup.near_classes(docs(spark, pairs)).collect()), key=str)
-    assert got == sorted([(1, 1, 2, True), (1, 1, 2, True), (2, 1, 2, False), (None, None, 2, True)], key=str)
+    assert got == sorted([(1, 1, 2, 0, True), (1, 1, 2, 0, True), (2, 1, 2, 0, False), (None, None, 2, 0, True)], key=str)
     assert near_dedup.near_classes(docs(spark, pairs).limit(0)).count() == 0
 
 

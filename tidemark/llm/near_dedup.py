@@ -22,10 +22,17 @@ bucket is sixteen times larger each round, and rounds end when no bucket has an
 candidate pair is compared, or is in one class already, or is ruled out by an exact bound
 (``_bounds``, ``_in_reach``): no cap, no loss.
 
+Hot keys: a bucket or a text with over a ``HOT``-th of the documents is split into ``PARTS`` parts by its members' ids
+before a join, and what it is joined with is copied to each; there are at most ``HOT`` such texts and ``HOT`` x keys such
+buckets, whatever the size of the corpus, so they are broadcast.  A bucket's leaders are ranked in parts first.
+
+``links`` of a document are the other texts that it was compared with and found similar to; two documents that were in one class
+already are not compared, so a class is connected by these links but does not list all its pairs.
+
 Links, labels and keys stay in tables; the driver sees counts only.
 
 Null and empty texts (no words) are equal word sequences, so one class.  Rows that repeat an id
-are one document.  A row with a null id is its own class, with null class_id, and is kept.
+are one document.  A row with a null id is its own class, with null class_id and no links, and is kept.
 An empty table gives an empty result.  Other columns are ignored.
 """
 
@@ -44,6 +51,8 @@ from .common import documents, process_cache, staged, text_or_empty
 CACHED_WORDS = 300_000
 #: Characters of text and documents that are sketched at a time (a longer document alone).
 CHUNK_CHARS, CHUNK_DOCS = 2_000_000, 4_000
+#: A key is hot if it has over a ``HOT``-th of the documents, and is then dealt out in so many parts.
+HOT, PARTS = 1_000, 32
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _PRIME = np.uint64(0x100000001B3)
 
@@ -261,51 +270,51 @@ def near_classes(
     bands: int = 32,
     rows: int = 6,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id (smallest id of its class), n_shingles, kept."""
+    """One row per row of ``docs``: doc_id, class_id (smallest id of its class), n_shingles, links, kept."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     sketches = staged(
         texts.mapInArrow(_sketcher(bands, rows, width), "doc_id long, digest binary, n int, keys array<long>"),
         "sketches",
     )
     known = sketches.filter("doc_id is not null")
-    folded = known.groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")
+    many = known.count() // HOT + 1
+    folded = staged(
+        known.groupBy("digest").agg(
+            F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies")
+        ),
+        "folded",
     )
-    member = _shared(folded.select("rep", F.explode("keys").alias("bucket")))
+    member = _shared(folded.select("rep", F.explode("keys").alias("bucket")), many)
     member = staged(member, "bucket-members")
     wanted = member.select(F.col("rep").alias("doc_id")).distinct()
     sources = staged(texts.join(wanted, "doc_id", "left_semi"), "candidate-texts")
     bounds = staged(_bounds(sources, width).filter(f"u >= {threshold} * n"), "bounds")
-    members = staged(_shared(member.join(bounds, "rep").select("bucket", "rep", "n", "u")), "bounded-members")
+    members = staged(_shared(member.join(bounds, "rep").select("bucket", "rep", "n", "u"), many), "bounded-members")
 
     # First every member meets its bucket's head: of its members the one that shares most of its runs.
     order = F.struct((-F.col("u") / F.col("n")).alias("o"), "rep")
-    heads = members.groupBy("bucket").agg(F.min_by(F.struct("rep", "n", "u"), order).alias("h"))
-    headed = members.join(heads, "bucket").select(
+    heads = members.groupBy("bucket").agg(F.min_by(F.struct("rep", "n", "u"), order).alias("h"), F.count(F.lit(1)).alias("size"))
+    headed = _dealt(members, heads, "bucket", "rep", F.col("size") > many).select(
         "bucket", "rep", "n", "u", F.col("h.rep").alias("head"), F.col("h.n").alias("hn"), F.col("h.u").alias("hu")
     ).filter("rep <> head")
     first = headed.filter(f"least(u, hu) >= {threshold} * (n + hn - least(u, hu))").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
     met = staged(_compared(staged(first, "pairs"), sources, width), "compared")
     found = met.filter(F.col("similarity") >= threshold).select("a", "b")
-    labels = components(found)
+    labels, all_links = components(found), found
     seen = met.select(F.col("a").alias("head"), F.col("b").alias("rep"), F.col("both").alias("i"), "bits")
-    members = _open(headed.select("bucket", "rep", "n", "u", "head").join(seen, ["head", "rep"], "left"), labels)
+    members = _open(headed.select("bucket", "rep", "n", "u", "head").join(seen, ["head", "rep"], "left"), labels, many)
     tested, leaders = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), 16
     while not members.isEmpty():
-        # Spark keeps the first ranks of each input partition before it shuffles for the window.
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy(-F.col("u") / F.col("n"), "rep"))
-        lead = staged(
-            members.filter("minor").withColumn("rank", rank).filter(F.col("rank") <= leaders).drop("rank"), "leaders"
-        )
+        lead = staged(_leaders(members.filter("minor"), leaders), "leaders")
         # What is still open is small; there a pair is made in one bucket that it shares, and not in each.
         reps = members.select(F.col("rep").alias("doc_id")).distinct()
-        keys = staged(known.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "keys"), "open-keys")
+        keys = staged(folded.select(F.col("rep").alias("doc_id"), "keys").join(reps, "doc_id", "left_semi"), "open-keys")
         names = ("rep", "n", "u", "i", "bits", "label")
-        left = lead.select("bucket", *[F.col(c).alias(f"{c}_x") for c in names])
+        left = lead.select("bucket", "size", *[F.col(c).alias(f"{c}_x") for c in names])
         left = left.join(keys.select(F.col("doc_id").alias("rep_x"), F.col("keys").alias("keys_x")), "rep_x")
-        right = members.join(keys.select(F.col("doc_id").alias("rep"), "keys"), "rep")
+        right = members.drop("size").join(keys.select(F.col("doc_id").alias("rep"), "keys"), "rep")
         made = (
-            left.join(right, "bucket")
+            _dealt(right, left, "bucket", "rep", F.col("size") > many)
             .filter("rep_x <> rep and label_x <> label")
             .filter(f"least(u_x, u) >= {threshold} * (n_x + n - least(u_x, u))")
             .filter(_in_reach(threshold))
@@ -316,27 +325,51 @@ def near_classes(
         pairs = staged(made.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.unionByName(pairs)
         links = staged(_compared(pairs, sources, width).filter(F.col("similarity") >= threshold).select("a", "b"), "links")
+        all_links = all_links.unionByName(links)
         labels = _joined(labels, links)
         retired = lead.select("bucket", "rep")
-        members = _open(members.drop("label", "minor").join(retired, ["bucket", "rep"], "left_anti"), labels)
+        members = _open(members.drop("label", "minor", "size").join(retired, ["bucket", "rep"], "left_anti"), labels, many)
         leaders *= 16
-    of = folded.select("digest", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
-    of = of.select("digest", F.coalesce("label", "rep").alias("class_id"))
-    out = known.select("doc_id", "digest", "n").join(of, "digest")
-    nameless = sketches.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), "n")
+    ends = all_links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    of = folded.select("digest", "rep", "copies").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").join(ends, "rep", "left")
+    of = of.select("digest", "copies", F.coalesce("label", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    out = _dealt(known.select("doc_id", "digest", "n"), of, "digest", "doc_id", F.col("copies") > many)
+    nameless = sketches.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), "n", F.lit(0).cast("long").alias("links"))
     return (
-        out.select("doc_id", "class_id", "n")
+        out.select("doc_id", "class_id", "n", "links")
         .unionByName(nameless)
         .select(
-            "doc_id", "class_id", F.col("n").alias("n_shingles"), F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept")
+            "doc_id", "class_id", F.col("n").alias("n_shingles"), "links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept")
         )
     )
 
 
-def _shared(members: DataFrame) -> DataFrame:
+def _part(spread: str) -> Column:
+    return F.pmod(F.xxhash64(spread), F.lit(PARTS)).cast("int")
+
+
+def _dealt(rows: DataFrame, few: DataFrame, key: str, spread: str, hot: Column) -> DataFrame:
+    """``rows`` joined with ``few``, which has few rows a key; where ``few`` says that a key is hot, its rows are dealt out by ``spread``."""
+    names = F.broadcast(few.filter(hot).select(key, F.lit(1).alias("_hot")).distinct())
+    part = F.when(F.col("_hot").isNotNull(), _part(spread)).otherwise(0)
+    left = rows.join(names, key, "left").withColumn("_part", part).drop("_hot")
+    copies = F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0))))
+    return left.join(few.withColumn("_part", copies), [key, "_part"]).drop("_part")
+
+
+def _shared(members: DataFrame, many: int) -> DataFrame:
     """Members of buckets that hold more than one document."""
-    several = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket")
-    return members.join(several, "bucket")
+    several = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    return _dealt(members, several, "bucket", "rep", F.col("size") > many).drop("size")
+
+
+def _leaders(minor: DataFrame, leaders: int) -> DataFrame:
+    """Each bucket's first few members: first of its parts, then of what they leave, so no task sees a whole bucket."""
+    order = [-F.col("u") / F.col("n"), F.col("rep")]
+    for keys in (["bucket", "_part"], ["bucket"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        minor = minor.withColumn("_part", _part("rep")).withColumn("rank", rank).filter(F.col("rank") <= leaders).drop("rank")
+    return minor.drop("_part")
 
 
 def _bounds(sources: DataFrame, width: int) -> DataFrame:
@@ -416,16 +449,16 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return staged(moved.unionByName(new), "labels")
 
 
-def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets that hold several classes, with label and minor (not of its largest class)."""
+def _open(members: DataFrame, labels: DataFrame, many: int) -> DataFrame:
+    """Members of buckets that hold several classes, with label, minor (not of its largest class) and the bucket's size."""
     at = members.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn(
         "label", F.coalesce("label", "rep")
     )
     by_class = at.groupBy("bucket", "label").count()
     of = by_class.groupBy("bucket").agg(
-        F.max_by("label", F.struct("count", "label")).alias("major"), F.count(F.lit(1)).alias("classes")
+        F.max_by("label", F.struct("count", "label")).alias("major"), F.count(F.lit(1)).alias("classes"), F.sum("count").alias("size")
     )
-    several = at.join(of.filter("classes > 1").select("bucket", "major"), "bucket")
+    several = _dealt(at, of.filter("classes > 1").select("bucket", "major", "size"), "bucket", "rep", F.col("size") > many)
     several = several.withColumn("minor", F.col("label") != F.col("major"))
     return staged(several.drop("major"), "open-members")
 

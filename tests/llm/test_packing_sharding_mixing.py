@@ -1,7 +1,10 @@
 """Operators 1, 2 and 4 against brute force and their laws."""
 
+import itertools
+import math
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -131,45 +134,80 @@ def test_pfair_deviates_by_less_than_one_block(counts):
         assert all(abs(done[x] - t * n / period) < 1 for x, n in share.items())
 
 
+def brute_edf(sizes, weights, block_rows):
+    """Every slot looks at every source: of those whose next block is released the one with the earliest deadline, then by name."""
+    left = {s: -(-n // block_rows) for s, n in sizes.items() if n}
+    done, slot, out = dict.fromkeys(left, 0), 0, []
+    while left:
+        live = {s: Fraction(weights[s]) for s in left if weights.get(s, 0) > 0} or {s: Fraction(sizes[s]) for s in left}
+        total, had, t = sum(live.values()), dict.fromkeys(live, 0), 0
+        while all(done[s] < left[s] for s in live):
+            w = {s: x / total for s, x in live.items()}
+            s = min((s for s in live if math.floor(had[s] / w[s]) <= t), key=lambda s: (math.ceil((had[s] + 1) / w[s]), s))
+            out.append((s, done[s], slot))
+            had[s], done[s], slot, t = had[s] + 1, done[s] + 1, slot + 1, t + 1
+        left = {s: n for s, n in left.items() if done[s] < n}
+    return out
+
+
 @settings(max_examples=40, deadline=None)
-@given(st.dictionaries(st.sampled_from("abcdef"), st.integers(0, 60), min_size=1), st.integers(1, 9))
-def test_phases_place_every_block_once(blocks, w):
-    weights = {s: (i + w) / 3 for i, s in enumerate(sorted(blocks))}
-    phases = mixing.pfair_phases(blocks, weights, 50)
-    slots = [x for s, n in blocks.items() if n for x in mixing.slots_of(phases, s, np.arange(n))[0]]
-    assert sorted(slots) == list(range(sum(blocks.values())))
-
-
-def test_phases_keep_to_the_unrounded_weights():
-    blocks = {**{f"s{i:02d}": 700 + 13 * i for i in range(20)}, "hot": 9000, "tiny": 3}
-    weights = {s: n**0.5 for s, n in blocks.items()} | {"tiny": 1e-3}
-    phases = mixing.pfair_phases(blocks, weights)
-    turn = np.empty(sum(blocks.values()), dtype=object)
-    for s, n in blocks.items():
-        turn[mixing.slots_of(phases, s, np.arange(n))[0]] = s
-    ends = [p["slot"] for p in phases[1:]] + [len(turn)]
-    assert ends[0] > 10_000
-    for phase, end in zip(phases, ends, strict=True):
-        total = sum(weights[s] for s in phase["sources"])
-        t = np.arange(1, end - phase["slot"] + 1)
-        for s in phase["sources"]:
-            done = np.cumsum(turn[phase["slot"] : end] == s)
-            assert np.abs(done - weights[s] / total * t).max() < 1 + 1e-9, s
+@given(st.dictionaries(st.sampled_from("abcdef"), st.integers(0, 90), min_size=1), st.integers(1, 9), st.integers(1, 4))
+def test_schedule_is_that_of_a_brute_force(sizes, w, block_rows):
+    weights = {s: (i + w) / 3 for i, s in enumerate(sorted(sizes)) if s != "f"}
+    got = list(mixing.pfair_schedule(sizes, weights, block_rows))
+    assert [x[:3] for x in got] == brute_edf(sizes, weights, block_rows)
+    # Positions are gapless.
+    at = 0
+    for s, j, _, _, first in got:
+        assert first == at
+        at += min(block_rows, sizes[s] - j * block_rows)
+    assert at == sum(sizes.values())
+
+
+def test_a_million_slots_of_ten_thousand_sources_keep_to_the_given_weights():
+    rng = np.random.default_rng(7)
+    weight = {f"s{i:05d}": float(x) for i, x in enumerate(np.exp(rng.normal(0, 2, 10_000)))}
+    total, names = math.fsum(weight.values()), sorted(weight)
+    share = mixing.whole_weights(weight)
+    assert share["s00001"] * Fraction(weight["s00002"]) == share["s00002"] * Fraction(weight["s00001"])
+    turn = np.fromiter((int(s[1:]) for s in itertools.islice(mixing.pfair_slots(share), 1_000_000)), dtype=np.int64)
+    w = np.array([weight[s] / total for s in names])
+    order = np.argsort(turn, kind="stable")  # slots of each source, in order
+    rank = np.arange(len(turn)) - np.repeat(np.searchsorted(turn[order], np.arange(10_000)), np.bincount(turn, minlength=10_000))
+    # Deviation is largest just before and just after a block: j blocks at slot t, j + 1 at slot t + 1.
+    t, s = order.astype(np.float64), turn[order]
+    assert np.abs(rank - w[s] * t).max() < 1 + 1e-6 and np.abs(rank + 1 - w[s] * (t + 1)).max() < 1 + 1e-6
+    assert np.abs(np.bincount(turn, minlength=10_000) - w * 1_000_000).max() < 1 + 1e-6
 
 
 def test_mixing_positions(spark):
     texts = [f"t{i}" for i in range(700)]
     df = docs(spark, texts, ("hot", "hot", "hot", "a", None))
-    rows = sorted(mixing.mix_positions(df, {"hot": 1, "a": 1, "": 2}, block_rows=10, resolution=40).collect(), key=lambda r: r["_position"])
+    rows = sorted(mixing.mix_positions(df, {"hot": 1, "a": 1, "": 2}, block_rows=10).collect(), key=lambda r: r["_position"])
     assert [r["_position"] for r in rows] == list(range(700))
     assert sorted(r["_row"]["doc_id"] for r in rows) == list(range(700))
     first = [r for r in rows if r["_phase"] == 0]
     n = Counter(r["_source"] for r in first)
     assert abs(n[""] - len(first) / 2) <= 10 and abs(n["hot"] - len(first) / 4) <= 10
-    mixed = mixing.mixed(df, {"hot": 1, "a": 1, "": 2}, block_rows=10, resolution=40)
+    mixed = mixing.mixed(df, {"hot": 1, "a": 1, "": 2}, block_rows=10)
     assert mixed.columns == df.columns and [r["doc_id"] for r in mixed.collect()] == [r["_row"]["doc_id"] for r in rows]
 
 
+def test_packing_keeps_the_order_of_the_mixture_from_buffer_to_buffer(spark):
+    """Within ``buffer_tokens`` of the order pieces are sorted into sequences; from one buffer to the next the order holds."""
+    df = docs(spark, [f"{'word ' * 40}{i}" for i in range(600)], ("hot", "hot", "a")).repartition(1)
+    ordered = mixing.mixed(df).coalesce(1)
+    place = {r["doc_id"]: k for k, r in enumerate(ordered.collect())}
+    pieces = packing.pack(ordered, buffer_tokens=8192).collect()
+    first = defaultdict(lambda: 10**9)
+    last = defaultdict(int)
+    for r in pieces:
+        first[r["sequence_id"]], last[r["sequence_id"]] = min(first[r["sequence_id"]], place[r["doc_id"]]), max(last[r["sequence_id"]], place[r["doc_id"]])
+    spread = max(last[q] - first[q] for q in first)
+    tokens = sum(r["length"] for r in pieces) / 600
+    assert len(first) > 6 and spread <= 3 * 8192 / tokens < 600
+
+
 def test_mixing_of_little(spark):
     assert mixing.mix_positions(docs(spark, ["a"]).limit(0)).count() == 0
     same = spark.createDataFrame([(None, None, None)] * 3 + [(1, "x", "s")] * 2, "doc_id long, text string, source string")

@@ -8,14 +8,20 @@ after t slots of a phase a source has had w * t blocks with less than one block
 Weights are taken as they are: a floating-point number is a fraction, and releases and deadlines are
 whole numbers computed from fractions, so nothing is rounded however long a phase is.  When a
 source has run out, the weights of the others are scaled up and a new phase begins; no row is dropped or
-repeated.  The driver walks through the slots (one per block of rows) once and holds, per source and
-``resolution`` slots, how many blocks the source has had by then; tasks walk from there to the
-slots of their own blocks.
+repeated.
+
+Where things are: sizes of sources are counted by Spark and stay there.  The slots of a schedule depend on each
+other, so one task walks through them; it reads one row a source, holds a few numbers a source, and
+streams out one row a block: ``block_rows`` rows of the corpus, a parameter to be raised with the corpus (32 rows a
+block suit a small one; a million blocks take a few seconds).  The schedule is a staged table, which Spark broadcasts
+if it is small and shuffles if not.  The driver holds no table.
 
 Ranks within a source come from a salted count: (source, salt) cells are ranked on their own,
 and the sizes of the cells before a cell are its offset.  A source with a third of all rows is
 so spread over ``salts`` tasks.
 
+``mixed`` deals the rows to partitions by their position itself, so no range has to be sampled.
+
 A null source is the source "".  Rows may repeat.  Null and empty texts are rows like others.
 An empty table gives an empty result.  A source without a given weight, or with weight 0 or
 less, is scheduled after all sources with a weight, in proportion to its size.
@@ -29,12 +35,14 @@ from collections.abc import Iterator
 from fractions import Fraction
 from itertools import islice
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, shuffle_width
+from .common import documents, shuffle_width, staged
+
+#: Rows of the schedule that are sent on at a time.
+BATCH = 50_000
 
 
 def whole_weights(weights: dict[str, float]) -> dict[str, int]:
@@ -46,13 +54,13 @@ def whole_weights(weights: dict[str, float]) -> dict[str, int]:
     return {s: n // common for s, n in whole.items()}
 
 
-def pfair_slots(share: dict[str, int], done: dict[str, int] | None = None, slot: int = 0) -> Iterator[str]:
-    """The source of each slot from ``slot`` on, if sources have had ``done`` blocks before it."""
-    period, done = sum(share.values()), dict(done or dict.fromkeys(share, 0))
-    waiting = [(done[s] * period // n, s) for s, n in share.items()]
-    heapq.heapify(waiting)
+def pfair_slots(share: dict[str, int]) -> Iterator[str]:
+    """The source of each slot of a phase."""
+    period, done, slot = sum(share.values()), dict.fromkeys(share, 0), 0
     # A source's next block alone stands for the source: later ones have later deadlines.
-    ready: list[tuple[int, str]] = []
+    ready = [(-(-period // n), s) for s, n in share.items()]
+    heapq.heapify(ready)
+    waiting: list[tuple[int, str]] = []
     while True:
         while waiting and waiting[0][0] <= slot:
             s = heapq.heappop(waiting)[1]
@@ -69,56 +77,46 @@ def pfair_period(share: dict[str, int]) -> list[str]:
     return list(islice(pfair_slots(share), sum(share.values())))
 
 
-def pfair_phases(blocks: dict[str, int], weights: dict[str, float], resolution: int = 1000) -> list[dict]:
-    """Phases of the schedule: first slot, whole weights, and for each source its first block, its number
-    of blocks in the phase, and how many of them it has had before each stretch of ``resolution`` slots."""
-    left, done = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0)
-    out, at = [], 0
-    while left:
-        live = {s: float(weights.get(s) or 0) for s in left}
-        live = {s: w for s, w in live.items() if w > 0} or {s: float(blocks[s]) for s in left}
-        share = whole_weights(live)
-        had, stretches, slots = dict.fromkeys(share, 0), [], 0
-        for s in pfair_slots(share):
-            if slots % resolution == 0:
-                stretches.append(list(had.values()))
-            had[s] += 1
-            slots += 1
-            if had[s] == left[s]:
-                break
-        phase = {"slot": at, "share": share, "every": resolution, "sources": {}}
-        for s, before in zip(share, np.array(stretches, dtype=np.int64).T, strict=True):
-            phase["sources"][s] = {"block": done[s], "blocks": had[s], "had": before}
-            done[s] += had[s]
-            left[s] -= had[s]
-        left = {s: n for s, n in left.items() if n}
-        out.append(phase)
-        at += slots
-    return out
-
-
-def slots_of(phases: list[dict], source: str, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slot and phase of each of a source's blocks."""
-    slot, which = np.zeros(len(block), dtype=np.int64), np.zeros(len(block), dtype=np.int32)
-    for p, phase in enumerate(phases):
-        x = phase["sources"].get(source)
-        if x is None or not x["blocks"]:
-            continue
-        here = np.flatnonzero((block >= x["block"]) & (block < x["block"] + x["blocks"]))
-        if not len(here):
-            continue
-        j, inverse = np.unique(block[here] - x["block"], return_inverse=True)
-        stretch = np.searchsorted(x["had"], j, side="right") - 1
-        at = np.zeros(len(j), dtype=np.int64)
-        for k, first in zip(*np.unique(stretch, return_index=True), strict=True):
-            had = {s: int(y["had"][k]) for s, y in phase["sources"].items()}
-            turn = islice(pfair_slots(phase["share"], had, int(k) * phase["every"]), phase["every"])
-            places = np.array([i for i, s in enumerate(turn) if s == source], dtype=np.int64)
-            some = slice(first, first + int((stretch == k).sum()))
-            at[some] = k * phase["every"] + places[j[some] - had[source]]
-        slot[here] = phase["slot"] + at[inverse]
-        which[here] = p
-    return slot, which
+def pfair_schedule(sizes: dict[str, int], weights: dict[str, float], block_rows: int) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, block, slot, phase, position of the block's first row) of all blocks, in slot order."""
+    left = {s: -(-n // block_rows) for s, n in sizes.items() if n}
+    done, slot, phase, position = dict.fromkeys(left, 0), 0, 0, 0
+    given = {s: float(weights.get(s) or 0) for s in left}
+    # First the sources with a weight, then the others by their size; shares keep their proportions from phase to phase.
+    for live in ({s: w for s, w in given.items() if w > 0}, {s: float(sizes[s]) for s, w in given.items() if not w > 0}):
+        share = whole_weights(live) if live else {}
+        while share:
+            for s in pfair_slots(share):
+                j = done[s]
+                yield s, j, slot, phase, position
+                done[s] += 1
+                slot += 1
+                position += min(block_rows, sizes[s] - j * block_rows)
+                if done[s] == left[s]:
+                    del share[s]
+                    break
+            phase += 1
+
+
+def _schedule(cells: DataFrame, weights: dict[str, float] | None, alpha: float, block_rows: int) -> DataFrame:
+    """The schedule as a table.  Without ``weights`` a source's weight is its number of rows to the power ``alpha``."""
+    names = ["_source", "_block", "_slot", "_phase", "_first"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes: dict[str, int] = {}
+        for batch in batches:
+            sizes |= zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+        sizes = dict(sorted(sizes.items()))
+        wanted = {s: n**alpha for s, n in sizes.items()} if weights is None else weights
+        walk = pfair_schedule(sizes, wanted, block_rows)
+        while part := list(islice(walk, BATCH)):
+            columns = list(zip(*part, strict=True))
+            types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    sizes = cells.groupBy("_source").agg(F.sum("count").alias("rows"))
+    schedule = sizes.coalesce(1).mapInArrow(run, "_source string, _block long, _slot long, _phase int, _first long")
+    return staged(schedule, "schedule")
 
 
 def mix_positions(
@@ -127,69 +125,43 @@ def mix_positions(
     *,
     alpha: float = 0.5,
     block_rows: int = 32,
-    resolution: int = 1000,
     salts: int = 64,
     id_col: str = "doc_id",
     source_col: str = "source",
     text_col: str | None = "text",
 ) -> DataFrame:
-    """``docs`` with _source, _block, _slot, _phase and _position, the row's place in the mixture.
+    """``docs`` as structs _row, with _source, _block, _slot, _phase and _position, the row's place in the mixture.
 
     Without ``weights`` a source's weight is its number of rows to the power ``alpha``.  ``text_col`` orders rows
     that share an id; None if they are equal in all columns, so that texts need not be read.
     """
-    names = docs.columns
-    tie = F.xxhash64(*[F.col(f"`{c}`") for c in (id_col, text_col) if c])
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"),
-        F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")).alias("_source"),
-        tie.alias("_tie"),
-    ).withColumn("_salt", F.pmod(F.col("_tie"), F.lit(salts)).cast("int"))
-    cells = (
-        docs.select(
-            F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")).alias("_source"),
-            F.pmod(tie, F.lit(salts)).cast("int").alias("_salt"),
-        )
-        .groupBy("_source", "_salt")
-        .count()
-        .toPandas()
-        .sort_values(["_source", "_salt"])
-    )
-    # Sources x salts numbers; the blocks follow from the sizes of the sources.
-    cells["first"] = cells.groupby("_source")["count"].cumsum() - cells["count"]
-    size = {str(s): int(n) for s, n in cells.groupby("_source")["count"].sum().items()}
-    if weights is None:
-        weights = {s: n**alpha for s, n in size.items()}
-    blocks = {s: -(-n // block_rows) for s, n in size.items()}
-    phases = pfair_phases(blocks, weights, resolution)
-    short = sorted(
-        (int(slots_of(phases, s, np.array([blocks[s] - 1]))[0][0]), blocks[s] * block_rows - n) for s, n in size.items()
-    )
-    ends, gaps = np.array([x for x, _ in short]), np.cumsum([0, *(x for _, x in short)])
-    first = {(s, int(k)): int(o) for s, k, o in zip(cells["_source"], cells["_salt"], cells["first"], strict=True)}
-
-    @F.pandas_udf("_block long, _slot long, _phase int, _position long")
-    def place(source: pd.Series, salt: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        n = len(source)
-        block, slot, spot = (np.zeros(n, dtype=np.int64) for _ in range(3))
-        phase = np.zeros(n, dtype=np.int32)
-        salt, rank = salt.to_numpy(), rank.to_numpy()
-        for s, at in pd.DataFrame({"s": source.to_numpy()}).groupby("s").indices.items():
-            r = rank[at] + np.array([first[s, int(k)] for k in salt[at]], dtype=np.int64)
-            block[at] = r // block_rows
-            slot[at], phase[at] = slots_of(phases, s, block[at])
-            spot[at] = slot[at] * block_rows + r % block_rows - gaps[np.searchsorted(ends, slot[at])]
-        return pd.DataFrame({"_block": block, "_slot": slot, "_phase": phase, "_position": spot})
-
+    source = F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")).alias("_source")
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in (id_col, text_col) if c]).alias("_tie")
+    salt = F.pmod(F.col("_tie"), F.lit(salts)).cast("int").alias("_salt")
+    cells = staged(docs.select(source, tie).select("_source", salt).groupBy("_source", "_salt").count(), "cells")
+    schedule = _schedule(cells, weights, alpha, block_rows)
+    # At most ``salts`` rows a source.
+    before = Window.partitionBy("_source").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cells.select("_source", "_salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
+
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     cell = Window.partitionBy("_source", "_salt").orderBy("_tie", F.col("_row")[id_col])
-    ranked = rows.withColumn("_rank", (F.row_number().over(cell) - 1).cast("long"))
-    return ranked.withColumn("_at", place("_source", "_salt", "_rank")).select("_row", "_source", "_at.*")
+    ranked = docs.select(row, source, tie).select("*", salt).withColumn("_rank", F.row_number().over(cell) - 1)
+    ranked = ranked.join(offsets, ["_source", "_salt"]).withColumn("_rank", F.col("_offset") + F.col("_rank"))
+    ranked = ranked.withColumn("_block", F.floor(F.col("_rank") / block_rows).cast("long"))
+    placed = ranked.join(schedule, ["_source", "_block"])
+    return placed.select(
+        "_row", "_source", "_block", "_slot", "_phase", (F.col("_first") + F.pmod("_rank", F.lit(block_rows))).alias("_position")
+    )
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, **options) -> DataFrame:
     """The rows of ``docs``, all columns, in the order of the mixture (by partitions and within them)."""
-    at = mix_positions(docs, weights, **options).repartitionByRange(shuffle_width(docs.sparkSession), "_position")
-    return at.sortWithinPartitions("_position").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    parts = shuffle_width(docs.sparkSession)
+    rows = max(1, docs.select(F.lit(1)).count())
+    at = mix_positions(docs, weights, **options)
+    dealt = at.repartitionById(parts, F.floor(F.col("_position") * parts / rows).cast("int"))
+    return dealt.sortWithinPartitions("_position").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

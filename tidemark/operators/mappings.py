@@ -93,12 +93,30 @@ def deployment_digest(rows: DataFrame, key: str, who: str, failed: Column) -> Da
     )
 
 
-def survey_digest(answers: DataFrame, survey: str, value: str, path: str = "$.choice") -> DataFrame:
-    """Per survey: responses, how often each choice was made, and the texts given, shortest first."""
-    choice = F.get_json_object(value, path)
-    by = answers.filter(choice.isNotNull()).groupBy(survey, choice.alias("choice")).agg(F.count(F.lit(1)).alias("n"))
-    total = by.groupBy(survey).agg(F.sum("n").alias("responses"), F.count(F.lit(1)).alias("choices"))
-    return total.join(top_list(by, [survey], "choice", "n", 5, "top"), survey)
+def survey_digest(answers: DataFrame, *, least: int = 12, cap: int = 220, texts: int = 24) -> DataFrame:
+    """Per survey: responses, the newest texts given, and how often each choice was made.
+
+    answers: survey, key (of the question), value (JSON with ``text``, or ``choice`` or ``value``), at.  A text is quoted with its
+    question if it is ``least`` characters long, cut to ``cap``; texts are ranked before they are gathered.
+    """
+    said = answers.select(
+        "survey", "key", "at", F.get_json_object("value", "$.text").alias("text"),
+        F.coalesce(F.get_json_object("value", "$.choice"), F.get_json_object("value", "$.value")).alias("choice"),
+    )
+    total = said.groupBy("survey").agg(F.count(F.lit(1)).alias("responses"))
+    line = F.concat(F.lit("["), "key", F.lit("] "), F.substring(F.regexp_replace("text", r"\s+", " "), 1, cap))
+    quoted = top_children(said.filter(F.length("text") >= least), "survey", [F.desc("at"), F.asc("key"), F.asc("text")], line, texts, " | ")
+    made = said.filter("choice is not null").groupBy("survey", "key", "choice").agg(F.count(F.lit(1)).alias("n"))
+    # Questions and their choices are few; what is gathered is one line a choice.
+    listed = F.array_sort(F.collect_list(F.struct("key", (-F.col("n")).alias("o"), "choice")))
+    item = lambda x: F.concat(x["key"], F.lit(": "), x["choice"], F.lit(" x"), (-x["o"]).cast("string"))
+    choices = made.groupBy("survey").agg(F.array_join(F.transform(listed, item), ", ").alias("choices"))
+    out = total.join(quoted.withColumnRenamed("items", "texts"), "survey", "left").join(choices, "survey", "left")
+    content = F.concat(
+        F.lit("Survey "), "survey", F.lit(". Responses: "), F.col("responses").cast("string"), F.lit("."),
+        F.coalesce(F.concat(F.lit(" Free-text answers (verbatim): "), "texts"), F.lit("")), F.coalesce(F.concat(F.lit(" Choices: "), "choices"), F.lit("")),
+    )
+    return out.select("survey", "responses", content.alias("content"))
 
 
 def document_files(files: DataFrame) -> DataFrame:

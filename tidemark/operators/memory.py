@@ -1,7 +1,7 @@
 """The memory plane: filters, dedup, write decisions, telemetry, gaps and access.
 
 A memories table has id, namespace, source_kind, source_ref, content, embedding, importance, valid_at,
-invalid_at, tier and domain_raw.  State is append-only: what is current, or was at a time, is derived.
+invalid_at, tier, domain_raw, metadata (a JSON object of texts) and owner_agent_id.  State is append-only: what is current, or was at a time, is derived.
 """
 
 from __future__ import annotations
@@ -65,27 +65,35 @@ def newest_per_ref(memories: DataFrame) -> DataFrame:
     return memories.filter("source_ref is not null").withColumn("rank", F.row_number().over(by))
 
 
-def superseded_by_ref(memories: DataFrame) -> DataFrame:
-    """Live rows that a newer live row of their source_ref makes redundant, and that row."""
+def superseded_by_ref(memories: DataFrame, source_kind: str | None = None) -> DataFrame:
+    """Live rows that a newer live row of their source_ref makes redundant, and that row; of one source kind, or of all.
+
+    Rows without a ref, or with an empty one, are never redundant.
+    """
+    rows = memories.filter("source_ref <> ''")
+    if source_kind:
+        rows = rows.filter(F.col("source_kind") == source_kind)
     # One max per group instead of a window: a hot ref needs no sort.
-    best = memories.groupBy("namespace", "source_ref").agg(F.max_by("id", F.struct("valid_at", "id")).alias("kept_id"))
-    return (
-        memories.filter("source_ref is not null")
-        .join(best, ["namespace", "source_ref"])
-        .filter("id <> kept_id")
-        .select("id", "namespace", "source_ref", "kept_id")
-    )
+    best = rows.groupBy("namespace", "source_ref").agg(F.max_by("id", F.struct("valid_at", "id")).alias("kept_id"))
+    return rows.join(best, ["namespace", "source_ref"]).filter("id <> kept_id").select("id", "namespace", "source_ref", "kept_id", "metadata")
+
+
+def merged_metadata(metadata: Column, new: dict[str, Column]) -> Column:
+    """A JSON object with further entries; of two values of one key the new one stays, in the old one's place."""
+    old = F.coalesce(F.from_json(metadata, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    add = F.create_map(*[x for k, v in new.items() for x in (F.lit(k), v.cast("string"))])
+    kept = F.transform_values(old, lambda k, v: F.coalesce(add[k], v))
+    return F.to_json(F.map_concat(kept, F.map_filter(add, lambda k, v: ~F.map_contains_key(old, k))))
 
 
 def forget_metadata(memories: DataFrame, reason: str) -> DataFrame:
-    """The metadata of rows that dedup retires, with the reason merged in."""
-    return superseded_by_ref(memories).select(
-        "id", F.to_json(F.struct(F.lit(reason).alias("forget_reason"), F.col("kept_id").alias("superseded_by"))).alias("metadata")
-    )
+    """The metadata of rows that dedup retires: their own, with the reason and the row that stays merged in."""
+    merged = merged_metadata(F.col("metadata"), {"forget_reason": F.lit(reason), "superseded_by": F.col("kept_id")})
+    return superseded_by_ref(memories).select("id", merged.alias("metadata"))
 
 
-def classified(memories: DataFrame) -> DataFrame:
-    kind = memory_type(domain_type(F.col("domain_raw")), F.col("source_kind"))
+def classified(memories: DataFrame, prefixes: Sequence[str] = ()) -> DataFrame:
+    kind = memory_type(domain_type(F.col("domain_raw")), F.col("source_kind"), prefixes=prefixes)
     return memories.select("id", domain_type(F.col("domain_raw")).alias("domain_type"), kind.alias("memory_type")).withColumn(
         "network", network_of(F.col("memory_type"))
     )
@@ -171,7 +179,7 @@ def applied(current: DataFrame, decisions: DataFrame) -> DataFrame:
 def forgotten(memories: DataFrame, ids: DataFrame, reason: str, now: dt.datetime) -> DataFrame:
     """The rows among ``ids`` that are live, as they are after being forgotten."""
     live_rows = memories.filter("invalid_at is null").join(ids.select("id"), "id", "left_semi")
-    return live_rows.select("id", ntz(now).alias("invalid_at"), F.to_json(F.struct(F.lit(reason).alias("forget_reason"))).alias("metadata"))
+    return live_rows.select("id", ntz(now).alias("invalid_at"), merged_metadata(F.col("metadata"), {"forget_reason": F.lit(reason)}).alias("metadata"))
 
 
 def edited(memory: DataFrame, content: Column, now: dt.datetime) -> DataFrame:
@@ -214,24 +222,31 @@ def access_stats(memory_events: DataFrame, base_importance: float = 0.5) -> Data
     )
 
 
-def stats(memories: DataFrame, memory_events: DataFrame, now: dt.datetime) -> DataFrame:
-    """One row of totals; the windows end at ``now``.  Agents and sessions count retired rows too."""
-    recent = F.col("ts") > ntz(now - dt.timedelta(hours=24))
-    up_to = F.col("ts") <= ntz(now)
-    alive = F.col("invalid_at").isNull() & (F.col("tier") == "hot")
+def stats(
+    memories: DataFrame, memory_events: DataFrame, entities: DataFrame, memory_entities: DataFrame, now: dt.datetime, resolved: Sequence[str] = ()
+) -> DataFrame:
+    """One row of totals; the windows of 24 hours end at ``now``.  Agents and sessions count retired rows too, the rest live ones."""
+    since, until = ntz(now - dt.timedelta(hours=24)), ntz(now)
+
+    def recent(time: str) -> Column:
+        return (F.col(time) > since) & (F.col(time) <= until)
+
+    alive = F.col("invalid_at").isNull()
     m = memories.agg(
-        F.count(F.lit(1)).alias("memories"),
-        F.count_if(alive).alias("live"),
-        F.count_if(F.col("invalid_at").isNotNull()).alias("retired"),
-        F.countDistinct("namespace").alias("namespaces"),
-        F.count_if(F.col("tier") == "cold").alias("cold"),
-    )
-    e = memory_events.agg(
-        F.count_if(recent & up_to & (F.col("op") == "recall")).alias("recalls_24h"),
-        F.count_if(recent & up_to & (F.col("op") == "retain")).alias("retains_24h"),
-        F.countDistinct(F.when(recent & up_to, F.col("agent_id"))).alias("agents_24h"),
+        F.countDistinct(F.when(alive, F.col("namespace"))).alias("namespaces"),
+        F.count_if(alive).alias("memories"),
+        F.countDistinct("owner_agent_id").alias("agents"),
+        F.countDistinct(F.when(recent("valid_at"), F.col("source_ref"))).alias("sessions_24h"),
     )
-    return m.join(F.broadcast(e))  # one row each
+    e = memory_events.agg(F.count_if(recent("ts") & (F.col("op") == "recall")).alias("recalls_24h"))
+    open_gaps = gaps(memory_events).filter(~F.col("query").isin(*resolved)) if resolved else gaps(memory_events)
+    parts = (
+        entities.agg(F.count(F.lit(1)).alias("entities")), memory_entities.agg(F.count(F.lit(1)).alias("links")), e,
+        open_gaps.agg(F.count(F.lit(1)).alias("open_gaps")),
+    )
+    for one in parts:  # one row each
+        m = m.join(F.broadcast(one))
+    return m
 
 
 def namespaces(memories: DataFrame) -> DataFrame:

@@ -7,14 +7,16 @@ ranking keeps its top rows per task before anything is moved.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import norm_text, tokens
 from ..functions.vectors import cosine
 from ..plans.staging import staged
+from .memory import filtered, live
 
 RRF_K = 60
 SALIENCE = 0.01
@@ -32,47 +34,52 @@ def vector_ranking(memories: DataFrame, query: Column, k: int) -> DataFrame:
     return near.withColumn("rank", F.row_number().over(Window.orderBy("distance", "id")))
 
 
+def with_term_counts(memories: DataFrame) -> DataFrame:
+    """Memories with ``n_terms``, the number of terms of their content."""
+    return memories.withColumn("n_terms", F.size(tokens(F.col("content"))))
+
+
 def postings(memories: DataFrame) -> DataFrame:
-    """id, term, tf, length: term counts per row, made without a shuffle."""
-    words = memories.select("id", tokens(F.col("content")).alias("words")).withColumn("length", F.size("words"))
-    term = words.select("id", "length", F.explode("words").alias("term"))
-    return term.groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """The term index: id, term, tf, n_terms.  Stored in the order of its terms, a query reads the row groups of its own."""
+    words = memories.select("id", tokens(F.col("content")).alias("words")).select("id", "words", F.size("words").alias("n_terms"))
+    term = words.select("id", "n_terms", F.explode("words").alias("term"))
+    return term.groupBy("id", "n_terms", "term").agg(F.count(F.lit(1)).alias("tf")).select("id", "term", "tf", "n_terms")
 
 
 def _times(words: str, term: str) -> Column:
     return F.size(F.filter(words, lambda w: w == term))
 
 
-def bm25_scores(memories: DataFrame, terms: Sequence[str]) -> DataFrame:
+def bm25_scores(memories: DataFrame, terms: Sequence[str], index: DataFrame | None = None) -> DataFrame:
     """Okapi BM25 of rows that hold one of the terms: id, score.
 
-    Only the query's terms are counted, in one pass over the texts that leaves a few numbers a row; the corpus
-    figures (rows, mean length, document frequencies) and the scores come from those.
+    Only the query's terms are counted: read from ``index`` (see ``postings``), or, without one, in one pass over the texts
+    that leaves a few numbers a row.  The corpus figures (rows, mean length, document frequencies) are those of ``memories``;
+    with ``n_terms`` in it, no text is read for them.
     """
     terms = sorted({t.lower() for t in terms})
-    words = memories.select("id", tokens(F.col("content")).alias("words"))
-    counted = words.select(
-        "id",
-        F.size("words").alias("length"),
-        *[_times("words", t).alias(f"tf{i}") for i, t in enumerate(terms)],
-    )
-    counted = staged(counted, "term-counts")
-    corpus = counted.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.avg("length").alias("mean_length"),
-        *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))],
-    )
-    at = counted.filter(" or ".join(f"tf{i} > 0" for i in range(len(terms)))).join(F.broadcast(corpus))  # one row
+    if "n_terms" not in memories.columns:
+        memories = with_term_counts(memories)
+    if index is None:
+        words = memories.select("id", "n_terms", tokens(F.col("content")).alias("words"))
+        counted = words.select("id", "n_terms", *[_times("words", t).alias(f"tf{i}") for i, t in enumerate(terms)])
+    else:
+        own = index.filter(F.col("term").isin(*terms)).join(memories.select("id"), "id", "left_semi")
+        counted = own.groupBy("id", "n_terms").agg(*[F.sum(F.when(F.col("term") == t, F.col("tf")).otherwise(0)).alias(f"tf{i}") for i, t in enumerate(terms)])
+    some = counted.filter(" or ".join(f"tf{i} > 0" for i in range(len(terms))))
+    corpus = memories.agg(F.count(F.lit(1)).alias("rows"), F.avg("n_terms").alias("mean_length"))
+    found = some.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
+    at = some.join(F.broadcast(corpus)).join(F.broadcast(found))  # one row each
     score = F.lit(0.0)
     for i in range(len(terms)):
         tf, df = F.col(f"tf{i}").cast("double"), F.col(f"df{i}")
         idf = F.log(1 + (F.col("rows") - df + 0.5) / (df + 0.5))
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
+        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n_terms") / F.col("mean_length")))
     return at.select("id", F.round(score, 6).alias("score"))
 
 
-def bm25_ranking(memories: DataFrame, terms: Sequence[str], k: int) -> DataFrame:
-    best = bm25_scores(memories, terms).orderBy(F.desc("score"), "id").limit(k)
+def bm25_ranking(memories: DataFrame, terms: Sequence[str], k: int, index: DataFrame | None = None) -> DataFrame:
+    best = bm25_scores(memories, terms, index).orderBy(F.desc("score"), "id").limit(k)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
 
 
@@ -85,10 +92,11 @@ def fused(
     limit: int = RECALL_LIMIT,
     min_importance: float | None = None,
     columns: Sequence[str] = ("namespace",),
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """Reciprocal rank fusion of both rankings, plus a little importance; the floor applies after fusion."""
     v = vector_ranking(memories, query, pool).select("id", F.col("rank").alias("rv"))
-    t = bm25_ranking(memories, terms, pool).select("id", F.col("rank").alias("rt"))
+    t = bm25_ranking(memories, terms, pool, index).select("id", F.col("rank").alias("rt"))
     # At most 2 x pool rows.
     ranked = F.broadcast(v.join(t, "id", "full_outer"))
     score = (
@@ -114,9 +122,9 @@ def search_limit(limit: int | None) -> int:
     return SEARCH_LIMIT if not limit or limit > SEARCH_MAX else limit
 
 
-def search(memories: DataFrame, query: Column, terms: Sequence[str], limit: int | None = None) -> DataFrame:
+def search(memories: DataFrame, query: Column, terms: Sequence[str], limit: int | None = None, index: DataFrame | None = None) -> DataFrame:
     """Fusion over all the namespaces given, without a floor."""
-    return fused(memories, query, terms, pool=SEARCH_POOL, limit=search_limit(limit))
+    return fused(memories, query, terms, pool=SEARCH_POOL, limit=search_limit(limit), index=index)
 
 
 def by_time(recalled: DataFrame, oldest: bool = False) -> DataFrame:
@@ -135,11 +143,10 @@ def token_overlap(content: Column, terms: Sequence[str]) -> Column:
     return F.size(F.array_intersect(tokens(content), wanted)) / float(max(1, len(set(terms))))
 
 
-def expanded(seeds: DataFrame, memories: DataFrame, memory_entities: DataFrame, entities: DataFrame, limit: int) -> DataFrame:
-    """Memories that share an entity with the seeds, best by importance; via the first such entity by name.
-
-    ``memories`` is what recall was given, so its filters (time window, point in time) hold for these rows as well.
-    """
+def expanded(
+    seeds: DataFrame, memories: DataFrame, memory_entities: DataFrame, entities: DataFrame, limit: int, columns: Sequence[str] = ()
+) -> DataFrame:
+    """Memories that share an entity with the seeds, best by importance; via the first such entity by name."""
     budget = max(2, limit // 2)
     of_seeds = memory_entities.join(F.broadcast(seeds.select(F.col("id").alias("memory_id"))), "memory_id", "left_semi").select("entity_id").distinct()
     linked = memory_entities.join(of_seeds, "entity_id").join(seeds.select(F.col("id").alias("memory_id")), "memory_id", "left_anti")
@@ -147,7 +154,75 @@ def expanded(seeds: DataFrame, memories: DataFrame, memory_entities: DataFrame,
     via = named.groupBy("memory_id").agg(F.min("name").alias("via_entity"))
     out = memories.join(via.withColumnRenamed("memory_id", "id"), "id")
     score = F.round(0.05 + FALLBACK_SALIENCE * F.col("importance"), 6)
-    return out.select("id", "via_entity", score.alias("score")).orderBy(F.desc("score"), "id").limit(budget)
+    return out.select("id", *columns, "via_entity", score.alias("score")).orderBy(F.desc("score"), "id").limit(budget)
+
+
+def within(rows: DataFrame, *, since: dt.datetime | None = None, until: dt.datetime | None = None, as_of: dt.datetime | None = None) -> DataFrame:
+    """Rows whose valid_at is in the window (both ends included) and not after ``as_of``."""
+    for bound, keep in ((since, F.col("valid_at") >= _ntz(since)), (until, F.col("valid_at") <= _ntz(until)), (as_of, F.col("valid_at") <= _ntz(as_of))):
+        if bound is not None:
+            rows = rows.filter(keep)
+    return rows
+
+
+def _ntz(t: dt.datetime | None) -> Column:
+    return F.lit(t).cast("timestamp_ntz")
+
+
+def recall(
+    memories: DataFrame,
+    memory_entities: DataFrame,
+    entities: DataFrame,
+    query: Column,
+    terms: Sequence[str],
+    *,
+    namespaces: Sequence[str] = (),
+    types: Sequence[str] = (),
+    exclude_kinds: Sequence[str] = (),
+    since: dt.datetime | None = None,
+    until: dt.datetime | None = None,
+    as_of: dt.datetime | None = None,
+    min_importance: float | None = None,
+    limit: int | None = None,
+    expand: bool = False,
+    order_by: str = "",
+    rerank: Callable[[DataFrame], Column] | None = None,
+    index: DataFrame | None = None,
+) -> DataFrame:
+    """Recall, whole: place, id, score, valid_at, importance, via_entity.
+
+    The filters apply before the rankings; a pool of 40 is fused, reranked if a second score is given, and cut to the limit
+    (8).  Expansion then adds memories that share an entity with those, after them: they are chosen among all live rows of the
+    namespaces, and only then cut to the time window, as a neighbour outside of it would answer another question.
+    ``order_by`` 'recent' or 'oldest' orders what was chosen by time, equal times in their order before.
+    """
+    limit = limit if limit and limit > 0 else RECALL_LIMIT
+    rows = filtered(live(memories, namespaces, as_of=as_of), types=types, exclude_kinds=exclude_kinds, since=since, until=until)
+    pool = fused(rows, query, terms, limit=RECALL_POOL, min_importance=min_importance, columns=("content",) if rerank else (), index=index)
+    best = reranked(pool, rerank, limit) if rerank else pool.orderBy(F.desc("score"), "id").limit(limit)
+    # A few rows, read by what follows three times.
+    rank = F.row_number().over(Window.orderBy(F.desc("score"), "id"))
+    out = staged(best.select("id", "score", "valid_at", "importance", rank.alias("first")), "recalled").withColumn("via_entity", F.lit(None).cast("string"))
+    if expand:
+        extra = expanded(out, live(memories, namespaces), memory_entities, entities, limit, ("valid_at", "importance"))
+        extra = within(extra, since=since, until=until, as_of=as_of)
+        after = limit + F.row_number().over(Window.orderBy(F.desc("score"), "id"))
+        out = out.unionByName(extra.withColumn("first", after))
+    by = {"recent": [F.desc("valid_at")], "oldest": [F.asc("valid_at")]}.get(order_by.lower(), [])
+    place = F.row_number().over(Window.orderBy(*by, "first"))
+    return out.select(place.alias("place"), "id", "score", "valid_at", "importance", "via_entity")
+
+
+def recall_effects(recalled: DataFrame, namespace: str, query: str, now: dt.datetime) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a recall leaves behind, as rows to append: the event, the accesses, and the gap if nothing was found."""
+    found = recalled.agg(F.count(F.lit(1)).alias("rows"))
+    event = found.select(
+        F.lit(now).cast("timestamp_ntz").alias("ts"), F.lit(namespace).alias("namespace"), F.lit("recall").alias("op"),
+        F.when(F.col("rows") > 0, "hit").otherwise("empty").alias("outcome"), F.lit(query).alias("query"),
+    )
+    accesses = recalled.select("id", F.lit(1).cast("long").alias("accesses"), F.lit(now).cast("timestamp_ntz").alias("last_accessed_at"))
+    gap = event.filter("outcome = 'empty'").select("namespace", F.substring(norm_text(F.col("query")), 1, 2000).alias("query"), F.col("ts").alias("last_seen"))
+    return event, accesses, gap
 
 
 def memories_of_entity(memories: DataFrame, memory_entities: DataFrame, entities: DataFrame, text: str, limit: int = 8) -> DataFrame:

@@ -7,6 +7,8 @@ small groups.  Ordered lists have a total order, so texts are reproducible.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,11 +133,11 @@ def leaderboard_weekly(commits: DataFrame, people: DataFrame, k: int = 5) -> Dat
     return out.select("week", "person", "commits", "best", "least", (F.col("week") == newest).alias("is_last_week"))
 
 
-def leaderboard_idle(commits: DataFrame, people: DataFrame) -> DataFrame:
-    """People of the roster without a commit, week by week."""
+def leaderboard_idle(commits: DataFrame, people: DataFrame, roster: DataFrame | None = None) -> DataFrame:
+    """People of the roster (``person``; by default those with a login) without a commit, week by week."""
     by = _person_weeks(commits, people)
     # Weeks x roster: both are bounded by the report (16 weeks) and the organisation.
-    roster = people.select("person").distinct()
+    roster = (people if roster is None else roster).select("person").distinct()
     weeks = F.collect_set("week")
     all_weeks = by.agg(F.array_sort(weeks)).scalar()
     grid = roster.withColumn("week", F.explode(all_weeks))
@@ -181,16 +183,16 @@ def cost(tokens: dict[str, Column], prices: dict[str, float] = PRICES) -> Column
     return total / 1e6
 
 
-def productivity_person_week(commits: DataFrame, people: DataFrame, claude: DataFrame) -> DataFrame:
-    """Git and AI work per person and week; either side may be missing."""
+def productivity_person_week(commits: DataFrame, people: DataFrame, claude: DataFrame, user_people: DataFrame) -> DataFrame:
+    """Git and AI work per person and week; either side may be missing.  A user that ``user_people`` (user_id, person) lacks
+    is a person of their own, 'user:<id>'."""
     git = with_people(commits.groupBy(week("day").alias("week"), "author_login").agg(n().alias("commits"), F.sum("additions").alias("additions")), people, "author_login")
     git = git.groupBy("week", "person").agg(F.sum("commits").alias("commits"), F.sum("additions").alias("additions"))
-    person = F.concat(F.lit("person"), F.pmod("user_id", F.lit(40)).cast("string"))
-    ai = claude.groupBy(week("created_at").alias("week"), person.alias("person")).agg(
-        n().alias("ai_events"),
-        F.round(
-            cost({"input": F.sum("input_tokens"), "output": F.sum("output_tokens"), "cache_read": F.sum("cache_read_tokens"), "cache_write": F.sum("cache_creation_tokens")}), 4
-        ).alias("cost"),
+    kinds = {"input": "input_tokens", "output": "output_tokens", "cache_read": "cache_read_tokens", "cache_write": "cache_creation_tokens"}
+    by_user = claude.groupBy(week("created_at").alias("week"), "user_id").agg(n().alias("ai_events"), *[F.sum(c).alias(c) for c in kinds.values()])
+    known = by_user.join(user_people.select("user_id", "person"), "user_id", "left")
+    ai = known.groupBy("week", F.coalesce("person", F.concat(F.lit("user:"), F.col("user_id").cast("string"))).alias("person")).agg(
+        F.sum("ai_events").alias("ai_events"), F.round(cost({k: F.sum(c) for k, c in kinds.items()}), 4).alias("cost")
     )
     out = git.join(ai, ["week", "person"], "full_outer")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
@@ -215,15 +217,33 @@ def used_ai_on(claude: DataFrame, repos: DataFrame) -> DataFrame:
     return by.join(unique, "base").select(F.col("user_id").alias("src"), F.lit("USED_AI_ON").alias("relation"), F.col("repo").alias("dst"), "weight", "since")
 
 
-def repo_links(repos: DataFrame, ventures: DataFrame) -> DataFrame:
-    """Repository to venture, the first rule that applies: its url's venture, its name, else its organisation's portfolio."""
-    one = repos.groupBy("repo").agg(F.min("url_venture").alias("url_venture"), F.min("org").alias("org"))
-    known = ventures.select(F.col("id").alias("url_venture"), F.col("id").alias("by_url"))
-    named = ventures.select(F.lower("name").alias("low"), F.col("id").alias("by_name"))
-    out = one.join(known, "url_venture", "left").join(named, F.lower("repo") == F.col("low"), "left")
-    portfolio = F.concat(F.lit("r"), F.regexp_extract("org", "([0-9]+)$", 1))
-    rule = F.when(F.col("by_url").isNotNull(), "url").when(F.col("by_name").isNotNull(), "name").otherwise("org")
-    return out.select("repo", F.coalesce("by_url", "by_name", portfolio).alias("target"), rule.alias("rule"))
+def _key(c: Column) -> Column:
+    """A name's letters and digits, lower case."""
+    return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]", "")
+
+
+def repo_links(repos: DataFrame, ventures: DataFrame, orgs: DataFrame) -> DataFrame:
+    """Repositories ('org/name') with what they belong to, by the first rule that applies; without a rule no row.
+
+    url: a venture's ``url`` names the repository.  org: its organisation belongs to one venture.  name: its name or the
+    venture's id or name are the same letters and digits, four at least.  portfolio: its organisation's portfolio.
+    ventures: id, name, url; orgs: org, venture_id, portfolio_id.  Of several ventures the smallest id is taken.
+    """
+    one = repos.select("repo").distinct().withColumn("low", F.lower("repo")).withColumn("org", F.split_part("low", F.lit("/"), F.lit(1)))
+    one = one.withColumn("key", _key(F.substr("low", F.length("org") + 2)))
+    path = F.regexp_extract("url", r"github\.com[:/]+([^/\s]+/[^/\s#?]+)", 1)
+    by_url = ventures.select(F.regexp_replace(F.lower(path), r"\.git$", "").alias("low"), "id").filter("low <> ''").groupBy("low").agg(F.min("id").alias("by_url"))
+    keys = ventures.select("id", F.explode(F.array(_key(F.col("id")), _key(F.col("name")))).alias("key")).filter("length(key) >= 4")
+    by_name = keys.groupBy("key").agg(F.min("id").alias("by_name"))
+    known = ventures.select(F.col("id").alias("venture_id"), F.lit(True).alias("known"))
+    by_org = orgs.join(known, "venture_id", "left").groupBy(F.lower("org").alias("org")).agg(
+        F.min(F.when(F.col("known"), F.col("venture_id"))).alias("by_org"), F.min("portfolio_id").alias("by_portfolio")
+    )
+    out = one.join(by_url, "low", "left").join(by_org, "org", "left").join(by_name, "key", "left")
+    rules = ("by_url", "by_org", "by_name", "by_portfolio")
+    rule = F.coalesce(*[F.when(F.col(r).isNotNull(), r[3:]) for r in rules])
+    relation = F.when(rule == "portfolio", "REPO_IN").otherwise("REPO_OF")
+    return out.select("repo", F.coalesce(*rules).alias("target"), relation.alias("relation"), rule.alias("rule")).filter("target is not null")
 
 
 def pr_digest(pulls: DataFrame) -> DataFrame:

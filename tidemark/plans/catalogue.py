@@ -37,7 +37,7 @@ def _query_vector(t: Tables) -> Column:
 def _batch(t: Tables) -> DataFrame:
     """A batch of writes: altered copies of rows that exist, and rows of their own."""
     m = me.live(t.memories).filter("embedding is not null")
-    new = m.filter(F.pmod(F.regexp_extract("id", "([0-9]+)$", 1).cast("long"), F.lit(50)) == 1)
+    new = m.filter(F.pmod(F.regexp_extract("id", "([0-9]+)$", 1).cast("long"), F.lit(50)) == 0)
     k = F.pmod(F.regexp_extract("id", "([0-9]+)$", 1).cast("long"), F.lit(3))
     nudged = F.transform("embedding", lambda x, i: x.cast("double") + F.when(i == 0, F.when(k == 1, 0.3).when(k == 2, 0.02).otherwise(0.0)).otherwise(0.0))
     content = F.when(k == 0, F.col("content")).when(k == 1, F.concat(F.lit("no longer "), F.col("content"))).otherwise(F.concat(F.col("content"), F.lit(" more")))
@@ -54,9 +54,9 @@ def _ann(t: Tables) -> DataFrame:
 
 
 def _neighbor_pairs(t: Tables) -> DataFrame:
-    """Nearest other vector of each of the first fifty vectors."""
+    """Nearest other vector of each vector whose id is divisible by 50, among all."""
     e = t.embeddings
-    q = e.filter("vec_id < 50").select(F.col("vec_id").alias("id"), F.lit("all").alias("namespace"), F.lit("").alias("content"), "embedding")
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("id"), F.lit("all").alias("namespace"), F.lit("").alias("content"), "embedding")
     c = e.select(F.col("vec_id").alias("id"), F.lit("all").alias("namespace"), F.lit("").alias("content"), "embedding")
     near = me.nearest(q, c)
     return near.select(F.col("id").alias("vec_id"), F.col("top_id").alias("neighbor"), "similarity")
@@ -69,6 +69,11 @@ def _spine_window(t: Tables) -> DataFrame:
     )
 
 
+def _index(t: Tables) -> DataFrame | None:
+    """The stored term index, where one is loaded."""
+    return t.memory_terms if "memory_terms" in t.loaded else None
+
+
 def _expand(t: Tables) -> DataFrame:
     live = me.live(t.memories)
     seeds = re_.fused(live, _query_vector(t), TERMS)
@@ -167,7 +172,7 @@ def _doc_files(t: Tables) -> DataFrame:
 
 def _labels(t: Tables) -> DataFrame:
     repos = t.part.select(F.concat(F.lit("r:"), "p_brand").alias("id"), F.col("p_brand").alias("name"), F.lit("repo").alias("kind"))
-    teams = t.part.filter("p_size > 48").select(F.concat(F.lit("t:"), "p_brand", F.lit(":"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_brand").alias("name"), F.lit("team").alias("kind"))
+    teams = t.part.select(F.concat(F.lit("t:"), "p_brand", F.lit(":"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_brand").alias("name"), F.lit("team").alias("kind"))
     return kn.disambiguated(repos.unionByName(teams))
 
 
@@ -183,22 +188,56 @@ def _feeds(t: Tables) -> DataFrame:
 
 def _titles(t: Tables) -> DataFrame:
     two = F.when(F.pmod("event_id", F.lit(7)) == 0, F.lit(" and NATION_1")).otherwise("")
-    titles = t.events.filter("event_id < 500").select(F.col("event_id").alias("id"), F.concat(F.lit("Sync: nation_"), F.pmod("event_id", F.lit(40)).cast("string"), two).alias("title"))
+    titles = t.events.select(F.col("event_id").alias("id"), F.concat(F.lit("Sync: nation_"), F.pmod("event_id", F.lit(40)).cast("string"), two).alias("title"))
     return kn.title_matches(titles, t.dim_ventures)
 
 
 def _relink(t: Tables) -> DataFrame:
-    """Rollups of a nation's customers, whose links to the first customers of the nation exist."""
-    c = t.customer.filter("c_custkey < 150")
-    ranked = F.array_sort(F.collect_list("c_name"))
-    by = c.groupBy("c_nationkey").agg(ranked.alias("ranking")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    """Rollups of a nation's first eight customers by name; the links to some of them exist."""
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_name"))
+    head = t.customer.withColumn("rank", rank).filter("rank <= 8").groupBy("c_nationkey").agg(F.array_sort(F.collect_list("c_name")).alias("ranking"))
+    by = head.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     rollups = by.select(
         F.concat(F.lit("rollup:"), F.col("c_nationkey").cast("string")).alias("source_ref"), F.to_json(F.struct(F.lower("n_name").alias("scope"), F.col("ranking"))).alias("metadata")
     )
-    have = c.filter("c_custkey < 50").select(F.concat(F.lit("rollup:"), F.col("c_nationkey").cast("string")).alias("source_ref"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("entity_id"))
+    have = t.customer.filter("c_custkey % 3 = 0").select(F.concat(F.lit("rollup:"), F.col("c_nationkey").cast("string")).alias("source_ref"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("entity_id"))
     return kn.relinked(rollups, t.entities, have)
 
 
+def _prefixed(t: Tables) -> DataFrame:
+    """Kinds with a qualifier or a prefix of the application; a prefix of its own, as in photos_post, stays."""
+    kinds = F.array(*[F.lit(x) for x in ("app_post", "photos_post", "Venture:x/y", "app_Playbook/a", "doc", " apps_doc ", "videos_doc")])
+    docs = t.documents.select(F.col("doc_id").alias("id"), F.element_at(kinds, (F.pmod("doc_id", F.lit(7)) + 1).cast("int")).alias("source_kind"))
+    return docs.select("id", tx.bare_kind(F.col("source_kind"), ["app_"]).alias("kind"), tx.memory_type(F.lit("item_"), F.col("source_kind"), prefixes=["app_"]).alias("memory_type"))
+
+
+def _emptied_refs(t: Tables) -> DataFrame:
+    """Dedup of one source kind, where some rows have an empty ref and some none."""
+    k = F.pmod(F.regexp_extract("id", "([0-9]+)$", 1).cast("long"), F.lit(4))
+    ref = F.when(k == 0, "").when(k == 1, F.lit(None).cast("string")).otherwise(F.concat(F.lit("ref:"), F.length("content").cast("string")))
+    rows = me.live(t.memories).withColumns({"source_ref": ref, "source_kind": F.when(k < 3, "post").otherwise("doc")})
+    return me.superseded_by_ref(rows, "post").select("id", "kept_id")
+
+
+def _answers(t: Tables) -> DataFrame:
+    """Conversations as a survey's answers: some turns make a choice, the others give a text."""
+    choice = F.to_json(F.struct(F.concat(F.lit("c"), F.pmod("conv_id", F.lit(4)).cast("string")).alias("choice")))
+    return t.conversations.select(
+        F.concat(F.lit("s"), F.pmod("conv_id", F.lit(5)).cast("string")).alias("survey"), F.col("role").alias("key"),
+        F.when(F.pmod("turn", F.lit(3)) == 0, choice).otherwise(F.to_json(F.struct("text"))).alias("value"), (F.col("conv_id") * 1000 + F.col("turn")).alias("at"),
+    )
+
+
+def _roster(t: Tables) -> DataFrame:
+    return t.people.select("person").unionByName(t.agent_actions.select(F.col("agent_id").alias("person"))).distinct()
+
+
+def _recall(t: Tables, **options) -> DataFrame:
+    return re_.recall(t.memories, t.memory_entities, t.entities, _query_vector(t), TERMS, **options)
+
+
 def _retired_edges(t: Tables) -> DataFrame:
     produced = t.customer.filter("c_custkey % 3 <> 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"))
     return kn.retired(t.entity_edges, produced, "MEMBER_OF", NOW)
@@ -219,7 +258,7 @@ def _applied(t: Tables) -> DataFrame:
 
 
 def _by_ref(t: Tables) -> DataFrame:
-    new = t.documents.filter("doc_id % 10 = 3").select(
+    new = t.documents.select(
         F.concat(F.lit("new"), F.col("doc_id").cast("string")).alias("id"), F.col("lang").alias("namespace"), F.concat(F.lit("doc:"), F.floor(F.col("doc_id") / 2.0).cast("string")).alias("source_ref")
     )
     return me.planned_by_ref(new, me.live(t.memories))
@@ -285,12 +324,14 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "recall_exclude_kinds": lambda t: me.filtered(me.live(t.memories), exclude_kinds=["src1", "src7"]).select("id", "source_kind"),
     "recall_since_until": lambda t: me.filtered(me.live(t.memories), since=dt.datetime(2024, 1, 5), until=dt.datetime(2024, 1, 20)).select("id", "valid_at"),
     "recall_as_of": lambda t: me.live(t.memories, as_of=AS_OF).select("id", "valid_at", "invalid_at"),
-    "dedup_source_ref": lambda t: me.superseded_by_ref(me.live(t.memories)),
+    "dedup_source_ref": lambda t: me.superseded_by_ref(me.live(t.memories)).drop("metadata"),
+    "dedup_source_kind": _emptied_refs,
+    "classify_prefixed": _prefixed,
     "dedup_forget_metadata": lambda t: me.forget_metadata(me.live(t.memories), "duplicate"),
     "classify_memory": lambda t: me.classified(t.memories),
     "norm_text": lambda t: t.documents.select("doc_id", F.sha2(tx.norm_text(F.col("text")), 256).alias("norm_sha"), F.length(tx.norm_text(F.col("text"))).alias("norm_chars")),
     "negation_cues": lambda t: t.documents.select("doc_id", tx.has_negation(F.when(F.pmod("doc_id", F.lit(9)) == 0, F.concat(F.lit("That Was WRONG. "), "text")).otherwise(F.col("text"))).alias("negates")),
-    "brain_stats": lambda t: me.stats(t.memories, t.memory_events, NOW),
+    "brain_stats": lambda t: me.stats(t.memories, t.memory_events, t.entities, t.memory_entities, NOW, resolved=["q3", "q7"]),
     "namespaces": lambda t: me.namespaces(t.memories),
     "brain_detail_types": lambda t: me.histogram(t.memories, "en", "type"),
     "brain_detail_sources": lambda t: me.histogram(t.memories, "en", "source"),
@@ -305,10 +346,16 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     # Retrieval
     "ann_topk": _ann,
     "nearest_neighbor_pairs": _neighbor_pairs,
-    "bm25_topk": lambda t: re_.bm25_ranking(me.live(t.memories), TERMS, 40),
-    "recall_hybrid_rrf": lambda t: re_.fused(me.live(t.memories), _query_vector(t), TERMS).select("id", "score"),
+    "bm25_topk": lambda t: re_.bm25_ranking(me.live(t.memories), TERMS, 40, _index(t)),
+    "bm25_indexed": lambda t: re_.bm25_ranking(me.live(t.memories), TERMS, 40, re_.postings(t.memories)),
+    "recall_hybrid_rrf": lambda t: re_.fused(me.live(t.memories), _query_vector(t), TERMS, index=_index(t)).select("id", "score"),
+    "recall_full": lambda t: _recall(t, namespaces=["en"], expand=True, order_by="recent"),
+    "recall_full_window": lambda t: _recall(
+        t, namespaces=["en", "de"], types=["post", "doc", "item"], exclude_kinds=["src1"], since=dt.datetime(2024, 1, 3), until=dt.datetime(2024, 1, 20), min_importance=0.2, limit=6, expand=True
+    ),
+    "recall_full_as_of": lambda t: _recall(t, as_of=AS_OF, order_by="oldest", limit=10, expand=True),
     "recall_vector_fallback": lambda t: re_.vector_fallback(me.live(t.memories), _query_vector(t)),
-    "search_cross_brain": lambda t: re_.search(me.live(t.memories, ["en", "de", "es"]), _query_vector(t), TERMS).select("id", "namespace", "score"),
+    "search_cross_brain": lambda t: re_.search(me.live(t.memories, ["en", "de", "es"]), _query_vector(t), TERMS, index=_index(t)).select("id", "namespace", "score"),
     "recall_min_importance": lambda t: re_.fused(me.live(t.memories), _query_vector(t), TERMS, limit=40, min_importance=0.5).select("id", "importance", "score"),
     "recall_order_recent": lambda t: re_.by_time(re_.fused(me.live(t.memories), _query_vector(t), TERMS)).select("id", "valid_at"),
     "recall_rerank": _hashed_rerank,
@@ -349,20 +396,20 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "rollup_claude_person_weekly": lambda t: ro.claude_person_weekly(t.claude_activity_events),
     "rollup_studio_weekly": lambda t: ro.studio_weekly(t.github_commits, t.people, t.claude_activity_events),
     "leaderboard_weekly": lambda t: ro.leaderboard_weekly(t.github_commits, t.people),
-    "leaderboard_idle": lambda t: ro.leaderboard_idle(t.github_commits.filter("repo_full_name = 'Brand#13'"), t.people),
+    "leaderboard_idle": lambda t: ro.leaderboard_idle(t.github_commits, t.people, _roster(t)),
     "rollup_studio_claude_weekly": lambda t: ro.studio_claude_weekly(t.claude_activity_events),
     "rollup_org_monthly": lambda t: ro.org_monthly(t.github_commits, t.people),
     "rollup_studio_monthly": lambda t: ro.studio_monthly(t.github_commits, t.github_pull_requests, t.claude_activity_events, t.issue_activity),
-    "productivity_person_week": lambda t: ro.productivity_person_week(t.github_commits, t.people, t.claude_activity_events),
+    "productivity_person_week": lambda t: ro.productivity_person_week(t.github_commits, t.people, t.claude_activity_events, t.user_people),
     "ai_spend_weekly": lambda t: ro.ai_spend_weekly(t.claude_activity_events),
     "used_ai_on_edges": lambda t: ro.used_ai_on(t.claude_activity_events, t.part.select(F.col("p_brand").alias("repo")).distinct()),
-    "repo_link_cascade": lambda t: ro.repo_links(t.repo_links, t.dim_ventures),
+    "repo_link_cascade": lambda t: ro.repo_links(t.repositories, t.venture_sites, t.organisations),
     "pr_activity_digest": lambda t: ro.pr_digest(t.github_pull_requests),
     "thread_digest": lambda t: ro.thread_digest(t.conversations),
     "agent_week_digest": lambda t: ro.agent_week_digest(t.agent_actions),
     "rollup_changed_only": _changed,
     "prune_stale_refs": _stale,
-    "coverage_gap": lambda t: ro.coverage_gap(t.github_commits, t.repo_links.filter("org = 'org0'")),
+    "coverage_gap": lambda t: ro.coverage_gap(t.github_commits, t.repo_links.filter("org = 'org0' and url_venture = 'v5'")),
     "edge_provenance_classify": _provenance,
     "episodes_latest": lambda t: ro.episodes(t.memories),
     # Tending the graph and the memories
@@ -390,7 +437,7 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "mapping_memories": _post_memories,
     "mapping_nation_people": _nation_people,
     "deployment_digest": lambda t: mp.deployment_digest(t.agent_actions, "venture_id", "agent_id", F.col("kind") == "signup"),
-    "pulse_survey_digest": lambda t: mp.survey_digest(t.events, "event_type", "props", "$.k"),
+    "pulse_survey_digest": lambda t: mp.survey_digest(_answers(t)),
     "doc_collection": lambda t: mp.document_files(_doc_files(t)),
     "code_shortlist": lambda t: mp.code_shortlist(_files(t)),
     "repository_overview": lambda t: mp.repository_overview(_files(t)),

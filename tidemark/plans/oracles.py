@@ -72,6 +72,19 @@ def _fused(k: int, where: str = _LIVE, floor: str = "", limit: int = 8) -> str:
       from both_ranks b join memories m on m.id = b.id {floor} order by score desc, id limit {limit})"""
 
 
+def _recall(where: str, scope: str, floor: str = "", limit: int = 8, window: str = "true", order: str = "first", live: str = _LIVE) -> str:
+    """A recall with expansion: the fused rows, then neighbours among all live rows of the scope, cut to the window after they are chosen."""
+    return f"""with {_fused(40, f"{live} and {where}", floor, limit)},
+    seeds as (select id, score, valid_at, importance, row_number() over (order by score desc, id) as first from fused),
+    via as (select n.memory_id as id, min(e.name) as via_entity from memory_entities s join memory_entities n on n.entity_id = s.entity_id join entities e on e.id = s.entity_id
+      where s.memory_id in (select id from seeds) and n.memory_id not in (select id from seeds) group by 1),
+    extra as (select m.id, round(0.05 + 0.15 * m.importance, 6) as score, m.valid_at, m.importance, via_entity from memories m join via v on v.id = m.id
+      where {_LIVE} and {scope} order by score desc, m.id limit {max(2, limit // 2)}),
+    both_parts as (select id, score, valid_at, importance, cast(null as varchar) as via_entity, first from seeds
+      union all select id, score, valid_at, importance, via_entity, {limit} + row_number() over (order by score desc, id) from extra where {window})
+    select cast(row_number() over (order by {order}) as integer) as place, id, score, valid_at, importance, via_entity from both_parts"""
+
+
 _CLASSES = f"""case when k in ({_in(SEMANTIC)}) then 'semantic' when k in ({_in(PROCEDURAL)}) then 'procedural'
   when k in ({_in(EPISODIC)}) then 'episodic' end"""
 
@@ -222,19 +235,27 @@ SQL: dict[str, str] = {
         and (invalid_at is null or invalid_at > timestamp '2024-01-20')""",
     "dedup_source_ref": f"""select id, namespace, source_ref, kept_id from (select *, first_value(id) over (partition by namespace, source_ref order by valid_at desc, id desc) as kept_id
         from memories where {_LIVE}) where id <> kept_id""",
-    "dedup_forget_metadata": f"""select id, '{{"forget_reason":"duplicate","superseded_by":"' || kept_id || '"}}' as metadata from (
+    "dedup_forget_metadata": f"""select id, cast(json_merge_patch(cast(metadata as json), json_object('forget_reason', 'duplicate', 'superseded_by', kept_id)) as varchar) as metadata from (
         select *, first_value(id) over (partition by namespace, source_ref order by valid_at desc, id desc) as kept_id from memories where {_LIVE}) where id <> kept_id""",
+    "dedup_source_kind": f"""with rows as (select *, cast(regexp_extract(id, '([0-9]+)$', 1) as bigint) % 4 as k from memories where {_LIVE}),
+        posts as (select id, namespace, valid_at, concat('ref:', length(content)) as ref, k from rows where k < 3)
+        select id, kept_id from (select id, first_value(id) over (partition by namespace, ref order by valid_at desc, id desc) as kept_id from posts where k = 2) where id <> kept_id""",
+    "classify_prefixed": """select concat(doc_id, '')::bigint as id, kind, case when kind in ('venture', 'doc') then 'semantic' when kind = 'playbook' then 'procedural' else 'episodic' end as memory_type
+        from (select doc_id, case doc_id % 7 when 0 then 'post' when 1 then 'photos_post' when 2 then 'venture' when 3 then 'playbook' when 4 then 'doc' when 5 then 'apps_doc'
+          else 'videos_doc' end as kind from documents)""",
     "classify_memory": f"""select id, domain_type, memory_type, case when memory_type in ('semantic', 'procedural') then 'fact' else 'experience' end as network from (
         select id, domain_type, coalesce((select {_CLASSES} from (select domain_type as k)), (select {_CLASSES} from (select source_kind as k)), 'episodic') as memory_type
         from (select id, coalesce(nullif(domain_raw, ''), 'item') as domain_type, source_kind from memories))""",
     "norm_text": f"select doc_id, sha256({_NORM.format('text')}) as norm_sha, cast(length({_NORM.format('text')}) as integer) as norm_chars from documents",
     "negation_cues": "select doc_id, " + " or ".join(f"contains(lower(t), '{c}')" for c in _CUES)
     + " as negates from (select doc_id, case when doc_id % 9 = 0 then 'That Was WRONG. ' || text else text end as t from documents)",
-    "brain_stats": f"""select * from (select count(*) as memories, count(*) filter ({_LIVE}) as live, count(*) filter (invalid_at is not null) as retired,
-        count(distinct namespace) as namespaces, count(*) filter (tier = 'cold') as cold from memories),
-        (select count(*) filter (recent and op = 'recall') as recalls_24h, count(*) filter (recent and op = 'retain') as retains_24h,
-         count(distinct case when recent then agent_id end) as agents_24h from (
-           select *, ts > timestamp '2024-01-14 12:00:00' and ts <= timestamp '2024-01-15 12:00:00' as recent from memory_events))""",
+    "brain_stats": f"""select * from (select count(distinct namespace) filter (invalid_at is null) as namespaces, count(*) filter (invalid_at is null) as memories,
+          count(distinct owner_agent_id) as agents,
+          count(distinct source_ref) filter (valid_at > timestamp '2024-01-14 12:00:00' and valid_at <= timestamp '2024-01-15 12:00:00') as sessions_24h from memories),
+        (select count(*) as entities from entities), (select count(*) as links from memory_entities),
+        (select count(*) as recalls_24h from memory_events where op = 'recall' and ts > timestamp '2024-01-14 12:00:00' and ts <= timestamp '2024-01-15 12:00:00'),
+        (select count(*) as open_gaps from (select distinct namespace, {_NORM.format('query')} as q from memory_events where op in ('recall', 'search') and outcome = 'empty')
+          where q not in ('q3', 'q7'))""",
     "namespaces": "select namespace, count(*) as memories, max(valid_at) as last_activity from memories where invalid_at is null group by 1",
     "brain_detail_types": """select coalesce(nullif(domain_raw, ''), 'item') as type, count(*) as memories from memories
         where invalid_at is null and namespace = 'en' group by 1""",
@@ -254,7 +275,7 @@ SQL: dict[str, str] = {
     "write_decision": f"""with live as (select *, cast(regexp_extract(id, '([0-9]+)$', 1) as bigint) as k from memories where {_LIVE} and embedding is not null),
         batch as (select 'new-' || id as id, namespace, case k % 3 when 0 then content when 1 then 'Correction: ' || content else content || ' more' end as content,
           list_transform(embedding::double[], lambda x, i: x + case when i = 1 then (case k % 3 when 1 then 0.3 when 2 then 0.02 else 0 end)::double else 0 end) as embedding
-          from live where k % 50 = 1),
+          from live where k % 50 = 0),
         scored as (select b.id, b.content, m.id as top_id, m.content as top_content, round({_cosine('b.embedding', 'm.embedding')}, 6) as similarity
           from batch b join live m on m.namespace = b.namespace),
         best as (select * from (select *, row_number() over (partition by id order by similarity desc, top_id) as r from scored) where r = 1)
@@ -269,8 +290,19 @@ SQL: dict[str, str] = {
     "nearest_neighbor_pairs": f"""select vec_id, neighbor, similarity from (
         select a.vec_id, b.vec_id as neighbor, round({_cosine('a.embedding', 'b.embedding')}, 6) as similarity,
           row_number() over (partition by a.vec_id order by round({_cosine('a.embedding', 'b.embedding')}, 6) desc, b.vec_id) as r
-        from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id < 50) where r = 1""",
+        from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0) where r = 1""",
     "bm25_topk": f"with {_bm25(40)} select id, score, cast(rank as integer) as rank from txt",
+    "bm25_indexed": f"with {_bm25(40)} select id, score, cast(rank as integer) as rank from txt",
+    "recall_full": _recall("namespace = 'en'", "namespace = 'en'", order="valid_at desc, first"),
+    "recall_full_window": _recall(
+        "namespace in ('en', 'de') and coalesce(nullif(domain_raw, ''), 'item') in ('post', 'doc', 'item') and source_kind <> 'src1'"
+        " and valid_at between timestamp '2024-01-03' and timestamp '2024-01-20'",
+        "namespace in ('en', 'de')", floor="and m.importance >= 0.2::double", limit=6, window="valid_at between timestamp '2024-01-03' and timestamp '2024-01-20'",
+    ),
+    "recall_full_as_of": _recall(
+        "tier = 'hot' and valid_at <= timestamp '2024-01-20' and (invalid_at is null or invalid_at > timestamp '2024-01-20')", "true", limit=10,
+        window="valid_at <= timestamp '2024-01-20'", order="valid_at, first", live="true",
+    ),
     "recall_hybrid_rrf": f"with {_fused(40)} select id, score from fused",
     "recall_vector_fallback": f"""with {_vector(40)} select v.id, cast(v.rank as integer) as rank, v.distance, round((1 - v.distance) + 0.15 * m.importance, 6) as score
         from vec v join memories m on m.id = v.id""",
@@ -389,10 +421,8 @@ SQL: dict[str, str] = {
         ranked as (select *, row_number() over (partition by week order by commits desc, person) as best, row_number() over (partition by week order by commits, person) as least from by_person)
         select week, person, commits, cast(best as integer) as best, cast(least as integer) as least, week = (select max(week) from by_person) as is_last_week
         from ranked where best <= 5 or least <= 5""",
-    "leaderboard_idle": f"""with commits_of as (select * from github_commits where repo_full_name = 'Brand#13'),
-        recent as (select {_week('c.day')} as week, {_PERSON} as person from commits_of c left join people p on p.login = c.author_login
-          where {_week('c.day')} >= (select {_week('max(day)')} - 105 from commits_of)),
-        grid as (select distinct w.week, p.person from (select distinct week from recent) w, (select distinct person from people) p)
+    "leaderboard_idle": f"""with {_COMMITS16},
+        grid as (select distinct w.week, p.person from (select distinct week from recent) w, (select person from people union select agent_id from agent_actions) p)
         select week, count(*) as idle, string_agg(person, ', ' order by person) as people from grid g
         where not exists (select 1 from recent r where r.week = g.week and r.person = g.person) group by week""",
     "rollup_studio_claude_weekly": f"""with {_CLAUDE16}, by_user as (select week, cast(user_id as varchar) as u, count(*) as e, cast(sum(total_tokens) as bigint) as t from recent group by 1, 2),
@@ -416,7 +446,8 @@ SQL: dict[str, str] = {
           count(*) filter (k = 'a') as ai_events, count(*) filter (k = 'i') as issue_events from e group by month""",
     "productivity_person_week": f"""with git as (select {_week('c.day')} as week, {_PERSON} as person, count(*) as commits, cast(sum(additions) as bigint) as additions
           from github_commits c left join people p on p.login = c.author_login group by 1, 2),
-        ai as (select {_week('created_at')} as week, 'person' || (user_id % 40) as person, count(*) as ai_events, {_COST} as cost from claude_activity_events group by 1, 2)
+        ai as (select {_week('created_at')} as week, coalesce(u.person, concat('user:', c.user_id)) as person, count(*) as ai_events, {_COST} as cost
+          from claude_activity_events c left join user_people u on u.user_id = c.user_id group by 1, 2)
         select coalesce(git.week, ai.week) as week, coalesce(git.person, ai.person) as person, coalesce(commits, 0) as commits, coalesce(additions, 0) as additions,
           coalesce(ai_events, 0) as ai_events, cast(coalesce(cost, 0) as double) as cost from git full join ai on git.week = ai.week and git.person = ai.person""",
     "ai_spend_weekly": f"""select {_week('created_at')} as week, count(distinct user_id) as people, cast(sum(total_tokens) as bigint) as tokens, cast({_COST} as double) as cost
@@ -424,10 +455,14 @@ SQL: dict[str, str] = {
     "used_ai_on_edges": """select c.user_id as src, 'USED_AI_ON' as relation, r.repo as dst, count(*) as weight, min(c.created_at) as since from claude_activity_events c
         join (select lower(p_brand) as base, min(p_brand) as repo from part group by 1 having count(distinct p_brand) = 1) r
           on r.base = lower(list_last(string_split(c.cwd, '/'))) where c.cwd is not null group by 1, 2, 3""",
-    "repo_link_cascade": """select o.repo, coalesce(u.id, n.id, 'r' || regexp_extract(o.org, '([0-9]+)$', 1)) as target,
-        case when u.id is not null then 'url' when n.id is not null then 'name' else 'org' end as rule
-        from (select repo, min(url_venture) as url_venture, min(org) as org from repo_links group by 1) o
-        left join dim_ventures u on u.id = o.url_venture left join dim_ventures n on lower(n.name) = lower(o.repo)""",
+    "repo_link_cascade": r"""with v as (select *, regexp_replace(lower(regexp_extract(url, 'github\.com[:/]+([^/\s]+/[^/\s#?]+)', 1)), '\.git$', '') as site from venture_sites),
+        keys as (select key, min(id) as id from (select regexp_replace(lower(name), '[^a-z0-9]', '', 'g') as key, id from v union all select lower(id), id from v) where length(key) >= 4 group by 1)
+        select repo, target, case rule when 'portfolio' then 'REPO_IN' else 'REPO_OF' end as relation, rule from (
+          select r.repo, coalesce(s.id, ov.id, k.id, o.portfolio_id) as target,
+            case when s.id is not null then 'url' when ov.id is not null then 'org' when k.id is not null then 'name' else 'portfolio' end as rule
+          from repositories r left join (select site, min(id) as id from v where site <> '' group by 1) s on s.site = lower(r.repo)
+          left join organisations o on lower(o.org) = split_part(lower(r.repo), '/', 1) left join v ov on ov.id = o.venture_id
+          left join keys k on k.key = regexp_replace(lower(split_part(r.repo, '/', 2)), '[^a-z0-9]', '', 'g')) where target is not null""",
     "pr_activity_digest": f"""select repo_full_name, count(*) as opened, count(merged_at) as merged, count(*) filter (first_review_at is null) as never_reviewed,
         round(median({_MINUTES.format('created_at', 'first_review_at')} / 60.0::double), 1) as median_review_hours,
         round(median({_MINUTES.format('created_at', 'merged_at')} / 60.0::double), 1) as median_merge_hours from github_pull_requests group by 1""",
@@ -444,7 +479,7 @@ SQL: dict[str, str] = {
     "prune_stale_refs": """select id, source_ref || '/' || id as source_ref from memories where invalid_at is null and source_kind in ('src1', 'src2')
         and cast(substring(id, 2) as bigint) % 3 = 0""",
     "coverage_gap": """select repo_full_name, count(*) as commits from github_commits where day > (select max(day) from github_commits) - 90
-        and repo_full_name not in (select repo from repo_links where org = 'org0') group by 1 order by commits desc, repo_full_name limit 10""",
+        and repo_full_name not in (select repo from repo_links where org = 'org0' and url_venture = 'v5') group by 1 order by commits desc, repo_full_name limit 10""",
     "edge_provenance_classify": """with e as (select distinct concat('c', o_custkey) as src, concat('n', o_orderkey % 25) as dst, concat('db:order:', o_orderkey) as ref from orders),
         r as (select *, row_number() over (partition by src, dst order by ref) as r, count(*) over (partition by src, dst) as n from e)
         select src, dst, 'ORDERED_IN' as relation, case when n = 1 then 'link' else 'aggregate' end as kind, n as records, string_agg(ref, ',' order by ref) as refs
@@ -457,7 +492,7 @@ SQL: dict[str, str] = {
     "graph_spine_roles": f"""select role, max(total) as total, count(*) as shown, cast(case role when 'portfolio' then 1 when 'venture' then 2 when 'repo' then 3
         when 'person' then 4 when 'agent' then 5 else 18 end as integer) as place from ({_spine("true", "'repo', 'venture', 'feed'", 10)}) group by role""",
     "graph_labels": """with nodes as (select concat('r:', p_brand) as id, p_brand as name, 'repo' as kind from part
-          union all select concat('t:', p_brand, ':', p_partkey), p_brand, 'team' from part where p_size > 48),
+          union all select concat('t:', p_brand, ':', p_partkey), p_brand, 'team' from part),
         one as (select name, kind, min(id) as id, count(*) over (partition by name) as kinds from nodes group by name, kind)
         select id, kind, case when kinds > 1 then concat(name, ' (', kind, ')') else name end as label from one""",
     "graph_activity_nodes": f"""with {_COMMITS16}, by_repo as (select week, repo_full_name as repo, count(*) as n from recent group by 1, 2),
@@ -471,12 +506,13 @@ SQL: dict[str, str] = {
     "meeting_title_match": """with tok as (select token, min(id) as venture_id from (
           select id, lower(regexp_replace(name, '[^A-Za-z0-9]', '', 'g')) as token from dim_ventures union select id, lower(id) from dim_ventures)
           where length(token) >= 4 group by token having count(distinct id) = 1),
-        titles as (select event_id as id, lower(concat('Sync: nation_', event_id % 40, case when event_id % 7 = 0 then ' and NATION_1' else '' end)) as title from events where event_id < 500),
+        titles as (select event_id as id, lower(concat('Sync: nation_', event_id % 40, case when event_id % 7 = 0 then ' and NATION_1' else '' end)) as title from events),
         named as (select distinct t.id, venture_id from titles t join tok on list_contains(regexp_extract_all(title, '[a-z0-9]+'), token)
           or (length(token) >= 5 and contains(regexp_replace(title, '[^a-z0-9]', '', 'g'), token)))
         select id, 'MEETING_ABOUT' as relation, min(venture_id) as venture_id from named group by id having count(*) = 1""",
-    "rollup_relink": """select concat('rollup:', c_nationkey) as source_ref, concat('c', c_custkey) as entity_id from customer where c_custkey between 50 and 149
-        union all select distinct concat('rollup:', c_nationkey), concat('n', c_nationkey) from customer where c_custkey < 150""",
+    "rollup_relink": """with head as (select c_nationkey, c_custkey from (select *, row_number() over (partition by c_nationkey order by c_name) as r from customer) where r <= 8)
+        select concat('rollup:', c_nationkey) as source_ref, concat('c', c_custkey) as entity_id from head where c_custkey % 3 <> 0
+        union all select distinct concat('rollup:', c_nationkey), concat('n', c_nationkey) from head""",
     "stale_edges_retired": f"""select src_id, relation, dst_id, valid_from, timestamp '2024-01-15 12:00:00' as valid_to from entity_edges
         where {_OPEN} and relation = 'MEMBER_OF' and cast(substring(src_id, 2) as bigint) % 3 = 0""",
     "edges_to_open": "select distinct src_id, relation, dst_id from entity_edges where valid_to is not null",
@@ -490,7 +526,7 @@ SQL: dict[str, str] = {
         union all select 'domain_raw', domain_raw, importance from memories where {_LIVE}) where value is not null group by 1, 2""",
     "search_scoped": f"select id, namespace from memories where {_LIVE} and namespace = 'en'",
     "write_decision_by_ref": f"""with newest as (select namespace, source_ref, arg_max(id, (valid_at, id)) as top_id from memories where {_LIVE} group by 1, 2),
-        new as (select concat('new', doc_id) as id, lang as namespace, concat('doc:', cast(floor(doc_id / 2.0) as bigint)) as source_ref from documents where doc_id % 10 = 3)
+        new as (select concat('new', doc_id) as id, lang as namespace, concat('doc:', cast(floor(doc_id / 2.0) as bigint)) as source_ref from documents)
         select id, new.source_ref, top_id, case when top_id is null then 'add' else 'update' end as decision from new left join newest using (namespace, source_ref)""",
     "write_applied": f"""with decided as (SELECT_DECISIONS),
         hits as (select top_id as id, count(*) filter (decision = 'noop') as noops, max(case when decision = 'update' then id end) as superseded_by,
@@ -498,8 +534,8 @@ SQL: dict[str, str] = {
         select m.id, coalesce(gone, 0) = 0 as live, superseded_by, round(least(1.0::double, importance + 0.02::double * coalesce(noops, 0)), 6) as importance
         from memories m left join hits h on h.id = m.id where {_LIVE} and embedding is not null
         union all select id, true, null, 0.5::double from decided where decision in ('add', 'update')""",
-    "memory_forget": """select id, timestamp '2024-01-15 12:00:00' as invalid_at, '{"forget_reason":"outdated"}' as metadata from memories
-        where invalid_at is null and importance > 0.85::double""",
+    "memory_forget": """select id, timestamp '2024-01-15 12:00:00' as invalid_at, cast(json_merge_patch(cast(metadata as json), json_object('forget_reason', 'outdated')) as varchar) as metadata
+        from memories where invalid_at is null and importance > 0.85::double""",
     "coverage_share": """select count(*) as events, count(cwd) as with_cwd, round(100.0::double * count(cwd) / count(*), 1) as share,
         cast(min(created_at) as date) as first_day, cast(max(created_at) as date) as last_day from claude_activity_events""",
     "commits_by_username": "select person, count(*) as commits from github_commits join people on lower(author_login) = lower(login) group by 1",
@@ -510,9 +546,15 @@ SQL: dict[str, str] = {
         where s_nationkey = n_nationkey), 'nobody')) as content from nation""",
     "deployment_digest": """select venture_id, count(*) as runs, count(*) filter (kind = 'signup') as failed, array_to_string(list_sort(list(distinct agent_id)), ', ') as "by"
         from agent_actions group by 1""",
-    "pulse_survey_digest": f"""with a as (select event_type, json_extract_string(props, '$.k') as choice, count(*) as n from events where json_extract_string(props, '$.k') is not null group by 1, 2),
-        r as (select *, row_number() over (partition by event_type order by n desc, choice) as r from a)
-        select event_type, cast(sum(n) as bigint) as responses, count(*) as choices, {_list('choice', 'n')} filter (r <= 5) as top from r group by 1""",
+    "pulse_survey_digest": r"""with a as (select concat('s', conv_id % 5) as survey, role as key, case when turn % 3 = 0 then concat('c', conv_id % 4) end as choice,
+          case when turn % 3 <> 0 then text end as text, conv_id * 1000 + turn as said_at from conversations),
+        t as (select survey, string_agg(concat('[', key, '] ', substring(regexp_replace(text, '\s+', ' ', 'g'), 1, 220)), ' | ' order by r) as texts from (
+          select *, row_number() over (partition by survey order by said_at desc, key, text) as r from a where length(text) >= 12) where r <= 24 group by 1),
+        c as (select survey, string_agg(concat(key, ': ', choice, ' x', n), ', ' order by key, n desc, choice) as choices from (
+          select survey, key, choice, count(*) as n from a where choice is not null group by all) group by 1)
+        select survey, responses, concat('Survey ', survey, '. Responses: ', responses, '.', case when texts is not null then concat(' Free-text answers (verbatim): ', texts) else '' end,
+          case when choices is not null then concat(' Choices: ', choices) else '' end) as content
+        from (select survey, count(*) as responses from a group by 1) left join t using (survey) left join c using (survey)""",
     "doc_collection": """with f as (select case doc_id % 5 when 0 then concat('pkg', doc_id, '/README.md') when 1 then concat('docs/g', doc_id, '.mdx') when 2 then concat('src/n', doc_id, '.md') end as path,
           case doc_id % 5 when 0 then 0 when 1 then 1 else 2 end as place, length(text) as bytes, length(trim(text)) as n from documents)
         select path, cast(place as integer) as place, bytes from f where path is not null and bytes <= 400000 and n >= 120""",

@@ -29,15 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+_MADE: dict[str, list[str]] = {}
 
 
-_MADE: dict[str, list[str]] = {}
+def fresh_dir(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder; ``release`` deletes it."""
+    path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def release(spark: SparkSession) -> int:
-    """Deletes the tables that this process has staged in the session; results that read them must be written by then."""
+    """Deletes the tables and files that this process has staged in the session; results that read them must be written by then."""
     made = _MADE.pop(spark.sparkContext.applicationId, [])
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in made:
@@ -54,6 +57,5 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     deletes them.
     """
     spark, path = df.sparkSession, fresh_dir(df.sparkSession, name)
-    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

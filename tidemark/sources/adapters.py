@@ -8,7 +8,7 @@ the only two places where the dialects differ.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,8 +27,11 @@ ADAPTERS = {
                cast(case when d.doc_id % 7 = 0 then {_DAY0} + (d.doc_id % 720 + 240) * interval '1' hour end as {{T}}) invalid_at,
                case when d.doc_id % 11 = 0 then 'cold' else 'hot' end tier,
                case d.doc_id % 6 when 0 then 'post' when 1 then 'venture' when 2 then 'issue' when 3 then 'doc'
-                    when 4 then 'playbook' else '' end domain_raw
-        from {{documents}} d left join {{embeddings}} e on e.vec_id = d.doc_id % 500""",
+                    when 4 then 'playbook' else '' end domain_raw,
+               concat('{{{{"lang":"', d.lang, '","kind":"', d.source, '"', case when d.doc_id % 5 = 0 then ',"forget_reason":"old"' else '' end, '}}}}') metadata,
+               case when d.doc_id % 4 > 0 then concat('a', cast(d.doc_id % 13 as varchar(20))) end owner_agent_id
+        from (select *, doc_id % (select count(*) from {{embeddings}}) as vec from {{documents}}) d
+        left join {{embeddings}} e on e.vec_id = d.vec""",
     "memory_entities": """
         select concat('m', cast(doc_id as varchar(20))) memory_id, concat('n', cast(doc_id % 25 as varchar(20))) entity_id
         from {documents}
@@ -112,7 +115,9 @@ ADAPTERS = {
         select concat('v', cast(n_nationkey as varchar(20))) id, n_name name,
                concat('r', cast(n_regionkey as varchar(20))) portfolio_id from {nation}""",
     "dim_users": """
-        select c_custkey id, c_name display_name, c_mktsegment team from {customer} where c_custkey < 150""",
+        select c_custkey id, c_name display_name, c_mktsegment team from {customer}""",
+    "user_people": """
+        select distinct user_id, concat('person', cast(user_id % 40 as varchar(20))) person from {events}""",
     "people": """
         select concat('login', cast(s_suppkey as varchar(20))) login,
                concat('person', cast(s_suppkey % 40 as varchar(20))) person, s_suppkey % 150 user_id from {supplier}""",
@@ -126,7 +131,19 @@ ADAPTERS = {
     "repo_links": """
         select distinct p.p_brand repo, concat('org', cast(p.p_partkey % 5 as varchar(20))) org,
                case when p.p_partkey % 4 = 0 then concat('v', cast(p.p_partkey % 25 as varchar(20))) end url_venture
-        from {part} p where p.p_partkey % 50 = 0""",
+        from {part} p""",
+    "repositories": """
+        select distinct concat('org', cast(p_partkey % 8 as varchar(20)), '/',
+               case when p_partkey % 4 = 0 then concat('Nation-', cast(p_partkey % 40 as varchar(20))) else lower(replace(p_brand, '#', '-')) end) repo
+        from {part}""",
+    "venture_sites": """
+        select concat('v', cast(n_nationkey as varchar(20))) id, n_name name,
+               case when n_nationkey % 5 = 0 then concat('https://github.com/Org', cast(n_nationkey % 8 as varchar(20)), '/brand-', cast(n_nationkey + 11 as varchar(20)), '.git')
+                    when n_nationkey % 5 = 1 then concat('git@github.com:org', cast(n_nationkey % 8 as varchar(20)), '/nation-', cast(n_nationkey as varchar(20)), '?tab=code') end url
+        from {nation}""",
+    "organisations": """
+        select concat('org', cast(r_regionkey as varchar(20))) org, case when r_regionkey = 1 then 'v7' when r_regionkey = 2 then 'gone' end venture_id,
+               case when r_regionkey < 4 then concat('r', cast(r_regionkey as varchar(20))) end portfolio_id from {region}""",
 }
 
 
@@ -136,7 +153,8 @@ def adapter_sql(name: str, dialect: str) -> str:
     get = "get_json_object(props, '$.k')" if spark else "json_extract_string(props, '$.k')"
     text = ADAPTERS[name].replace("{J}", f"cast(cast({get} as int) % 10 as varchar(20))")
     text = text.replace("{T}", "timestamp_ntz" if spark else "timestamp")
-    return text if spark else re.sub(r"\{(\w+)\}", r"\1", text)
+    # Doubled braces are braces, as in a format string.
+    return text if spark else re.sub(r"\{(\w+)\}", r"\1", text).replace("{{", "{").replace("}}", "}")
 
 
 class Tables:
@@ -148,12 +166,18 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str, loaded: dict[str, str] | None = None):
         self.spark, self.sf_dir, self.loaded = spark, sf_dir, loaded or {}
 
-    def load(self, path: str, names: Iterable[str], files: int) -> Tables:
-        """Writes tables or adapters as Parquet of so many files each, and gives tables that read them from there."""
+    def load(self, path: str, names: Iterable[str], files: int, derived: dict[str, Callable[[Tables], DataFrame]] | None = None) -> Tables:
+        """Writes tables or adapters as Parquet of so many files each, and gives tables that read them from there.
+
+        ``derived`` names tables that are made from the others and written as they are.
+        """
         loaded = dict(self.loaded)
         for name in names:
             loaded[name] = f"{path}/{name}.parquet"
             getattr(self, name).repartition(files).write.mode("overwrite").parquet(loaded[name])
+        for name, build in (derived or {}).items():
+            loaded[name] = f"{path}/{name}.parquet"
+            build(self).write.mode("overwrite").parquet(loaded[name])
         return Tables(self.spark, self.sf_dir, loaded)
 
     def __getattr__(self, name: str) -> DataFrame:

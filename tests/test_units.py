@@ -282,6 +282,11 @@ def test_stream_upsert(spark, tmp_path):
         if batch:
             spark.createDataFrame(batch, "event_id long, ts timestamp_ntz, event_type string").write.mode("append").parquet(str(source))
         stream = refresh.event_stream(spark, str(source))
-        refresh.upserting(stream, refresh.file_upsert(str(tmp_path / "out"), "event_id"), str(tmp_path / "check")).awaitTermination()
-    last = spark.read.parquet(str(tmp_path / "out/v1")).orderBy("event_id").collect()
-    assert [(r["event_id"], r["event_type"]) for r in last] == [(1, "b"), (2, "c")]
+        refresh.upserting(stream, refresh.file_upsert(str(tmp_path / "out"), "event_id", "ts"), str(tmp_path / "check")).awaitTermination()
+    want = [(1, "b"), (2, "c")]
+    last = refresh.upserted(spark, str(tmp_path / "out"), "event_id", "ts").orderBy("event_id").collect()
+    assert [(r["event_id"], r["event_type"]) for r in last] == want
+    refresh.compacted(spark, str(tmp_path / "out"), str(tmp_path / "compact"), "event_id", "ts")
+    again = refresh.upserted(spark, str(tmp_path / "compact"), "event_id", "ts").orderBy("event_id").collect()
+    assert [(r["event_id"], r["event_type"]) for r in again] == want
+    assert refresh.once(refresh.calendar(refresh.event_stream(spark, str(source)), "ts", "month")).collect()[0]["events"] == 3

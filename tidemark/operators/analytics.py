@@ -31,28 +31,21 @@ def feature_daily(feature_events: DataFrame) -> DataFrame:
     )
 
 
-def _per_user_day(feature_events: DataFrame, transition_events: DataFrame) -> DataFrame:
-    def one(df: DataFrame) -> DataFrame:
-        return df.filter("user_id is not null").groupBy(day("created_at").alias("day"), "user_id").agg(n().alias("events"))
-
-    return one(feature_events).unionByName(one(transition_events))
+def _per_user(feature_events: DataFrame, transition_events: DataFrame, period: Column, name: str) -> DataFrame:
+    """One row per period and user of either source, with its events: only these are shuffled."""
+    both = feature_events.select("created_at", "user_id").unionAll(transition_events.select("created_at", "user_id"))
+    return both.filter("user_id is not null").groupBy(period.alias(name), "user_id").agg(n().alias("events"))
 
 
 def dau(feature_events: DataFrame, transition_events: DataFrame) -> DataFrame:
-    """Users of either source per day, and all their events: two levels, so only user-days are shuffled."""
-    return (
-        _per_user_day(feature_events, transition_events)
-        .groupBy("day")
-        .agg(F.countDistinct("user_id").alias("users"), F.sum("events").alias("events"))
-    )
+    """Users of either source per day, and all their events: two levels, so a day's users are counted, not gathered."""
+    by = _per_user(feature_events, transition_events, day("created_at"), "day")
+    return by.groupBy("day").agg(n().alias("users"), F.sum("events").alias("events"))
 
 
 def wau(feature_events: DataFrame, transition_events: DataFrame) -> DataFrame:
-    return (
-        _per_user_day(feature_events, transition_events)
-        .groupBy(week("day").alias("week"))
-        .agg(F.countDistinct("user_id").alias("users"))
-    )
+    by = _per_user(feature_events, transition_events, week("created_at"), "week")
+    return by.groupBy("week").agg(n().alias("users"))
 
 
 def feature_adoption_weekly(feature_events: DataFrame) -> DataFrame:
@@ -208,7 +201,10 @@ def top_repos(commits: DataFrame, days: int = 30, k: int = 5) -> DataFrame:
 
 
 def dau_last(feature_events: DataFrame, transition_events: DataFrame, days: int = 14) -> DataFrame:
-    return dau(feature_events, transition_events).orderBy(F.desc("day")).limit(days)
+    """The days up to the newest day with an event; older events are cut before they are counted."""
+    newest = feature_events.select("created_at").unionAll(transition_events.select("created_at")).agg(day(F.max("created_at"))).scalar()
+    recent = F.col("created_at") > F.date_sub(newest, days - 1).cast("timestamp_ntz") - F.expr("interval 1 microsecond")
+    return dau(feature_events.filter(recent), transition_events.filter(recent)).orderBy(F.desc("day")).limit(days)
 
 
 def feature_this_vs_earlier(feature_events: DataFrame, days: int = 14) -> DataFrame:
@@ -226,9 +222,8 @@ def tokens_per_day(claude: DataFrame) -> DataFrame:
 
 
 def top_ventures(dim_ventures: DataFrame, feature_events: DataFrame, agent_actions: DataFrame, k: int = 10) -> DataFrame:
-    return (
-        venture_totals(dim_ventures, feature_events, agent_actions)
-        .select("name", (F.col("feature_events") + F.col("agent_actions")).alias("activity"))
-        .orderBy(F.desc("activity"), "name")
-        .limit(k)
-    )
+    """Ventures by all their events and actions; one without any has 0."""
+    both = feature_events.select("venture_id").unionAll(agent_actions.select("venture_id"))
+    by = both.groupBy("venture_id").agg(n().alias("activity"))
+    out = dim_ventures.select(F.col("id").alias("venture_id"), "name").join(by, "venture_id", "left")
+    return out.select("name", F.coalesce("activity", F.lit(0)).cast("long").alias("activity")).orderBy(F.desc("activity"), "name").limit(k)

@@ -59,7 +59,7 @@ def reachable(walk: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """id, depth, path of every node within ``depth`` steps: the nearest arrival, ties by path.
 
     Each level joins the frontier with the steps and drops nodes seen before, so a level has at most as
-    many rows as there are nodes.
+    many rows as there are nodes.  Every second level is written, so a plan holds two levels at most.
     """
     frontier = start.select("id", F.lit(0).alias("depth"), F.array("id").alias("path"))
     seen = frontier
@@ -68,7 +68,9 @@ def reachable(walk: DataFrame, start: DataFrame, depth: int) -> DataFrame:
             F.col("y").alias("id"), F.concat("path", F.array("y")).alias("path")
         )
         best = reached.groupBy("id").agg(F.min("path").alias("path"))
-        frontier = staged(best.join(seen, "id", "left_anti").select("id", F.lit(d).alias("depth"), "path"), "frontier")
+        frontier = best.join(seen, "id", "left_anti").select("id", F.lit(d).alias("depth"), "path")
+        if d % 2 == 0 and d < depth:
+            frontier = staged(frontier, "frontier")
         seen = seen.unionByName(frontier)
     return seen
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rollups import fk_edges
@@ -25,24 +27,39 @@ RELATIONS = {
     "POSTED_IN": ("person", "feed"), "ORGANIZED": ("person", "meeting"), "DOC_IN": ("doc", "repo"), "CODE_IN": ("code_module", "repo"),
     "REPO_IN": ("repo", "portfolio"), "USED_AI_ON": ("person", "repo"),
 }
-# For each family of edges the table it is read from, and whether one row of it can be cited as the edge's source.
+#: For each family of edges the tables that it is read from: table, columns of its ends, and the domain type under which a row
+#: of it is a memory that can be cited as the edge's source, or None.
 FAMILIES = {
-    "BELONGS_TO": ("ventures", True), "MEMBER_OF": ("venture_members", False), "WORKS_ON": ("venture_members", False), "OWNS": ("venture_responsibilities", True),
-    "ASSIGNED_TO": ("issues", True), "AUTHORED_IN": ("posts", True), "DEPENDS_ON": ("venture_dependencies", True), "LEADS_BD_FOR": ("bd_deals", True),
-    "EXPERT_FOR": ("harvester_items", True), "APPLIES_TO": ("issue_learnings", True), "RECORDED": ("issue_learnings", True), "PURSUES": ("user_goals", True),
-    "GOAL_FOR": ("venture_goals", True), "PLANS": ("roadmaps", True), "TARGETS": ("venture_okr_snapshots, venture_okr_targets", True),
-    "PROMOTES": ("marketing_campaigns", True), "RUNS_CAMPAIGN": ("marketing_campaigns", True), "CHANNEL_OF": ("channels", True),
-    "ATTENDED": ("calendar_event_attendees", True), "MEETING_ABOUT": ("calendar_events", True), "ISSUE_IN": ("issues", True), "DISCUSSED_IN": ("issue_comments", True),
-    "AGENT_DISCUSSED_IN": ("issue_comments", True), "ACTED_ON": ("agent_actions", False), "AUTHORED_PR_IN": ("github_pull_requests", False),
-    "ATTENDED_WITH": ("calendar_event_attendees", True), "COMMITS_TO": ("github_commits", False), "REPO_OF": ("ventures", False),
+    "BELONGS_TO": (("ventures", "id", "portfolio_id", "venture"),), "MEMBER_OF": (("venture_members", "user_id", "venture_id", None),),
+    "WORKS_ON": (("venture_members", "agent_id", "venture_id", None),), "OWNS": (("venture_responsibilities", "owner_id", "venture_id", "responsibility"),),
+    "ASSIGNED_TO": (("issues", "assignee_id", "venture_id", "issue"),), "AUTHORED_IN": (("posts", "author_id", "venture_id", "post"),),
+    "DEPENDS_ON": (("venture_dependencies", "venture_id", "depends_on_id", "dependency"),), "LEADS_BD_FOR": (("bd_deals", "owner_id", "venture_id", "pipeline"),),
+    "EXPERT_FOR": (("harvester_items", "agent_id", "venture_id", "harvested"),), "APPLIES_TO": (("issue_learnings", "learning_id", "venture_id", "learning"),),
+    "RECORDED": (("issue_learnings", "author_id", "learning_id", "learning"),), "PURSUES": (("user_goals", "user_id", "goal_id", "goal"),),
+    "GOAL_FOR": (("venture_goals", "goal_id", "venture_id", "goal"),), "PLANS": (("roadmaps", "roadmap_id", "venture_id", "roadmap"),),
+    "TARGETS": (("venture_okr_snapshots", "okr_id", "venture_id", "okr"), ("venture_okr_targets", "okr_id", "venture_id", "okr")),
+    "PROMOTES": (("marketing_campaigns", "campaign_id", "venture_id", "marketing"),), "RUNS_CAMPAIGN": (("marketing_campaigns", "owner_id", "campaign_id", "marketing"),),
+    "CHANNEL_OF": (("channels", "channel_id", "venture_id", "channel"),), "ATTENDED": (("calendar_event_attendees", "user_id", "meeting_id", "calendar-event"),),
+    "MEETING_ABOUT": (("calendar_events", "meeting_id", "venture_id", "calendar-event"),), "ISSUE_IN": (("issues", "issue_id", "venture_id", "issue"),),
+    "DISCUSSED_IN": (("issue_comments", "author_id", "issue_id", "issue-thread"),), "AGENT_DISCUSSED_IN": (("issue_comments", "agent_id", "issue_id", "issue-thread"),),
+    "ACTED_ON": (("agent_actions", "agent_id", "venture_id", None),), "AUTHORED_PR_IN": (("pull_authors", "user_id", "repo_full_name", None),),
+    "COMMITS_TO": (("github_commits", "author_login", "repo_full_name", None),),
 }
 
 
-def family(relation: str, rows: DataFrame, src: Column, dst: Column, key: Column) -> DataFrame:
-    """A family's edges: src, dst, relation, ref.  The ref is the row that an edge comes from, where one can be cited."""
-    table, citable = FAMILIES[relation]
-    ref = F.concat(F.lit(f"db:{table}:"), key.cast("string")) if citable else F.lit(None).cast("string")
-    return fk_edges(rows, relation, src, dst, ref)
+def family_edges(table: Callable[[str], DataFrame], relations: Sequence[str] = ()) -> DataFrame:
+    """Edges of the families, by default of all: src, dst, relation, ref, one row a record; an end that is null is no edge.
+
+    ``table`` gives a source table by its name; each is one projection, so nothing is shuffled.
+    """
+    out = None
+    for relation in relations or FAMILIES:
+        for name, src, dst, kind in FAMILIES[relation]:
+            rows = table(name)
+            ref = F.concat(F.lit(f"db:{kind}:"), F.col("id").cast("string")) if kind else F.lit(None).cast("string")
+            edges = fk_edges(rows, relation, F.col(src).cast("string"), F.col(dst).cast("string"), ref)
+            out = edges if out is None else out.unionByName(edges)
+    return out
 
 
 def together(rows: DataFrame, group: str, member: str, relation: str = "ATTENDED_WITH") -> DataFrame:

@@ -51,16 +51,19 @@ def with_people(df: DataFrame, people: DataFrame, login: str) -> DataFrame:
     return df.join(names, login, "left").withColumn("person", F.coalesce("person", login))
 
 
-def repo_weekly(commits: DataFrame, people: DataFrame, top: int = TOP, floor: int = FLOOR) -> DataFrame:
-    """Per week the top repositories, of those the ones with enough commits: the cap comes first."""
+def _repo_weeks(commits: DataFrame, people: DataFrame, top: int, floor: int) -> DataFrame:
     small = last_weeks(commits, "day").groupBy("week", "repo_full_name", "author_login").agg(n().alias("commits"))
     people_of = with_people(small, people, "author_login").groupBy("week", "repo_full_name", "person").agg(F.sum("commits").alias("commits"))
     by_repo = people_of.groupBy("week", "repo_full_name").agg(F.sum("commits").alias("total"), n().alias("contributors"))
     rank = F.row_number().over(Window.partitionBy("week").orderBy(F.desc("total"), "repo_full_name"))
     kept = by_repo.withColumn("rank", rank).filter(F.col("rank") <= top).filter(F.col("total") >= floor)
-    kept = kept.join(top_list(people_of, ["week", "repo_full_name"], "person", "commits", 5, "who"), ["week", "repo_full_name"])
+    return kept.join(top_list(people_of, ["week", "repo_full_name"], "person", "commits", 5, "who"), ["week", "repo_full_name"])
+
+
+def repo_weekly(commits: DataFrame, people: DataFrame, top: int = TOP, floor: int = FLOOR) -> DataFrame:
+    """Per week the top repositories, of those the ones with enough commits: the cap comes first."""
     newest = commits.agg(F.max("day")).scalar()
-    return kept.select(
+    return _repo_weeks(commits, people, top, floor).select(
         F.concat_ws(":", F.lit("rollup:repo"), F.col("week").cast("string"), "repo_full_name").alias("source_ref"),
         iso_week_label(F.col("week")).alias("period"),
         "rank",
@@ -72,7 +75,8 @@ def repo_weekly(commits: DataFrame, people: DataFrame, top: int = TOP, floor: in
     )
 
 
-def person_weekly(commits: DataFrame, people: DataFrame, top: int = TOP, floor: int = FLOOR) -> DataFrame:
+def person_weekly(commits: DataFrame, people: DataFrame, top: int = TOP, floor: int = FLOOR, *, dated: bool = False) -> DataFrame:
+    """Per week the people with most commits, their logins merged before they are ranked; with the week itself if ``dated``."""
     small = last_weeks(commits, "day").groupBy("week", "author_login", "repo_full_name").agg(
         n().alias("commits"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions")
     )
@@ -87,7 +91,7 @@ def person_weekly(commits: DataFrame, people: DataFrame, top: int = TOP, floor:
     kept = by.withColumn("rank", rank).filter(F.col("rank") <= top).filter(F.col("total") >= floor)
     kept = kept.join(top_list(by_repo, ["week", "person"], "repo_full_name", "commits", 3, "top_repos"), ["week", "person"])
     return kept.select(
-        iso_week_label(F.col("week")).alias("period"), "person", "rank", F.col("total").alias("commits"), "repos", "additions", "deletions", "top_repos"
+        *(["week"] if dated else []), iso_week_label(F.col("week")).alias("period"), "person", "rank", F.col("total").alias("commits"), "repos", "additions", "deletions", "top_repos"
     )
 
 

@@ -17,6 +17,7 @@ from ..operators import mappings as mp
 from ..operators import memory as me
 from ..operators import ontology as on
 from ..operators import retrieval as re_
+from ..operators import rollup_documents as rd
 from ..operators import rollups as ro
 from ..sources import connectors as co
 from ..sources import etl
@@ -264,16 +265,6 @@ def _by_ref(t: Tables) -> DataFrame:
     return me.planned_by_ref(new, me.live(t.memories))
 
 
-def _families(t: Tables) -> DataFrame:
-    """Edges of three families, straight from the foreign keys."""
-    s = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    return (
-        on.family("BELONGS_TO", t.nation, s("n", "n_nationkey"), s("r", "n_regionkey"), F.col("n_nationkey"))
-        .unionByName(on.family("MEMBER_OF", t.customer, s("c", "c_custkey"), s("n", "c_nationkey"), F.col("c_custkey")))
-        .unionByName(on.family("ASSIGNED_TO", t.orders.filter("o_orderstatus = 'O'"), s("c", "o_custkey"), F.lit("n1"), F.col("o_orderkey")))
-    )
-
-
 def _usernames(t: Tables) -> DataFrame:
     people = t.people.groupBy("person").agg(F.collect_list(F.upper("login")).alias("usernames"))
     return ro.commits_of_usernames(t.github_commits, people)
@@ -386,7 +377,8 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "ontology_counts": lambda t: gr.ontology_counts(t.declared_types, t.entities),
     "ontology_undeclared": lambda t: gr.undeclared(t.declared_types, t.entities),
     "ontology_reconciled": lambda t: on.reconciled(t.declared_types, t.entities),
-    "fk_edge_families": _families,
+    "fk_edge_families": lambda t: on.family_edges(lambda name: getattr(t, name)),
+    "fk_edge_provenance": lambda t: ro.provenance(on.family_edges(lambda name: getattr(t, name), ["DISCUSSED_IN", "AGENT_DISCUSSED_IN", "TARGETS", "ATTENDED"])),
     "attended_with": lambda t: on.together(t.events.select((F.floor(F.col("event_id") / 4)).alias("meeting"), "user_id"), "meeting", "user_id"),
     "edge_endpoint_types": lambda t: gr.endpoint_types(t.entity_edges, t.entities),
     "hop_trace": lambda t: gr.hop_trace(t.entity_edges, t.entities, "NATION_7"),
@@ -412,6 +404,13 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "coverage_gap": lambda t: ro.coverage_gap(t.github_commits, t.repo_links.filter("org = 'org0' and url_venture = 'v5'")),
     "edge_provenance_classify": _provenance,
     "episodes_latest": lambda t: ro.episodes(t.memories),
+    "rollup_docs_person": lambda t: rd.person_weeks(t.github_commits, t.people, NOW),
+    "rollup_docs_ai_person": lambda t: rd.ai_person_weeks(t.claude_activity_events, t.user_people, NOW),
+    "rollup_docs_studio": lambda t: rd.studio_weeks(t.github_commits, t.people, t.claude_activity_events, NOW),
+    "rollup_docs_leaderboard": lambda t: rd.leaderboards(t.github_commits, t.people, _roster(t), NOW),
+    "rollup_docs_studio_ai": lambda t: rd.studio_ai_weeks(t.claude_activity_events, NOW),
+    "rollup_docs_org": lambda t: rd.org_months(t.github_commits, t.people, NOW),
+    "rollup_docs_studio_month": lambda t: rd.studio_months(t.github_commits, t.github_pull_requests, t.claude_activity_events, t.issue_activity, NOW),
     # Tending the graph and the memories
     "graph_candidates": lambda t: kn.candidates(t.entities, "nation_1"),
     "graph_spine_roles": lambda t: kn.roles_of(gr.spine(t.entity_edges, t.entities, "nation_7")).select("role", "total", "shown", "place"),
@@ -458,6 +457,7 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "late_data_dedupe": _late,
     "etl_watermark": lambda t: etl.watermark(t.events, "events", "ts", NOW, "full"),
     # Streaming
+    "stream_monthly": lambda t: refresh.monthly_events(t.spark, f"{t.sf_dir}/events*.parquet"),
     "stream_tumbling_daily": lambda t: refresh.daily_events(t.spark, f"{t.sf_dir}/events*.parquet"),
 }
 

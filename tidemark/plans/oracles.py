@@ -6,6 +6,7 @@ Adapters that a text names are put in front as common table expressions by ``ora
 from __future__ import annotations
 
 from ..functions.text import CREDENTIAL, EPISODIC, NEGATION_CUES, PROCEDURAL, SEMANTIC
+from ..operators.ontology import FAMILIES
 from ..sources.adapters import with_adapters
 
 _CUES = tuple(c.replace("'", "''") for c in NEGATION_CUES)
@@ -85,6 +86,15 @@ def _recall(where: str, scope: str, floor: str = "", limit: int = 8, window: str
     select cast(row_number() over (order by {order}) as integer) as place, id, score, valid_at, importance, via_entity from both_parts"""
 
 
+def _families(relations) -> str:
+    parts = []
+    for relation in relations:
+        for table, src, dst, kind in FAMILIES[relation]:
+            ref = f"concat('db:{kind}:', id)" if kind else "cast(null as varchar)"
+            parts.append(f"select {src} as src, {dst} as dst, '{relation}' as relation, {ref} as ref from {table} where {src} is not null and {dst} is not null")
+    return " union all ".join(parts)
+
+
 _CLASSES = f"""case when k in ({_in(SEMANTIC)}) then 'semantic' when k in ({_in(PROCEDURAL)}) then 'procedural'
   when k in ({_in(EPISODIC)}) then 'episodic' end"""
 
@@ -238,8 +248,8 @@ SQL: dict[str, str] = {
     "dedup_forget_metadata": f"""select id, cast(json_merge_patch(cast(metadata as json), json_object('forget_reason', 'duplicate', 'superseded_by', kept_id)) as varchar) as metadata from (
         select *, first_value(id) over (partition by namespace, source_ref order by valid_at desc, id desc) as kept_id from memories where {_LIVE}) where id <> kept_id""",
     "dedup_source_kind": f"""with rows as (select *, cast(regexp_extract(id, '([0-9]+)$', 1) as bigint) % 4 as k from memories where {_LIVE}),
-        posts as (select id, namespace, valid_at, concat('ref:', length(content)) as ref, k from rows where k < 3)
-        select id, kept_id from (select id, first_value(id) over (partition by namespace, ref order by valid_at desc, id desc) as kept_id from posts where k = 2) where id <> kept_id""",
+        own_posts as (select id, namespace, valid_at, concat('ref:', length(content)) as ref, k from rows where k < 3)
+        select id, kept_id from (select id, first_value(id) over (partition by namespace, ref order by valid_at desc, id desc) as kept_id from own_posts where k = 2) where id <> kept_id""",
     "classify_prefixed": """select concat(doc_id, '')::bigint as id, kind, case when kind in ('venture', 'doc') then 'semantic' when kind = 'playbook' then 'procedural' else 'episodic' end as memory_type
         from (select doc_id, case doc_id % 7 when 0 then 'post' when 1 then 'photos_post' when 2 then 'venture' when 3 then 'playbook' when 4 then 'doc' when 5 then 'apps_doc'
           else 'videos_doc' end as kind from documents)""",
@@ -378,9 +388,11 @@ SQL: dict[str, str] = {
     "ontology_undeclared": "select entity_type, count(*) as nodes from entities where entity_type not in (select name from declared_types) group by 1",
     "ontology_reconciled": """select coalesce(d.name, e.name) as name, case when d.name is not null then 'declared' else 'observed' end as origin, coalesce(n, 0) as nodes
         from declared_types d full join (select entity_type as name, count(*) as n from entities group by 1) e on e.name = d.name""",
-    "fk_edge_families": """select concat('n', n_nationkey) as src, concat('r', n_regionkey) as dst, 'BELONGS_TO' as relation, concat('db:ventures:', n_nationkey) as ref from nation
-        union all select concat('c', c_custkey), concat('n', c_nationkey), 'MEMBER_OF', null from customer
-        union all select concat('c', o_custkey), 'n1', 'ASSIGNED_TO', concat('db:issues:', o_orderkey) from orders where o_orderstatus = 'O'""",
+    "fk_edge_families": _families(FAMILIES),
+    "fk_edge_provenance": f"""with e as (select distinct src, dst, relation, ref from ({_families(("DISCUSSED_IN", "AGENT_DISCUSSED_IN", "TARGETS", "ATTENDED"))})),
+        ranked as (select *, row_number() over (partition by src, dst, relation order by ref) as r from e)
+        select src, dst, relation, case when count(*) = 1 then 'link' else 'aggregate' end as kind, count(*) as records, string_agg(ref, ',' order by ref) filter (r <= 8) as refs
+        from ranked group by 1, 2, 3""",
     "attended_with": """with m as (select distinct event_id // 4 as meeting, user_id from events)
         select a.user_id as src, b.user_id as dst, count(*) as times, 'ATTENDED_WITH' as relation from m a join m b on a.meeting = b.meeting and a.user_id < b.user_id group by 1, 2""",
     "edge_endpoint_types": """select relation, cast(sum(n) as bigint) as edges, case when max(n) / sum(n) >= 0.95 then arg_max(entity_type, n)
@@ -498,11 +510,11 @@ SQL: dict[str, str] = {
     "graph_activity_nodes": f"""with {_COMMITS16}, by_repo as (select week, repo_full_name as repo, count(*) as n from recent group by 1, 2),
         kept as (select *, row_number() over (partition by week order by n desc, repo) as rank from by_repo)
         select concat_ws(':', 'activity', repo, {_label('week')}) as src, 'ACTIVITY_OF' as relation, repo as dst, n as weight from kept where rank <= 12 and n >= 3""",
-    "feed_nodes": f"""with posts as (select event_type as kind, user_id as author, coalesce(case when event_id % 3 <> 0 then concat('v', user_id % 25) end,
+    "feed_nodes": f"""with own_posts as (select event_type as kind, user_id as author, coalesce(case when event_id % 3 <> 0 then concat('v', user_id % 25) end,
           case when user_id % 10 < 5 then concat('v', user_id % 10) end, 'studio') as venture from events),
-        kinds as (select venture, kind, count(*) as n, row_number() over (partition by venture order by count(*) desc, kind) as r from posts group by 1, 2)
+        kinds as (select venture, kind, count(*) as n, row_number() over (partition by venture order by count(*) desc, kind) as r from own_posts group by 1, 2)
         select concat('feed:', k.venture) as feed, cast(sum(n) as bigint) as posts, {_list('kind', 'n')} filter (r <= 3) as kinds,
-          (select count(distinct author) from posts p where p.venture = k.venture) as authors from kinds k group by k.venture""",
+          (select count(distinct author) from own_posts p where p.venture = k.venture) as authors from kinds k group by k.venture""",
     "meeting_title_match": """with tok as (select token, min(id) as venture_id from (
           select id, lower(regexp_replace(name, '[^A-Za-z0-9]', '', 'g')) as token from dim_ventures union select id, lower(id) from dim_ventures)
           where length(token) >= 4 group by token having count(distinct id) = 1),
@@ -592,6 +604,7 @@ SQL: dict[str, str] = {
     "late_data_dedupe": """select event_id, case when event_id % 5 = 0 then ts + interval 1 hour else ts end as ts, event_type,
         case when event_id % 5 = 0 then value + 1 else value end as value from events""",
     "etl_watermark": """select 'events' as "table", max(ts) as max_time, count(*) as row_count, timestamp '2024-01-15 12:00:00' as last_run, 'full' as last_mode from events""",
+    "stream_monthly": "select cast(date_trunc('month', ts) as date) as month, event_type, count(distinct event_id) as events from events group by 1, 2",
     "stream_tumbling_daily": "select cast(ts as date) as day, event_type, count(*) as events from events group by all",
 }
 
@@ -599,5 +612,66 @@ SQL: dict[str, str] = {
 SQL["write_applied"] = SQL["write_applied"].replace("SELECT_DECISIONS", SQL["write_decision"])
 
 
+def _document(rows: str, kind: str, unit: str, subject: str, scope: str, content: str, metrics: str, newest: str) -> str:
+    """A rollup's rows as documents; ``content`` and ``metrics`` name its columns."""
+    label = _label(unit) if unit == "week" else "strftime(month, '%Y-%m')"
+    end = "cast(week + 6 as date)" if unit == "week" else "last_day(month)"
+    subject = f"{subject}, ':', " if subject else ""
+    json = ", ".join(f"'{m}', {m}" for m in metrics.split(", "))
+    return f"""select concat('rollup:{kind}:', {subject}{label}) as source_ref,
+        concat({content}, case when {end} > newest then concat(' (The period is not over: data up to ', newest, '.)') else '' end) as content, {label} as period, {scope} as scope,
+        least(cast({end} as timestamp) + interval '23 hours 59 minutes 59 seconds', timestamp '2024-01-15 12:00:00') as valid_at, {end} > newest as partial, 0.55::double as importance,
+        cast(json_object('type', 'activity-rollup', 'period', '{unit}', 'scope', {scope}, {json}) as varchar) as metadata from ({rows}) q, (select {newest}) nn"""
+
+
+def _thousands(c: str) -> str:
+    return f"format('{{:,}}', {c})"
+
+
+def _scaled(c: str) -> str:
+    """Rounded half up, in whole numbers."""
+    return f"""case when {c} >= 1000000000 then printf('%.2fB', (({c} + 5000000) // 10000000) / 100.0) when {c} >= 1000000 then printf('%.1fM', (({c} + 50000) // 100000) / 10.0)
+      when {c} >= 1000 then printf('%.1fk', (({c} + 50) // 100) / 10.0) else cast({c} as varchar) end"""
+
+
+_PHRASE = f"'ISO week ', {_label('week')}, ' (Monday ', week, ' to ', cast(week + 6 as date), ')'"
+_NEWEST_COMMIT, _NEWEST_AI = "max(day) as newest from github_commits", "cast(max(created_at) as date) as newest from claude_activity_events"
+_AI_ROWS = f"""select c.*, coalesce(u.person, concat('user:', c.user_id)) as who from ({SQL["rollup_claude_person_weekly"]}) c left join user_people u on u.user_id = c.user_id"""
+_BOARD = f"""select b.*, i.idle, i.people as idle_people from (select week, string_agg(concat(person, ' (', commits, ')'), ', ' order by best) filter (best <= 5) as best_list,
+    string_agg(concat(person, ' (', commits, ')'), ', ' order by least) filter (least <= 5) as least_list, bool_or(is_last_week) as last from ({SQL["leaderboard_weekly"]}) group by week) b
+    left join ({SQL["leaderboard_idle"]}) i on i.week = b.week"""
+SQL |= {
+    "rollup_docs_person": _document(
+        SQL["rollup_person_weekly"].replace(f"select {_label('week')} as period", f"select week, {_label('week')} as period"), "person-commits", "week", "person", "concat('person:', person)",
+        f"""'In ', {_PHRASE}, ' ', person, ' made ', {_thousands('commits')}, ' commits in ', repos, ' repositories, +', {_thousands('additions')}, '/-', {_thousands('deletions')},
+        ' lines. Most in: ', top_repos, '.'""", "commits, repos", _NEWEST_COMMIT),
+    "rollup_docs_ai_person": _document(
+        _AI_ROWS, "ai", "week", "user_id", "concat('person:', who)",
+        f"""'In ', {_PHRASE}, ' ', who, ' used the AI assistant for ', {_thousands('events')}, ' events and ', {_scaled('tokens')}, ' tokens: rank ', rank, ' of ', "of", ' users.'""",
+        "events, tokens, rank", _NEWEST_AI),
+    "rollup_docs_studio": _document(
+        SQL["rollup_studio_weekly"], "studio-commits", "week", "", "'studio'",
+        f"""'All engineering in ', {_PHRASE}, ': ', {_thousands('commits')}, ' commits by ', people, ' people in ', repos, ' repositories. People: ', top_people, '. Repositories: ', top_repos,
+        '. Organisations: ', top_orgs, '.', case when ai_events > 0 then concat(' AI events in the same week: ', {_thousands('ai_events')}, '.') else '' end""", "commits, people", _NEWEST_COMMIT),
+    "rollup_docs_leaderboard": _document(
+        _BOARD, "leaderboard", "week", "", "'studio'",
+        f"""'Leaderboard of ', {_PHRASE}, case when last then ' (last week)' else '' end, '. Most commits: ', best_list, '. Least: ', least_list, '. No commits: ', coalesce(idle_people, '-'), '.',
+        ' ترتيب الأعضاء في الأسبوع ', {_label('week')}, case when last then ' (الأسبوع الأخير)' else '' end, '. الأكثر نشاطا: ', best_list, '. الأقل نشاطا: ', least_list, '. بلا نشاط: ',
+        coalesce(idle_people, '-'), '.'""", "idle", _NEWEST_COMMIT),
+    "rollup_docs_studio_ai": _document(
+        SQL["rollup_studio_claude_weekly"], "studio-ai", "week", "", "'studio'",
+        f"""'AI use in ', {_PHRASE}, ': ', {_thousands('events')}, ' events by ', users, ' users, ', {_scaled('tokens')}, ' tokens. By events: ', top_by_events, '. By tokens: ', top_by_tokens, '.'""",
+        "events, users, tokens", _NEWEST_AI),
+    "rollup_docs_org": _document(
+        SQL["rollup_org_monthly"], "org-commits", "month", "org_slug", "concat('org:', org_slug)",
+        f"""'In ', strftime(month, '%Y-%m'), ' the organisation ', org_slug, ' had ', {_thousands('commits')}, ' commits by ', logins, ' logins. Most by: ', top_people, '.'""",
+        "commits, logins", _NEWEST_COMMIT),
+    "rollup_docs_studio_month": _document(
+        SQL["rollup_studio_monthly"], "studio", "month", "", "'studio'",
+        f"""'All work in ', strftime(month, '%Y-%m'), ': ', {_thousands('commits')}, ' commits, ', {_thousands('pulls')}, ' pull requests (', {_thousands('merged')}, ' merged), ',
+        {_thousands('ai_events')}, ' AI events, ', {_thousands('issue_events')}, ' issue events.'""", "commits, pulls, merged", _NEWEST_COMMIT),
+}
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: with_adapters(text) for name, text in SQL.items()}

@@ -132,6 +132,47 @@ ADAPTERS = {
         select distinct p.p_brand repo, concat('org', cast(p.p_partkey % 5 as varchar(20))) org,
                case when p.p_partkey % 4 = 0 then concat('v', cast(p.p_partkey % 25 as varchar(20))) end url_venture
         from {part} p""",
+    "ventures": "select id, portfolio_id from (select concat('v', cast(n_nationkey as varchar(20))) id, concat('r', cast(n_regionkey as varchar(20))) portfolio_id from {nation}) t",
+    "venture_members": """
+        select c_custkey id, concat('v', cast(c_nationkey as varchar(20))) venture_id, case when c_custkey % 4 > 0 then concat('c', cast(c_custkey as varchar(20))) end user_id,
+               case when c_custkey % 4 = 0 then concat('a', cast(c_custkey % 7 as varchar(20))) end agent_id from {customer}""",
+    "venture_responsibilities": "select s_suppkey id, concat('p', cast(s_suppkey as varchar(20))) owner_id, concat('v', cast(s_nationkey as varchar(20))) venture_id from {supplier}",
+    "issues": """
+        select o_orderkey id, concat('i', cast(o_orderkey as varchar(20))) issue_id, concat('v', cast(o_custkey % 25 as varchar(20))) venture_id,
+               case when o_orderstatus <> 'F' then concat('c', cast(o_custkey as varchar(20))) end assignee_id from {orders}""",
+    "posts": """
+        select event_id id, concat('c', cast(user_id as varchar(20))) author_id, case when user_id % 3 > 0 then concat('v', cast(user_id % 25 as varchar(20))) end venture_id
+        from {events} where event_type = 'view'""",
+    "venture_dependencies": """
+        select n_nationkey id, concat('v', cast(n_nationkey as varchar(20))) venture_id, concat('v', cast((n_nationkey + 7) % 25 as varchar(20))) depends_on_id from {nation}""",
+    "bd_deals": """
+        select o_orderkey id, concat('c', cast(o_custkey as varchar(20))) owner_id, concat('v', cast(o_orderkey % 25 as varchar(20))) venture_id from {orders} where o_orderstatus = 'O'""",
+    "harvester_items": """
+        select doc_id id, case when doc_id % 5 > 0 then concat('a', cast(doc_id % 7 as varchar(20))) end agent_id, concat('v', cast(doc_id % 25 as varchar(20))) venture_id from {documents}""",
+    "issue_learnings": """
+        select p_partkey id, concat('l', cast(p_partkey as varchar(20))) learning_id, concat('v', cast(p_size % 25 as varchar(20))) venture_id,
+               case when p_partkey % 2 = 0 then concat('c', cast(p_partkey % 150 as varchar(20))) end author_id from {part}""",
+    "user_goals": "select c_custkey id, concat('c', cast(c_custkey as varchar(20))) user_id, concat('g', cast(c_custkey as varchar(20))) goal_id from {customer}",
+    "venture_goals": "select n_nationkey id, concat('vg', cast(n_nationkey as varchar(20))) goal_id, concat('v', cast(n_nationkey as varchar(20))) venture_id from {nation}",
+    "roadmaps": "select n_nationkey id, concat('rm', cast(n_nationkey as varchar(20))) roadmap_id, concat('v', cast(n_nationkey as varchar(20))) venture_id from {nation}",
+    "venture_okr_snapshots": "select s_suppkey id, concat('ok', cast(s_suppkey as varchar(20))) okr_id, concat('v', cast(s_nationkey as varchar(20))) venture_id from {supplier}",
+    "venture_okr_targets": "select n_nationkey id, concat('ot', cast(n_nationkey as varchar(20))) okr_id, concat('v', cast(n_nationkey as varchar(20))) venture_id from {nation}",
+    "marketing_campaigns": """
+        select p_partkey id, concat('mc', cast(p_partkey as varchar(20))) campaign_id, concat('v', cast(p_partkey % 25 as varchar(20))) venture_id,
+               concat('c', cast(p_partkey % 150 as varchar(20))) owner_id from {part}""",
+    "channels": "select n_nationkey id, concat('ch', cast(n_nationkey as varchar(20))) channel_id, concat('v', cast(n_nationkey as varchar(20))) venture_id from {nation}",
+    "calendar_events": """
+        select distinct cast(floor(event_id / 4) as bigint) id, concat('mt', cast(cast(floor(event_id / 4) as bigint) as varchar(20))) meeting_id,
+               concat('v', cast(cast(floor(event_id / 4) as bigint) % 25 as varchar(20))) venture_id from {events}""",
+    "calendar_event_attendees": """
+        select cast(floor(event_id / 4) as bigint) id, concat('c', cast(user_id as varchar(20))) user_id,
+               concat('mt', cast(cast(floor(event_id / 4) as bigint) as varchar(20))) meeting_id from {events}""",
+    "issue_comments": """
+        select l_orderkey id, concat('i', cast(l_orderkey as varchar(20))) issue_id, case when l_suppkey % 3 > 0 then concat('p', cast(l_suppkey as varchar(20))) end author_id,
+               case when l_suppkey % 3 = 0 then concat('a', cast(l_suppkey % 7 as varchar(20))) end agent_id from {lineitem}""",
+    "pull_authors": """
+        select o_orderkey id, concat('c', cast(o_custkey as varchar(20))) user_id,
+               concat('org', cast(o_custkey % 5 as varchar(20)), '/repo', cast(o_custkey % 40 as varchar(20))) repo_full_name from {orders}""",
     "repositories": """
         select distinct concat('org', cast(p_partkey % 8 as varchar(20)), '/',
                case when p_partkey % 4 = 0 then concat('Nation-', cast(p_partkey % 40 as varchar(20))) else lower(replace(p_brand, '#', '-')) end) repo

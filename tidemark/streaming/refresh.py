@@ -6,8 +6,7 @@ two days.  Batches are committed with their checkpoint only after the sink has s
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,15 +34,27 @@ def tumbling(stream: DataFrame, time: str, size: str, *keys: str, offset: str =
     return stream.groupBy(at.alias("w"), *keys).agg(F.count(F.lit(1)).alias("events")).select(F.col("w.start").alias("start"), *keys, "events")
 
 
+def calendar(stream: DataFrame, time: str, unit: str, *keys: str) -> DataFrame:
+    """Counts by calendar periods, which have no fixed length ('month', 'quarter', 'year')."""
+    at = F.date_trunc(unit, F.col(time)).alias("start")
+    return stream.groupBy(at, *keys).agg(F.count(F.lit(1)).alias("events"))
+
+
 def once(result: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what there is now; its result as a table, one small row set per window."""
-    spark, name = result.sparkSession, f"stream_{uuid.uuid4().hex}"
+    """Runs a stream over what there is now; its result as a table in the shared folder, written by the executors."""
+    spark, path = result.sparkSession, fresh_dir(result.sparkSession, "stream-result")
+    spark.createDataFrame([], result.schema).write.parquet(path)  # what a stream without rows gives
+
+    def replace(batch: DataFrame, number: int) -> None:
+        # In complete mode a batch is the whole result; in append mode it is new rows, under their batch's name.
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={number}")
+
     query = (
-        result.writeStream.format("memory").queryName(name).outputMode(mode)
+        result.writeStream.outputMode(mode).foreachBatch(replace)
         .option("checkpointLocation", fresh_dir(spark, "stream")).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(result.schema).option("recursiveFileLookup", "true").parquet(path)
 
 
 def upserting(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None):
@@ -52,29 +63,48 @@ def upserting(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkp
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def file_upsert(target: str, key: str) -> Callable[[DataFrame, int], None]:
-    """Keeps one row per key in Parquet versions under ``target``: each batch writes the next version.
+def file_upsert(target: str, key: str, *order: str) -> Callable[[DataFrame, int], None]:
+    """Writes each batch's newest row per key, by the columns ``order``, as a delta of its own under ``target``.
 
-    A version is named by its batch, so a batch that is run again after a failure overwrites its own.
+    Nothing that is there already is read or rewritten, and a batch that is run again after a failure overwrites its own
+    delta.  ``upserted`` reads the table.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.dropDuplicates([key])
-        if number > 0:
-            old = spark.read.parquet(f"{target}/v{number - 1}")
-            rows = old.join(rows.select(key), key, "left_anti").select(*rows.columns).unionByName(rows)
-        rows.write.mode("overwrite").parquet(f"{target}/v{number}")
+        _newest(batch, key, order).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return apply
 
 
+def _newest(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """Of each key's rows the one with the largest ``order``, equal ones by all columns: an aggregate, so a hot key is folded first."""
+    rank = F.struct(*order, *[c for c in rows.columns if c not in order])
+    best = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), rank).alias("_best"))
+    return best.select("_best.*")
+
+
+def upserted(spark: SparkSession, target: str, key: str, *order: str) -> DataFrame:
+    """The table that deltas make up: each key's newest row; equal ones by their batch."""
+    return _newest(spark.read.parquet(target), key, (*order, "batch")).drop("batch")
+
+
+def compacted(spark: SparkSession, target: str, into: str, key: str, *order: str) -> None:
+    """The same table with a single delta, under another path, for when deltas have become many."""
+    upserted(spark, target, key, *order).write.parquet(f"{into}/batch=0")
+
+
 def daily_events(spark: SparkSession, path: str) -> DataFrame:
     """Events per day and type, computed by a stream over the files at ``path``."""
     days = tumbling(event_stream(spark, path), "ts", "1 day", "event_type")
     return once(days).select(F.to_date("start").alias("day"), "event_type", "events")
 
 
+def monthly_events(spark: SparkSession, path: str) -> DataFrame:
+    """Events per calendar month and type, each event once, computed by a stream over the files at ``path``."""
+    months = calendar(deduplicated(event_stream(spark, path)), "ts", "month", "event_type")
+    return once(months).select(F.to_date("start").alias("month"), "event_type", "events")
+
+
 def pushed_documents(spark: SparkSession, path: str, target: str, checkpoint: str):
     """Documents pushed as JSON lines (ref, content) into a folder: cut into chunks and appended to ``target``.
 

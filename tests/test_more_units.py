@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import knowledge, mappings, memory, rollups
+from tidemark.operators import knowledge, mappings, memory, retrieval, rollups
 from tidemark.plans import staging
 from tidemark.sources import connectors, etl
 from tidemark.streaming import refresh
@@ -119,3 +119,40 @@ def test_stored_memories_are_pruned_by_namespace(spark, tmp_path):
     assert one.count() == 20
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(namespace" in plan
+
+
+def test_metadata_of_odd_rows_is_merged(spark):
+    df = spark.createDataFrame([(1, '{"a":"1","b":"2"}'), (2, None), (3, "no json"), (4, "{}")], "k int, metadata string")
+    got = {r["k"]: r["m"] for r in df.select("k", memory.merged_metadata(F.col("metadata"), {"a": F.lit("x"), "c": F.lit("y")}).alias("m")).collect()}
+    assert got[1] == '{"b":"2","a":"x","c":"y"}' and got[2] == got[4] == '{"a":"x","c":"y"}'
+    assert json.loads(got[3])["a"] == "x"
+
+
+def test_a_failing_mapping_keeps_the_watermark(spark):
+    rows = spark.createDataFrame([("1", dt.datetime(2024, 1, 1), "x"), ("2", dt.datetime(2024, 1, 3), "y")], "ref_id string, event_time timestamp_ntz, content string")
+    seen = {}
+    builds = {"good": lambda: rows, "bad": lambda: rows.select("nothing"), "last": lambda: rows.limit(0)}
+    errors, advance = mappings.run_since(builds, F.lit(dt.datetime(2024, 1, 2)).cast("timestamp_ntz"), lambda n, df: seen.setdefault(n, df.count()))
+    assert seen == {"good": 1, "last": 0} and set(errors) == {"bad"} and not advance
+    assert mappings.run_since({"good": lambda: rows}, F.lit(None).cast("timestamp_ntz"), lambda n, df: df.count())[1]
+
+
+def test_recall_leaves_an_event_and_a_gap(spark):
+    now = dt.datetime(2024, 1, 2)
+    some = spark.createDataFrame([("m1",), ("m2",)], "id string")
+    event, accesses, gap = retrieval.recall_effects(some, "en", "What  IS it", now)
+    assert event.first()["outcome"] == "hit" and accesses.count() == 2 and gap.count() == 0
+    event, accesses, gap = retrieval.recall_effects(some.limit(0), "en", "What  IS it", now)
+    assert event.first()["outcome"] == "empty" and accesses.count() == 0 and gap.first()["query"] == "what is it"
+
+
+def test_median_helpers_and_lists(spark):
+    rows = spark.createDataFrame([("p", 3, "c"), ("p", 1, "a"), ("p", 2, "b"), ("q", 1, None)], "parent string, k int, name string")
+    got = {r["parent"]: r["items"] for r in mappings.top_children(rows, "parent", [F.desc("k")], F.col("name"), 2).collect()}
+    assert got == {"p": "c, b", "q": ""}
+    dims = spark.createDataFrame([("p", "Parent")], "parent string, title string")
+    out = mappings.with_dimension(rows, dims, "parent", F.concat(F.coalesce("title", F.lit("?")), F.lit(": "), F.coalesce("name", F.lit("-"))), "k", "k")
+    assert sorted(r["content"] for r in out.collect()) == ["?: -", "Parent: a", "Parent: b", "Parent: c"]
+    recalled = spark.createDataFrame([("m1", 0.5), ("m2", 0.9)], "id string, score double")
+    memories = spark.createDataFrame([("m1", "one"), ("m2", "two"), ("m3", "three")], "id string, content string")
+    assert [(r["n"], r["content"]) for r in sorted(retrieval.context_rows(recalled, memories).collect())] == [(1, "two"), (2, "one")]

@@ -254,13 +254,32 @@ def cooccurrence(memory_entities: DataFrame, entities: DataFrame, most: int = 50
     return top.join(name("a"), "a").join(name("b"), "b").select("a_name", "b_name", "memories")
 
 
+def sample_edges(edges: DataFrame, kept: DataFrame, memory_entities: DataFrame, limit: int) -> DataFrame:
+    """Edges between the nodes of a sample, at most four times its limit; if there are none, pairs that memories mention together."""
+    kept = staged(kept.select("id"), "kept-nodes")
+    between = staged(edges_between(edges, kept, 4 * limit), "kept-edges")
+    if not between.isEmpty():
+        return between
+    held = memory_entities.join(kept.select(F.col("id").alias("entity_id")), "entity_id", "left_semi").distinct()
+    a, b = held.select("memory_id", F.col("entity_id").alias("src_id")), held.select("memory_id", F.col("entity_id").alias("dst_id"))
+    pairs = a.join(b, "memory_id").filter("src_id < dst_id").select("src_id", "dst_id").distinct()
+    return pairs.select("src_id", F.lit("").alias("relation"), "dst_id").orderBy("src_id", "dst_id").limit(limit)
+
+
+def _label(chars: int, *keys: str) -> Column:
+    """What a memory is called: the first of these keys of its metadata, else its content."""
+    from ..functions.text import squeezed
+
+    return squeezed(F.coalesce(*[F.nullif(F.get_json_object("metadata", f"$.{k}"), F.lit("")) for k in keys], F.col("content")), chars)
+
+
 def mindmap(memories: DataFrame, per_type: int = 4) -> DataFrame:
-    """Namespace, domain type, number of live memories, and the labels of a few."""
-    from ..functions.text import domain_type, squeezed
+    """Namespace, domain type, number of live memories, and the labels (slug, path or content) of a few."""
+    from ..functions.text import domain_type
 
     per_type = min(max(per_type, 4), 20)
     live = memories.filter("invalid_at is null").select(
-        "namespace", domain_type(F.col("domain_raw")).alias("type"), squeezed(F.col("content"), 48).alias("label"), "id"
+        "namespace", domain_type(F.col("domain_raw")).alias("type"), _label(48, "slug", "path").alias("label"), "id"
     )
     by = Window.partitionBy("namespace", "type")
     shown = live.withColumn("rank", F.row_number().over(by.orderBy("id"))).filter(F.col("rank") <= per_type)
@@ -268,10 +287,46 @@ def mindmap(memories: DataFrame, per_type: int = 4) -> DataFrame:
     return shown.join(totals, ["namespace", "type"]).select("namespace", "type", "total", "rank", "label")
 
 
-def extracted_graph(memories: DataFrame) -> DataFrame:
-    """Names read out of text: 'Venture: X' and 'Status: X' lines."""
-    grab = lambda word: F.nullif(F.trim(F.regexp_extract("content", rf"{word}: ([^(\n]+)", 1)), F.lit(""))
-    return memories.select("id", grab("Venture").alias("venture"), grab("Status").alias("status")).filter("venture is not null")
+def venture_graph(memories: DataFrame, namespace: str, limit: int = 3000) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, name, group) and edges (source, target) read out of a namespace's live texts.
+
+    root, its portfolios and their ventures ('Venture: X', 'Portfolio: Y' in texts of type venture; without one 'unassigned'); the newest
+    ``limit`` memories that say 'in venture X' of a known X; and the 30 commonest types with a few of their newest memories each.
+    """
+    from ..functions.text import domain_type
+
+    live = memories.filter(F.col("invalid_at").isNull() & (F.col("namespace") == namespace)).withColumn("type", domain_type(F.col("domain_raw")))
+    grab = lambda pattern: F.nullif(F.trim(F.regexp_extract("content", pattern, 1)), F.lit(""))
+    ventures = live.filter("type = 'venture'").select(
+        grab(r"Venture: ([^(\n]+)").alias("venture"), F.coalesce(grab("Portfolio: ([A-Za-z0-9_ -]+)"), F.lit("unassigned")).alias("portfolio")
+    ).filter("venture is not null").distinct()
+    others = live.filter("type <> 'venture'")
+    newest = [F.desc("valid_at"), F.asc("id")]
+    linked = others.filter(F.col("content").contains("in venture ")).orderBy(*newest).limit(limit).select(
+        "id", "type", grab(r" in venture ([^:.\n]+)").alias("venture"), _label(44).alias("name")
+    ).join(ventures.select("venture").distinct(), "venture", "left_semi")
+    types = others.groupBy("type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "type").limit(30)
+    rank = F.row_number().over(Window.partitionBy("type").orderBy(*newest))
+    few = others.withColumn("rank", rank).filter(F.col("rank") <= min(max(limit // 10, 8), 40)).join(F.broadcast(types.select("type")), "type", "left_semi")
+    few = few.select("id", "type", _label(44, "slug", "path", "file").alias("name"))
+    pre = lambda p, c: F.concat(F.lit(p), F.col(c))
+    entity = pre("ent:", "id")
+    nodes = (
+        memories.sparkSession.range(1).select(F.lit("root").alias("id"), F.lit(namespace).alias("name"), F.lit("root").alias("group"))
+        .unionByName(ventures.select(pre("pf:", "portfolio").alias("id"), F.col("portfolio").alias("name"), F.lit("portfolio").alias("group")).distinct())
+        .unionByName(ventures.select(pre("v:", "venture").alias("id"), F.col("venture").alias("name"), F.lit("venture").alias("group")).distinct())
+        .unionByName(types.select(pre("type:", "type").alias("id"), F.concat("type", F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("name"), F.lit("type").alias("group")))
+        .unionByName(linked.select(entity.alias("id"), "name", F.col("type").alias("group")))
+        # A memory that is linked to a venture keeps the name it has there.
+        .unionByName(few.join(linked.select("id"), "id", "left_anti").select(entity.alias("id"), "name", F.col("type").alias("group")))
+    )
+    edge = lambda df, a, b: df.select(a.alias("source"), b.alias("target"))
+    edges = (
+        edge(ventures.select("portfolio").distinct(), F.lit("root"), pre("pf:", "portfolio"))
+        .unionByName(edge(ventures, pre("pf:", "portfolio"), pre("v:", "venture"))).unionByName(edge(linked, pre("v:", "venture"), entity))
+        .unionByName(edge(types, F.lit("root"), pre("type:", "type"))).unionByName(edge(few, pre("type:", "type"), entity))
+    )
+    return nodes, edges
 
 
 def ontology_counts(declared: DataFrame, entities: DataFrame) -> DataFrame:
@@ -286,17 +341,21 @@ def undeclared(declared: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def endpoint_types(edges: DataFrame, entities: DataFrame, dominance: float = 0.95) -> DataFrame:
-    """For each relation the type of its targets: one if it has at least ``dominance``, else all by count."""
-    typed = edges.join(entities.select(F.col("id").alias("dst_id"), "entity_type"), "dst_id")
-    counts = typed.groupBy("relation", "entity_type").agg(F.count(F.lit(1)).alias("edges"))
-    by = counts.groupBy("relation").agg(
-        F.sum("edges").alias("edges"),
-        F.array_sort(F.collect_list(F.struct((-F.col("edges")).alias("n"), "entity_type"))).alias("all"),
+    """For each relation the types of the ends of its live edges: one if it has at least ``dominance``, else all by count."""
+    of = lambda end: entities.select(F.col("id").alias(f"{end}_id"), F.col("entity_type").alias(end))
+    typed = edges.filter("valid_to is null").join(of("src"), "src_id").join(of("dst"), "dst_id")
+    # Relations x types: a small table, folded once per end.
+    counts = typed.groupBy("relation", "src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    ends = counts.select("relation", "n", F.explode(F.array(*[F.struct(F.lit(e).alias("end"), F.col(e).alias("type")) for e in ("src", "dst")])).alias("e"))
+    per_type = ends.groupBy("relation", "e.end", "e.type").agg(F.sum("n").alias("n"))
+    by = per_type.groupBy("relation", "end").agg(
+        F.sum("n").alias("edges"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "type"))).alias("all")
     )
     first = F.col("all")[0]
-    share = -first["n"] / F.col("edges")
-    joined = F.array_join(F.transform("all", lambda x: x["entity_type"]), "|")
-    return by.select("relation", "edges", F.when(share >= dominance, first["entity_type"]).otherwise(joined).alias("dst_types"))
+    joined = F.array_join(F.transform("all", lambda x: x["type"]), "|")
+    said = by.withColumn("types", F.when(-first["o"] / F.col("edges") >= dominance, first["type"]).otherwise(joined))
+    pick = lambda end: F.max(F.when(F.col("end") == end, F.col("types"))).alias(f"{end}_types")
+    return said.groupBy("relation").agg(F.max("edges").alias("edges"), pick("src"), pick("dst"))
 
 
 def hop_trace(edges: DataFrame, entities: DataFrame, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ of its children, with its top few children, a grouped digest, and a survey's ans
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,6 +66,20 @@ def since(documents: DataFrame, watermark: Column) -> DataFrame:
     return documents.filter(F.col("event_time") > watermark)
 
 
+def run_since(mappings: dict[str, Callable[[], DataFrame]], watermark: Column, write: Callable[[str, DataFrame], None]) -> tuple[dict[str, str], bool]:
+    """Runs each mapping for the rows after a watermark and hands it to ``write``.
+
+    One that fails does not stop the others; its error is returned, and the watermark may advance only if there is none.
+    """
+    errors = {}
+    for name, build in mappings.items():
+        try:
+            write(name, since(build(), watermark))
+        except Exception as e:  # any source may fail in its own way
+            errors[name] = f"{type(e).__name__}: {e}".splitlines()[0]
+    return errors, not errors
+
+
 def with_dimension(rows: DataFrame, dimension: DataFrame, on: Sequence[str] | str, content: Column, ref: str, time: str) -> DataFrame:
     """A row and what its dimension says of it; a missing dimension must be coalesced in ``content``."""
     return rows.join(dimension, on, "left").select(F.col(ref).alias("ref_id"), F.col(time).alias("event_time"), content.alias("content"))

@@ -79,11 +79,10 @@ def superseded_by_ref(memories: DataFrame, source_kind: str | None = None) -> Da
 
 
 def merged_metadata(metadata: Column, new: dict[str, Column]) -> Column:
-    """A JSON object with further entries; of two values of one key the new one stays, in the old one's place."""
+    """A JSON object with further entries, at its end; of two values of one key the new one stays."""
     old = F.coalesce(F.from_json(metadata, "map<string,string>"), F.create_map().cast("map<string,string>"))
     add = F.create_map(*[x for k, v in new.items() for x in (F.lit(k), v.cast("string"))])
-    kept = F.transform_values(old, lambda k, v: F.coalesce(add[k], v))
-    return F.to_json(F.map_concat(kept, F.map_filter(add, lambda k, v: ~F.map_contains_key(old, k))))
+    return F.to_json(F.map_concat(F.map_filter(old, lambda k, v: ~k.isin(*new)), add))
 
 
 def forget_metadata(memories: DataFrame, reason: str) -> DataFrame:

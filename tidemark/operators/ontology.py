@@ -75,3 +75,25 @@ def reconciled(declared: DataFrame, entities: DataFrame) -> DataFrame:
     both = declared.select("name", F.lit(True).alias("declared")).join(seen, "name", "full_outer")
     origin = F.when(F.col("declared").isNotNull(), "declared").otherwise("observed")
     return both.select("name", origin.alias("origin"), F.coalesce("nodes", F.lit(0)).cast("long").alias("nodes"))
+
+
+def to_register(declared_types: DataFrame, declared_relations: DataFrame, entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """What reconciling adds to an ontology: kind, name, detail.
+
+    Types of entities and relations of live edges that aren't declared, with their numbers, and relations whose declared
+    (name, src_type, dst_type) differ from what their live edges show.
+    """
+    from .graph import endpoint_types
+
+    def missing(seen: DataFrame, declared: DataFrame, kind: str) -> DataFrame:
+        by = seen.filter("name is not null").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+        return by.join(declared.select("name"), "name", "left_anti").select(F.lit(kind).alias("kind"), "name", F.col("n").cast("string").alias("detail"))
+
+    live = edges.filter("valid_to is null")
+    shown = endpoint_types(edges, entities).withColumnRenamed("relation", "name").join(declared_relations.select("name", "src_type", "dst_type"), "name", "left")
+    same = F.col("src_type").eqNullSafe(F.col("src_types")) & F.col("dst_type").eqNullSafe(F.col("dst_types"))
+    ends = shown.filter(~same).select(F.lit("endpoint types").alias("kind"), "name", F.concat("src_types", F.lit(" -> "), "dst_types").alias("detail"))
+    return (
+        missing(entities.select(F.col("entity_type").alias("name")), declared_types, "entity_type")
+        .unionByName(missing(live.select(F.col("relation").alias("name")), declared_relations, "edge_type")).unionByName(ends)
+    )

@@ -231,6 +231,15 @@ def _answers(t: Tables) -> DataFrame:
     )
 
 
+def _ventures_said(t: Tables) -> DataFrame:
+    """Memories that say which venture they are about: of type venture with its name and perhaps its portfolio, others 'in venture X'."""
+    k = F.regexp_extract("id", "([0-9]+)$", 1).cast("long")
+    name = F.concat(F.lit("V"), F.pmod(k, F.lit(25)).cast("string"))
+    portfolio = F.when(F.pmod(k, F.lit(3)) > 0, F.concat(F.lit(" Portfolio: P"), F.pmod(k, F.lit(5)).cast("string"), F.lit(". "))).otherwise(" ")
+    said = F.when(F.col("domain_raw") == "venture", F.concat(F.lit("Venture: "), name, F.lit(" (x)"), portfolio)).when(F.pmod(k, F.lit(4)) == 0, F.concat(F.lit("Noted in venture "), name, F.lit(": "))).otherwise("")
+    return t.memories.withColumn("content", F.concat(said, "content"))
+
+
 def _roster(t: Tables) -> DataFrame:
     return t.people.select("person").unionByName(t.agent_actions.select(F.col("agent_id").alias("person"))).distinct()
 
@@ -371,9 +380,10 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "graph_relation_counts": lambda t: gr.relation_counts(t.entity_edges),
     "graph_cooccurrence": lambda t: gr.cooccurrence(t.memory_entities, t.entities),
     "derived_mindmap": lambda t: gr.mindmap(t.memories),
-    "venture_graph_extract": lambda t: gr.extracted_graph(
-        t.memories.select("id", F.concat(F.lit("Venture: "), F.col("source_kind"), F.lit(" (x)\nStatus: "), F.col("tier"), F.lit("\n"), F.col("content")).alias("content"))
-    ),
+    "venture_graph_nodes": lambda t: gr.venture_graph(_ventures_said(t), "en", 200)[0],
+    "venture_graph_edges": lambda t: gr.venture_graph(_ventures_said(t), "en", 200)[1],
+    "graph_sample_fallback": lambda t: gr.sample_edges(t.entity_edges.filter("relation = 'COMMITS_TO'"), t.entities.filter("entity_type in ('venture', 'person')"), t.memory_entities, 100),
+    "ontology_to_register": lambda t: on.to_register(t.declared_types, t.declared_relations, t.entities, t.entity_edges),
     "ontology_counts": lambda t: gr.ontology_counts(t.declared_types, t.entities),
     "ontology_undeclared": lambda t: gr.undeclared(t.declared_types, t.entities),
     "ontology_reconciled": lambda t: on.reconciled(t.declared_types, t.entities),

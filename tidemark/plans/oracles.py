@@ -86,6 +86,21 @@ def _recall(where: str, scope: str, floor: str = "", limit: int = 8, window: str
     select cast(row_number() over (order by {order}) as integer) as place, id, score, valid_at, importance, via_entity from both_parts"""
 
 
+_ENDS = f"""with t as (select relation, s.entity_type as src, d.entity_type as dst from entity_edges join entities s on s.id = src_id join entities d on d.id = dst_id where {_OPEN}),
+    e as (select relation, 'src' as side, src as type, count(*) as n from t group by all union all select relation, 'dst', dst, count(*) from t group by all),
+    o as (select relation, side, cast(sum(n) as bigint) as edges, case when max(n) / sum(n) >= 0.95 then arg_max(type, n) else string_agg(type, '|' order by n desc, type) end as types
+      from e group by 1, 2)
+    select relation, max(edges) as edges, max(types) filter (side = 'src') as src_types, max(types) filter (side = 'dst') as dst_types from o group by 1"""
+_SAID = r"""m as (select *, coalesce(nullif(domain_raw, ''), 'item') as type, cast(regexp_extract(id, '([0-9]+)$', 1) as bigint) as k from memories where namespace = 'en' and invalid_at is null),
+    ventures_said as (select distinct concat('V', k % 25) as venture, case when k % 3 > 0 then concat('P', k % 5) else 'unassigned' end as portfolio from m where type = 'venture'),
+    rest as (select id, type, k, valid_at, metadata, concat(case when k % 4 = 0 then concat('Noted in venture V', k % 25, ': ') else '' end, content) as content from m where type <> 'venture'),
+    linked as (select * from (select id, type, trim(regexp_extract(content, ' in venture ([^:.\n]+)', 1)) as venture, substring(trim(regexp_replace(content, '\s+', ' ', 'g')), 1, 44) as name
+      from rest where contains(content, 'in venture ') order by valid_at desc, id limit 200) where venture in (select venture from ventures_said)),
+    kinds as (select type, count(*) as n from rest group by 1 order by n desc, type limit 30),
+    few as (select id, type, substring(trim(regexp_replace(coalesce(nullif(json_extract_string(metadata, '$.slug'), ''), content), '\s+', ' ', 'g')), 1, 44) as name from (
+      select *, row_number() over (partition by type order by valid_at desc, id) as r from rest) where r <= 20 and type in (select type from kinds))"""
+
+
 def _families(relations) -> str:
     parts = []
     for relation in relations:
@@ -380,10 +395,8 @@ SQL: dict[str, str] = {
         join entities x on x.id = a join entities y on y.id = b""",
     "derived_mindmap": r"""select namespace, type, total, cast(rank as integer) as rank, label from (
         select namespace, type, label, count(*) over (partition by namespace, type) as total, row_number() over (partition by namespace, type order by id) as rank from (
-          select id, namespace, coalesce(nullif(domain_raw, ''), 'item') as type, substring(trim(regexp_replace(content, '\s+', ' ', 'g')), 1, 48) as label
+          select id, namespace, coalesce(nullif(domain_raw, ''), 'item') as type, substring(trim(regexp_replace(coalesce(nullif(json_extract_string(metadata, '$.slug'), ''), content), '\s+', ' ', 'g')), 1, 48) as label
           from memories where invalid_at is null)) where rank <= 4""",
-    "venture_graph_extract": r"""select id, nullif(trim(regexp_extract(t, 'Venture: ([^(\n]+)', 1)), '') as venture, nullif(trim(regexp_extract(t, 'Status: ([^(\n]+)', 1)), '') as status
-        from (select id, concat('Venture: ', source_kind, ' (x)', chr(10), 'Status: ', tier, chr(10), content) as t from memories)""",
     "ontology_counts": "select d.name, count(e.id) as nodes from declared_types d left join entities e on e.entity_type = d.name group by 1",
     "ontology_undeclared": "select entity_type, count(*) as nodes from entities where entity_type not in (select name from declared_types) group by 1",
     "ontology_reconciled": """select coalesce(d.name, e.name) as name, case when d.name is not null then 'declared' else 'observed' end as origin, coalesce(n, 0) as nodes
@@ -395,9 +408,21 @@ SQL: dict[str, str] = {
         from ranked group by 1, 2, 3""",
     "attended_with": """with m as (select distinct event_id // 4 as meeting, user_id from events)
         select a.user_id as src, b.user_id as dst, count(*) as times, 'ATTENDED_WITH' as relation from m a join m b on a.meeting = b.meeting and a.user_id < b.user_id group by 1, 2""",
-    "edge_endpoint_types": """select relation, cast(sum(n) as bigint) as edges, case when max(n) / sum(n) >= 0.95 then arg_max(entity_type, n)
-        else string_agg(entity_type, '|' order by n desc, entity_type) end as dst_types from (
-          select relation, entity_type, count(*) as n from entity_edges join entities e on e.id = dst_id group by 1, 2) group by relation""",
+    "edge_endpoint_types": f"select * from ({_ENDS})",
+    "ontology_to_register": f"""select 'entity_type' as kind, entity_type as name, cast(count(*) as varchar) as detail from entities where entity_type not in (select name from declared_types) group by 2
+        union all select 'edge_type', relation, cast(count(*) as varchar) from entity_edges where {_OPEN} and relation not in (select name from declared_relations) group by 2
+        union all select 'endpoint types', relation, concat(src_types, ' -> ', dst_types) from ({_ENDS}) e left join declared_relations d on d.name = e.relation
+          where (d.src_type, d.dst_type) is distinct from (src_types, dst_types)""",
+    "graph_sample_fallback": """with kept as (select id from entities where entity_type in ('venture', 'person')),
+        held as (select distinct memory_id, entity_id from memory_entities where entity_id in (select id from kept))
+        select distinct a.entity_id as src_id, '' as relation, b.entity_id as dst_id from held a join held b on a.memory_id = b.memory_id and a.entity_id < b.entity_id
+        order by src_id, dst_id limit 100""",
+    "venture_graph_nodes": f"""with {_SAID} select 'root' as id, 'en' as name, 'root' as "group" union all select distinct concat('pf:', portfolio), portfolio, 'portfolio' from ventures_said
+        union all select distinct concat('v:', venture), venture, 'venture' from ventures_said union all select concat('type:', type), concat(type, ' (', n, ')'), 'type' from kinds
+        union all select concat('ent:', id), name, type from linked union all select concat('ent:', id), name, type from few where id not in (select id from linked)""",
+    "venture_graph_edges": f"""with {_SAID} select distinct 'root' as source, concat('pf:', portfolio) as target from ventures_said
+        union all select concat('pf:', portfolio), concat('v:', venture) from ventures_said union all select concat('v:', venture), concat('ent:', id) from linked
+        union all select 'root', concat('type:', type) from kinds union all select concat('type:', type), concat('ent:', id) from few""",
     "hop_trace": f"""with {_STEPS.format(w=_OPEN)}, root as (select id from entities where name = 'NATION_7'),
         first as (select distinct relation, y from steps where x in (select id from root)),
         second as (select f.relation, count(distinct s.y) as n from first f join steps s on s.x = f.y where s.y not in (select id from root) group by 1)

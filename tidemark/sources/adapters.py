@@ -28,7 +28,8 @@ ADAPTERS = {
                case when d.doc_id % 11 = 0 then 'cold' else 'hot' end tier,
                case d.doc_id % 6 when 0 then 'post' when 1 then 'venture' when 2 then 'issue' when 3 then 'doc'
                     when 4 then 'playbook' else '' end domain_raw,
-               concat('{{{{"lang":"', d.lang, '","kind":"', d.source, '"', case when d.doc_id % 5 = 0 then ',"forget_reason":"old"' else '' end, '}}}}') metadata,
+               concat('{{{{"lang":"', d.lang, '","kind":"', d.source, '"', case when d.doc_id % 5 = 0 then ',"forget_reason":"old"' else '' end,
+                      case when d.doc_id % 9 = 0 then concat(',"slug":"s-', cast(d.doc_id as varchar(20)), '"') else '' end, '}}}}') metadata,
                case when d.doc_id % 4 > 0 then concat('a', cast(d.doc_id % 13 as varchar(20))) end owner_agent_id
         from (select *, doc_id % (select count(*) from {{embeddings}}) as vec from {{documents}}) d
         left join {{embeddings}} e on e.vec_id = d.vec""",
@@ -124,6 +125,9 @@ ADAPTERS = {
     "declared_types": """
         select 'portfolio' name union all select 'venture' union all select 'person' union all select 'agent'
         union all select 'meeting'""",
+    "declared_relations": """
+        select 'BELONGS_TO' name, 'venture' src_type, 'portfolio' dst_type union all select 'MEMBER_OF', 'person', null
+        union all select 'OWNS', 'person', 'venture'""",
     "grants": """
         select 'a1' agent_id, 'en' namespace, true can_read, true can_write
         union all select 'a1', 'fr', true, false union all select 'a1', 'de', false, true

@@ -290,3 +290,11 @@ def test_stream_upsert(spark, tmp_path):
     again = refresh.upserted(spark, str(tmp_path / "compact"), "event_id", "ts").orderBy("event_id").collect()
     assert [(r["event_id"], r["event_type"]) for r in again] == want
     assert refresh.once(refresh.calendar(refresh.event_stream(spark, str(source)), "ts", "month")).collect()[0]["events"] == 3
+
+
+def test_code_chunks_of_a_whole_file_lose_nothing():
+    body = "\n".join(f"line {i} of a long file" for i in range(3000))
+    pack = f"## File: src/a.go\n{body}\n## File: b.go\nfunc b() {{}}\n"
+    whole = "".join(chunking.code_chunks(pack, per_file=None))
+    assert all(f"line {i} of" in whole for i in range(3000))
+    assert len(chunking.code_chunks(pack)) < len(chunking.code_chunks(pack, per_file=None))

@@ -109,8 +109,8 @@ def body_pieces(body: str, least: int = CODE_LEAST, most: int = CODE_MOST) -> li
     return chunk.done
 
 
-def code_chunks(pack: str | None, repo: str = "repo", *, least: int = CODE_LEAST, most: int = CODE_MOST, per_file: int = CODE_PER_FILE) -> list[str]:
-    """A code pack's chunks, breadth first: large files in pieces, small neighbours of one folder together."""
+def code_chunks(pack: str | None, repo: str = "repo", *, least: int = CODE_LEAST, most: int = CODE_MOST, per_file: int | None = CODE_PER_FILE) -> list[str]:
+    """A code pack's chunks, breadth first: large files in pieces (the first ``per_file``, all without it), small neighbours of one folder together."""
     out: list[str] = []
     small: list[tuple[str, str]] = []
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -455,10 +456,10 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
         .unionByName(etl.watermark(t.github_pull_requests, "pulls", "created_at", NOW, "full")).unionByName(etl.watermark(t.agent_actions, "actions", "created_at", NOW, "full"))
     ),
     # Sources
-    "html_to_text": lambda t: co.page_documents(t.pages).select(F.col("ref"), F.sha2("content", 256).alias("content_sha"), F.length("content").alias("n_chars"), "title"),
+    "html_to_text": lambda t: co.page_documents(t.pages, cap=None).select(F.col("ref"), F.sha2("content", 256).alias("content_sha"), F.length("content").alias("n_chars"), "title"),
     "chunk_text": lambda t: ch.chunked(t.documents, "doc_id", "text"),
     "md_chunks": lambda t: ch.chunked(t.documents.select("doc_id", F.regexp_replace("text", "(?m)^(\\w+)\\.$", "# $1").alias("text")), "doc_id", "text", ch.markdown_chunks),
-    "pack_chunks": lambda t: ch.chunked(t.documents.select("doc_id", F.concat(F.lit("## File: src/a.go\n"), "text", F.lit("\n## File: b.go\nfunc b() {}\n")).alias("text")), "doc_id", "text", ch.code_chunks),
+    "pack_chunks": lambda t: ch.chunked(t.documents.select("doc_id", F.concat(F.lit("## File: src/a.go\n"), "text", F.lit("\n## File: b.go\nfunc b() {}\n")).alias("text")), "doc_id", "text", functools.partial(ch.code_chunks, per_file=None)),
     "sql_rows_to_documents": lambda t: co.rows_as_documents(t.customer, "c_custkey", "c_name").select("ref", "title", "content", "metadata"),
     "mapping_orders": _mapping,
     "mapping_customer_orders": _mapping_top_list,

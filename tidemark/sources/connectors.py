@@ -62,10 +62,11 @@ def text_source(spark: SparkSession, config: dict) -> DataFrame:
     )
 
 
-def page_documents(pages: DataFrame, cap: int = 4 << 20) -> DataFrame:
-    """Pages as documents: the title tag (else the url), and the text without markup; a page is read up to the cap,
-    and one without text is no document."""
-    page = F.substring(F.coalesce("html", F.lit("")), 1, cap)
+def page_documents(pages: DataFrame, cap: int | None = 4 << 20) -> DataFrame:
+    """Pages as documents: the title tag (else the url), and the text without markup; a page is read up to the cap
+    (whole without one), and one without text is no document."""
+    page = F.coalesce("html", F.lit(""))
+    page = page if cap is None else F.substring(page, 1, cap)
     title = F.trim(decoded(F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title>", 1)))
     rows = pages.select(
         F.col("url").alias("ref"), F.coalesce(F.nullif(title, F.lit("")), F.col("url")).alias("title"), html_to_text(page).alias("content"),

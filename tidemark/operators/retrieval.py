@@ -26,10 +26,10 @@ RECALL_LIMIT, SEARCH_LIMIT, SEARCH_MAX = 8, 12, 50
 K1, B = 1.2, 0.75
 
 
-def vector_ranking(memories: DataFrame, query: Column, k: int) -> DataFrame:
-    """The k nearest rows by cosine distance, ranked: id, distance, rank."""
+def vector_ranking(memories: DataFrame, query: Column, k: int, columns: Sequence[str] = ()) -> DataFrame:
+    """The k nearest rows by cosine distance, ranked: id, distance, rank, and further columns."""
     distance = F.round(1 - cosine(F.col("embedding"), query), 6)
-    near = memories.filter("embedding is not null").select("id", distance.alias("distance")).orderBy("distance", "id").limit(k)
+    near = memories.filter("embedding is not null").select("id", distance.alias("distance"), *columns).orderBy("distance", "id").limit(k)
     # At most k rows are left, so one window over all of them is small.
     return near.withColumn("rank", F.row_number().over(Window.orderBy("distance", "id")))
 
@@ -50,8 +50,8 @@ def _times(words: str, term: str) -> Column:
     return F.size(F.filter(words, lambda w: w == term))
 
 
-def bm25_scores(memories: DataFrame, terms: Sequence[str], index: DataFrame | None = None) -> DataFrame:
-    """Okapi BM25 of rows that hold one of the terms: id, score.
+def bm25_scores(memories: DataFrame, terms: Sequence[str], index: DataFrame | None = None, columns: Sequence[str] = ()) -> DataFrame:
+    """Okapi BM25 of rows that hold one of the terms: id, score, and further columns.
 
     Only the query's terms are counted: read from ``index`` (see ``postings``), or, without one, in one pass over the texts
     that leaves a few numbers a row.  The corpus figures (rows, mean length, document frequencies) are those of ``memories``;
@@ -61,11 +61,11 @@ def bm25_scores(memories: DataFrame, terms: Sequence[str], index: DataFrame | No
     if "n_terms" not in memories.columns:
         memories = with_term_counts(memories)
     if index is None:
-        words = memories.select("id", "n_terms", tokens(F.col("content")).alias("words"))
-        counted = words.select("id", "n_terms", *[_times("words", t).alias(f"tf{i}") for i, t in enumerate(terms)])
+        words = memories.select("id", "n_terms", *columns, tokens(F.col("content")).alias("words"))
+        counted = words.select("id", "n_terms", *columns, *[_times("words", t).alias(f"tf{i}") for i, t in enumerate(terms)])
     else:
-        own = index.filter(F.col("term").isin(*terms)).join(memories.select("id"), "id", "left_semi")
-        counted = own.groupBy("id", "n_terms").agg(*[F.sum(F.when(F.col("term") == t, F.col("tf")).otherwise(0)).alias(f"tf{i}") for i, t in enumerate(terms)])
+        own = index.filter(F.col("term").isin(*terms)).groupBy("id", "n_terms").agg(*[F.sum(F.when(F.col("term") == t, F.col("tf")).otherwise(0)).alias(f"tf{i}") for i, t in enumerate(terms)])
+        counted = own.join(memories.select("id", *columns), "id")
     some = counted.filter(" or ".join(f"tf{i} > 0" for i in range(len(terms))))
     corpus = memories.agg(F.count(F.lit(1)).alias("rows"), F.avg("n_terms").alias("mean_length"))
     found = some.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
@@ -75,11 +75,11 @@ def bm25_scores(memories: DataFrame, terms: Sequence[str], index: DataFrame | No
         tf, df = F.col(f"tf{i}").cast("double"), F.col(f"df{i}")
         idf = F.log(1 + (F.col("rows") - df + 0.5) / (df + 0.5))
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n_terms") / F.col("mean_length")))
-    return at.select("id", F.round(score, 6).alias("score"))
+    return at.select("id", F.round(score, 6).alias("score"), *columns)
 
 
-def bm25_ranking(memories: DataFrame, terms: Sequence[str], k: int, index: DataFrame | None = None) -> DataFrame:
-    best = bm25_scores(memories, terms, index).orderBy(F.desc("score"), "id").limit(k)
+def bm25_ranking(memories: DataFrame, terms: Sequence[str], k: int, index: DataFrame | None = None, columns: Sequence[str] = ()) -> DataFrame:
+    best = bm25_scores(memories, terms, index, columns).orderBy(F.desc("score"), "id").limit(k)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
 
 
@@ -95,16 +95,17 @@ def fused(
     index: DataFrame | None = None,
 ) -> DataFrame:
     """Reciprocal rank fusion of both rankings, plus a little importance; the floor applies after fusion."""
-    v = vector_ranking(memories, query, pool).select("id", F.col("rank").alias("rv"))
-    t = bm25_ranking(memories, terms, pool, index).select("id", F.col("rank").alias("rt"))
-    # At most 2 x pool rows.
-    ranked = F.broadcast(v.join(t, "id", "full_outer"))
+    # Both rankings carry what the result shows, so the memories are not read again for their few rows.
+    carried = list(dict.fromkeys([*columns, "importance", "valid_at"]))
+    v = vector_ranking(memories, query, pool, carried).select("id", *carried, F.col("rank").alias("rv"), F.lit(None).cast("int").alias("rt"))
+    t = bm25_ranking(memories, terms, pool, index, carried).select("id", *carried, F.lit(None).cast("int").alias("rv"), F.col("rank").alias("rt"))
+    ranked = v.unionByName(t).groupBy("id").agg(*[F.first(c).alias(c) for c in carried], F.max("rv").alias("rv"), F.max("rt").alias("rt"))
     score = (
         F.coalesce(1.0 / (RRF_K + F.col("rv")), F.lit(0.0))
         + F.coalesce(1.0 / (RRF_K + F.col("rt")), F.lit(0.0))
         + SALIENCE * F.col("importance")
     )
-    out = memories.join(ranked, "id").select("id", *columns, "importance", "valid_at", F.round(score, 6).alias("score"))
+    out = ranked.select("id", *carried, F.round(score, 6).alias("score"))
     if min_importance is not None:
         out = out.filter(F.col("importance") >= min_importance)
     return out.orderBy(F.desc("score"), "id").limit(limit)

@@ -44,7 +44,11 @@ KEY_STARTS = r"sk-(?:proj-|live-|test-)?|gh[oprsu]_|xox[abprs]-|AKIA"
 SECRET = (
     rf"(?<![0-9A-Za-z])(?:(?=[0-9]*+[a-f])[0-9a-f]{{32,}}+|(?=[0-9]*+[A-F])[0-9A-F]{{32,}}+|(?:{KEY_STARTS})[0-9A-Za-z_]{{16,}}+)(?![0-9A-Za-z])"
 )
-CARD = r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])"
+#: A run of digits, then the usual groups, then any; what follows a card after a space is not taken for a part of it.
+CARD = (
+    r"(?<![0-9])(?:[0-9]{13,19}(?![0-9])|[0-9]{4}(?:[ \-][0-9]{4}){3}(?![0-9])|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5}(?![0-9])|[0-9]{2}(?:[ \-][0-9]{2}){7}(?![0-9])"
+    r"|[0-9](?:[ \-]?[0-9]){12,18}(?!\.?[0-9]))"
+)
 PHONE = (
     r"\+[0-9]{1,3}[ .\-]?\(?[0-9]{2,4}\)?[ .\-]?[0-9]{2,4}[ .\-]?[0-9]{3,5}(?![0-9])"
     r"|\+[0-9](?:[ .\-()/]{0,2}[0-9]){7,14}(?![0-9])"

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import analytics as an
 from ..operators import chunking as ch
+from ..operators import entity_documents as ed
 from ..operators import graph as gr
 from ..operators import knowledge as kn
 from ..operators import mappings as mp
@@ -473,6 +474,18 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
 }
 
 
+def _business(t: Tables) -> Callable[[str], DataFrame]:
+    """The business tables; all but the aliases are one table here, which has the columns of each."""
+    return lambda name: t.portfolio_aliases if name == "portfolio_aliases" else t.business_rows
+
+
+def _entity_query(name: str) -> Callable[[Tables], DataFrame]:
+    return lambda t: ed.entity_memories(_business(t), name, "studio", NOW)
+
+
+TABLE_QUERIES |= {f"mapping_{name}": _entity_query(name) for name in ed.ENTITIES}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def of(build: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf_dir: build(Tables(spark, sf_dir))

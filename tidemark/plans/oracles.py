@@ -6,6 +6,8 @@ Adapters that a text names are put in front as common table expressions by ``ora
 from __future__ import annotations
 
 from ..functions.text import CREDENTIAL, EPISODIC, NEGATION_CUES, PROCEDURAL, SEMANTIC
+from ..operators.entity_documents import ENTITIES, pieces
+from ..operators.mappings import CAP, CAPS, IMPORTANCE, IMPORTANCES, MAPPINGS
 from ..operators.ontology import FAMILIES
 from ..sources.adapters import with_adapters
 
@@ -698,5 +700,84 @@ SQL |= {
 }
 
 
+_FORMATS = {"@": "%Y-%m-%d", "#": "%H:%M", "%": "%Y-%m-%d %H:%M"}
+
+
+def _said(sentence: str, optional: bool = False) -> str:
+    def one(piece) -> str:
+        if isinstance(piece, str):
+            return "'" + piece.replace("'", "''") + "'"
+        if piece["maybe"] is not None:
+            return f"coalesce({_said(piece['maybe'], True)}, '')"
+        found = []
+        for n in piece["names"].split(","):
+            text = f"""strftime("{n}", '{_FORMATS[piece["date"]]}')""" if piece["date"] else f'cast("{n}" as varchar)'
+            found.append(f"nullif({text}, '')" if piece["bar"] == "||" else text)
+        if not (optional and not piece["bar"]):
+            found.append("'" + piece["other"] + "'")
+        return f"coalesce({', '.join(found)})" if len(found) > 1 else found[0]
+
+    return " || ".join(one(p) for p in pieces(sentence))
+
+
+def _linked(links: dict[str, tuple[str, str]], keep: str = "true") -> str:
+    """Business rows and the names of others by (key, column)."""
+    names = "".join(f', j{i}."{column}" as "{field}"' for i, (field, (_, column)) in enumerate(links.items()))
+    joins = " ".join(f'left join business_rows j{i} on j{i}.id = b."{key}"' for i, (key, _) in enumerate(links.values()))
+    return f"(select b.*{names} from (select * from business_rows where {keep}) b {joins})"
+
+
+def _list(parent: str, rows: str, sentence: str, where: str, order: str = "", separator: str = ", ", distinct: str = "") -> str:
+    line = f"select {distinct} {parent} as parent, {_said(sentence)} as line{', ' + order.split()[0] + ' as o' if order else ''} from {rows} where {where}"
+    by = f"o{order[len(order.split()[0]):]}, line" if order else "line"
+    return f"(select parent, string_agg(line, '{separator}' order by {by}) as line from ({line}) where line is not null group by 1)"
+
+
+_USER = lambda field, key: {field: (key, "display_name")}
+_COFOUNDER = "coalesce(role='cofounder',false) desc"
+#: entity -> field -> the list it shows.
+_LISTS = {
+    "learnings": {"trail": _list("learning_id", _linked(_USER("actor", "actor_user_id")), "{@created_at} {event_type}« by {actor,actor_agent_id,actor_type}»« — {reason}»", "true",
+                                 "created_at", "; ")},
+    "people": {
+        "works_on": _list("member_id", _linked({"venture": ("venture_id", "name")}, "member_type = 'human'"), "{venture}« ({role})»", "venture is not null", _COFOUNDER),
+        "owned": _list("member_id", _linked({"venture": ("venture_id", "name")}, "owns <> ''"), "{owns} in {venture}", "venture is not null", "venture"),
+    },
+    "ventures": {
+        "team": _list("venture_id", _linked(_USER("member", "member_id"), "member_type = 'human'"), "{member}« ({role})»", "member is not null", _COFOUNDER),
+        "agents": _list("venture_id", _linked({"agent": ("member_id", "name")}, "member_type = 'agent'"), "{agent}", "agent is not null"),
+    },
+    "portfolios": {"members": _list("portfolio_id", "business_rows", "{name}", "name is not null"),
+                   "alias": "(select portfolio_id as parent, alias as line from portfolio_aliases)"},
+    "harvested": {"who": _list("item_id", _linked(_USER("submitter", "submitter_id")), "{submitter|someone} via {channel|-}", "true", distinct="distinct")},
+    "calendar": {"attendees": _list("event_id", _linked(_USER("attendee", "user_id")), "{attendee}", "attendee is not null")},
+}
+_MORE = {
+    "learnings": ", (select max(e.created_at) from business_rows e where e.learning_id = r.id) as last_at",
+    "portfolios": ", upper(left(name, 1)) || lower(substring(name, 2)) as title_name",
+    "ventures": ", upper(left(portfolio, 1)) || lower(substring(portfolio, 2)) as portfolio_title",
+}
+
+
+def _as_memories(name: str, rows: str) -> str:
+    """Rows of ref_id, event_time, content as memories of a mapping."""
+    kind, source = MAPPINGS[name]
+    return rf"""select 'db:{kind}:' || cast(ref_id as varchar) as source_ref, 'studio' as namespace, '{source}' as source_kind, '{kind}' as domain_raw, event_time as valid_at,
+        substring(trim(regexp_replace(content, '\s+', ' ', 'g')), 1, {CAPS.get(name, CAP)}) as content, cast({IMPORTANCES.get(name, IMPORTANCE)} as double) as importance from ({rows})"""
+
+
+def _entity(name: str) -> str:
+    e, lists = ENTITIES[name], _LISTS.get(name, {})
+    shown = "".join(f', l{i}.line as "{field}"' for i, field in enumerate(lists))
+    joins = " ".join(f"left join {text} l{i} on l{i}.parent = r.id" for i, text in enumerate(lists.values()))
+    base = _linked({field: (key, column) for field, (_, key, column) in e.links.items()}, e.keep or "true")
+    times = ", ".join("timestamp '2024-01-15 12:00:00'" if c == "now" else c for c in e.times)
+    rows = f'select *, coalesce({times}) as "at" from (select r.*{shown}{_MORE.get(name, "")} from {base} r {joins})'
+    return _as_memories(name, f'select "{e.ref}" as ref_id, "at" as event_time, {_said(e.says)} as content from ({rows})')
+
+
+SQL |= {f"mapping_{name}": _entity(name) for name in ENTITIES}
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: with_adapters(text) for name, text in SQL.items()}

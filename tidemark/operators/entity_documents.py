@@ -70,10 +70,10 @@ def said(rows: DataFrame, sentence: str, optional: bool = False) -> Column:
     return F.concat(*[column(p) for p in pieces(sentence)])
 
 
-_VENTURE = {"venture": ("ventures", "venture_id", "name")}
+VENTURE = {"venture": ("ventures", "venture_id", "name")}
 
 
-def _user(field: str, key: str) -> dict[str, tuple[str, str, str]]:
+def user_link(field: str, key: str) -> dict[str, tuple[str, str, str]]:
     return {field: ("users", key, "display_name")}
 
 
@@ -81,33 +81,33 @@ def _user(field: str, key: str) -> dict[str, tuple[str, str, str]]:
 ENTITIES = {
     "posts": Entity(
         "posts", ("created_at",), "Post [{type|status}] on {@created_at} by {author|unknown}« in venture {venture}»: {title||(untitled)}. {body_md}",
-        _VENTURE | _user("author", "author_id"),
+        VENTURE | user_link("author", "author_id"),
     ),
     "issues": Entity(
         "issues", ("created_at",),
         "Issue #{number}« in venture {venture}» opened {@created_at}«, closed {@closed_at}»: {title}. Type: {type|-}. Status: {status|-}. Priority: {priority|-}. "
-        "Area: {area|-}. Assignee: {assignee|unassigned}. {description}", _VENTURE | _user("assignee", "assignee_id"),
+        "Area: {area|-}. Assignee: {assignee|unassigned}. {description}", VENTURE | user_link("assignee", "assignee_id"),
     ),
     "user_goals": Entity(
         "user_goals", ("set_at", "created_at"),
         "Goal (personal) of {user|unknown} set {@at}«, deadline {@deadline_at}»«, resolved {@resolved_at}»: {title}. Status: {status|-}. {resolution_note}",
-        _user("user", "user_id"),
+        user_link("user", "user_id"),
     ),
     "venture_goals": Entity(
         "venture_goals", ("set_at", "created_at"),
-        "Goal (venture {venture|?}) set {@at}«, deadline {@deadline_at}»«, resolved {@resolved_at}»: {title}. Status: {status|-}. {resolution_note}", _VENTURE,
+        "Goal (venture {venture|?}) set {@at}«, deadline {@deadline_at}»«, resolved {@resolved_at}»: {title}. Status: {status|-}. {resolution_note}", VENTURE,
     ),
     "learnings": Entity(
         "issue_learnings", ("last_at", "created_at"),
         "Learning ({scope|general})« in venture {venture}» recorded {@created_at}: {title}. Status: {status|-}. Classification: {classification|-}. {body}"
-        "« How this learning evolved: {trail}»", _VENTURE,
+        "« How this learning evolved: {trail}»", VENTURE,
     ),
     "roadmaps": Entity(
         "roadmaps", ("created_at",),
         "Roadmap ({cadence|-}) for venture {venture|?} period {@period_start|?} to {@period_end|?}, status {status|-}. Focus: {focus}. Blocked: {blocked|none}. "
-        "Notes: {notes}", _VENTURE,
+        "Notes: {notes}", VENTURE,
     ),
-    "releases": Entity("releases", ("created_at",), "Release {version|?} of venture {venture|?} on {@created_at}. Notes: {notes}", _VENTURE),
+    "releases": Entity("releases", ("created_at",), "Release {version|?} of venture {venture|?} on {@created_at}. Notes: {notes}", VENTURE),
     "people": Entity(
         "users", ("created_at",),
         "Person: {display_name,email} (slug: {slug|-}). Email: {email}. Position: {position||-}. Admin: {is_admin}. Account type: {account_type|-}. "
@@ -125,7 +125,7 @@ ENTITIES = {
         "{description}. Ventures: {members|none}",
     ),
     "decisions": Entity(
-        "venture_decisions", ("decided_at", "created_at"), "Decision for venture {venture|?} on {@at}: {title}. Context: {context}. Decision: {decision}", _VENTURE
+        "venture_decisions", ("decided_at", "created_at"), "Decision for venture {venture|?} on {@at}: {title}. Context: {context}. Decision: {decision}", VENTURE
     ),
     "harvested": Entity(
         "harvester_items", ("created_at",),
@@ -140,27 +140,27 @@ ENTITIES = {
     "marketing_campaigns": Entity(
         "marketing_campaigns", ("updated_at", "created_at"),
         "Marketing Campaign for venture {venture|?}: {name}. Channel: {channel|-}. Status: {status|-}. Budget: {budget|-}«. Runs {@starts_at} to {@ends_at}». "
-        "Owner: {owner_name|-}. {notes}", _VENTURE | _user("owner_name", "owner_id"),
+        "Owner: {owner_name|-}. {notes}", VENTURE | user_link("owner_name", "owner_id"),
     ),
     "marketing_content": Entity(
         "marketing_content", ("updated_at", "created_at"),
-        "Marketing Content for venture {venture|?}: {title}. Channel: {channel|-}. Status: {status|-}«. Publish {@publish_at}»«. URL: {url}». {notes}", _VENTURE,
+        "Marketing Content for venture {venture|?}: {title}. Channel: {channel|-}. Status: {status|-}«. Publish {@publish_at}»«. URL: {url}». {notes}", VENTURE,
     ),
     "responsibilities": Entity(
         "venture_responsibilities", ("updated_at", "created_at"), "Management — responsibility in venture {venture|?}: {member,member_id} owns {owns|-}. {notes}",
-        _VENTURE | _user("member", "member_id"),
+        VENTURE | user_link("member", "member_id"),
     ),
     "okr_snapshots": Entity(
         "venture_okr_snapshots", ("period_end", "period_start", "now"),
         "OKR snapshot for venture {venture|?} ({period_kind|-} {period_label|-}, {@period_start|?} to {@period_end|?}): status {status|-}, RAG {rag|-}, confidence {confidence|-}, "
-        "project {project_pct|-}%, new clients {new_clients|-}. What: {what_happened}. Blocker: {blocker|none}", _VENTURE,
+        "project {project_pct|-}%, new clients {new_clients|-}. What: {what_happened}. Blocker: {blocker|none}", VENTURE,
     ),
     "okr_targets": Entity(
-        "venture_okr_targets", ("updated_at", "created_at"), "OKR target for venture {venture|?} quarter {quarter|-}: target clients {target_clients|-}", _VENTURE
+        "venture_okr_targets", ("updated_at", "created_at"), "OKR target for venture {venture|?} quarter {quarter|-}: target clients {target_clients|-}", VENTURE
     ),
-    "venture_metrics": Entity("venture_metrics", ("recorded_at", "created_at"), "Metric for venture {venture|?} on {@at}: {metric_key} = {value|-}", _VENTURE),
+    "venture_metrics": Entity("venture_metrics", ("recorded_at", "created_at"), "Metric for venture {venture|?} on {@at}: {metric_key} = {value|-}", VENTURE),
     "budget": Entity(
-        "venture_budget_entries", ("occurred_at", "created_at"), "Budget entry for venture {venture|?} on {@at}: {kind|-} {label} amount {amount|-}", _VENTURE
+        "venture_budget_entries", ("occurred_at", "created_at"), "Budget entry for venture {venture|?} on {@at}: {kind|-} {label} amount {amount|-}", VENTURE
     ),
     "dependencies": Entity(
         "venture_dependencies", ("created_at",), "Venture dependency: {source_venture|?} {relation|depends on} {target_venture|?}. {notes}",
@@ -169,12 +169,12 @@ ENTITIES = {
     "pipeline_deals": Entity(
         "bd_deals", ("won_at", "next_action_due_at", "now"),
         "BD Pipeline — venture {venture|?} is at stage {pipeline_stage|-}. Source: {source_category|-} / {source_detail|-}. Owner: {owner_name|-}. "
-        "Next action: {next_action|-}« due {@next_action_due_at}»«. Won {@won_at}»«. Lost reason: {lost_reason}»", _VENTURE | _user("owner_name", "owner_user_id"),
+        "Next action: {next_action|-}« due {@next_action_due_at}»«. Won {@won_at}»«. Lost reason: {lost_reason}»", VENTURE | user_link("owner_name", "owner_user_id"),
         ref="venture_id",
     ),
     "pipeline_timeline": Entity(
         "bd_timeline", ("occurred_at", "created_at"), "BD timeline for venture {venture|?} on {@at} [{kind|note}] by {author|-}: {body}",
-        _VENTURE | _user("author", "author_user_id"),
+        VENTURE | user_link("author", "author_user_id"),
     ),
     "lean_canvas": Entity(
         "ventures", ("updated_at", "created_at"), "Lean Canvas for venture {name}: {lean_canvas}", keep="lean_canvas is not null and lean_canvas not in ('null', '{}')"
@@ -182,7 +182,7 @@ ENTITIES = {
     "calendar": Entity(
         "calendar_events", ("start_at", "created_at"),
         "Calendar event on {%start_at}« to {#end_at}»« for venture {venture}»: {title|(untitled)}. Owner: {owner_name|-}«. Location: {location}». {description}"
-        "«. Attendees: {attendees}»", _VENTURE | _user("owner_name", "owner_id"),
+        "«. Attendees: {attendees}»", VENTURE | user_link("owner_name", "owner_id"),
     ),
     "transcripts": Entity(
         "transcript_jobs", ("backend_created_at", "first_seen_at"),
@@ -196,25 +196,25 @@ ENTITIES = {
         "transition_level_docs", ("published_at", "updated_at"), "Big Shift transition level {level_code} (status {status|-}): {body_md}", ref="level_code"
     ),
     "big_shift_picks": Entity(
-        "transition_picks", ("updated_at", "created_at"), "Big Shift pick by {user|?} on {@at}: level {level_code|-}. Intent: {intent|-}", _user("user", "user_id")
+        "transition_picks", ("updated_at", "created_at"), "Big Shift pick by {user|?} on {@at}: level {level_code|-}. Intent: {intent|-}", user_link("user", "user_id")
     ),
     "activity_scores": Entity(
-        "activity_scores", ("computed_at",), "Analytics — activity score for {user|?} on {@computed_at}: {kind|-} = {score|-}. Reason: {reason}", _user("user", "user_id")
+        "activity_scores", ("computed_at",), "Analytics — activity score for {user|?} on {@computed_at}: {kind|-} = {score|-}. Reason: {reason}", user_link("user", "user_id")
     ),
     "tasks": Entity(
         "tasks", ("updated_at", "created_at"), "Task {human_id} raised {@raised_date|-}: {title}. Status: {status|-}. Owner: {owner_name,owner|-}. {note}",
-        _user("owner_name", "owner_user_id"),
+        user_link("owner_name", "owner_user_id"),
     ),
     "nala_approvals": Entity(
         "nala_approvals", ("decided_at", "created_at"),
-        "Approval for venture {venture|?} on {@at} [{kind|-}] status {status|-}: {summary}. Recommendation: {recommendation}", _VENTURE,
+        "Approval for venture {venture|?} on {@at} [{kind|-}] status {status|-}: {summary}. Recommendation: {recommendation}", VENTURE,
     ),
     "session_topics": Entity(
         "session_topics", ("updated_at", "created_at"), "Session topic ({category|-}) proposed by {author|?} on {@created_at}: {title}. {description}",
-        _user("author", "author_user_id"),
+        user_link("author", "author_user_id"),
     ),
     "channels": Entity(
-        "channels", ("updated_at", "created_at"), "Channel #{slug,name} ({type|-})« for venture {venture}»: {name}. {description}", _VENTURE, keep="archived_at is null"
+        "channels", ("updated_at", "created_at"), "Channel #{slug,name} ({type|-})« for venture {venture}»: {name}. {description}", VENTURE, keep="archived_at is null"
     ),
     "boards": Entity(
         "boards", ("updated_at", "created_at"),
@@ -240,7 +240,7 @@ def _line_up(children: DataFrame, key: str, order: Sequence[Column], sentence: s
 
 
 def _learning_lists(table: Callable[[str], DataFrame], cap: int) -> list[DataFrame]:
-    events = named(table("learning_events"), _user("actor", "actor_user_id"), table)
+    events = named(table("learning_events"), user_link("actor", "actor_user_id"), table)
     trail = _line_up(
         events, "learning_id", [F.col("created_at")], "{@created_at} {event_type}« by {actor,actor_agent_id,actor_type}»« — {reason}»", cap, "trail", "; "
     )
@@ -264,7 +264,7 @@ def _member_lists(parent: str, kinds: dict[str, tuple[str, str, dict, str | None
 
 
 def _submitters(table: Callable[[str], DataFrame], cap: int) -> list[DataFrame]:
-    sent = named(table("harvester_submissions"), _user("submitter", "submitter_id"), table)
+    sent = named(table("harvester_submissions"), user_link("submitter", "submitter_id"), table)
     line = said(sent, "{submitter|someone} via {channel|-}")
     return [_line_up(sent.select("item_id", line.alias("line")).distinct(), "item_id", [], "{line}", cap, "who")]
 
@@ -276,16 +276,16 @@ def _portfolio_lists(table: Callable[[str], DataFrame], cap: int) -> list[DataFr
 
 
 def _attendees(table: Callable[[str], DataFrame], cap: int) -> list[DataFrame]:
-    came = named(table("calendar_event_attendees"), _user("attendee", "user_id"), table).filter("attendee is not null")
+    came = named(table("calendar_event_attendees"), user_link("attendee", "user_id"), table).filter("attendee is not null")
     return [_line_up(came, "event_id", [], "{attendee}", cap, "attendees")]
 
 
-_TEAM = _user("member", "member_id")
+_TEAM = user_link("member", "member_id")
 LISTS: dict[str, Callable[[Callable[[str], DataFrame], int], list[DataFrame]]] = {
     "learnings": _learning_lists,
     "people": _member_lists("member_id", {
-        "works_on": ("venture_members", "{venture}« ({role})»", _VENTURE, "member_type = 'human'"),
-        "owned": ("venture_responsibilities", "{owns} in {venture}", _VENTURE, "owns <> ''"),
+        "works_on": ("venture_members", "{venture}« ({role})»", VENTURE, "member_type = 'human'"),
+        "owned": ("venture_responsibilities", "{owns} in {venture}", VENTURE, "owns <> ''"),
     }),
     "ventures": _member_lists("venture_id", {
         "team": ("venture_members", "{member}« ({role})»", _TEAM, "member_type = 'human'"),

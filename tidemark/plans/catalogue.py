@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import analytics as an
 from ..operators import chunking as ch
+from ..operators import entity_digests as eg
 from ..operators import entity_documents as ed
 from ..operators import graph as gr
 from ..operators import knowledge as kn
@@ -475,8 +476,8 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
 
 
 def _business(t: Tables) -> Callable[[str], DataFrame]:
-    """The business tables; all but the aliases are one table here, which has the columns of each."""
-    return lambda name: t.portfolio_aliases if name == "portfolio_aliases" else t.business_rows
+    """The business tables; all but two are one table here, which has the columns of each."""
+    return lambda name: getattr(t, name) if name in ("portfolio_aliases", "feature_flags") else t.business_rows
 
 
 def _entity_query(name: str) -> Callable[[Tables], DataFrame]:
@@ -485,6 +486,17 @@ def _entity_query(name: str) -> Callable[[Tables], DataFrame]:
 
 TABLE_QUERIES |= {f"mapping_{name}": _entity_query(name) for name in ed.ENTITIES}
 
+# The texts of the test table are short, so what counts as substance is little here.
+_LEAST = {"issue_threads": 10, "chat_threads": 12, "pulse_anonymous": 7}
+
+
+def _digest_query(name: str) -> Callable[[Tables], DataFrame]:
+    options = {"least": _LEAST[name]} if name in _LEAST else {}
+    return lambda t: eg.digest_memories(_business(t), name, "studio", **options)
+
+
+TABLE_QUERIES |= {f"mapping_{name}": _digest_query(name) for name in eg.DIGESTS}
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def of(build: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -779,5 +779,88 @@ def _entity(name: str) -> str:
 SQL |= {f"mapping_{name}": _entity(name) for name in ENTITIES}
 
 
+def _short(c: str, chars: int) -> str:
+    return rf"substring(regexp_replace({c}, '\s+', ' ', 'g'), 1, {chars})"
+
+
+def _thread(key: str, rows: str, sentence: str, k: int) -> str:
+    return f"""(select {key} as parent, count(*) as n, min(created_at) as first_at, max(created_at) as last_at, sum(chars) as substance, string_agg(line, ' | ' order by r desc) as discussion
+        from (select *, row_number() over (partition by {key} order by created_at desc, line) as r from (select {key}, created_at, length(body_text) as chars, {_said(sentence)} as line from ({rows})))
+        where r <= {k} and {key} is not null group by 1)"""
+
+
+def _told(parent: str, rows: str, sentence: str, order: str, k: int | None = None, separator: str = " | ") -> str:
+    cut = f"where r <= {k}" if k else ""
+    return f"""(select parent, string_agg(line, '{separator}' order by r) as line from (select *, row_number() over (partition by parent order by {order}line) as r
+        from (select *, {parent} as parent, {_said(sentence)} as line from {rows}) where line is not null) {cut} group by 1)"""
+
+
+def _spoken(kind: str, agent: str, short: int, body: str, where: str, links: dict) -> str:
+    spoke = f"case when {kind} = 'agent' then coalesce(agent, cast({agent} as varchar)) else person end as who, " if kind else ""
+    return f"select *, {spoke}{_short(body, short)} as body_short, {body} as body_text from {_linked(links, where)}"
+
+
+_V = {"venture": ("venture_id", "name")}
+_PERSON = lambda key: {"person": (key, "display_name")}
+_COMMENTS = _thread(
+    "issue_id", _spoken("author_kind", "as_agent_id", 500, "body_md", "length(body_md) >= 10", _PERSON("author_user_id") | {"agent": ("as_agent_id", "name")}),
+    "[{@created_at} {who|someone}] {body_short}", 8,
+)
+_REPLIES = _thread(
+    "target_id", _spoken("", "", 400, "body_md", "target_type = 'post' and body_md <> ''", _PERSON("author_id")), "[{@created_at} {person,as_agent_id|someone}] {body_short}", 10
+)
+_CHAT = _thread(
+    "chat_id", _spoken("sender_kind", "sender_agent_id", 400, "body", f"body <> '' and deleted_at is null and not regexp_matches(body, '{CREDENTIAL}')",
+                       _PERSON("sender_id") | {"agent": ("sender_agent_id", "name")}), "{who|someone}: {body_short}", 30,
+)
+_PRESENT = _list("chat_id", _linked(_PERSON("user_id") | {"agent": ("member_agent_id", "name")}), "{person,agent|unknown}", "true", distinct="distinct")
+_FEATURES = f"""(select b.*, {_short("description", 220)} as about, case when enabled then 'ON' else 'OFF' end
+    || case when kill_switch then ', KILL SWITCH ENGAGED' else '' end as state from business_rows b left join feature_flags f on f.key = b.flag_key where name is not null)"""
+_SOURCES = f"(select *, nullif(tags, '') as tagged, {_short('note', 150)} as noted, case when confirmed then ' [confirmed]' else '' end as mark from business_rows)"
+_DIGESTS = {
+    "issue_threads": ("id", "last_at", f"""select r.*, t.* exclude (parent), h.line as trail, l.line as links from {_linked(_V | {"assignee": ("assignee_id", "display_name")})} r
+        join {_COMMENTS} t on t.parent = r.id left join {_told("issue_id", "business_rows", "{from_status|new}->{to_status} ({@changed_at})", "changed_at nulls first, ", None, ", ")} h on h.parent = r.id
+        left join {_told("from_issue_id", "(select a.*, b.number as other from business_rows a join business_rows b on b.id = a.to_issue_id)", "{type} #{other}", "", None, ", ")} l
+        on l.parent = r.id""",
+        "Issue discussion thread — Issue #{number}« in venture {venture}»: {title}. Issue status: {status|-}, type {type|-}, assignee {assignee|unassigned}. "
+        "{n} substantive comment(s) from {@first_at} to {@last_at}.« Status lifecycle: {trail}.»« Linked issues: {links}.» Discussion: {discussion}"),
+    "post_threads": ("id", "last_at", f"select * from {_linked(_V | {'author_name': ('author_id', 'display_name')})} r join {_REPLIES} t on t.parent = r.id",
+        'Post discussion — comments on the post "{title||(untitled)}" ({type|status} posted {@created_at}« by {author_name}»« in venture {venture}»): {n} comment(s) up to {@last_at}. {discussion}'),
+    "chat_threads": ("id", "last_at", f"""select *, p.line as present from {_linked(_V, "coalesce(scope, '') <> 'direct'")} r join {_CHAT} t on t.parent = r.id
+        left join {_PRESENT} p on p.parent = r.id where substance >= 12""",
+        'Chat conversation ({scope|-}« — venture {venture}») titled "{title|(untitled)}": {n} message(s) from {@first_at} to {@last_at}. Participants: {present|unknown}. '
+        "Transcript (original language preserved): {discussion}"),
+    "pulse_anonymous": ("id", "moment", f"""select *, coalesce(anonymous_revealed_at, closes_at, updated_at) as moment, m.line as told from business_rows r
+        join (select campaign_id as c, count(*) as n from business_rows where length(body) >= 7 group by 1) q on q.c = r.id
+        join {_told("campaign_id", f"(select *, {_short('body', 700)} as b from business_rows where length(body) >= 7)", "{b}", "")} m on m.parent = r.id""",
+        'Team Pulse — ANONYMOUS messages from the team, survey "{title_en|(untitled)}"« / {title_ar}»«, revealed {@anonymous_revealed_at}» '
+        "({n} message(s), unattributed by design, original language preserved): {told}"),
+    "deployments": ("venture_id", "last_at", f"""select e.*, v.name as venture, d.line as recent from (select venture_id, count(*) as n, min(created_at) as first_at, max(created_at) as last_at,
+          count(*) filter (status = 'success') as ok, count(*) filter (status = 'failed') as failed, string_agg(distinct provider, ', ' order by provider) as providers,
+          string_agg(distinct env, ', ' order by env) as places from business_rows where venture_id is not null group by 1) e left join business_rows v on v.id = e.venture_id
+        left join {_told("venture_id", f"(select *, substring(sha, 1, 7) as s, {_short('commit_message', 90)} as m from business_rows)",
+                         '{@created_at} {status|-} {s}« "{m}"»« by {author}»', "created_at desc, ", 12)} d on d.parent = e.venture_id""",
+        "Deployment history — venture {venture,venture_id}: {n} deployment events between {@first_at} and {@last_at}. Succeeded: {ok}, failed: {failed}. "
+        "Providers: {providers|-}. Environments: {places|-}. Recent deploys: {recent|-}"),
+    "feature_catalog": ("phase", "last_at", f"""select * from (select coalesce(lifecycle, 'unspecified') as phase, count(*) as n, max(coalesce(updated_at, created_at)) as last_at from business_rows group by 1) r
+        left join {_told("coalesce(lifecycle, 'unspecified')", _FEATURES, "{name}« / {name_ar}»« at route {route}»« [flag {flag_key} = {state}]»«: {about}»", "name, ")} t on t.parent = r.phase""",
+        "feature catalogue — {phase} features ({n} of them): {line}"),
+    "harvest_sources": ("source_type", "last_at", f"""select * from (select source_type, count(*) as n, max(coalesce(updated_at, created_at)) as last_at from business_rows
+          where source_type is not null group by 1) r left join {_told("source_type", _SOURCES, "{title,url||}« ({tagged})»« — {noted}»{mark}", "title nulls last, ")} t on t.parent = r.source_type""",
+        "Harvester sources — {n} {source_type} source(s) the studio watches for research: {line}"),
+    "curator_backlog": ("all", "last_at", f"""select 'all' as "all", count(*) as n, max(created_at) as last_at,
+        (select string_agg(x, ', ' order by x) from (select distinct proposal_type || '/' || status as x from business_rows)) as kinds,
+        (select string_agg(x, ', ' order by x) from (select proposal_type || ' ' || status || ' x' || count(*) as x from business_rows group by proposal_type, status)) as counted,
+        (select line from {_told("1", f"(select created_at, {_short('reason', 260)} as because from business_rows where reason <> '')", "{because}", "created_at desc, ", 8)}) as reasons from business_rows""",
+        "Learnings curator backlog as of {@last_at}: {n} curator proposals — {kinds}. Counts: {counted}. Sample reasons the curator gave: {reasons|-}"),
+    "playbook_progress": ("all", "last_at", f"""select 'all' as "all", count(*) as n, max(updated_at) as last_at, (select line from {_told("1",
+        f"(select *, coalesce(len(completed_step_ids), 0) as steps, array_to_string(completed_step_ids, ', ') as ids from {_linked(_PERSON('user_id'))})",
+        "{person|someone} completed {steps} step(s) ({ids|none})", "steps desc, ")}) as told from business_rows""",
+        "Playbook (onboarding) progress as of {@last_at}: {n} people have progress recorded. {told}"),
+}
+for _name, (_ref, _at, _rows, _sentence) in _DIGESTS.items():
+    SQL[f"mapping_{_name}"] = _as_memories(_name, f'select "{_ref}" as ref_id, "{_at}" as event_time, {_said(_sentence)} as content from ({_rows})')
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: with_adapters(text) for name, text in SQL.items()}

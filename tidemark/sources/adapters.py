@@ -193,20 +193,29 @@ ADAPTERS = {
 
 # Columns of ``business_rows``, a table with the columns of every business entity: keys of other rows, times, texts.
 _KEYS = """venture_id author_id assignee_id user_id owner_id member_id owner_user_id author_user_id portfolio_id from_venture_id to_venture_id actor_user_id submitter_id
-    learning_id item_id event_id issue_id post_id chat_id campaign_id author_agent_id to_issue_id""".split()
+    learning_id item_id event_id issue_id post_id chat_id campaign_id to_issue_id from_issue_id target_id as_agent_id sender_id sender_agent_id member_agent_id""".split()
 _TIMES = """closed_at set_at deadline_at resolved_at period_start period_end updated_at decided_at offboarded_at deleted_at starts_at ends_at publish_at recorded_at occurred_at
-    won_at next_action_due_at start_at end_at backend_created_at first_seen_at fetched_at published_at computed_at raised_date archived_at revealed_at opens_at""".split()
+    won_at next_action_due_at start_at end_at backend_created_at first_seen_at fetched_at published_at computed_at raised_date archived_at anonymous_revealed_at closes_at changed_at""".split()
 _TEXTS = """type title body_md status priority area description resolution_note scope classification body cadence focus blocked notes version display_name email slug position is_admin
     account_type github_usernames name stage kind on_hold tagline north_star website_url context decision url why_it_matters summary name_ar domain model health headline channel
     budget owns period_kind period_label rag confidence project_pct new_clients what_happened blocker quarter target_clients metric_key value label amount relation pipeline_stage
     source_category source_detail next_action lost_reason lean_canvas location provider report_md level_code intent score reason human_id owner note recommendation category key
     task_prefix visibility source registry_year description_ar role member_type event_type actor_agent_id actor_type lifecycle route flag_key source_type tags env sha
-    commit_message proposal_type""".split()
+    commit_message proposal_type from_status to_status author author_kind sender_kind target_type title_en title_ar""".split()
 _SPECIAL = {
     "member_type": "case when c_custkey % 3 = 0 then 'agent' else 'human' end",
     "role": "case when c_custkey % 7 = 0 then null when c_custkey % 5 = 0 then 'cofounder' else 'member' end",
     "status": "case c_custkey % 5 when 0 then 'rejected' when 1 then null when 2 then 'open' when 3 then 'failed' else 'success' end",
-    "lean_canvas": "case when c_custkey % 3 = 0 then '{{{{}}}}' when c_custkey % 3 = 1 then concat('{{{{\"problem\":\"p', cast(c_custkey as varchar(20)), '\"}}}}') end",
+    "lean_canvas": "case when c_custkey % 3 = 0 then '{{}}' when c_custkey % 3 = 1 then concat('{{\"problem\":\"p', cast(c_custkey as varchar(20)), '\"}}') end",
+    "lifecycle": "case c_custkey % 4 when 0 then 'beta' when 1 then 'stable' when 2 then 'retired' end",
+    "source_type": "case c_custkey % 4 when 0 then 'rss' when 1 then 'site' when 2 then 'channel' end",
+    "proposal_type": "case c_custkey % 3 when 0 then 'merge' when 1 then 'retag' end",
+    "env": "case c_custkey % 3 when 0 then 'staging' when 1 then 'production' end",
+    "author_kind": "case when c_custkey % 3 = 0 then 'agent' else 'human' end",
+    "sender_kind": "case when c_custkey % 4 = 0 then 'agent' else 'human' end",
+    "target_type": "case when c_custkey % 4 = 1 then 'issue' else 'post' end",
+    "scope": "case c_custkey % 4 when 0 then 'direct' when 1 then 'venture' when 2 then 'team' end",
+    "flag_key": "case when c_custkey % 3 > 0 then concat('flag', cast(c_custkey % 40 as varchar(20))) end",
 }
 
 
@@ -214,6 +223,7 @@ def _business_rows() -> str:
     """Columns by a rule, so that each is null, empty and repeated somewhere, and no two in the same rows."""
     text = "case when c_custkey % {a} = 1 then null when c_custkey % 17 = {b} then '' else concat('{n}  ', cast(c_custkey % {c} as varchar(20))) end"
     columns = ["c_custkey id", "c_custkey number", "c_custkey job_id", f"cast({_DAY0} + (c_custkey % 700) * interval '1' hour as {{T}}) created_at"]
+    columns += ["c_custkey % 3 = 0 confirmed", "case when c_custkey % 4 > 0 then split(substring('s1,s2,s3', 1, 2 + 3 * cast(c_custkey % 3 as int)), ',') end completed_step_ids"]
     columns += [f"case when c_custkey % {5 + i} > 0 then (c_custkey * {i + 2}) % 140 end {n}" for i, n in enumerate(_KEYS)]
     columns += [f"cast(case when c_custkey % {4 + i % 3} <> 2 then {_DAY0} + (c_custkey * {i + 3} % 900) * interval '1' hour end as {{T}}) {n}" for i, n in enumerate(_TIMES)]
     columns += [f"{_SPECIAL.get(n) or text.format(a=3 + i % 5, b=i % 17, c=7 + i, n=n)} as {n}" for i, n in enumerate(_TEXTS)]
@@ -221,6 +231,7 @@ def _business_rows() -> str:
 
 
 ADAPTERS["business_rows"] = _business_rows()
+ADAPTERS["feature_flags"] = "select concat('flag', cast(n_nationkey as varchar(20))) as key, n_nationkey % 2 = 0 enabled, n_nationkey % 5 = 0 kill_switch from {nation}"
 ADAPTERS["portfolio_aliases"] = "select cast(r_regionkey + 3 as bigint) portfolio_id, concat('alias', cast(r_regionkey as varchar(20))) alias from {region}"
 
 

@@ -2,11 +2,12 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import knowledge, mappings, memory, retrieval, rollups
+from tidemark.operators import entity_documents, graph, knowledge, mappings, memory, retrieval, rollups
 from tidemark.plans import staging
 from tidemark.sources import connectors, etl
 from tidemark.streaming import refresh
@@ -156,3 +157,44 @@ def test_median_helpers_and_lists(spark):
     recalled = spark.createDataFrame([("m1", 0.5), ("m2", 0.9)], "id string, score double")
     memories = spark.createDataFrame([("m1", "one"), ("m2", "two"), ("m3", "three")], "id string, content string")
     assert [(r["n"], r["content"]) for r in sorted(retrieval.context_rows(recalled, memories).collect())] == [(1, "two"), (2, "one")]
+
+
+def test_spine_is_that_of_all_simple_paths(spark):
+    """Against an enumeration of paths: hubs only past the first step, a window on edges that reach a time role, self loops, parallel edges."""
+    rng = random.Random(5)
+    kinds = ["feed", "venture", "person", "meeting", "repo"]
+    day = lambda k: dt.datetime(2024, 1, 1) + dt.timedelta(days=k)
+    nodes = [(f"e{i}", f"N{i}", kinds[i % 5]) for i in range(15)]
+    edges = [(f"e{rng.randrange(15)}", f"e{rng.randrange(15)}", rng.choice("AB"), day(rng.randrange(30)), None) for _ in range(45)]
+    entities = spark.createDataFrame(nodes, "id string, name string, entity_type string")
+    table = spark.createDataFrame(edges, "src_id string, dst_id string, relation string, valid_from timestamp_ntz, valid_to timestamp_ntz")
+    kind, walk = {i: k for i, _, k in nodes}, [e[:4] for e in edges] + [(b, a, r, t) for a, b, r, t, _ in edges]
+
+    def expected(window):
+        best, level = {}, [("e0",)]
+        for depth in range(1, 5):
+            following = []
+            for path in level:
+                if depth > 1 and kind[path[-1]] not in graph.HUBS:
+                    continue
+                for x, y, relation, at in walk:
+                    if x == path[-1] and y not in path:
+                        following.append((*path, y))
+                        if window and kind[y] in graph.TIME_ROLES and not window[0] <= at <= window[1]:
+                            continue
+                        best[y] = min(best.get(y, (9,)), (depth, -at.timestamp(), relation))
+            level = following
+        return {(i, b[0], b[2]) for i, b in best.items()}
+
+    for window in (None, (day(3), day(12)), (day(20), day(22))):
+        got = graph.spine(table, entities, "n0", depth=4, per_group=200, window=window).collect()
+        ids = {n: i for i, n, _ in nodes}
+        assert {(ids[r["name"]], r["depth"], r["relation"]) for r in got} == expected(window)
+        assert all(r["total"] == sum(s["role"] == r["role"] for s in got) for r in got)
+
+
+def test_sentences(spark):
+    rows = spark.sql("select 7 id, cast(null as string) a, '' b, 'x' c, array('p', 'q') l, timestamp_ntz '2024-02-03 04:05:00' t, cast(null as timestamp_ntz) u")
+    one = lambda s: rows.select(entity_documents.said(rows, s)).first()[0]
+    assert one("#{id} {a|-} {a} {b|-}{b||none} {a,c|?} {l}") == "#7 -  none x p, q"
+    assert one("{@t} {#t} {%t} {@u|never}«, till {@u}»«, by {a}»«, by {a|?} of {c}»") == "2024-02-03 04:05 2024-02-03 04:05 never, by ? of x"

@@ -164,26 +164,30 @@ def spine(
     """What surrounds a node, by role: true totals and the first items of each role.
 
     Past the first step only hub types are walked on.  A time window applies to the edge that reaches a
-    node of a time role; it applies before the best arrival is chosen, so all arrivals are kept
-    until then.
+    node of a time role, before the best arrival is chosen.
+
+    A level holds nodes, not paths.  A walk that comes back to a node reaches what follows by the same edge as a shorter one, which is better;
+    so only returns to a node whose own arrivals the window may have ruled out (a hub of a time role) must be avoided, and
+    only those nodes are remembered along a walk.
     """
     depth, per_group = min(max(depth, 1), 4), min(max(per_group, 1), 200)
-    walk = steps(edges.filter("valid_to is null"), "both")
+    walk = steps(edges.filter("valid_to is null"), "both").select(F.col("x").alias("id"), "y", "relation", F.col("valid_from").alias("at"))
     typed = entities.select("id", F.col("entity_type").alias("type"))
+    remembered = [t for t in hubs if window is not None and t in time_types]
     root = entities.filter(F.lower("name") == name.lower()).select("id")
-    frontier = root.select("id", F.array("id").alias("path"))
+    frontier = root.select(F.col("id").alias("root"), "id", F.slice(F.array("id"), 1, 0).alias("been"))
     arrivals = None
     for d in range(1, depth + 1):
         if d > 1:
-            frontier = frontier.join(typed.filter(F.col("type").isin(*hubs)), "id", "left_semi")
-        reached = (
-            frontier.join(walk.withColumnRenamed("x", "id"), "id")
-            .filter(~F.array_contains("path", F.col("y")))
-            .select(F.col("y").alias("id"), F.concat("path", F.array("y")).alias("path"), F.lit(d).alias("depth"), "relation", F.col("valid_from").alias("at"))
-        )
-        reached = staged(reached, "spine")
+            frontier = frontier.join(typed, "id").filter(F.col("type").isin(*hubs))
+            if remembered:
+                been = F.array_sort(F.concat("been", F.array("id")))
+                frontier = frontier.withColumn("been", F.when(F.col("type").isin(*remembered), been).otherwise(F.col("been")))
+            frontier = frontier.select("root", "id", "been").distinct()
+        reached = frontier.join(walk, "id").filter((F.col("y") != F.col("root")) & ~F.array_contains("been", F.col("y")))
+        reached = staged(reached.select("root", F.col("y").alias("id"), "been", F.lit(d).alias("depth"), "relation", "at").distinct(), "spine")
         arrivals = reached if arrivals is None else arrivals.unionByName(reached)
-        frontier = reached.select("id", "path").distinct()
+        frontier = reached.select("root", "id", "been").distinct()
     out = arrivals.join(typed, "id")
     if window is not None:
         since, until = (F.lit(t).cast("timestamp_ntz") for t in window)
@@ -193,13 +197,11 @@ def spine(
         F.min(F.struct("depth", F.col("at").isNull().alias("unknown"), (-F.unix_timestamp(F.col("at").cast("timestamp"))).alias("t"), "relation")).alias("b")
     )
     best = best.select("id", F.col("type").alias("role"), F.col("b.depth").alias("depth"), F.col("b.relation").alias("relation"))
-    by = Window.partitionBy("role")
-    shown = (
-        best.join(entities.select("id", "name"), "id")
-        .withColumn("total", F.count(F.lit(1)).over(by))
-        .withColumn("rank", F.row_number().over(by.orderBy("depth", "name")))
-    )
-    return shown.filter(F.col("rank") <= per_group).select("role", "total", "rank", "name", "depth", "relation")
+    totals = best.groupBy("role").agg(F.count(F.lit(1)).alias("total"))
+    # The bound on the rank lets Spark drop all but a role's first rows before it shuffles.
+    rank = F.row_number().over(Window.partitionBy("role").orderBy("depth", "name"))
+    shown = best.join(entities.select("id", "name"), "id").withColumn("rank", rank).filter(F.col("rank") <= per_group)
+    return shown.join(totals, "role").select("role", "total", "rank", "name", "depth", "relation")
 
 
 def degrees(edges: DataFrame) -> DataFrame:

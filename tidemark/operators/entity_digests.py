@@ -203,7 +203,56 @@ def playbook_progress(table: Table, brand: str = "") -> DataFrame:
     )
 
 
+def agent_activity(table: Table, brand: str = "", *, k: int = 25) -> DataFrame:
+    """Per agent, venture (or none) and ISO week: actions by kind, runs, and what was done, each beginning of a summary once."""
+    week = F.date_trunc("week", "created_at").cast("date")
+    label = F.concat(F.extract(F.lit("YEAROFWEEK"), week).cast("string"), F.lit("-W"), F.lpad(F.weekofyear(week).cast("string"), 2, "0"))
+    digest = F.concat_ws("|", F.col("agent_id").cast("string"), F.coalesce(F.col("venture_id").cast("string"), F.lit("none")), label).alias("digest")
+    acts = table("agent_actions").filter("agent_id is not null").select(digest, week.alias("week"), "agent_id", "venture_id", "kind", "summary", "created_at")
+    counts = acts.groupBy("digest", "week", "agent_id", "venture_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.max("created_at").alias("last_at"))
+    rows = counts.groupBy("digest", "week", "agent_id", "venture_id").agg(F.sum("n").alias("n"), F.max("last_at").alias("last_at"))
+    cap = CAPS["agent_activity"]
+    breakdown = _listed(counts.filter("kind is not null"), "digest", "breakdown", "{kind} x{n}", cap, [F.desc("n")])
+    newest = F.max(F.struct("created_at", "summary")).alias("m")
+    said_once = acts.filter("summary <> ''").groupBy("digest", F.substring("summary", 1, 45).alias("start")).agg(newest).select("digest", "m.created_at", "m.summary")
+    notable = _listed(said_once, "digest", "notable", "{summary}", k, [F.desc("created_at")], " | ")
+    runs = table("agent_runs").filter("agent_id is not null").select(digest, "status").groupBy("digest").agg(
+        F.count(F.lit(1)).alias("runs"), F.count_if(F.col("status") == "failed").alias("failed")
+    )
+    rows = named(_keyed(rows, breakdown, notable, runs, key="digest"), VENTURE | {"agent": ("agents", "agent_id", "name")}, table)
+    rows = rows.withColumn("place", F.coalesce(F.concat(F.lit("venture "), "venture"), F.lit("the studio (no venture)")))
+    return _document(
+        rows, "digest", "last_at",
+        "Agent activity digest — agent {agent,agent_id} on {place} for the week of {@week}: {n} recorded actions. Breakdown by kind: {breakdown}."
+        "« {runs} agent run(s), {failed} failed.»« What it actually did (latest first): {notable}»", brand,
+    )
+
+
+def github_pr_activity(table: Table, brand: str = "", *, authors: int = 8, k: int = 10) -> DataFrame:
+    """Per repository: how many pull requests were merged, how long that took, by whom, and the newest."""
+    pulls = table("github_pull_requests").filter("repo_full_name is not null")
+    hours = lambda end: F.round(F.median((F.unix_timestamp(F.col(end).cast("timestamp")) - F.unix_timestamp(F.col("created_at").cast("timestamp"))) / 3600.0), 1)
+    rows = pulls.groupBy("repo_full_name", "org_slug").agg(
+        F.count(F.lit(1)).alias("n"), F.min("created_at").alias("first_at"), F.max("created_at").alias("newest_at"),
+        F.max(F.greatest("created_at", "merged_at", "closed_at")).alias("last_at"), F.count("merged_at").alias("merged"),
+        F.count_if(F.col("state") == "open").alias("open"), F.count_if(F.col("merged_at").isNull() & (F.col("state") != "open")).alias("dropped"),
+        hours("first_review_at").cast("decimal(18,1)").alias("to_review"), hours("merged_at").cast("decimal(18,1)").alias("to_merge"),
+    )
+    by = pulls.filter("author_login is not null").groupBy("repo_full_name", "author_login").agg(F.count(F.lit(1)).alias("n"))
+    who = _listed(by, "repo_full_name", "who", "{author_login} ({n})", authors, [F.desc("n")])
+    ended = F.when(F.col("merged_at").isNotNull(), F.concat(F.lit("merged "), F.date_format("merged_at", "yyyy-MM-dd")))
+    told = pulls.withColumn("ended", ended.otherwise(F.concat("state", F.lit(" since "), F.date_format("created_at", "yyyy-MM-dd"))))
+    recent = _listed(told.filter("ended is not null"), "repo_full_name", "recent", "#{number} by {author_login|?} {ended}", k, [F.desc("created_at")])
+    return _document(
+        _keyed(rows, who, recent, key="repo_full_name"), "repo_full_name", "last_at",
+        "GitHub pull-request activity — repository {repo_full_name} (org {org_slug|-}): {n} pull requests tracked between {@first_at} and {@newest_at}. Merged: {merged}, "
+        "still open: {open}, closed without merging: {dropped}. Median hours to first review: {to_review|never reviewed}. Median hours open before merge: {to_merge|-}. "
+        "Authors: {who|-}. Most recent pull requests: {recent|-}", brand,
+    )
+
+
 DIGESTS = {f.__name__: f for f in (
+    agent_activity, github_pr_activity,
     issue_threads, post_threads, chat_threads, pulse_anonymous, deployments, feature_catalog, harvest_sources, curator_backlog, playbook_progress,
 )}
 

@@ -858,6 +858,30 @@ _DIGESTS = {
         "{person|someone} completed {steps} step(s) ({ids|none})", "steps desc, ")}) as told from business_rows""",
         "Playbook (onboarding) progress as of {@last_at}: {n} people have progress recorded. {told}"),
 }
+_DIGEST = "concat_ws('|', cast(agent_id as varchar), coalesce(cast(venture_id as varchar), 'none'), strftime(created_at, '%G-W%V'))"
+_ACTS = f"(select *, {_DIGEST} as digest, cast(date_trunc('week', created_at) as date) as week from business_rows where agent_id is not null)"
+_HOURS = "cast(round(median(epoch({} - created_at) / 3600.0), 1) as decimal(18, 1))"
+_ENDED = "(select *, case when merged_at is not null then 'merged ' || strftime(merged_at, '%Y-%m-%d') else state || ' since ' || strftime(created_at, '%Y-%m-%d') end as ended from business_rows)"
+_DIGESTS |= {
+    "agent_activity": ("digest", "last_at", f"""select r.*, v.name as venture, a.name as agent, b.line as breakdown, s.line as notable, case when v.name is null then 'the studio (no venture)' else 'venture ' || v.name end as place
+        from (select digest, week, agent_id, venture_id, count(*) as n, max(created_at) as last_at, count(*) as runs, count(*) filter (status = 'failed') as failed from {_ACTS} group by all) r
+        left join {_told("digest", f"(select digest, kind, count(*) as n from {_ACTS} where kind is not null group by all)", "{kind} x{n}", "n desc, ", None, ", ")} b on b.parent = r.digest
+        left join {_told("digest", f"(select * from {_ACTS} where summary <> '' qualify row_number() over (partition by digest, substring(summary, 1, 45) order by created_at desc, summary desc) = 1)",
+                         "{summary}", "created_at desc, ", 25)} s on s.parent = r.digest
+        left join business_rows v on v.id = r.venture_id left join business_rows a on a.id = r.agent_id""",
+        "Agent activity digest — agent {agent,agent_id} on {place} for the week of {@week}: {n} recorded actions. Breakdown by kind: {breakdown}."
+        "« {runs} agent run(s), {failed} failed.»« What it actually did (latest first): {notable}»"),
+    "github_pr_activity": ("repo_full_name", "last_at", f"""select r.*, w.line as who, t.line as recent from (select repo_full_name, org_slug, count(*) as n, min(created_at) as first_at,
+          max(created_at) as newest_at, max(greatest(created_at, merged_at, closed_at)) as last_at, count(merged_at) as merged, count(*) filter (state = 'open') as open,
+          count(*) filter (merged_at is null and state <> 'open') as dropped, {_HOURS.format("first_review_at")} as to_review, {_HOURS.format("merged_at")} as to_merge
+          from business_rows where repo_full_name is not null group by all) r
+        left join {_told("repo_full_name", "(select repo_full_name, author_login, count(*) as n from business_rows where author_login is not null group by all)", "{author_login} ({n})", "n desc, ", 8, ", ")} w
+        on w.parent = r.repo_full_name left join {_told("repo_full_name", f"(select * from {_ENDED} where ended is not null)", "#{number} by {author_login|?} {ended}", "created_at desc, ", 10, ", ")} t
+        on t.parent = r.repo_full_name""",
+        "GitHub pull-request activity — repository {repo_full_name} (org {org_slug|-}): {n} pull requests tracked between {@first_at} and {@newest_at}. Merged: {merged}, "
+        "still open: {open}, closed without merging: {dropped}. Median hours to first review: {to_review|never reviewed}. Median hours open before merge: {to_merge|-}. "
+        "Authors: {who|-}. Most recent pull requests: {recent|-}"),
+}
 for _name, (_ref, _at, _rows, _sentence) in _DIGESTS.items():
     SQL[f"mapping_{_name}"] = _as_memories(_name, f'select "{_ref}" as ref_id, "{_at}" as event_time, {_said(_sentence)} as content from ({_rows})')
 

@@ -251,7 +251,34 @@ def github_pr_activity(table: Table, brand: str = "", *, authors: int = 8, k: in
     )
 
 
+def pulse_surveys(table: Table, brand: str = "", *, least: int = 12, texts: int = 24, least_anonymous: int = 20) -> DataFrame:
+    """Per survey with responses: its questions, the newest texts given, how often each choice was made, and what was said without a name."""
+    cap, campaigns = CAPS["pulse_surveys"], table("pulse_campaigns")
+    responses = table("pulse_responses").filter("campaign_id is not null").select(F.col("id").alias("response_id"), F.col("campaign_id").alias("response_to"), "submitted_at")
+    questions = table("pulse_questions").filter("campaign_id is not null")
+    asked = _listed(questions.filter("prompt_en is not null"), "campaign_id", "asked", "{prompt_en}« / {prompt_ar}»", cap, [F.col("sort_order")], "; ")
+    counts = responses.groupBy("response_to").agg(F.count(F.lit(1)).alias("n"), F.max("submitted_at").alias("last_at"))
+    answers = table("pulse_answers").select(
+        "question_id", "response_id", F.get_json_object("value", "$.text").alias("text"),
+        F.coalesce(F.get_json_object("value", "$.choice"), F.get_json_object("value", "$.value")).alias("choice"),
+    ).join(questions.select(F.col("id").alias("question_id"), "campaign_id", "key"), "question_id")
+    given = answers.filter(F.length("text") >= least).join(responses, "response_id").filter("campaign_id = response_to").withColumn("text_short", _short("text", 220))
+    told = _listed(given.filter("key is not null"), "campaign_id", "told", "[{key}] {text_short}", texts, [F.desc("submitted_at")], " | ")
+    chosen = answers.filter("choice is not null and key is not null").groupBy("campaign_id", "key", "choice").agg(F.count(F.lit(1)).alias("times"))
+    made = _listed(chosen, "campaign_id", "made", "{key}: {choice} x{times}", cap, [F.col("key"), F.desc("times")])
+    unsigned = table("pulse_anonymous_messages").filter(F.length("body") >= least_anonymous).withColumn("body_short", _short("body", 500))
+    rows = _keyed(campaigns, counts, asked, told, made, _listed(unsigned, "campaign_id", "unsigned", "{body_short}", cap, separator=" | ")).filter("n > 0")
+    rows = rows.withColumn("at", F.coalesce("anonymous_revealed_at", "last_at", "closes_at", "updated_at", "created_at"))
+    return _document(
+        rows, "id", "at",
+        'Team Pulse survey "{title_en|(untitled)}"« / {title_ar}» — status {status|-}«, opened {@opens_at}»«, closes {@closes_at}». Responses: {n}. {intro_en} {intro_ar}'
+        "« Questions asked: {asked}.»« Free-text answers from the team (verbatim): {told}»« Scale/choice results: {made}»"
+        "« Anonymous messages to the company (verbatim): {unsigned}»", brand,
+    )
+
+
 DIGESTS = {f.__name__: f for f in (
+    pulse_surveys,
     agent_activity, github_pr_activity,
     issue_threads, post_threads, chat_threads, pulse_anonymous, deployments, feature_catalog, harvest_sources, curator_backlog, playbook_progress,
 )}

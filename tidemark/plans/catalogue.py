@@ -487,12 +487,11 @@ def _entity_query(name: str) -> Callable[[Tables], DataFrame]:
 TABLE_QUERIES |= {f"mapping_{name}": _entity_query(name) for name in ed.ENTITIES}
 
 # The texts of the test table are short, so what counts as substance is little here.
-_LEAST = {"issue_threads": 10, "chat_threads": 12, "pulse_anonymous": 7}
+_LEAST = {"issue_threads": {"least": 10}, "chat_threads": {"least": 12}, "pulse_anonymous": {"least": 7}, "pulse_surveys": {"least_anonymous": 7}}
 
 
 def _digest_query(name: str) -> Callable[[Tables], DataFrame]:
-    options = {"least": _LEAST[name]} if name in _LEAST else {}
-    return lambda t: eg.digest_memories(_business(t), name, "studio", **options)
+    return lambda t: eg.digest_memories(_business(t), name, "studio", **_LEAST.get(name, {}))
 
 
 TABLE_QUERIES |= {f"mapping_{name}": _digest_query(name) for name in eg.DIGESTS}

@@ -882,6 +882,19 @@ _DIGESTS |= {
         "still open: {open}, closed without merging: {dropped}. Median hours to first review: {to_review|never reviewed}. Median hours open before merge: {to_merge|-}. "
         "Authors: {who|-}. Most recent pull requests: {recent|-}"),
 }
+_ANSWERS = """(select q.campaign_id, q."key", json_extract_string(a."value", '$.text') as answer, coalesce(json_extract_string(a."value", '$.choice'), json_extract_string(a."value", '$.value')) as choice,
+    r.submitted_at, r.campaign_id as response_to from business_rows a join business_rows q on q.id = a.question_id left join business_rows r on r.id = a.response_id where q."key" is not null)"""
+_GIVEN = f"(select *, {_short('answer', 220)} as short from {_ANSWERS} where length(answer) >= 12 and campaign_id = response_to)"
+_DIGESTS["pulse_surveys"] = ("id", "moment", f"""select c.*, n, asked.line as asked, told.line as told, made.line as made, unsigned.line as unsigned,
+      coalesce(anonymous_revealed_at, last_at, closes_at, updated_at, created_at) as moment from business_rows c
+    join (select campaign_id as r, count(*) as n, max(submitted_at) as last_at from business_rows where campaign_id is not null group by 1) on r = c.id
+    left join {_told("campaign_id", "(select * from business_rows where prompt_en is not null)", "{prompt_en}« / {prompt_ar}»", "sort_order, ", None, "; ")} asked on asked.parent = c.id
+    left join {_told("campaign_id", _GIVEN, "[{key}] {short}", "submitted_at desc nulls last, ", 24)} told on told.parent = c.id
+    left join {_told("campaign_id", f"(select campaign_id, key, choice, count(*) as times from {_ANSWERS} where choice is not null group by all)", "{key}: {choice} x{times}", "key, times desc, ", None, ", ")} made
+    on made.parent = c.id left join {_told("campaign_id", f"(select *, {_short('body', 500)} as b from business_rows where length(body) >= 7)", "{b}", "")} unsigned on unsigned.parent = c.id""",
+    'Team Pulse survey "{title_en|(untitled)}"« / {title_ar}» — status {status|-}«, opened {@opens_at}»«, closes {@closes_at}». Responses: {n}. {intro_en} {intro_ar}'
+    "« Questions asked: {asked}.»« Free-text answers from the team (verbatim): {told}»« Scale/choice results: {made}»"
+    "« Anonymous messages to the company (verbatim): {unsigned}»")
 for _name, (_ref, _at, _rows, _sentence) in _DIGESTS.items():
     SQL[f"mapping_{_name}"] = _as_memories(_name, f'select "{_ref}" as ref_id, "{_at}" as event_time, {_said(_sentence)} as content from ({_rows})')
 

@@ -195,13 +195,13 @@ ADAPTERS = {
 _KEYS = """venture_id author_id assignee_id user_id owner_id member_id owner_user_id author_user_id portfolio_id from_venture_id to_venture_id actor_user_id submitter_id
     learning_id item_id event_id issue_id post_id chat_id campaign_id to_issue_id from_issue_id target_id as_agent_id sender_id sender_agent_id member_agent_id agent_id""".split()
 _TIMES = """closed_at set_at deadline_at resolved_at period_start period_end updated_at decided_at offboarded_at deleted_at starts_at ends_at publish_at recorded_at occurred_at
-    won_at next_action_due_at start_at end_at backend_created_at first_seen_at fetched_at published_at computed_at raised_date archived_at anonymous_revealed_at closes_at changed_at merged_at first_review_at""".split()
+    won_at next_action_due_at start_at end_at backend_created_at first_seen_at fetched_at published_at computed_at raised_date archived_at anonymous_revealed_at closes_at changed_at merged_at first_review_at submitted_at opens_at""".split()
 _TEXTS = """type title body_md status priority area description resolution_note scope classification body cadence focus blocked notes version display_name email slug position is_admin
     account_type github_usernames name stage kind on_hold tagline north_star website_url context decision url why_it_matters summary name_ar domain model health headline channel
     budget owns period_kind period_label rag confidence project_pct new_clients what_happened blocker quarter target_clients metric_key value label amount relation pipeline_stage
     source_category source_detail next_action lost_reason lean_canvas location provider report_md level_code intent score reason human_id owner note recommendation category key
     task_prefix visibility source registry_year description_ar role member_type event_type actor_agent_id actor_type lifecycle route flag_key source_type tags env sha
-    commit_message proposal_type from_status to_status author author_kind sender_kind target_type title_en title_ar state org_slug author_login repo_full_name""".split()
+    commit_message proposal_type from_status to_status author author_kind sender_kind target_type title_en title_ar state org_slug author_login repo_full_name prompt_en prompt_ar intro_en intro_ar""".split()
 _SPECIAL = {
     "member_type": "case when c_custkey % 3 = 0 then 'agent' else 'human' end",
     "role": "case when c_custkey % 7 = 0 then null when c_custkey % 5 = 0 then 'cofounder' else 'member' end",
@@ -220,6 +220,8 @@ _SPECIAL = {
     "org_slug": "case when c_custkey % 6 > 1 then concat('org', cast(c_custkey % 6 % 4 as varchar(20))) end",
     "repo_full_name": "case when c_custkey % 11 > 0 then concat('org', cast(c_custkey % 6 as varchar(20)), '/repo') end",
     "author_login": "case when c_custkey % 5 > 0 then concat('login', cast(c_custkey % 23 as varchar(20))) end",
+    "value": "case c_custkey % 4 when 0 then concat('{{\"text\":\"a longer  answer ', cast(c_custkey % 60 as varchar(20)), '\"}}') when 1 then concat('{{\"choice\":\"c', cast(c_custkey % 3 as varchar(20)), '\"}}') when 2 then '{{\"value\":\"5\"}}' end",
+    "key": "case when c_custkey % 7 > 0 then concat('q', cast(c_custkey % 3 as varchar(20))) end",
     "flag_key": "case when c_custkey % 3 > 0 then concat('flag', cast(c_custkey % 40 as varchar(20))) end",
 }
 
@@ -228,7 +230,8 @@ def _business_rows() -> str:
     """Columns by a rule, so that each is null, empty and repeated somewhere, and no two in the same rows."""
     text = "case when c_custkey % {a} = 1 then null when c_custkey % 17 = {b} then '' else concat('{n}  ', cast(c_custkey % {c} as varchar(20))) end"
     columns = ["c_custkey id", "c_custkey number", "c_custkey job_id", f"cast({_DAY0} + (c_custkey % 700) * interval '1' hour as {{T}}) created_at"]
-    columns += ["c_custkey % 3 = 0 confirmed", "case when c_custkey % 4 > 0 then split(substring('s1,s2,s3', 1, 2 + 3 * cast(c_custkey % 3 as int)), ',') end completed_step_ids"]
+    columns += ["case when c_custkey % 7 > 0 then (c_custkey * 3) % 140 end question_id", "case when c_custkey % 9 > 0 then (c_custkey * 3) % 140 end response_id"]
+    columns += ["c_custkey % 3 sort_order", "c_custkey % 3 = 0 confirmed", "case when c_custkey % 4 > 0 then split(substring('s1,s2,s3', 1, 2 + 3 * cast(c_custkey % 3 as int)), ',') end completed_step_ids"]
     columns += [f"case when c_custkey % {5 + i} > 0 then (c_custkey * {i + 2}) % 140 end {n}" for i, n in enumerate(_KEYS)]
     columns += [f"cast(case when c_custkey % {4 + i % 3} <> 2 then {_DAY0} + (c_custkey * {i + 3} % 900) * interval '1' hour end as {{T}}) {n}" for i, n in enumerate(_TIMES)]
     columns += [f"{_SPECIAL.get(n) or text.format(a=3 + i % 5, b=i % 17, c=7 + i, n=n)} as {n}" for i, n in enumerate(_TEXTS)]

@@ -9,7 +9,7 @@ from ..functions.text import CREDENTIAL, EPISODIC, NEGATION_CUES, PROCEDURAL, SE
 from ..operators.entity_documents import ENTITIES, pieces
 from ..operators.mappings import CAP, CAPS, IMPORTANCE, IMPORTANCES, MAPPINGS
 from ..operators.ontology import FAMILIES
-from ..sources.adapters import with_adapters
+from ..sources.adapters import BUSINESS_COLUMNS, with_adapters
 
 _CUES = tuple(c.replace("'", "''") for c in NEGATION_CUES)
 _LIVE = "tier = 'hot' and invalid_at is null"
@@ -724,7 +724,9 @@ def _linked(links: dict[str, tuple[str, str]], keep: str = "true") -> str:
     """Business rows and the names of others by (key, column)."""
     names = "".join(f', j{i}."{column}" as "{field}"' for i, (field, (_, column)) in enumerate(links.items()))
     joins = " ".join(f'left join business_rows j{i} on j{i}.id = b."{key}"' for i, (key, _) in enumerate(links.values()))
-    return f"(select b.*{names} from (select * from business_rows where {keep}) b {joins})"
+    hidden = [f'"{field}"' for field in links if field in BUSINESS_COLUMNS]
+    kept = f"b.* exclude ({', '.join(hidden)})" if hidden else "b.*"
+    return f"(select {kept}{names} from (select * from business_rows where {keep}) b {joins})"
 
 
 def _list(parent: str, rows: str, sentence: str, where: str, order: str = "", separator: str = ", ", distinct: str = "") -> str:
@@ -814,7 +816,7 @@ _CHAT = _thread(
                        _PERSON("sender_id") | {"agent": ("sender_agent_id", "name")}), "{who|someone}: {body_short}", 30,
 )
 _PRESENT = _list("chat_id", _linked(_PERSON("user_id") | {"agent": ("member_agent_id", "name")}), "{person,agent|unknown}", "true", distinct="distinct")
-_FEATURES = f"""(select b.*, {_short("description", 220)} as about, case when enabled then 'ON' else 'OFF' end
+_FEATURES = f"""(select b.* exclude (state), {_short("description", 220)} as about, case when enabled then 'ON' else 'OFF' end
     || case when kill_switch then ', KILL SWITCH ENGAGED' else '' end as state from business_rows b left join feature_flags f on f.key = b.flag_key where name is not null)"""
 _SOURCES = f"(select *, nullif(tags, '') as tagged, {_short('note', 150)} as noted, case when confirmed then ' [confirmed]' else '' end as mark from business_rows)"
 _DIGESTS = {

@@ -239,6 +239,7 @@ def _business_rows() -> str:
 
 
 ADAPTERS["business_rows"] = _business_rows()
+BUSINESS_COLUMNS = frozenset([*_KEYS, *_TIMES, *_TEXTS])
 ADAPTERS["feature_flags"] = "select concat('flag', cast(n_nationkey as varchar(20))) as key, n_nationkey % 2 = 0 enabled, n_nationkey % 5 = 0 kill_switch from {nation}"
 ADAPTERS["portfolio_aliases"] = "select cast(r_regionkey + 3 as bigint) portfolio_id, concat('alias', cast(r_regionkey as varchar(20))) alias from {region}"
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, language_id, media, mixing, near_dedup, packing, pii, quality, sharding
+from . import clustering, exact_dedup, html_extract, language_id, line_rules, manifest, media, mixing, near_dedup, packing, pii, quality, sharding
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,8 +28,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media_columns": media.op8_media_columns,
         "op9_language_id": language_id.op9_language_id,
         "op10_ordinal_quality": quality.op10_ordinal_quality,
+        "op11_line_frequency": line_rules.op11_line_frequency,
+        "op12_lloyd_clusters": clustering.op12_lloyd_clusters,
+        "op13_merkle_manifest": manifest.op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.OP6_SQL}
+    return {
+        "op6_exact_dedup": exact_dedup.OP6_SQL,
+        "op11_line_frequency": line_rules.OP11_SQL,
+        "op12_lloyd_clusters": clustering.OP12_SQL,
+        "op13_merkle_manifest": manifest.OP13_SQL,
+    }

@@ -27,7 +27,6 @@ from .common import documents, shuffle_width, staged
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-NO_BYTES = F.lit(b"")
 PATH = "array<struct<left: binary, right: binary>>"
 
 
@@ -60,7 +59,7 @@ def _runs(nodes: DataFrame, fanout: int, kept: Sequence[str]) -> DataFrame:
     """Parents of nodes: key, total, index, the children in order, their digests one after the other, the parent's digest."""
     child = F.struct((F.col("index") % fanout).cast("int").alias("at"), "digest", *kept)
     runs = nodes.groupBy("key", "total", F.floor(F.col("index") / fanout).alias("index")).agg(F.sort_array(F.collect_list(child)).alias("children"))
-    runs = runs.withColumn("run", F.aggregate("children", NO_BYTES, lambda a, c: F.concat(a, c["digest"])))
+    runs = runs.withColumn("run", F.aggregate("children", F.lit(b""), lambda a, c: F.concat(a, c["digest"])))
     # A group of one row is its own subroot.
     return runs.withColumn("digest", F.when(F.col("total") == 1, F.col("children")[0]["digest"]).otherwise(F.unhex(F.sha2(text_of(F.col("run")), 256))))
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import domain_type, has_negation, memory_type, network_of, norm_text
-from ..functions.vectors import cosine
+from .vector_index import VectorIndex, build, search
 
 DUPLICATE, SUPERSEDE = 0.97, 0.88
 NOOP_BUMP = 0.02
@@ -110,36 +110,19 @@ def write_decision(top: Column, content: Column, top_content: Column, similarity
     )
 
 
-#: Up to so many new rows are sent to all tasks; more are dealt out with the current rows, by salts.
-BROADCAST_ROWS, SALTS = 5_000, 64
+def nearest(new: DataFrame, current: DataFrame, index: VectorIndex | None = None) -> DataFrame:
+    """For each new row the most similar current row of its namespace: the largest similarity, then the smallest id.
 
-
-def nearest(new: DataFrame, current: DataFrame) -> DataFrame:
-    """For each new row the most similar current row of its namespace.
-
-    ``new`` is a batch of writes, and each is compared with all live rows of its namespace.  A batch of a checked
-    size goes to where the current rows are; a larger one is copied once per salt, so that a large namespace
-    is many tasks.  The best is an aggregate (partial before the shuffle), so neither side is sorted or gathered.
+    Found through a vector index over the current rows: one that is stored and kept, or else one that is made here.
     """
-    sim = F.round(cosine(F.col("embedding"), F.col("top_embedding")), 6)
-    new = new.filter("embedding is not null").select("id", "namespace", "embedding")
-    tops = current.filter("embedding is not null").select(
-        "namespace", F.col("id").alias("top_id"), F.col("content").alias("top_content"), F.col("embedding").alias("top_embedding")
-    )
-    if len(new.select("id").take(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS:
-        pairs = tops.join(F.broadcast(new), "namespace")
-    else:
-        copies = new.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        pairs = tops.withColumn("salt", F.pmod(F.xxhash64("top_id"), F.lit(SALTS)).cast("int")).join(copies, ["namespace", "salt"])
-    scored = pairs.filter("id <> top_id").select("id", "top_id", "top_content", sim.alias("similarity"))
-    # The largest similarity, then the smallest id.
-    best = scored.groupBy("id").agg(F.min(F.struct((-F.col("similarity")).alias("d"), "top_id", "top_content")).alias("t"))
-    return best.select("id", "t.top_id", "t.top_content", (-F.col("t.d")).alias("similarity"))
+    index = index or build(current)
+    best = search(index, new)
+    return best.join(current.select(F.col("id").alias("top_id"), F.col("content").alias("top_content")), "top_id").select("id", "top_id", "top_content", "similarity")
 
 
-def planned_writes(new: DataFrame, current: DataFrame) -> DataFrame:
-    """One decision per new row: by source_ref where it has one that is live, else by similarity."""
-    near = nearest(new, current)
+def planned_writes(new: DataFrame, current: DataFrame, index: VectorIndex | None = None) -> DataFrame:
+    """One decision per new row by similarity, each against the rows before the batch (``ordered_writes`` decides them in order)."""
+    near = nearest(new, current, index)
     out = new.join(near, "id", "left")
     decision = write_decision(F.col("top_id"), F.col("content"), F.col("top_content"), F.col("similarity"))
     return out.select("id", "top_id", "similarity", decision.alias("decision"))

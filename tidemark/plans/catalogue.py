@@ -19,6 +19,7 @@ from ..operators import knowledge as kn
 from ..operators import mappings as mp
 from ..operators import memory as me
 from ..operators import ontology as on
+from ..operators import ordered_writes as ow
 from ..operators import retrieval as re_
 from ..operators import rollup_documents as rd
 from ..operators import rollups as ro
@@ -270,6 +271,28 @@ def _applied(t: Tables) -> DataFrame:
     return me.applied(current, me.planned_writes(_batch(t), current))
 
 
+def _ordered_batch(t: Tables) -> DataFrame:
+    """Four writes about each 25th live row, in turns: near copies, their copies, denials, and the row itself again, some by its ref."""
+    k = F.regexp_extract("id", "([0-9]+)$", 1).cast("long")
+    m = me.live(t.memories).filter("embedding is not null").withColumn("k", k).filter("k % 25 = 0").withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    content = F.when(F.col("v") < 2, F.concat("content", F.lit(" more"))).when(F.col("v") == 2, F.concat(F.lit("no longer "), F.col("content"))).otherwise(F.col("content"))
+    nudge = F.when(F.col("v") < 2, 0.3).when(F.col("v") == 2, 0.1).otherwise(0.0)
+    return m.select(
+        (F.col("v").cast("long") * 1_000_000_000 + F.col("k")).alias("seq"), F.concat(F.lit("w"), F.col("v").cast("string"), F.lit("-"), "id").alias("id"), "namespace",
+        F.when((F.col("v") > 1) & (F.col("k") % 3 == 0), F.col("source_ref")).alias("source_ref"), content.alias("content"),
+        F.transform("embedding", lambda x, i: x.cast("double") + F.when(i == 0, nudge).otherwise(0.0)).alias("embedding"), "valid_at", F.lit(0.4).alias("importance"),
+    )
+
+
+def _ordered(t: Tables) -> DataFrame:
+    return ow.write_batch_ordered(_ordered_batch(t), me.live(t.memories)).select("id", "decision", F.when(F.col("decision") != "add", F.col("target_id")).alias("target_id"))
+
+
+def _ordered_state(t: Tables) -> DataFrame:
+    new, current = _ordered_batch(t), me.live(t.memories)
+    return ow.state_after(new, current, ow.write_batch_ordered(new, current))
+
+
 def _by_ref(t: Tables) -> DataFrame:
     new = t.documents.select(
         F.concat(F.lit("new"), F.col("doc_id").cast("string")).alias("id"), F.col("lang").alias("namespace"), F.concat(F.lit("doc:"), F.floor(F.col("doc_id") / 2.0).cast("string")).alias("source_ref")
@@ -442,6 +465,8 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "search_scoped": _scoped,
     "write_decision_by_ref": _by_ref,
     "write_applied": _applied,
+    "write_batch_ordered": _ordered,
+    "write_batch_state": _ordered_state,
     "memory_forget": lambda t: me.forgotten(t.memories, t.memories.filter("importance > 0.85").select("id"), "outdated", NOW),
     "coverage_share": lambda t: ro.cwd_coverage(t.claude_activity_events),
     "commits_by_username": _usernames,

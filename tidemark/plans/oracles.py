@@ -901,5 +901,39 @@ for _name, (_ref, _at, _rows, _sentence) in _DIGESTS.items():
     SQL[f"mapping_{_name}"] = _as_memories(_name, f'select "{_ref}" as ref_id, "{_at}" as event_time, {_said(_sentence)} as content from ({_rows})')
 
 
+# One write after the other: a row per write, with the ids that were added and retired so far.
+_IN_ORDER = f"""with recursive live as (select *, cast(regexp_extract(id, '([0-9]+)$', 1) as bigint) as k from memories where {_LIVE}),
+    batch as (select *, row_number() over (order by seq) as o from (select v * 1000000000 + k as seq, 'w' || v || '-' || id as id, namespace, case when v > 1 and k % 3 = 0 then source_ref end as source_ref,
+        case when v < 2 then content || ' more' when v = 2 then 'no longer ' || content else content end as content, valid_at,
+        list_transform(embedding::double[], lambda x, i: x + case when i = 1 then (case when v < 2 then 0.3 when v = 2 then 0.1 else 0 end)::double else 0 end) as embedding
+        from live, range(4) t(v) where embedding is not null and k % 25 = 0)),
+    known as (select 0 as o, id, namespace, source_ref, content, embedding::double[] as embedding, valid_at from live union all select o, id, namespace, source_ref, content, embedding, valid_at from batch),
+    near as materialized (select b.o, m.o as top_o, m.id as top, m.valid_at, round({_cosine("b.embedding", "m.embedding")}, 6) as similarity, {_NORM.format("b.content")} = {_NORM.format("m.content")} as same
+        from batch b join known m on m.namespace = b.namespace and m.o < b.o where b.source_ref is null and m.embedding is not null),
+    named as materialized (select b.o, m.o as top_o, m.id as top, m.valid_at from batch b join known m on m.namespace = b.namespace and m.source_ref = b.source_ref and m.o < b.o),
+    said as (select o, id, source_ref, {" or ".join(f"contains(lower(content), '{c}')" for c in _CUES)} as denies from batch),
+    step as (
+      select 0::bigint as o, null::varchar as id, null::varchar as decision, null::varchar as target_id, []::bigint[] as added, []::varchar[] as gone
+      union all
+      select o, id, decision, case when decision <> 'add' then top end, case when decision <> 'noop' then list_append(added, o) else added end,
+             case when decision in ('update', 'invalidate') then list_append(gone, top) else gone end
+      from (
+        select b.o, b.id, s.added, s.gone, coalesce(n.top, t.top) as top, case when b.source_ref is not null then case when n.top is null then 'add' else 'update' end
+               when t.top is null then 'add' when t.same then 'noop' when t.similarity >= 0.88 and b.denies then 'invalidate'
+               when t.similarity >= 0.97 then 'noop' when t.similarity >= 0.88 then 'update' else 'add' end as decision
+        from step s join said b on b.o = s.o + 1
+        left join lateral (select top, similarity, same from near p where p.o = b.o and (top_o = 0 or list_contains(s.added, top_o)) and not list_contains(s.gone, top)
+                           order by similarity desc, top limit 1) t on true
+        left join lateral (select top from named p where p.o = b.o and (top_o = 0 or list_contains(s.added, top_o)) and not list_contains(s.gone, top)
+                           order by valid_at desc, top desc limit 1) n on true)),
+    decided as (select id, decision, target_id from step where o > 0)"""
+SQL["write_batch_ordered"] = f"{_IN_ORDER} select * from decided"
+SQL["write_batch_state"] = f"""{_IN_ORDER},
+    hits as (select target_id as id, count(*) filter (decision = 'noop') as noops, max(id) filter (decision = 'update') as superseded_by,
+        count(*) filter (decision in ('update', 'invalidate')) as retirements from decided where target_id is not null group by 1)
+    select id, coalesce(retirements, 0) = 0 as live, superseded_by, round(least(1.0::double, importance + 0.02::double * coalesce(noops, 0)), 6) as importance
+    from (select id, importance::double as importance from live union all select id, 0.4 from decided where decision <> 'noop') left join hits using (id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: with_adapters(text) for name, text in SQL.items()}

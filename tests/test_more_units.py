@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions.metadata import merged, value
 from tidemark.operators import entity_documents, graph, knowledge, mappings, memory, retrieval, rollups
 from tidemark.plans import staging
 from tidemark.sources import connectors, etl
@@ -122,11 +123,29 @@ def test_stored_memories_are_pruned_by_namespace(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(namespace" in plan
 
 
-def test_metadata_of_odd_rows_is_merged(spark):
-    df = spark.createDataFrame([(1, '{"a":"1","b":"2"}'), (2, None), (3, "no json"), (4, "{}")], "k int, metadata string")
-    got = {r["k"]: r["m"] for r in df.select("k", memory.merged_metadata(F.col("metadata"), {"a": F.lit("x"), "c": F.lit("y")}).alias("m")).collect()}
-    assert got[1] == '{"b":"2","a":"x","c":"y"}' and got[2] == got[4] == '{"a":"x","c":"y"}'
-    assert json.loads(got[3])["a"] == "x"
+def test_metadata_keeps_its_types_through_a_merge(spark):
+    texts = ['{"a":"1","b":"2"}', None, "no json", "{}", '{"n":5,"tags":["a","b"],"b":true,"o":{"x":null,"d":1.5},"z":null,"big":123456789012345678901234567890,"e":1e3}',
+             '{"k":1,"a":2,"k":[3]}', '{"o":{"k":1,"k":2}}', "[1,2]", "[]", "7", '"s"', "null", " ", '{"a":1} x', "{\'a\':1}", '{"q\\"\u00e9":"\u00fc\\n"}', '{"a":1,"c":{"d":1}}']
+    df = spark.createDataFrame([(i, t, 0.5, i % 2 == 0) for i, t in enumerate(texts)], "k int, metadata string, w double, flag boolean")
+    got = {r["k"]: json.loads(r["metadata"]) for r in merged(df, {"a": F.lit("x"), "c": F.col("w"), "f": F.col("flag"), "none": F.lit(None).cast("string")}).collect()}
+
+    def want(i, text):
+        new = {"a": "x", "c": 0.5, "f": i % 2 == 0, "none": None}
+        try:
+            old = json.loads((text or "").strip() or "{}")
+        except ValueError:
+            old = {"unparsed": text}
+        return {**old, **new} if isinstance(old, dict) else [*(old if isinstance(old, list) else [old]), new]
+
+    assert got == {i: want(i, t) for i, t in enumerate(texts)}
+    order = merged(df.filter("k = 4"), {"tags": F.lit(1)}).first()["metadata"]
+    assert order == '{"n":5,"b":true,"o":{"d":1.5,"x":null},"z":null,"big":123456789012345678901234567890,"e":1000.0,"tags":1}'
+    assert df.filter("k = 4").select(value(F.col("metadata"), "n", "int"), value(F.col("metadata"), "o", "string"), value(F.col("metadata"), "tags", "int")).first()[:] == (5, '{"d":1.5,"x":null}', None)
+
+
+def test_forgetting_without_a_reason_leaves_metadata(spark):
+    m = spark.createDataFrame([("1", None, '{"a":1,"a":2}')], "id string, invalid_at timestamp_ntz, metadata string")
+    assert memory.forgotten(m, m, "", dt.datetime(2024, 1, 1)).first()["metadata"] == '{"a":1,"a":2}'
 
 
 def test_a_failing_mapping_keeps_the_watermark(spark):

@@ -1,7 +1,7 @@
 """The memory plane: filters, dedup, write decisions, telemetry, gaps and access.
 
 A memories table has id, namespace, source_kind, source_ref, content, embedding, importance, valid_at,
-invalid_at, tier, domain_raw, metadata (a JSON object of texts) and owner_agent_id.  State is append-only: what is current, or was at a time, is derived.
+invalid_at, tier, domain_raw, metadata (JSON) and owner_agent_id.  State is append-only: what is current, or was at a time, is derived.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.metadata import merged
 from ..functions.text import domain_type, has_negation, memory_type, network_of, norm_text
 from .vector_index import VectorIndex, build, search
 
@@ -78,17 +79,9 @@ def superseded_by_ref(memories: DataFrame, source_kind: str | None = None) -> Da
     return rows.join(best, ["namespace", "source_ref"]).filter("id <> kept_id").select("id", "namespace", "source_ref", "kept_id", "metadata")
 
 
-def merged_metadata(metadata: Column, new: dict[str, Column]) -> Column:
-    """A JSON object with further entries, at its end; of two values of one key the new one stays."""
-    old = F.coalesce(F.from_json(metadata, "map<string,string>"), F.create_map().cast("map<string,string>"))
-    add = F.create_map(*[x for k, v in new.items() for x in (F.lit(k), v.cast("string"))])
-    return F.to_json(F.map_concat(F.map_filter(old, lambda k, v: ~k.isin(*new)), add))
-
-
 def forget_metadata(memories: DataFrame, reason: str) -> DataFrame:
     """The metadata of rows that dedup retires: their own, with the reason and the row that stays merged in."""
-    merged = merged_metadata(F.col("metadata"), {"forget_reason": F.lit(reason), "superseded_by": F.col("kept_id")})
-    return superseded_by_ref(memories).select("id", merged.alias("metadata"))
+    return merged(superseded_by_ref(memories), {"forget_reason": F.lit(reason), "superseded_by": F.col("kept_id")}).select("id", "metadata")
 
 
 def classified(memories: DataFrame, prefixes: Sequence[str] = ()) -> DataFrame:
@@ -159,9 +152,9 @@ def applied(current: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def forgotten(memories: DataFrame, ids: DataFrame, reason: str, now: dt.datetime) -> DataFrame:
-    """The rows among ``ids`` that are live, as they are after being forgotten."""
-    live_rows = memories.filter("invalid_at is null").join(ids.select("id"), "id", "left_semi")
-    return live_rows.select("id", ntz(now).alias("invalid_at"), merged_metadata(F.col("metadata"), {"forget_reason": F.lit(reason)}).alias("metadata"))
+    """The rows among ``ids`` that are live, as they are after being forgotten; without a reason their metadata stays as it is."""
+    live_rows = memories.filter("invalid_at is null").join(ids.select("id"), "id", "left_semi").select("id", ntz(now).alias("invalid_at"), "metadata")
+    return merged(live_rows, {"forget_reason": F.lit(reason)}) if reason else live_rows
 
 
 def edited(memory: DataFrame, content: Column, now: dt.datetime) -> DataFrame:

@@ -20,6 +20,15 @@ def _in(names) -> str:
     return ", ".join(f"'{n}'" for n in names)
 
 
+def _merged(new: str) -> str:
+    """metadata with the entries of ``new``: of an object the last value of each key in the place of its first, others in a list."""
+    entries = f"""(select string_agg(to_json(key) || ':' || value, ',' order by first) from (select key, arg_max(cast(value as varchar), n) as value, min(n) as first from (
+        select key, value, row_number() over () as n from json_each(try_cast({{0}} as json))) where not list_contains(json_keys({new}), key) group by key))"""
+    add = f"substring(cast({new} as varchar), 2)"
+    return f"""case when metadata is null then cast({new} as varchar) when not json_valid(metadata) then '{{"unparsed":' || to_json(metadata) || ',' || {add}
+        when json_type(metadata) = 'OBJECT' then '{{' || {entries.format("metadata")} || ',' || {add} else substring(metadata, 1, length(metadata) - 1) || ',' || {new} || ']' end"""
+
+
 def _cosine(a: str, b: str) -> str:
     return f"list_cosine_similarity({a}::double[], {b}::double[])"
 
@@ -99,7 +108,7 @@ _SAID = r"""m as (select *, coalesce(nullif(domain_raw, ''), 'item') as type, ca
     linked as (select * from (select id, type, trim(regexp_extract(content, ' in venture ([^:.\n]+)', 1)) as venture, substring(trim(regexp_replace(content, '\s+', ' ', 'g')), 1, 44) as name
       from rest where contains(content, 'in venture ') order by valid_at desc, id limit 200) where venture in (select venture from ventures_said)),
     kinds as (select type, count(*) as n from rest group by 1 order by n desc, type limit 30),
-    few as (select id, type, substring(trim(regexp_replace(coalesce(nullif(json_extract_string(metadata, '$.slug'), ''), content), '\s+', ' ', 'g')), 1, 44) as name from (
+    few as (select id, type, substring(trim(regexp_replace(coalesce(nullif(json_extract_string(try_cast(metadata as json), '$.slug'), ''), content), '\s+', ' ', 'g')), 1, 44) as name from (
       select *, row_number() over (partition by type order by valid_at desc, id) as r from rest) where r <= 20 and type in (select type from kinds))"""
 
 
@@ -262,8 +271,8 @@ SQL: dict[str, str] = {
         and (invalid_at is null or invalid_at > timestamp '2024-01-20')""",
     "dedup_source_ref": f"""select id, namespace, source_ref, kept_id from (select *, first_value(id) over (partition by namespace, source_ref order by valid_at desc, id desc) as kept_id
         from memories where {_LIVE}) where id <> kept_id""",
-    "dedup_forget_metadata": f"""select id, cast(json_merge_patch(cast(metadata as json), json_object('forget_reason', 'duplicate', 'superseded_by', kept_id)) as varchar) as metadata from (
-        select *, first_value(id) over (partition by namespace, source_ref order by valid_at desc, id desc) as kept_id from memories where {_LIVE}) where id <> kept_id""",
+    "dedup_forget_metadata": f"""with m as (select *, first_value(id) over (partition by namespace, source_ref order by valid_at desc, id desc) as kept_id from memories where {_LIVE})
+        select id, {_merged("json_object('forget_reason', 'duplicate', 'superseded_by', kept_id)")} as metadata from m where id <> kept_id""",
     "dedup_source_kind": f"""with rows as (select *, cast(regexp_extract(id, '([0-9]+)$', 1) as bigint) % 4 as k from memories where {_LIVE}),
         own_posts as (select id, namespace, valid_at, concat('ref:', length(content)) as ref, k from rows where k < 3)
         select id, kept_id from (select id, first_value(id) over (partition by namespace, ref order by valid_at desc, id desc) as kept_id from own_posts where k = 2) where id <> kept_id""",
@@ -397,7 +406,7 @@ SQL: dict[str, str] = {
         join entities x on x.id = a join entities y on y.id = b""",
     "derived_mindmap": r"""select namespace, type, total, cast(rank as integer) as rank, label from (
         select namespace, type, label, count(*) over (partition by namespace, type) as total, row_number() over (partition by namespace, type order by id) as rank from (
-          select id, namespace, coalesce(nullif(domain_raw, ''), 'item') as type, substring(trim(regexp_replace(coalesce(nullif(json_extract_string(metadata, '$.slug'), ''), content), '\s+', ' ', 'g')), 1, 48) as label
+          select id, namespace, coalesce(nullif(domain_raw, ''), 'item') as type, substring(trim(regexp_replace(coalesce(nullif(json_extract_string(try_cast(metadata as json), '$.slug'), ''), content), '\s+', ' ', 'g')), 1, 48) as label
           from memories where invalid_at is null)) where rank <= 4""",
     "ontology_counts": "select d.name, count(e.id) as nodes from declared_types d left join entities e on e.entity_type = d.name group by 1",
     "ontology_undeclared": "select entity_type, count(*) as nodes from entities where entity_type not in (select name from declared_types) group by 1",
@@ -573,7 +582,7 @@ SQL: dict[str, str] = {
         select m.id, coalesce(gone, 0) = 0 as live, superseded_by, round(least(1.0::double, importance + 0.02::double * coalesce(noops, 0)), 6) as importance
         from memories m left join hits h on h.id = m.id where {_LIVE} and embedding is not null
         union all select id, true, null, 0.5::double from decided where decision in ('add', 'update')""",
-    "memory_forget": """select id, timestamp '2024-01-15 12:00:00' as invalid_at, cast(json_merge_patch(cast(metadata as json), json_object('forget_reason', 'outdated')) as varchar) as metadata
+    "memory_forget": f"""select id, timestamp '2024-01-15 12:00:00' as invalid_at, {_merged("json_object('forget_reason', 'outdated')")} as metadata
         from memories where invalid_at is null and importance > 0.85::double""",
     "coverage_share": """select count(*) as events, count(cwd) as with_cwd, round(100.0::double * count(cwd) / count(*), 1) as share,
         cast(min(created_at) as date) as first_day, cast(max(created_at) as date) as last_day from claude_activity_events""",

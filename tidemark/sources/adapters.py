@@ -28,8 +28,10 @@ ADAPTERS = {
                case when d.doc_id % 11 = 0 then 'cold' else 'hot' end tier,
                case d.doc_id % 6 when 0 then 'post' when 1 then 'venture' when 2 then 'issue' when 3 then 'doc'
                     when 4 then 'playbook' else '' end domain_raw,
-               concat('{{{{"lang":"', d.lang, '","kind":"', d.source, '"', case when d.doc_id % 5 = 0 then ',"forget_reason":"old"' else '' end,
-                      case when d.doc_id % 9 = 0 then concat(',"slug":"s-', cast(d.doc_id as varchar(20)), '"') else '' end, '}}}}') metadata,
+               case when d.doc_id % 40 = 7 then concat('no "json" ', cast(d.doc_id as varchar(20))) when d.doc_id % 40 = 8 then null when d.doc_id % 40 = 9 then '[1,"a"]' else
+               concat('{{{{"lang":"', d.lang, '","kind":"', d.source, '"', case when d.doc_id % 3 = 0 then concat(',"n":', cast(d.doc_id as varchar(20)), ',"tags":["a","b"],"ok":true') else '' end,
+                      case when d.doc_id % 4 = 0 then ',"o":{{{{"x":null,"y":[1.5,{{{{}}}}]}}}},"none":null' else '' end, case when d.doc_id % 10 = 4 then ',"n":-1,"lang":7' else '' end, case when d.doc_id % 5 = 0 then ',"forget_reason":"old"' else '' end,
+                      case when d.doc_id % 9 = 0 then concat(',"slug":"s-', cast(d.doc_id as varchar(20)), '"') else '' end, '}}}}') end metadata,
                case when d.doc_id % 4 > 0 then concat('a', cast(d.doc_id % 13 as varchar(20))) end owner_agent_id
         from (select *, doc_id % (select count(*) from {{embeddings}}) as vec from {{documents}}) d
         left join {{embeddings}} e on e.vec_id = d.vec""",

@@ -18,8 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import SparkSession  # noqa: E402
 
-from tidemark.operators import retrieval  # noqa: E402
-from tidemark.plans.catalogue import TABLE_QUERIES  # noqa: E402
+from tidemark.plans.catalogue import TABLE_QUERIES, term_index  # noqa: E402
 from tidemark.sources.adapters import Tables  # noqa: E402
 
 HEADLINE = [
@@ -30,6 +29,7 @@ HEADLINE = [
 
 
 LOADED = [
+    "memories",
     "feature_events", "transition_events", "agent_actions", "claude_activity_events", "github_commits", "github_pull_requests", "entities", "entity_edges",
     "events", "pages",
 ]
@@ -51,11 +51,8 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     start, folder = time.perf_counter(), tempfile.mkdtemp(prefix="tidemark-bench-")
-    made = {
-        "memories": lambda t: retrieval.with_term_counts(t.memories).repartition(int(cpus)),
-        "memory_terms": lambda t: retrieval.postings(t.memories).repartition(int(cpus), "term").sortWithinPartitions("term"),
-    }
-    tables, times = Tables(spark, sf_dir).load(folder, LOADED, int(cpus), made), {}
+    tables, times = Tables(spark, sf_dir).load(folder, LOADED, int(cpus)), {}
+    term_index(tables)
     load = time.perf_counter() - start
     for name in HEADLINE:
         best = float("inf")

@@ -17,13 +17,13 @@ from ..functions.text import norm_text, tokens
 from ..functions.vectors import cosine
 from ..plans.staging import staged
 from .memory import filtered, live
+from .term_index import TermIndex, score
 
 RRF_K = 60
 SALIENCE = 0.01
 FALLBACK_SALIENCE = 0.15
 RECALL_POOL, SEARCH_POOL = 40, 60
 RECALL_LIMIT, SEARCH_LIMIT, SEARCH_MAX = 8, 12, 50
-K1, B = 1.2, 0.75
 
 
 def vector_ranking(memories: DataFrame, query: Column, k: int, columns: Sequence[str] = ()) -> DataFrame:
@@ -34,52 +34,31 @@ def vector_ranking(memories: DataFrame, query: Column, k: int, columns: Sequence
     return near.withColumn("rank", F.row_number().over(Window.orderBy("distance", "id")))
 
 
-def with_term_counts(memories: DataFrame) -> DataFrame:
-    """Memories with ``n_terms``, the number of terms of their content."""
-    return memories.withColumn("n_terms", F.size(tokens(F.col("content"))))
-
-
-def postings(memories: DataFrame) -> DataFrame:
-    """The term index: id, term, tf, n_terms.  Stored in the order of its terms, a query reads the row groups of its own."""
-    words = memories.select("id", tokens(F.col("content")).alias("words")).select("id", "words", F.size("words").alias("n_terms"))
-    term = words.select("id", "n_terms", F.explode("words").alias("term"))
-    return term.groupBy("id", "n_terms", "term").agg(F.count(F.lit(1)).alias("tf")).select("id", "term", "tf", "n_terms")
-
-
 def _times(words: str, term: str) -> Column:
     return F.size(F.filter(words, lambda w: w == term))
 
 
-def bm25_scores(memories: DataFrame, terms: Sequence[str], index: DataFrame | None = None, columns: Sequence[str] = ()) -> DataFrame:
+def bm25_scores(memories: DataFrame, terms: Sequence[str], columns: Sequence[str] = ()) -> DataFrame:
     """Okapi BM25 of rows that hold one of the terms: id, score, and further columns.
 
-    Only the query's terms are counted: read from ``index`` (see ``postings``), or, without one, in one pass over the texts
-    that leaves a few numbers a row.  The corpus figures (rows, mean length, document frequencies) are those of ``memories``;
-    with ``n_terms`` in it, no text is read for them.
+    Only the query's terms are counted, in one pass over the texts that leaves a few numbers a row.  The corpus figures (rows, mean length, document
+    frequencies) are those of ``memories``.  ``term_index`` does without the pass, for live rows of whole namespaces.
     """
     terms = sorted({t.lower() for t in terms})
-    if "n_terms" not in memories.columns:
-        memories = with_term_counts(memories)
-    if index is None:
-        words = memories.select("id", "n_terms", *columns, tokens(F.col("content")).alias("words"))
-        counted = words.select("id", "n_terms", *columns, *[_times("words", t).alias(f"tf{i}") for i, t in enumerate(terms)])
-    else:
-        own = index.filter(F.col("term").isin(*terms)).groupBy("id", "n_terms").agg(*[F.sum(F.when(F.col("term") == t, F.col("tf")).otherwise(0)).alias(f"tf{i}") for i, t in enumerate(terms)])
-        counted = own.join(memories.select("id", *columns), "id")
+    words = memories.select("id", *columns, tokens(F.col("content")).alias("words")).withColumn("n_terms", F.size("words"))
+    counted = words.select("id", "n_terms", *columns, *[_times("words", t).alias(f"tf{i}") for i, t in enumerate(terms)])
     some = counted.filter(" or ".join(f"tf{i} > 0" for i in range(len(terms))))
-    corpus = memories.agg(F.count(F.lit(1)).alias("rows"), F.avg("n_terms").alias("mean_length"))
+    corpus = counted.agg(F.count(F.lit(1)).alias("rows"), F.avg("n_terms").alias("mean_length"))
     found = some.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     at = some.join(F.broadcast(corpus)).join(F.broadcast(found))  # one row each
-    score = F.lit(0.0)
+    total = F.lit(0.0)
     for i in range(len(terms)):
-        tf, df = F.col(f"tf{i}").cast("double"), F.col(f"df{i}")
-        idf = F.log(1 + (F.col("rows") - df + 0.5) / (df + 0.5))
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n_terms") / F.col("mean_length")))
-    return at.select("id", F.round(score, 6).alias("score"), *columns)
+        total = total + score(F.col(f"tf{i}").cast("double"), F.col(f"df{i}"), F.col("n_terms"), F.col("rows"), F.col("mean_length"))
+    return at.select("id", F.round(total, 6).alias("score"), *columns)
 
 
-def bm25_ranking(memories: DataFrame, terms: Sequence[str], k: int, index: DataFrame | None = None, columns: Sequence[str] = ()) -> DataFrame:
-    best = bm25_scores(memories, terms, index, columns).orderBy(F.desc("score"), "id").limit(k)
+def bm25_ranking(memories: DataFrame, terms: Sequence[str], k: int, columns: Sequence[str] = ()) -> DataFrame:
+    best = bm25_scores(memories, terms, columns).orderBy(F.desc("score"), "id").limit(k)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
 
 
@@ -92,13 +71,21 @@ def fused(
     limit: int = RECALL_LIMIT,
     min_importance: float | None = None,
     columns: Sequence[str] = ("namespace",),
-    index: DataFrame | None = None,
+    index: TermIndex | None = None,
+    namespaces: Sequence[str] = (),
 ) -> DataFrame:
-    """Reciprocal rank fusion of both rankings, plus a little importance; the floor applies after fusion."""
-    # Both rankings carry what the result shows, so the memories are not read again for their few rows.
+    """Reciprocal rank fusion of both rankings, plus a little importance; the floor applies after fusion.
+
+    ``index``, where given, is kept to the live rows that ``memories`` are: those of ``namespaces``, or all.
+    """
+    # The rankings carry what the result shows; an index's few best rows get it from the memories' narrow columns.
     carried = list(dict.fromkeys([*columns, "importance", "valid_at"]))
     v = vector_ranking(memories, query, pool, carried).select("id", *carried, F.col("rank").alias("rv"), F.lit(None).cast("int").alias("rt"))
-    t = bm25_ranking(memories, terms, pool, index, carried).select("id", *carried, F.lit(None).cast("int").alias("rv"), F.col("rank").alias("rt"))
+    if index is None:
+        t = bm25_ranking(memories, terms, pool, carried)
+    else:
+        t = memories.select("id", *carried).join(F.broadcast(index.ranking(terms, pool, namespaces)), "id")
+    t = t.select("id", *carried, F.lit(None).cast("int").alias("rv"), F.col("rank").alias("rt"))
     ranked = v.unionByName(t).groupBy("id").agg(*[F.first(c).alias(c) for c in carried], F.max("rv").alias("rv"), F.max("rt").alias("rt"))
     score = (
         F.coalesce(1.0 / (RRF_K + F.col("rv")), F.lit(0.0))
@@ -123,9 +110,11 @@ def search_limit(limit: int | None) -> int:
     return SEARCH_LIMIT if not limit or limit > SEARCH_MAX else limit
 
 
-def search(memories: DataFrame, query: Column, terms: Sequence[str], limit: int | None = None, index: DataFrame | None = None) -> DataFrame:
+def search(
+    memories: DataFrame, query: Column, terms: Sequence[str], limit: int | None = None, index: TermIndex | None = None, namespaces: Sequence[str] = ()
+) -> DataFrame:
     """Fusion over all the namespaces given, without a floor."""
-    return fused(memories, query, terms, pool=SEARCH_POOL, limit=search_limit(limit), index=index)
+    return fused(memories, query, terms, pool=SEARCH_POOL, limit=search_limit(limit), index=index, namespaces=namespaces)
 
 
 def by_time(recalled: DataFrame, oldest: bool = False) -> DataFrame:
@@ -188,7 +177,6 @@ def recall(
     expand: bool = False,
     order_by: str = "",
     rerank: Callable[[DataFrame], Column] | None = None,
-    index: DataFrame | None = None,
 ) -> DataFrame:
     """Recall, whole: place, id, score, valid_at, importance, via_entity.
 
@@ -199,7 +187,7 @@ def recall(
     """
     limit = limit if limit and limit > 0 else RECALL_LIMIT
     rows = filtered(live(memories, namespaces, as_of=as_of), types=types, exclude_kinds=exclude_kinds, since=since, until=until)
-    pool = fused(rows, query, terms, limit=RECALL_POOL, min_importance=min_importance, columns=("content",) if rerank else (), index=index)
+    pool = fused(rows, query, terms, limit=RECALL_POOL, min_importance=min_importance, columns=("content",) if rerank else ())
     best = reranked(pool, rerank, limit) if rerank else pool.orderBy(F.desc("score"), "id").limit(limit)
     # A few rows, read by what follows three times.
     rank = F.row_number().over(Window.orderBy(F.desc("score"), "id"))

@@ -23,10 +23,12 @@ from ..operators import ordered_writes as ow
 from ..operators import retrieval as re_
 from ..operators import rollup_documents as rd
 from ..operators import rollups as ro
+from ..operators import term_index as ti
 from ..sources import connectors as co
 from ..sources import etl
 from ..sources.adapters import Tables
 from ..streaming import refresh
+from .staging import kept
 
 NOW = dt.datetime(2024, 1, 15, 12)
 AS_OF = dt.datetime(2024, 1, 20)
@@ -74,9 +76,27 @@ def _spine_window(t: Tables) -> DataFrame:
     )
 
 
-def _index(t: Tables) -> DataFrame | None:
-    """The stored term index, where one is loaded."""
-    return t.memory_terms if "memory_terms" in t.loaded else None
+_INDEXES: dict[tuple[str, ...], ti.TermIndex] = {}
+
+
+def term_index(t: Tables) -> ti.TermIndex:
+    """The stored term index of the live memories, made when it is first asked for and kept for the application."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir, *sorted(t.loaded.values()))
+    if key not in _INDEXES or not kept(t.spark, _INDEXES[key].path):
+        _INDEXES[key] = ti.stored(me.live(t.memories))
+    return _INDEXES[key]
+
+
+_SEARCHED = ("en", "de", "es")
+
+
+def _index_after_writes(t: Tables) -> ti.TermIndex:
+    """An index that has seen rows come in two batches, others go, and texts change."""
+    m, k = me.live(t.memories), F.regexp_extract("id", "([0-9]+)$", 1).cast("long") % 3
+    wrong = m.filter(k == 2).withColumn("content", F.concat("content", F.lit(" thing trash")))
+    index = ti.stored(m.filter(k == 0).unionByName(wrong))
+    gone = t.memories.filter("tier = 'hot' and invalid_at is not null")
+    return index.add("second", m.filter(k == 1).unionByName(gone)).add("third", m.filter(k == 2), wrong.unionByName(gone)).compacted()
 
 
 def _expand(t: Tables) -> DataFrame:
@@ -372,16 +392,16 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     # Retrieval
     "ann_topk": _ann,
     "nearest_neighbor_pairs": _neighbor_pairs,
-    "bm25_topk": lambda t: re_.bm25_ranking(me.live(t.memories), TERMS, 40, _index(t)),
-    "bm25_indexed": lambda t: re_.bm25_ranking(me.live(t.memories), TERMS, 40, re_.postings(t.memories)),
-    "recall_hybrid_rrf": lambda t: re_.fused(me.live(t.memories), _query_vector(t), TERMS, index=_index(t)).select("id", "score"),
+    "bm25_topk": lambda t: term_index(t).ranking(TERMS, 40),
+    "bm25_indexed": lambda t: _index_after_writes(t).ranking(TERMS, 40),
+    "recall_hybrid_rrf": lambda t: re_.fused(me.live(t.memories), _query_vector(t), TERMS, index=term_index(t)).select("id", "score"),
     "recall_full": lambda t: _recall(t, namespaces=["en"], expand=True, order_by="recent"),
     "recall_full_window": lambda t: _recall(
         t, namespaces=["en", "de"], types=["post", "doc", "item"], exclude_kinds=["src1"], since=dt.datetime(2024, 1, 3), until=dt.datetime(2024, 1, 20), min_importance=0.2, limit=6, expand=True
     ),
     "recall_full_as_of": lambda t: _recall(t, as_of=AS_OF, order_by="oldest", limit=10, expand=True),
     "recall_vector_fallback": lambda t: re_.vector_fallback(me.live(t.memories), _query_vector(t)),
-    "search_cross_brain": lambda t: re_.search(me.live(t.memories, ["en", "de", "es"]), _query_vector(t), TERMS, index=_index(t)).select("id", "namespace", "score"),
+    "search_cross_brain": lambda t: re_.search(me.live(t.memories, _SEARCHED), _query_vector(t), TERMS, index=term_index(t), namespaces=_SEARCHED).select("id", "namespace", "score"),
     "recall_min_importance": lambda t: re_.fused(me.live(t.memories), _query_vector(t), TERMS, limit=40, min_importance=0.5).select("id", "importance", "score"),
     "recall_order_recent": lambda t: re_.by_time(re_.fused(me.live(t.memories), _query_vector(t), TERMS)).select("id", "valid_at"),
     "recall_rerank": _hashed_rerank,

@@ -86,7 +86,8 @@ def fused(
     else:
         t = memories.select("id", *carried).join(F.broadcast(index.ranking(terms, pool, namespaces)), "id")
     t = t.select("id", *carried, F.lit(None).cast("int").alias("rv"), F.col("rank").alias("rt"))
-    ranked = v.unionByName(t).groupBy("id").agg(*[F.first(c).alias(c) for c in carried], F.max("rv").alias("rv"), F.max("rt").alias("rt"))
+    # Twice the pool at most: one task, and no shuffle.
+    ranked = v.unionByName(t).coalesce(1).groupBy("id").agg(*[F.first(c).alias(c) for c in carried], F.max("rv").alias("rv"), F.max("rt").alias("rt"))
     score = (
         F.coalesce(1.0 / (RRF_K + F.col("rv")), F.lit(0.0))
         + F.coalesce(1.0 / (RRF_K + F.col("rt")), F.lit(0.0))

@@ -13,6 +13,7 @@ A null text counts as a row, but not for the mean length.  A row that is retired
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..plans.staging import fresh_dir, staged
 
-BUCKETS, SALTS = 16, 4
+BUCKETS = 64
+POSTINGS = "namespace string, id string, sign int, n_terms int, term string, tf long"
 K1, B = 1.2, 0.75
 
 
@@ -56,52 +58,69 @@ class TermIndex:
         words = staged(words, "index-words")
         each = words.select("namespace", "id", "sign", F.size("words").alias("n_terms"), F.explode("words").alias("term"))
         counts = each.groupBy("namespace", "id", "sign", "n_terms", "term").agg(F.count(F.lit(1)).alias("tf")).withColumn("bucket", _bucket(F.col("term"), self.buckets))
-        # A frequent term is several files of its bucket.
-        dealt = counts.repartition(self.buckets * SALTS, "bucket", F.pmod(F.xxhash64("id"), F.lit(SALTS))).sortWithinPartitions("bucket", "term")
-        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/batch={batch}")
+        self._dealt(counts).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/batch={batch}")
         has = F.when(F.col("words").isNotNull(), F.col("sign")).otherwise(0)
         change = words.groupBy("namespace").agg(F.sum("sign").alias("rows"), F.sum(has).alias("texts"), F.sum(F.when(has != 0, has * F.size("words")).otherwise(0)).alias("terms"))
         change.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/figures/batch={batch}")
         return self
 
+    def _dealt(self, postings: DataFrame) -> DataFrame:
+        """A file a bucket of small batches; ranges of (bucket, term, id), so a frequent term of a large one is several files."""
+        width = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return postings.repartitionByRange(width, "bucket", "term", "id").sortWithinPartitions("bucket", "term")
+
     def figures(self, namespaces: Sequence[str] = ()) -> DataFrame:
         """batch, namespace, rows, texts (rows that have one), terms."""
         out = self.spark.read.schema("namespace string, rows long, texts long, terms long, batch string").parquet(f"{self.path}/figures")
         return out.filter(F.col("namespace").isin(*namespaces)) if namespaces else out
 
+    def _path(self, text: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(text)
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def batches(self) -> list[str]:
+        """The batches whose figures are written; a listing of a folder with one entry a batch."""
+        at, files = self._path(f"{self.path}/figures")
+        names = [s.getPath().getName() for s in files.listStatus(at)]
+        return sorted(n.removeprefix("batch=") for n in names if files.exists(self._path(f"{self.path}/figures/{n}/_SUCCESS")[0]))
+
     def postings(self, terms: Sequence[str], namespaces: Sequence[str] = ()) -> DataFrame:
-        """namespace, id, term, tf, n_terms, sign of these terms, in batches that are whole."""
-        buckets = [r[0] for r in self.spark.range(1).select(F.explode(F.array_distinct(F.array(*[_bucket(F.lit(t), self.buckets) for t in terms])))).collect()]
-        out = self.spark.read.schema("namespace string, id string, sign int, n_terms int, term string, tf long, batch string, bucket int").parquet(f"{self.path}/postings")
-        whole = [r["batch"] for r in self.figures().select("batch").distinct().collect()]
-        out = out.filter(F.col("bucket").isin(*buckets) & F.col("term").isin(*terms) & F.col("batch").isin(*whole))
+        """namespace, id, term, tf, n_terms, sign of these terms, in batches that are whole: only their buckets' folders are listed."""
+        buckets = sorted({zlib.crc32(t.encode()) % self.buckets for t in terms})
+        folders = [self._path(f"{self.path}/postings/batch={b}/bucket={k}") for b in self.batches() for k in buckets]
+        there = [at.toString() for at, files in folders if files.exists(at)]
+        if not there:
+            return self.spark.createDataFrame([], POSTINGS)
+        out = self.spark.read.schema(POSTINGS).parquet(*there).filter(F.col("term").isin(*terms))
         return out.filter(F.col("namespace").isin(*namespaces)) if namespaces else out
 
     def ranking(self, terms: Sequence[str], k: int, namespaces: Sequence[str] = ()) -> DataFrame:
         """The k best rows of the namespaces (or all): id, score, rank; equal scores by id."""
         terms = sorted({t.lower() for t in terms})
-        tf = [F.sum(F.when(F.col("term") == t, F.col("tf") * F.col("sign")).otherwise(0)).alias(f"tf{i}") for i, t in enumerate(terms)]
-        size = [F.sum(F.when(F.col("term") == t, F.col("n_terms") * F.col("sign")).otherwise(0)).alias(f"n{i}") for i, t in enumerate(terms)]
-        rows = self.postings(terms, namespaces).groupBy("namespace", "id").agg(*tf, *size).filter(" or ".join(f"tf{i} > 0" for i in range(len(terms))))
-        n_terms = F.greatest(*[F.col(f"n{i}") for i in range(len(terms))], F.lit(0))
-        found = rows.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
-        corpus = self.figures(namespaces).agg(F.sum("rows").alias("rows"), F.try_divide(F.sum("terms"), F.sum("texts")).alias("mean_length"))
-        at = rows.join(F.broadcast(corpus)).join(F.broadcast(found))  # one row each
-        total = F.lit(0.0)
-        for i in range(len(terms)):
-            total = total + F.when(F.col(f"tf{i}") > 0, score(F.col(f"tf{i}").cast("double"), F.col(f"df{i}"), n_terms, F.col("rows"), F.col("mean_length"))).otherwise(0.0)
-        best = at.select("id", F.round(total, 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+        at = range(len(terms))
+        hits = self.postings(terms, namespaces)
+        some = hits.withColumn("at", F.array_position(F.lit(terms), F.col("term")) - 1)
+        # Written as SQL: a column call per number would take longer to build than the query takes to run.
+        sums = [F.expr(f"sum(if(at = {i}, {x} * sign, 0)) as {n}{i}") for i in at for x, n in (("tf", "tf"), ("n_terms", "n"))]
+        rows = some.groupBy("namespace", "id").agg(*sums).filter(" or ".join(f"tf{i} > 0" for i in at))
+        # A row and term that is live adds up to one.
+        found = some.agg(*[F.expr(f"sum(if(at = {i}, sign, 0)) as df{i}") for i in at])
+        corpus = self.figures(namespaces).agg(F.expr("sum(rows) as rows"), F.expr("try_divide(sum(terms), sum(texts)) as mean_length"))
+        length = f"greatest(0, {', '.join(f'n{i}' for i in at)})"
+        part = "if(tf{i} > 0, ln(1 + (rows - df{i} + 0.5D) / (df{i} + 0.5D)) * tf{i} * {k1}D / (tf{i} + {k}D * (1 - {b}D + {b}D * {length} / mean_length)), 0D)"
+        total = " + ".join(part.format(i=i, k1=K1 + 1, k=K1, b=B, length=length) for i in at)
+        one = corpus.join(F.broadcast(found))  # one row each
+        best = rows.join(F.broadcast(one)).select("id", F.expr(f"round({total}, 6) as score")).orderBy(F.desc("score"), "id").limit(k)
+        # k rows
         return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
 
     def compacted(self, path: str | None = None) -> TermIndex:
         """The same index as one batch, in another folder; rows that cancelled out are gone."""
         path = path or fresh_dir(self.spark, "term-index")
-        whole = [r["batch"] for r in self.figures().select("batch").distinct().collect()]
-        rows = self.spark.read.parquet(f"{self.path}/postings").filter(F.col("batch").isin(*whole))
+        rows = self.spark.read.parquet(f"{self.path}/postings").filter(F.col("batch").isin(*self.batches()))
         # One row of a row and term is left, that of its last text.
         live = rows.groupBy("namespace", "id", "term", "bucket").agg(F.sum(F.col("tf") * F.col("sign")).alias("tf"), F.sum(F.col("n_terms") * F.col("sign")).cast("int").alias("n_terms")).filter("tf > 0")
-        dealt = live.withColumn("sign", F.lit(1)).repartition(self.buckets * SALTS, "bucket", F.pmod(F.xxhash64("id"), F.lit(SALTS))).sortWithinPartitions("bucket", "term")
-        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch=folded")
+        self._dealt(live.withColumn("sign", F.lit(1))).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch=folded")
         figures = self.figures().groupBy("namespace").agg(*[F.sum(c).alias(c) for c in ("rows", "texts", "terms")])
         figures.coalesce(1).write.mode("overwrite").parquet(f"{path}/figures/batch=folded")
         return TermIndex(self.spark, path, self.buckets)

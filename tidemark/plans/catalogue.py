@@ -23,12 +23,13 @@ from ..operators import ordered_writes as ow
 from ..operators import retrieval as re_
 from ..operators import rollup_documents as rd
 from ..operators import rollups as ro
+from ..operators import states as st
 from ..operators import term_index as ti
 from ..sources import connectors as co
 from ..sources import etl
 from ..sources.adapters import Tables
 from ..streaming import refresh
-from .staging import kept
+from .staging import fresh_dir, kept
 
 NOW = dt.datetime(2024, 1, 15, 12)
 AS_OF = dt.datetime(2024, 1, 20)
@@ -99,6 +100,22 @@ def _index_after_writes(t: Tables) -> ti.TermIndex:
     return index.add("second", m.filter(k == 1).unionByName(gone)).add("third", m.filter(k == 2), wrong.unionByName(gone)).compacted()
 
 
+def _user_states(t: Tables) -> DataFrame:
+    """Stored states that have seen a load and then late rows."""
+    path, tables = fresh_dir(t.spark, "user-states"), [t.feature_events, t.transition_events]
+    first = [x.filter("coalesce(user_id, 0) % 7 <> 3") for x in tables]
+    st.refresh(path, first, first, st.user_states)
+    st.refresh(path, [x.filter("user_id % 7 = 3") for x in tables], tables, st.user_states)
+    return st.read(t.spark, path, st.USERS)
+
+
+def _pr_medians(t: Tables) -> DataFrame:
+    path = fresh_dir(t.spark, "wait-states")
+    st.refresh(path, [t.github_pull_requests], [t.github_pull_requests], st.wait_states)
+    by = st.weekly_medians(st.read(t.spark, path, st.WAITS))
+    return by.groupBy("week", "repo_full_name").agg(*[F.max(F.when(F.col("kind") == k, F.col("median_minutes"))).alias(f"median_{k}_minutes") for k in ("review", "merge")])
+
+
 def _expand(t: Tables) -> DataFrame:
     live = me.live(t.memories)
     seeds = re_.fused(live, _query_vector(t), TERMS)
@@ -485,6 +502,10 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "search_scoped": _scoped,
     "write_decision_by_ref": _by_ref,
     "write_applied": _applied,
+    "states_dau": lambda t: st.daily_users(_user_states(t)),
+    "states_wau": lambda t: st.weekly_users(_user_states(t)),
+    "states_dau_14d": lambda t: st.last_days(_user_states(t), 14),
+    "states_pr_medians": _pr_medians,
     "write_batch_ordered": _ordered,
     "write_batch_state": _ordered_state,
     "memory_forget": lambda t: me.forgotten(t.memories, t.memories.filter("importance > 0.85").select("id"), "outdated", NOW),

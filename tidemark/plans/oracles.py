@@ -944,5 +944,10 @@ SQL["write_batch_state"] = f"""{_IN_ORDER},
     from (select id, importance::double as importance from live union all select id, 0.4 from decided where decision <> 'noop') left join hits using (id)"""
 
 
+SQL |= {f"states_{new}": SQL[old] for new, old in (("dau", "v_dau"), ("wau", "v_wau"), ("dau_14d", "dau_last_14d"))}
+SQL["states_pr_medians"] = f"""select week, repo_full_name, median_review_minutes, median_merge_minutes from ({SQL["v_pr_throughput_weekly"]})
+    where median_review_minutes is not null or median_merge_minutes is not null"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: with_adapters(text) for name, text in SQL.items()}

@@ -148,7 +148,8 @@ def chunked(docs: DataFrame, ref: str, text: str, cut: Callable[[str | None], li
             for r, t in zip(pdf["ref"], pdf["text"], strict=True):
                 parts = cut(t)
                 rows += [(f"{r}#{i}" if len(parts) > 1 else r, i, len(parts), p) for i, p in enumerate(parts)]
-            yield pd.DataFrame(rows, columns=["ref", "chunk", "n_chunks", "content"])
+            if rows:  # Arrow can't send an empty column of texts
+                yield pd.DataFrame(rows, columns=["ref", "chunk", "n_chunks", "content"])
 
     rows = docs.select(F.col(ref).cast("string").alias("ref"), F.col(text).cast("string").alias("text"))
     return rows.mapInPandas(run, "ref string, chunk int, n_chunks int, content string")

@@ -150,19 +150,37 @@ def communities(labels: DataFrame, entities: DataFrame) -> DataFrame:
     return by.filter("size > 1").select("label", "size", F.concat(F.lit("cluster: "), F.col("lead.name")).alias("name"))
 
 
+def root_of(entities: DataFrame, text: str) -> DataFrame:
+    """The one node that a text names: by its name, else its id, else its name in another case, there the shortest; then the smallest id."""
+    hit = (F.col("name") == text) | (F.lower("name") == text.lower()) | (F.col("id") == text)
+    by = [F.coalesce(F.col("name") == text, F.lit(False)).desc(), (F.col("id") == text).desc(), F.length("name"), "id"]
+    return entities.filter(hit).orderBy(*by).limit(1).select("id")
+
+
+def root_candidates(entities: DataFrame, text: str, k: int = 10) -> DataFrame:
+    """What a text that names no node may have meant: names that contain it, case aside, portfolios and ventures and short ones first."""
+    return (
+        entities.filter(F.contains(F.lower("name"), F.lit(text.lower())))
+        .orderBy(F.coalesce(F.col("entity_type").isin("portfolio", "venture"), F.lit(False)).desc(), F.length("name"), "name")
+        .limit(k).select("name", "entity_type")
+    )
+
+
 def spine(
     edges: DataFrame,
     entities: DataFrame,
     name: str,
     *,
+    roles: Sequence[str] = (),
     depth: int = 2,
     per_group: int = 10,
     window: tuple[dt.datetime, dt.datetime] | None = None,
     hubs: Sequence[str] = HUBS,
     time_types: Sequence[str] = TIME_ROLES,
 ) -> DataFrame:
-    """What surrounds a node, by role: true totals and the first items of each role.
+    """What surrounds a node (see ``root_of``), by role: true totals and the first items of each role.
 
+    ``roles``, where given, are the only ones that are shown; one without any node is a row with a total of 0 and no item.
     Past the first step only hub types are walked on.  A time window applies to the edge that reaches a
     node of a time role, before the best arrival is chosen.
 
@@ -174,7 +192,7 @@ def spine(
     walk = steps(edges.filter("valid_to is null"), "both").select(F.col("x").alias("id"), "y", "relation", F.col("valid_from").alias("at"))
     typed = entities.select("id", F.col("entity_type").alias("type"))
     remembered = [t for t in hubs if window is not None and t in time_types]
-    root = entities.filter(F.lower("name") == name.lower()).select("id")
+    root = root_of(entities, name)
     frontier = root.select(F.col("id").alias("root"), "id", F.slice(F.array("id"), 1, 0).alias("been"))
     arrivals = None
     for d in range(1, depth + 1):
@@ -201,7 +219,11 @@ def spine(
     # The bound on the rank lets Spark drop all but a role's first rows before it shuffles.
     rank = F.row_number().over(Window.partitionBy("role").orderBy("depth", "name"))
     shown = best.join(entities.select("id", "name"), "id").withColumn("rank", rank).filter(F.col("rank") <= per_group)
-    return shown.join(totals, "role").select("role", "total", "rank", "name", "depth", "relation")
+    if not roles:
+        return shown.join(totals, "role").select("role", "total", "rank", "name", "depth", "relation")
+    asked = edges.sparkSession.createDataFrame([(r,) for r in dict.fromkeys(roles)], "role string")
+    counted = asked.join(totals, "role", "left").select("role", F.coalesce("total", F.lit(0)).cast("long").alias("total"))
+    return counted.join(shown, "role", "left").select("role", "total", "rank", "name", "depth", "relation")
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -224,6 +224,23 @@ def memories_of_entity(memories: DataFrame, memory_entities: DataFrame, entities
     )
 
 
+def entity_lookup(
+    memories: DataFrame, memory_entities: DataFrame, entities: DataFrame, text: str, query: Column, terms: Sequence[str], *, namespaces: Sequence[str] = (), limit: int = 8
+) -> DataFrame:
+    """Live memories that mention an entity of that name (via the first such name), else a recall of the text: id, importance, valid_at, via.
+
+    ``query`` and ``terms`` are the text's own, for the recall.
+    """
+    limit = 8 if limit < 1 else min(limit, 20)
+    found = entities.filter(F.contains(F.lower("name"), F.lit(text.lower()))).select(F.col("id").alias("entity_id"), "name")
+    via = memory_entities.join(found, "entity_id").groupBy(F.col("memory_id").alias("id")).agg(F.min("name").alias("via"))
+    hits = live(memories, namespaces).join(via, "id").select("id", "importance", "valid_at", "via").orderBy(F.desc("importance"), "id").limit(limit)
+    if not hits.isEmpty():
+        return hits
+    recalled = recall(memories, memory_entities, entities, query, terms, namespaces=namespaces, limit=limit, expand=True)
+    return recalled.select("id", "importance", "valid_at", F.col("via_entity").alias("via"))
+
+
 def cache_key(namespace: str, query: str, limit: int, epoch: int) -> Column:
     """Equal for queries that differ in case and outer white space alone; changes with the epoch."""
     return F.sha1(F.concat_ws("|", F.lit(namespace), F.lower(F.trim(F.lit(query))), F.lit(str(limit)), F.lit(str(epoch))).cast("binary"))

@@ -6,7 +6,7 @@ import datetime as dt
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -109,6 +109,20 @@ def _user_states(t: Tables) -> DataFrame:
     return st.read(t.spark, path, st.USERS)
 
 
+def _ingested(t: Tables) -> DataFrame:
+    """The ledger after two runs, the second of them run again; some pages have no content, some no ref, some metadata that is no JSON."""
+    k, path = F.col("page_id") % 10, fresh_dir(t.spark, "ingest")
+    docs = t.pages.select(
+        F.when(k != 1, F.concat(F.lit("page:"), F.col("page_id").cast("string"))).alias("ref"), F.col("url").alias("title"), F.when(k == 2, F.lit("  ")).otherwise(F.col("html")).alias("content"),
+        F.lit(NOW).cast("timestamp_ntz").alias("event_time"), F.when(k == 3, "{no").otherwise('{"type":"page"}').alias("metadata"), "page_id",
+    )
+    first, second = docs.filter("page_id % 2 = 0").drop("page_id"), docs.filter("page_id % 2 = 1").drop("page_id")
+    for run, rows in (("r1", first), ("r2", second), ("r2", second)):
+        co.ingest(rows, path, run, now=NOW, cut=lambda text: [text])
+    ledger = co.ledger(t.spark, path)
+    return ledger.select("run", "status", "documents", "ingested", "failed", F.sum("ingested").over(Window.orderBy("run")).alias("doc_count"))
+
+
 def _pr_medians(t: Tables) -> DataFrame:
     path = fresh_dir(t.spark, "wait-states")
     st.refresh(path, [t.github_pull_requests], [t.github_pull_requests], st.wait_states)
@@ -423,6 +437,8 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "recall_order_recent": lambda t: re_.by_time(re_.fused(me.live(t.memories), _query_vector(t), TERMS)).select("id", "valid_at"),
     "recall_rerank": _hashed_rerank,
     "expand_entities": _expand,
+    "entity_lookup": lambda t: re_.entity_lookup(t.memories, t.memory_entities, t.entities, "nation_1", _query_vector(t), TERMS, namespaces=["en"], limit=20),
+    "entity_lookup_fallback": lambda t: re_.entity_lookup(t.memories, t.memory_entities, t.entities, "nowhere", _query_vector(t), TERMS, namespaces=["en"]),
     "entity_memories": lambda t: re_.memories_of_entity(me.live(t.memories), t.memory_entities, t.entities, "nation_1"),
     # Graph
     "graph_neighbors": lambda t: gr.neighbors(t.entity_edges, t.entities, "NATION_3"),
@@ -433,6 +449,9 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "graph_traverse_as_of": lambda t: gr.traverse(t.entity_edges, t.entities, "NATION_3", as_of=AS_OF, relations=["MEMBER_OF", "BELONGS_TO"]),
     "graph_shortest_path": lambda t: gr.shortest_path(t.entity_edges, t.entities, "Customer#000000007", "Customer#000000002"),
     "graph_spine": lambda t: gr.spine(t.entity_edges, t.entities, "nation_7"),
+    "graph_spine_by_id": lambda t: gr.spine(t.entity_edges, t.entities, "n7"),
+    "graph_spine_asked_roles": lambda t: gr.spine(t.entity_edges, t.entities, "NATION_7", roles=("venture", "nobody", "repo"), per_group=3),
+    "graph_spine_candidates": lambda t: gr.root_candidates(t.entities, "nation_2"),
     "graph_spine_window": _spine_window,
     "graph_communities": lambda t: gr.label_propagation(t.entity_edges, t.entities),
     "community_leads": lambda t: gr.communities(gr.label_propagation(t.entity_edges, t.entities), t.entities),
@@ -502,6 +521,7 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "search_scoped": _scoped,
     "write_decision_by_ref": _by_ref,
     "write_applied": _applied,
+    "ingest_best_effort": _ingested,
     "states_dau": lambda t: st.daily_users(_user_states(t)),
     "states_wau": lambda t: st.weekly_users(_user_states(t)),
     "states_dau_14d": lambda t: st.last_days(_user_states(t), 14),
@@ -537,6 +557,7 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "etl_watermark": lambda t: etl.watermark(t.events, "events", "ts", NOW, "full"),
     # Streaming
     "stream_monthly": lambda t: refresh.monthly_events(t.spark, f"{t.sf_dir}/events*.parquet"),
+    "stream_tumbling_weekly": lambda t: refresh.weekly_events(t.spark, f"{t.sf_dir}/events*.parquet"),
     "stream_tumbling_daily": lambda t: refresh.daily_events(t.spark, f"{t.sf_dir}/events*.parquet"),
 }
 

@@ -170,10 +170,15 @@ _COST = "round((sum(input_tokens) * 3.0 + sum(output_tokens) * 15.0 + sum(cache_
 _MINUTES = "date_diff('minute', {}, {})"
 
 
-def _spine(where: str, hubs: str, per_group: int) -> str:
+def _root(text: str) -> str:
+    return f"""(select id from entities where name = '{text}' or lower(name) = lower('{text}') or id = '{text}'
+        order by coalesce(name = '{text}', false) desc, id = '{text}' desc, length(name), id limit 1)"""
+
+
+def _spine(where: str, hubs: str, per_group: int, text: str = "nation_7") -> str:
     return f"""with recursive {_STEPS.format(w=_OPEN)},
     walk(id, path, depth, relation, since) as (
-      select id, [id], 0, cast(null as varchar), cast(null as timestamp) from entities where lower(name) = 'nation_7'
+      select id, [id], 0, cast(null as varchar), cast(null as timestamp) from {_root(text)}
       union all
       select y, list_append(path, y), depth + 1, s.relation, s.valid_from from walk w join steps s on s.x = w.id
       join entities e on e.id = w.id
@@ -353,6 +358,9 @@ SQL: dict[str, str] = {
           where me.memory_id not in (select id from fused) group by 1)
         select m.id, via_entity, round(0.05 + 0.15 * m.importance, 6) as score from memories m join via on via.id = m.id where {_LIVE}
         order by score desc, m.id limit 4""",
+    "entity_lookup": f"""select m.id, importance, valid_at, via from memories m join (select memory_id, min(name) as via from memory_entities join entities e on e.id = entity_id
+        where contains(lower(name), 'nation_1') group by 1) v on v.memory_id = m.id where {_LIVE} and namespace = 'en' order by importance desc, m.id limit 20""",
+    "entity_lookup_fallback": f"select id, importance, valid_at, via_entity as via from ({_recall("namespace = 'en'", "namespace = 'en'")})",
     "entity_memories": f"""select id, namespace, importance from memories where {_LIVE} and id in (
         select memory_id from memory_entities where entity_id in (select id from entities where contains(lower(name), 'nation_1')))
         order by importance desc, id limit 8""",
@@ -378,6 +386,11 @@ SQL: dict[str, str] = {
           where id = (select id from entities where name = 'Customer#000000002')
           union all select null, -1, null) order by hops < 0, hops, ids limit 1""",
     "graph_spine": _spine("true", "'repo', 'venture', 'feed'", 10),
+    "graph_spine_by_id": _spine("true", "'repo', 'venture', 'feed'", 10, "n7"),
+    "graph_spine_asked_roles": f"""select a.role, coalesce(total, 0) as total, rank, name, depth, relation from (values ('venture'), ('nobody'), ('repo')) a(role)
+        left join ({_spine("true", "'repo', 'venture', 'feed'", 3)}) s on s.role = a.role""",
+    "graph_spine_candidates": """select name, entity_type from entities where contains(lower(name), 'nation_2')
+        order by entity_type in ('portfolio', 'venture') desc, length(name), name limit 10""",
     "graph_spine_window": _spine(
         "(e.entity_type <> 'person' or w.since between timestamp '2024-01-10' and timestamp '2024-02-10')", "'venture'", 5
     ),
@@ -641,6 +654,7 @@ SQL: dict[str, str] = {
         case when event_id % 5 = 0 then value + 1 else value end as value from events""",
     "etl_watermark": """select 'events' as "table", max(ts) as max_time, count(*) as row_count, timestamp '2024-01-15 12:00:00' as last_run, 'full' as last_mode from events""",
     "stream_monthly": "select cast(date_trunc('month', ts) as date) as month, event_type, count(distinct event_id) as events from events group by 1, 2",
+    "stream_tumbling_weekly": "select cast(date_trunc('week', ts) as date) as week, event_type, count(*) as events from events group by all",
     "stream_tumbling_daily": "select cast(ts as date) as day, event_type, count(*) as events from events group by all",
 }
 
@@ -944,6 +958,9 @@ SQL["write_batch_state"] = f"""{_IN_ORDER},
     from (select id, importance::double as importance from live union all select id, 0.4 from decided where decision <> 'noop') left join hits using (id)"""
 
 
+SQL["ingest_best_effort"] = r"""select *, cast(sum(ingested) over (order by run) as bigint) as doc_count from (
+    select case when page_id % 2 = 0 then 'r1' else 'r2' end as run, 'ok' as status, count(*) as documents, count(*) filter (good) as ingested, count(*) filter (not good) as failed
+    from (select *, page_id % 10 not in (1, 2, 3) and regexp_matches(coalesce(html, ''), '\S') as good from pages) group by 1)"""
 SQL |= {f"states_{new}": SQL[old] for new, old in (("dau", "v_dau"), ("wau", "v_wau"), ("dau_14d", "dau_last_14d"))}
 SQL["states_pr_medians"] = f"""select week, repo_full_name, median_review_minutes, median_merge_minutes from ({SQL["v_pr_throughput_weekly"]})
     where median_review_minutes is not null or median_merge_minutes is not null"""

@@ -7,6 +7,7 @@ reader ``(spark, config) -> DataFrame``; ``register`` adds one.
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import decoded, html_to_text
+from ..operators.chunking import chunk_text, chunked
+from ..plans.staging import staged
 
 Reader = Callable[[SparkSession, dict], DataFrame]
 REGISTRY: dict[str, Reader] = {}
@@ -88,7 +91,10 @@ def skipped_file(path: Column) -> Column:
 
 
 def repository_source(spark: SparkSession, config: dict) -> DataFrame:
-    """Files of a checked-out tree: by suffix, prefix and size, at most ``max_docs``, smallest path first."""
+    """Files of a checked-out tree: by suffix, prefix, parts of paths to leave out and size, at most ``max_docs``, smallest path first.
+
+    ``dates`` (a path to CSV with path, date) gives files their own event time, as a history would; others have the file's.  A file that is no UTF-8 has a null content.
+    """
     root = config["path"].rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.regexp_replace("path", rf"^.*?{root}/", "")
@@ -97,9 +103,15 @@ def repository_source(spark: SparkSession, config: dict) -> DataFrame:
         keep = keep & F.lower(path).rlike("(?:" + "|".join(s.replace(".", r"\.") for s in config["suffixes"]) + ")$")
     if config.get("prefix"):
         keep = keep & path.startswith(config["prefix"])
+    for part in config.get("exclude", ()):
+        keep = keep & ~F.contains(F.lower(path), F.lit(part.lower()))
     rows = files.filter(keep).select(
-        path.alias("ref"), path.alias("title"), F.decode("content", "UTF-8").alias("content"), F.col("modificationTime").cast("timestamp_ntz").alias("event_time"), _typed("code").alias("metadata")
-    )
+        path.alias("ref"), path.alias("title"), F.try_validate_utf8(F.col("content").cast("string")).alias("content"), F.col("modificationTime").cast("timestamp_ntz").alias("event_time"),
+        _typed("code").alias("metadata"),
+    )
+    if config.get("dates"):
+        dates = spark.read.schema("path string, date timestamp_ntz").option("header", "true").csv(config["dates"]).groupBy(F.col("path").alias("ref")).agg(F.max("date").alias("own"))
+        rows = rows.join(dates, "ref", "left").withColumn("event_time", F.coalesce("own", "event_time")).drop("own")
     return rows.orderBy("ref").limit(config.get("max_docs", 500))
 
 
@@ -171,6 +183,48 @@ def sync(spark: SparkSession, kind: str, config: dict, path: str, since: dt.date
     return {"status": "ok", "error": None, "watermark": started}
 
 
+def faults(docs: DataFrame) -> Column:
+    """Why a document can't be taken: null if it can."""
+    return (
+        F.when(F.coalesce(F.trim("ref"), F.lit("")) == "", "no ref")
+        .when(F.coalesce(F.regexp_replace("content", r"\s+", ""), F.lit("")) == "", "no content")
+        .when(F.col("metadata").isNotNull() & F.try_parse_json("metadata").isNull(), "metadata is no JSON")
+    )
+
+
+def ingest(docs: DataFrame, path: str, run: str, *, now: dt.datetime, cut: Callable[[str | None], list[str]] = chunk_text, check: Column | None = None) -> DataFrame:
+    """One run: documents in chunks under ``path/chunks``, those with a fault, whole and with its name, under ``path/quarantine``, counts under ``path/ledger``.
+
+    A bad document costs itself and not the run.  ``check`` adds a fault of the caller's (null where there is none).  Each part has a folder of the run, which a
+    repeated run replaces, the ledger last: so a run counts once, and not before it is whole.  A chunk's ref has its number if there are several.
+    """
+    if not re.fullmatch(r"[\w-]+", run):
+        raise ValueError(f"not a name of a run: {run!r}")
+    spark = docs.sparkSession
+    fault = faults(docs) if check is None else F.coalesce(faults(docs), check)
+    docs = staged(docs.withColumn("error", fault), "documents")
+    docs.filter("error is not null").write.mode("overwrite").parquet(f"{path}/quarantine/run={run}")
+    good = docs.filter("error is null").drop("error")
+    # The chunks carry what they are of as JSON, so that equal refs stay apart.
+    about = F.to_json(F.struct("ref", "title", "event_time", "metadata"))
+    pieces = chunked(good.withColumn("about", about), "about", "content", cut)
+    of = F.from_json(F.regexp_replace("ref", r"#\d+$", ""), "ref string, title string, event_time timestamp_ntz, metadata string")
+    told = pieces.withColumn("of", of).select(
+        F.when(F.col("n_chunks") > 1, F.concat("of.ref", F.lit("#"), F.col("chunk").cast("string"))).otherwise(F.col("of.ref")).alias("source_ref"), "of.title", "of.event_time", "of.metadata", "content"
+    )
+    told.write.mode("overwrite").parquet(f"{path}/chunks/run={run}")
+    counts = docs.agg(F.count(F.lit(1)).alias("documents"), F.count("error").alias("failed")).join(
+        spark.read.parquet(f"{path}/chunks/run={run}").agg(F.count(F.lit(1)).alias("ingested"))
+    )  # one row each
+    row = counts.select(F.lit("ok").alias("status"), "documents", "ingested", "failed", F.lit(now).cast("timestamp_ntz").alias("started_at"))
+    row.coalesce(1).write.mode("overwrite").parquet(f"{path}/ledger/run={run}")
+    return ledger(spark, path)
+
+
+def ledger(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("status string, documents long, ingested long, failed long, started_at timestamp_ntz, run string").parquet(f"{path}/ledger")
+
+
 def export_memories(memories: DataFrame, namespace: str, path: str) -> None:
     """Live rows of a namespace as JSON lines, by time; owner and validity included."""
     rows = memories.filter((F.col("namespace") == namespace) & F.col("invalid_at").isNull())

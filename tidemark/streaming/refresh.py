@@ -99,6 +99,12 @@ def daily_events(spark: SparkSession, path: str) -> DataFrame:
     return once(days).select(F.to_date("start").alias("day"), "event_type", "events")
 
 
+def weekly_events(spark: SparkSession, path: str) -> DataFrame:
+    """Events per week (from Monday) and type, computed by a stream over the files at ``path``."""
+    weeks = tumbling(event_stream(spark, path), "ts", "7 days", "event_type", offset="4 days")
+    return once(weeks).select(F.to_date("start").alias("week"), "event_type", "events")
+
+
 def monthly_events(spark: SparkSession, path: str) -> DataFrame:
     """Events per calendar month and type, each event once, computed by a stream over the files at ``path``."""
     months = calendar(deduplicated(event_stream(spark, path)), "ts", "month", "event_type")

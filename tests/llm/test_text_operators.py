@@ -417,3 +417,24 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
             assert docs.columns == schema.replace(" long", "").replace(" string", "").replace(" int", "").split(", "), stage
         out = corpus_pipeline.STAGES[-1][1](spark, docs, str(folder)).collect()
         assert bool(out) == bool(some)
+
+
+PARAGRAPHS = "<p>A long paragraph, with much text in it, and commas, again and again, to be the content.</p>" * 4
+
+
+@pytest.mark.parametrize(
+    "page, has, lacks",
+    [
+        ("<p>one<br>two<br/>three</p>", ["one two three"], []),
+        (f"<main><div class='hero'><p>Lead para, nice.</p></div>{PARAGRAPHS}</main>", ["Lead para, nice."], []),
+        (f"<article>{PARAGRAPHS}<div class='box'>Boxed words, which belong.</div></article>", ["Boxed words, which belong."], []),
+        (f"<article>{PARAGRAPHS}<div class='x'><a href='#'>Only a link here</a></div></article>", [], ["Only a link"]),
+        (f"<article>{PARAGRAPHS}</article><div class='user-comments-list'><p>First, I say, this is wrong.</p></div>", [], ["this is wrong"]),
+        (f"<article>{PARAGRAPHS}<div class='user-comments-list'><p>First, I say, this is wrong.</p></div></article>", [], ["this is wrong"]),
+        (f"<article>{PARAGRAPHS}<div class='comments-on-policy'><p>Views on the policy, in full.</p></div></article>", ["Views on the policy, in full."], []),
+    ],
+)
+def test_breaks_boxes_and_remarks(page, has, lacks):
+    text = html_extract.main_text(page)
+    assert text.count("A long paragraph") in (0, 4)
+    assert all(x in text for x in has) and not any(x in text for x in lacks)

@@ -74,6 +74,7 @@ ASIDE_WORDS = set(
     " widgets footer foot header cookie cookies consent notice notices notification notifications gdpr popup popups modal modals newsletter subscribe signup login search share"
     " sharing social related recommend recommended recommendation recommendations comment comments reply replies disqus respond pagination pager toolbar skip".split()
 )
+REMARK_WORDS = set("comment comments reply replies disqus respond".split())
 PLACE_WORDS = set(
     "a area article articles b bar block body bottom box button buttons card cards col column container content form global group head holder icon icons inner item items js"
     " label left link links list main mobile outer overlay page panel pane post posts primary row secondary section sep site slot stories sub text title top right tray unit"
@@ -90,6 +91,9 @@ def _says_aside(names: str) -> bool:
         words = [w.lower() for w in _WORDS.findall(name)]
         if words and (words[-1] in ASIDE_WORDS or words[0] in ASIDE_WORDS and all(w in PLACE_WORDS or w in ASIDE_WORDS for w in words[1:])):
             return True
+        # Readers' remarks are named so after any word ("user-comments-list").
+        if any(w in REMARK_WORDS and all(x in PLACE_WORDS for x in words[i + 1 :]) for i, w in enumerate(words)):
+            return True
     return False
 
 
@@ -202,6 +206,8 @@ def text_nodes(page: str) -> Iterator[tuple[tuple[str, ...], str, str, int, bool
                     break
             continue
         if tag in VOID:
+            if tag == "br":
+                yield node(" ")  # words on two lines are two words
             block += tag not in INLINE
             continue
         if blocks and tag in CLOSED_BY.get(stack[blocks[-1]][0], ()):
@@ -282,7 +288,8 @@ def content_paths(nodes: list[tuple], *, share: float = 0.5, reach: int = 2, lan
         longest = max(chosen, key=lambda k: (stats[k][0], -place[k]))
         holders = {(k[1], k[0][: _holder(k[0])]) for k in chosen if k[1] == "+" or k == longest}
         for k in keys:
-            near = k[1] != "-" and any((k[1], k[0][:depth]) in holders for depth in range(_holder(k[0]), len(k[0]) + 1))
+            # In an article also what stands deeper, in an element of its own.
+            near = k[1] != "-" and any((k[1], k[0][:depth]) in holders for depth in range(1 if k[1] == "+" else _holder(k[0]), len(k[0]) + 1))
             if near and 2 * stats[k][0] >= stats[k][3]:
                 chosen.add(k)
     return chosen

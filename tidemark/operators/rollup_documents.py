@@ -41,13 +41,54 @@ def documents(rows: DataFrame, kind: str, unit: str, subject: Column | None, sco
     partial = end > newest
     ref = F.concat_ws(":", F.lit(f"rollup:{kind}"), *([subject] if subject is not None else []), label)
     note = F.when(partial, _said(" (The period is not over: data up to ", newest, ".)")).otherwise("")
-    metadata = F.to_json(F.struct(F.lit("activity-rollup").alias("type"), F.lit(unit).alias("period"), scope.alias("scope"), *metrics))
+    metadata = F.to_json(F.struct(F.lit("activity-rollup").alias("type"), F.lit(unit).alias("period"), scope.alias("scope"), *metrics), {"ignoreNullFields": "false"})
     return rows.select(
         ref.alias("source_ref"), F.concat(content, note).alias("content"), label.alias("period"), scope.alias("scope"),
         ro.clamp_valid_at(start, unit, now).alias("valid_at"), partial.alias("partial"), F.lit(IMPORTANCE).alias("importance"), metadata.alias("metadata"),
     )
 
 
+def repo_weeks(commits: DataFrame, people: DataFrame, now: dt.datetime) -> DataFrame:
+    net = F.col("additions") - F.col("deletions")
+    content = _said(
+        "In ", week_phrase(F.col("week")), " the repository ", F.col("repo_full_name"), " of ", F.col("org"), " had ", _count("commits"), " commits by ", F.col("logins"), " logins on ", F.col("days"),
+        " days, +", _count("additions"), "/-", _count("deletions"), " lines (", thousands(net), " net). Most by: ", F.col("who"), ".",
+    )
+    rows, scope = ro.repo_week_details(commits, people), F.concat(F.lit("repo:"), "repo_full_name")
+    return documents(rows, "commits", "week", F.col("repo_full_name"), scope, content, ["commits", "logins", "days"], commits.agg(F.max("day")).scalar(), now)
+
+
+def _money(c: Column) -> Column:
+    return F.concat(F.lit("$"), F.format_number(c, 2))
+
+
+ESTIMATED = " The cost is an estimate from token counts and list prices, as neither model nor price is recorded; use is known by person and not by project."
+
+
+def productivity_weeks(commits: DataFrame, people: DataFrame, claude: DataFrame, user_people: DataFrame, now: dt.datetime) -> DataFrame:
+    git = F.when(
+        F.col("commits").isNull(), " No commits."
+    ).otherwise(_said(" ", _count("commits"), " commits in ", F.col("repos"), " repositories on ", F.col("days"), " days, +", _count("additions"), "/-", _count("deletions"), " lines."))
+    kinds = [x for k, label in (("input", "input"), ("output", "output"), ("cache_read", "read from cache"), ("cache_write", "written to cache")) for x in (", " if k != "input" else " (", scaled(F.col(k)), f" {label}")]
+    ai = F.when(F.col("events").isNull(), " No AI use.").otherwise(
+        _said(" ", _count("events"), " AI events in ", _count("sessions"), " sessions, ", scaled(F.col("tokens")), " tokens", *kinds, "), about ", _money(F.col("cost")), ".")
+    )
+    each = F.when(
+        F.col("commits").isNotNull() & F.col("events").isNotNull(),
+        _said(" Per commit: ", _money(F.col("cost") / F.col("commits")), " and ", thousands(F.floor(F.col("tokens") / F.col("commits"))), " tokens."),
+    ).otherwise("")
+    content = _said("Work of ", F.col("person"), " in ", week_phrase(F.col("week")), ":", git, ai, each, ESTIMATED)
+    rows = ro.productivity_details(commits, people, claude, user_people)
+    newest = commits.select("day").unionAll(claude.select(F.to_date("created_at"))).agg(F.max("day")).scalar()
+    return documents(rows, "productivity", "week", F.col("person"), F.concat(F.lit("person:"), "person"), content, ["commits", "events"], newest, now)
+
+
+def ai_spend_weeks(claude: DataFrame, now: dt.datetime) -> DataFrame:
+    content = _said("AI use of all in ", week_phrase(F.col("week")), ": ", F.col("people"), " people, ", scaled(F.col("tokens")), " tokens, about ", _money(F.col("cost")), ".", ESTIMATED)
+    newest = claude.agg(F.to_date(F.max("created_at"))).scalar()
+    return documents(ro.ai_spend_weekly(claude), "ai-spend", "week", None, F.lit("studio"), content, ["people", "tokens"], newest, now)
+
+
 def person_weeks(commits: DataFrame, people: DataFrame, now: dt.datetime) -> DataFrame:
     content = _said(
         "In ", week_phrase(F.col("week")), " ", F.col("person"), " made ", _count("commits"), " commits in ", F.col("repos"), " repositories, +", _count("additions"), "/-",

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import boundary_minutes, day, iso_week_label, month, period_end, week
-from ..functions.text import squeezed
+from ..functions.text import scaled, squeezed, thousands
 
 WEEKS, TOP, FLOOR, AI_FLOOR = 16, 12, 3, 5
 # Dollars per million tokens: input, output, cache read, cache write.
@@ -75,6 +75,15 @@ def repo_weekly(commits: DataFrame, people: DataFrame, top: int = TOP, floor: in
     )
 
 
+def repo_week_details(commits: DataFrame, people: DataFrame, top: int = TOP, floor: int = FLOOR) -> DataFrame:
+    """The repositories of ``repo_weekly`` with their organisation, logins, active days and lines."""
+    kept = _repo_weeks(commits, people, top, floor).select("week", "repo_full_name", "rank", F.col("total").alias("commits"), "who")
+    rows = last_weeks(commits, "day").groupBy("week", "repo_full_name").agg(
+        F.min("org_slug").alias("org"), F.countDistinct("author_login").alias("logins"), F.countDistinct("day").alias("days"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions")
+    )
+    return kept.join(rows, ["week", "repo_full_name"])
+
+
 def person_weekly(commits: DataFrame, people: DataFrame, top: int = TOP, floor: int = FLOOR, *, dated: bool = False) -> DataFrame:
     """Per week the people with most commits, their logins merged before they are ranked; with the week itself if ``dated``."""
     small = last_weeks(commits, "day").groupBy("week", "author_login", "repo_full_name").agg(
@@ -203,6 +212,43 @@ def productivity_person_week(commits: DataFrame, people: DataFrame, claude: Data
     return out.select("week", "person", zero("commits"), zero("additions"), zero("ai_events"), F.coalesce("cost", F.lit(0.0)).alias("cost"))
 
 
+def productivity_details(commits: DataFrame, people: DataFrame, claude: DataFrame, user_people: DataFrame) -> DataFrame:
+    """Git and AI work per person and week as two halves, either of which may be null: with repositories and active days, sessions, tokens by kind, and their cost."""
+    small = commits.groupBy(week("day").alias("week"), "author_login", "repo_full_name", "day").agg(n().alias("commits"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"))
+    git = with_people(small, people, "author_login").groupBy("week", "person").agg(
+        F.sum("commits").alias("commits"), F.countDistinct("repo_full_name").alias("repos"), F.countDistinct("day").alias("days"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions")
+    )
+    kinds = {"input": "input_tokens", "output": "output_tokens", "cache_read": "cache_read_tokens", "cache_write": "cache_creation_tokens"}
+    by_session = claude.filter("user_id is not null").groupBy(week("created_at").alias("week"), "user_id", "session_id").agg(
+        n().alias("events"), *[F.sum(c).alias(k) for k, c in kinds.items()], F.sum("total_tokens").alias("tokens")
+    )
+    named = by_session.join(user_people.select("user_id", "person"), "user_id", "left").withColumn("person", F.coalesce("person", F.concat(F.lit("user:"), F.col("user_id").cast("string"))))
+    ai = named.groupBy("week", "person").agg(
+        F.sum("events").alias("events"), F.countDistinct("session_id").alias("sessions"), *[F.sum(k).alias(k) for k in kinds], F.sum("tokens").alias("tokens"), cost({k: F.sum(k) for k in kinds}).alias("cost")
+    )
+    return git.join(ai, ["week", "person"], "full_outer")
+
+
+def used_ai_on_facts(claude: DataFrame, repos: DataFrame, user_people: DataFrame) -> DataFrame:
+    """``used_ai_on`` per person, with tokens, the last day, and a sentence that says how few events name a folder: src, relation, dst, weight, tokens, last_day, fact."""
+    unique = repos.groupBy(F.lower("repo").alias("base")).agg(F.countDistinct("repo").alias("k"), F.min("repo").alias("repo")).filter("k = 1").drop("k")
+    base = F.lower(F.element_at(F.split(F.regexp_replace("cwd", r"[\\/]+$", ""), r"[\\/]"), -1))
+    by = claude.filter("cwd is not null").groupBy("user_id", base.alias("base")).agg(n().alias("events"), F.sum(F.coalesce("total_tokens", F.lit(0))).alias("tokens"), F.to_date(F.max("created_at")).alias("last_day"))
+    named = by.join(unique, "base").join(user_people.select("user_id", "person"), "user_id", "left")
+    edges = named.groupBy(F.coalesce("person", F.concat(F.lit("user:"), F.col("user_id").cast("string"))).alias("src"), F.col("repo").alias("dst")).agg(
+        F.sum("events").alias("weight"), F.sum("tokens").alias("tokens"), F.max("last_day").alias("last_day")
+    )
+    has = F.when(F.col("cwd").isNotNull(), F.to_date("created_at"))
+    cover = claude.agg(n().alias("all"), F.count("cwd").alias("some"), F.min(has).alias("low"), F.max(has).alias("high"))
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    fact = text(
+        F.col("src"), " worked in the folder of ", F.col("dst"), " in ", thousands(F.col("weight")), " AI events (", scaled(F.col("tokens")), " tokens), last on ", F.col("last_day"),
+        ". A folder is known for ", thousands(F.col("some")), " of ", thousands(F.col("all")), " events (", F.format_number(100.0 * F.col("some") / F.col("all"), 1), "%), from ", F.col("low"), " to ",
+        F.col("high"), ": a sign of use, no measure of it.",
+    )
+    return edges.join(F.broadcast(cover)).select("src", F.lit("USED_AI_ON").alias("relation"), "dst", "weight", "tokens", "last_day", fact.alias("fact"))  # one row
+
+
 def ai_spend_weekly(claude: DataFrame) -> DataFrame:
     return claude.groupBy(week("created_at").alias("week")).agg(
         F.countDistinct("user_id").alias("people"),

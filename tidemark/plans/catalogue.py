@@ -496,6 +496,10 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "coverage_gap": lambda t: ro.coverage_gap(t.github_commits, t.repo_links.filter("org = 'org0' and url_venture = 'v5'")),
     "edge_provenance_classify": _provenance,
     "episodes_latest": lambda t: ro.episodes(t.memories),
+    "rollup_docs_repo": lambda t: rd.repo_weeks(t.github_commits, t.people, NOW),
+    "rollup_docs_productivity": lambda t: rd.productivity_weeks(t.github_commits, t.people, t.claude_activity_events, t.user_people, NOW),
+    "rollup_docs_ai_spend": lambda t: rd.ai_spend_weeks(t.claude_activity_events, NOW),
+    "used_ai_on_facts": lambda t: ro.used_ai_on_facts(t.claude_activity_events, t.part.select(F.col("p_brand").alias("repo")).distinct(), t.user_people),
     "rollup_docs_person": lambda t: rd.person_weeks(t.github_commits, t.people, NOW),
     "rollup_docs_ai_person": lambda t: rd.ai_person_weeks(t.claude_activity_events, t.user_people, NOW),
     "rollup_docs_studio": lambda t: rd.studio_weeks(t.github_commits, t.people, t.claude_activity_events, NOW),

@@ -690,7 +690,46 @@ _AI_ROWS = f"""select c.*, coalesce(u.person, concat('user:', c.user_id)) as who
 _BOARD = f"""select b.*, i.idle, i.people as idle_people from (select week, string_agg(concat(person, ' (', commits, ')'), ', ' order by best) filter (best <= 5) as best_list,
     string_agg(concat(person, ' (', commits, ')'), ', ' order by least) filter (least <= 5) as least_list, bool_or(is_last_week) as last from ({SQL["leaderboard_weekly"]}) group by week) b
     left join ({SQL["leaderboard_idle"]}) i on i.week = b.week"""
+_REPO_WEEKS = f"""with {_COMMITS16}, raw as (select {_week('day')} as week, * from github_commits where {_week('day')} >= (select {_week('max(day)')} - 105 from github_commits)),
+    who as (select week, repo_full_name, person, count(*) as n from recent group by all),
+    ranked as (select *, row_number() over (partition by week, repo_full_name order by n desc, person) as r from who),
+    by_repo as (select week, repo_full_name, cast(sum(n) as bigint) as commits, {_list('person', 'n')} filter (r <= 5) as who from ranked group by 1, 2),
+    kept as (select *, row_number() over (partition by week order by commits desc, repo_full_name) as rank from by_repo),
+    more as (select week, repo_full_name, min(org_slug) as org, count(distinct author_login) as logins, count(distinct day) as days, cast(sum(additions) as bigint) as additions,
+      cast(sum(deletions) as bigint) as deletions from raw group by 1, 2)
+    select * from kept join more using (week, repo_full_name) where rank <= 12 and commits >= 3"""
+_WORK = f"""with git as (select {_week('c.day')} as week, {_PERSON} as person, count(*) as commits, count(distinct repo_full_name) as repos, count(distinct c.day) as days,
+      cast(sum(additions) as bigint) as additions, cast(sum(deletions) as bigint) as deletions from github_commits c left join people p on p.login = c.author_login group by 1, 2),
+    ai as (select {_week('created_at')} as week, coalesce(u.person, concat('user:', c.user_id)) as person, count(*) as events, count(distinct session_id) as sessions, cast(sum(input_tokens) as bigint) as input,
+      cast(sum(output_tokens) as bigint) as output, cast(sum(cache_read_tokens) as bigint) as cache_read, cast(sum(cache_creation_tokens) as bigint) as cache_write, cast(sum(total_tokens) as bigint) as tokens
+      from claude_activity_events c left join user_people u on u.user_id = c.user_id where c.user_id is not null group by 1, 2)
+    select *, (input * 3.0::double + output * 15.0::double + cache_read * 0.3::double + cache_write * 3.75::double) / 1e6::double as cost from git full join ai using (week, person)"""
+_ESTIMATED = " The cost is an estimate from token counts and list prices, as neither model nor price is recorded; use is known by person and not by project."
+_money = lambda c: f"'$', format('{{:,.2f}}', {c})"
+SQL["used_ai_on_facts"] = f"""with e as (select *, lower(regexp_extract(regexp_replace(cwd, '[\\\\/]+$', ''), '[^\\\\/]*$')) as base from claude_activity_events where cwd is not null),
+    r as (select lower(p_brand) as base, min(p_brand) as repo from part group by 1 having count(distinct p_brand) = 1),
+    g as (select coalesce(u.person, concat('user:', e.user_id)) as src, repo as dst, count(*) as weight, cast(sum(total_tokens) as bigint) as tokens, cast(max(created_at) as date) as last_day
+      from e join r using (base) left join user_people u on u.user_id = e.user_id group by 1, 2),
+    c as (select count(*) as whole, count(cwd) as known, cast(min(created_at) filter (cwd is not null) as date) as low, cast(max(created_at) filter (cwd is not null) as date) as high from claude_activity_events)
+    select src, 'USED_AI_ON' as relation, dst, weight, tokens, last_day, concat(src, ' worked in the folder of ', dst, ' in ', {_thousands("weight")}, ' AI events (', {_scaled("tokens")}, ' tokens), last on ',
+      last_day, '. A folder is known for ', {_thousands("known")}, ' of ', {_thousands("whole")}, ' events (', format('{{:,.1f}}', 100.0::double * known / whole), '%), from ', low, ' to ', high,
+      ': a sign of use, no measure of it.') as fact from g, c"""
 SQL |= {
+    "rollup_docs_repo": _document(
+        _REPO_WEEKS, "commits", "week", "repo_full_name", "concat('repo:', repo_full_name)",
+        f"""'In ', {_PHRASE}, ' the repository ', repo_full_name, ' of ', org, ' had ', {_thousands('commits')}, ' commits by ', logins, ' logins on ', days, ' days, +', {_thousands('additions')}, '/-',
+        {_thousands('deletions')}, ' lines (', {_thousands('(additions - deletions)')}, ' net). Most by: ', who, '.'""", "commits, logins, days", _NEWEST_COMMIT),
+    "rollup_docs_ai_spend": _document(
+        SQL["ai_spend_weekly"], "ai-spend", "week", "", "'studio'",
+        f"""'AI use of all in ', {_PHRASE}, ': ', people, ' people, ', {_scaled('tokens')}, ' tokens, about ', {_money('cost')}, '.{_ESTIMATED}'""", "people, tokens", _NEWEST_AI),
+    "rollup_docs_productivity": _document(
+        _WORK, "productivity", "week", "person", "concat('person:', person)",
+        f"""'Work of ', person, ' in ', {_PHRASE}, ':', case when commits is null then ' No commits.' else concat(' ', {_thousands('commits')}, ' commits in ', repos, ' repositories on ', days, ' days, +',
+        {_thousands('additions')}, '/-', {_thousands('deletions')}, ' lines.') end, case when events is null then ' No AI use.' else concat(' ', {_thousands('events')}, ' AI events in ', {_thousands('sessions')},
+        ' sessions, ', {_scaled('tokens')}, ' tokens (', {_scaled('input')}, ' input, ', {_scaled('output')}, ' output, ', {_scaled('cache_read')}, ' read from cache, ', {_scaled('cache_write')},
+        ' written to cache), about ', {_money('cost')}, '.') end, case when commits is not null and events is not null then concat(' Per commit: ', {_money('cost / commits')}, ' and ',
+        {_thousands('tokens // commits')}, ' tokens.') else '' end, '{_ESTIMATED}'""", "commits, events",
+        "greatest((select max(day) from github_commits), (select cast(max(created_at) as date) from claude_activity_events)) as newest"),
     "rollup_docs_person": _document(
         SQL["rollup_person_weekly"].replace(f"select {_label('week')} as period", f"select week, {_label('week')} as period"), "person-commits", "week", "person", "concat('person:', person)",
         f"""'In ', {_PHRASE}, ' ', person, ' made ', {_thousands('commits')}, ' commits in ', repos, ' repositories, +', {_thousands('additions')}, '/-', {_thousands('deletions')},

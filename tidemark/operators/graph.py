@@ -119,20 +119,41 @@ def shortest_path(edges: DataFrame, entities: DataFrame, source: str, target: st
     return found.unionByName(none).orderBy(F.desc("hops")).limit(1)
 
 
-def label_propagation(edges: DataFrame, entities: DataFrame, iterations: int = 8) -> DataFrame:
+#: So many steps of one node go to one task; a node with more is dealt out in parts.
+HUB = 50_000
+
+
+def dealt(walk: DataFrame, hub: int = HUB) -> tuple[DataFrame, DataFrame]:
+    """Steps (x, y, ...) with a part, and y, parts of the nodes whose steps have several: as many as keep a part to about ``hub`` steps.
+
+    There are at most steps / ``hub`` such nodes.
+    """
+    hubs = staged(walk.groupBy("y").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hub).select("y", F.ceil(F.col("n") / hub).cast("int").alias("parts")), "hubs")
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("x"), F.col("parts"))).cast("int")
+    return walk.join(hubs, "y", "left").withColumn("part", part).drop("parts"), hubs
+
+
+def heard(steps_in_parts: DataFrame, hubs: DataFrame, said: DataFrame) -> DataFrame:
+    """Each step with what its far end says (``said``: y and further columns): a hub says it to each of its parts."""
+    parts = F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)
+    return steps_in_parts.join(said.join(hubs, "y", "left").withColumn("part", F.explode(parts)).drop("parts"), ["y", "part"])
+
+
+def label_propagation(edges: DataFrame, entities: DataFrame, iterations: int = 8, *, hub: int = HUB) -> DataFrame:
     """id, label after a fixed number of synchronous rounds.
 
     A node takes the label that most of its edges' other ends have, the smallest of equals;
-    parallel edges weigh.  A node without edges keeps its own.
+    parallel edges weigh.  A node without edges keeps its own.  Steps to a hub are dealt out in parts once; votes are summed in each task before they
+    meet, so a hub's own votes are a row per label and task.
     """
     iterations = 20 if iterations > 20 else iterations
     walk = steps(open_edges(edges), "both").select("x", "y")
-    walk = staged(walk.groupBy("x", "y").agg(F.count(F.lit(1)).alias("weight")), "adjacency")
+    walk = staged(walk.groupBy("x", "y").agg(F.count(F.lit(1)).alias("weight")), "steps")
+    adjacency, hubs = dealt(walk, hub)
+    adjacency = staged(adjacency, "adjacency")
     labels = entities.select("id", F.col("id").alias("label"))
     for _ in range(iterations):
-        votes = (
-            walk.join(labels.withColumnRenamed("id", "y"), "y").groupBy(F.col("x").alias("id"), "label").agg(F.sum("weight").alias("votes"))
-        )
+        votes = heard(adjacency, hubs, labels.withColumnRenamed("id", "y")).groupBy(F.col("x").alias("id"), "label").agg(F.sum("weight").alias("votes"))
         won = votes.groupBy("id").agg(F.min(F.struct((-F.col("votes")).alias("v"), "label")).alias("w"))
         labels = staged(
             labels.select("id", F.col("label").alias("old")).join(won, "id", "left").select("id", F.coalesce("w.label", "old").alias("label")),

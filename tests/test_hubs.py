@@ -1,7 +1,10 @@
 """Nodes with very many edges: dealt out in parts, with the same results."""
 
+import itertools
 import random
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import graph
@@ -39,3 +42,32 @@ def test_labels_are_the_same(spark):
     plain = {r["id"]: r["label"] for r in graph.label_propagation(e, nodes, 5).collect()}
     split = {r["id"]: r["label"] for r in graph.label_propagation(e, nodes, 5, hub=3).collect()}
     assert plain == split and len(plain) == 62
+
+
+def all_pairs(held):
+    groups = {}
+    for g, m in held:
+        groups.setdefault(g, set()).add(m)
+    counts = Counter(p for ms in groups.values() for p in itertools.combinations(sorted(ms), 2))
+    return counts, sorted(((-n, *p) for p, n in counts.items()))
+
+
+@pytest.mark.parametrize("block", [2, 7, 1000])
+def test_pairs_in_blocks(spark, block):
+    draw = random.Random(block)
+    held = [(f"g{draw.randrange(6)}", draw.randrange(40)) for _ in range(150)] + [("large", i) for i in range(50)] + [(None, 1), ("g1", None), ("alone", 3)]
+    rows = spark.createDataFrame(held, "g string, m long")
+    counts, ranked = all_pairs([(g, m) for g, m in held if g is not None and m is not None])
+    assert Counter((r["a"], r["b"]) for r in graph.paired(rows, "g", "m", block).collect()) == counts
+    for most in (1, 10, 200, 2000):
+        got = [(-r["n"], r["a"], r["b"]) for r in graph.top_pairs(rows, "g", "m", most, block, seeds=8).collect()]
+        assert got == ranked[:most]
+
+
+def test_a_group_of_100_000(spark):
+    """Five billion pairs share one group; none of them is made."""
+    large = spark.range(100_000).select(F.lit("large").alias("g"), "id")
+    small = spark.range(600).select(F.concat(F.lit("s"), (F.col("id") % 30).cast("string")).alias("g"), (F.col("id") % 25).alias("id"))
+    got = graph.top_pairs(large.unionByName(small), "g", "id", 10).collect()
+    _, ranked = all_pairs([(f"s{i % 30}", i % 25) for i in range(600)] + [("large", i) for i in range(25)])
+    assert [(-r["n"], r["a"], r["b"]) for r in got] == ranked[:10]

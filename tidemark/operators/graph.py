@@ -289,26 +289,68 @@ def relation_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy("relation").agg(F.count(F.lit(1)).alias("edges"), F.count_if(F.col("valid_to").isNull()).alias("open"))
 
 
-def cooccurrence(memory_entities: DataFrame, entities: DataFrame, most: int = 50) -> DataFrame:
-    """Pairs of entities that memories mention together: a join within each memory, whose mentions are few."""
-    a = memory_entities.select("memory_id", F.col("entity_id").alias("a"))
-    b = memory_entities.select("memory_id", F.col("entity_id").alias("b"))
-    pairs = a.join(b, "memory_id").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("memories"))
-    top = pairs.orderBy(F.desc("memories"), "a", "b").limit(most)
+#: Members of a group are paired in blocks of about so many.
+BLOCK = 2_000
+
+
+def paired(rows: DataFrame, group: str, member: str, block: int = BLOCK) -> DataFrame:
+    """a, b (a < b) of each group: a row per group and pair.
+
+    Members of a large group stand in blocks, by a hash; each pair of blocks is a key of its own, so a group of any size is many tasks of at
+    most about ``block`` squared pairs.
+    """
+    held = rows.select(F.col(group).alias("g"), F.col(member).alias("m")).filter("g is not null and m is not null").distinct()
+    large = held.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block).select("g", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    cut = held.join(large, "g", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("k", F.pmod(F.xxhash64("m"), F.col("blocks")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    a = cut.select("g", F.col("m").alias("a"), F.col("k").alias("i"), others.alias("j"))
+    b = cut.select("g", F.col("m").alias("b"), others.alias("i"), F.col("k").alias("j"))
+    return a.join(b, ["g", "i", "j"]).filter("a < b").select("a", "b")
+
+
+def _smallest(rows: DataFrame, group: str, member: str, k: int) -> DataFrame:
+    """Of each group its k smallest members: enough for its k - 1 first pairs."""
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(member))
+    return rows.select(group, member).distinct().withColumn("_r", rank).filter(F.col("_r") <= k).drop("_r")
+
+
+def top_pairs(rows: DataFrame, group: str, member: str, most: int, block: int = BLOCK, seeds: int = 200) -> DataFrame:
+    """The ``most`` pairs of members that share most groups: a, b, n; equal counts by a and b.  Exact, without all pairs.
+
+    A pair shares no more groups than either member has.  Counting among the ``seeds`` most frequent members gives a count that the
+    last of the top pairs has at least; members with fewer groups are left out.  Pairs that share one group only are made from each group's smallest members.
+    """
+    held = staged(rows.select(F.col(group).alias("g"), F.col(member).alias("m")).filter("g is not null and m is not null").distinct(), "pair-members")
+    often = staged(held.groupBy("m").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "pair-counts")
+    count = lambda some: paired(some, "g", "m", block).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    by = [F.desc("n"), "a", "b"]
+    first = often.orderBy(F.desc("n"), "m").limit(seeds).select("m")
+    seen = [r["n"] for r in count(held.join(first, "m", "left_semi")).orderBy(*by).limit(most).select("n").collect()]  # ``most`` numbers
+    floor = max(2, seen[-1] if len(seen) == most else 0)
+    many = count(held.join(often.filter(F.col("n") >= floor), "m", "left_semi")).filter(F.col("n") >= floor)
+    if floor > 2:
+        return many.orderBy(*by).limit(most)
+    # Too few pairs may share two groups or more; then those of one group follow, the smallest first.
+    few = count(_smallest(held, "g", "m", most + 1)).join(many.select("a", "b"), ["a", "b"], "left_anti").withColumn("n", F.lit(1).cast("long"))
+    return many.unionByName(few.select(*many.columns)).orderBy(*by).limit(most)
+
+
+def cooccurrence(memory_entities: DataFrame, entities: DataFrame, most: int = 50, block: int = BLOCK) -> DataFrame:
+    """Pairs of entities that memories mention together, those most often."""
+    top = top_pairs(memory_entities, "memory_id", "entity_id", most, block).withColumnRenamed("n", "memories")
     name = lambda c: entities.select(F.col("id").alias(c), F.col("name").alias(f"{c}_name"))
     return top.join(name("a"), "a").join(name("b"), "b").select("a_name", "b_name", "memories")
 
 
 def sample_edges(edges: DataFrame, kept: DataFrame, memory_entities: DataFrame, limit: int) -> DataFrame:
-    """Edges between the nodes of a sample, at most four times its limit; if there are none, pairs that memories mention together."""
+    """Edges between the nodes of a sample, at most four times its limit; if there are none, the first pairs that memories mention together."""
     kept = staged(kept.select("id"), "kept-nodes")
     between = staged(edges_between(edges, kept, 4 * limit), "kept-edges")
     if not between.isEmpty():
         return between
-    held = memory_entities.join(kept.select(F.col("id").alias("entity_id")), "entity_id", "left_semi").distinct()
-    a, b = held.select("memory_id", F.col("entity_id").alias("src_id")), held.select("memory_id", F.col("entity_id").alias("dst_id"))
-    pairs = a.join(b, "memory_id").filter("src_id < dst_id").select("src_id", "dst_id").distinct()
-    return pairs.select("src_id", F.lit("").alias("relation"), "dst_id").orderBy("src_id", "dst_id").limit(limit)
+    held = memory_entities.join(kept.select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
+    pairs = paired(_smallest(held, "memory_id", "entity_id", limit + 1), "memory_id", "entity_id").distinct()
+    return pairs.select(F.col("a").alias("src_id"), F.lit("").alias("relation"), F.col("b").alias("dst_id")).orderBy("src_id", "dst_id").limit(limit)
 
 
 def _label(chars: int, *keys: str) -> Column:

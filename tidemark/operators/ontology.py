@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import paired
 from .rollups import fk_edges
 
 # Entity types.
@@ -63,9 +64,8 @@ def family_edges(table: Callable[[str], DataFrame], relations: Sequence[str] = (
 
 
 def together(rows: DataFrame, group: str, member: str, relation: str = "ATTENDED_WITH") -> DataFrame:
-    """Pairs that share a group (two people in one meeting), each once, with how often: a join within the small groups."""
-    a, b = rows.select(group, F.col(member).alias("src")), rows.select(group, F.col(member).alias("dst"))
-    pairs = a.distinct().join(b.distinct(), group).filter("src < dst")
+    """Pairs that share a group (two people in one meeting), each once, with how often; large groups are paired in blocks."""
+    pairs = paired(rows, group, member).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times")).withColumn("relation", F.lit(relation))
 
 

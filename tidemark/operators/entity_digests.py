@@ -124,7 +124,7 @@ def pulse_anonymous(table: Table, brand: str = "", *, least: int = 20) -> DataFr
     return _document(
         rows, "id", "at",
         'Team Pulse — ANONYMOUS messages from the team, survey "{title_en|(untitled)}"« / {title_ar}»«, revealed {@anonymous_revealed_at}» '
-        "({n} message(s), unattributed by design, original language preserved): {told}", brand,
+        "({n} message(s), names withheld, in the language they were written in): {told}", brand,
     )
 
 
@@ -170,7 +170,7 @@ def harvest_sources(table: Table, brand: str = "") -> DataFrame:
     sentence = "{title,url||}« ({tagged})»« — {noted}»{mark}"
     told = _listed(sources, "source_type", "told", sentence, CAPS["harvest_sources"], [F.asc_nulls_last("title")], " | ")
     return _document(
-        _keyed(rows, told, key="source_type"), "source_type", "last_at", "Harvester sources — {n} {source_type} source(s) the studio watches for research: {told}", brand
+        _keyed(rows, told, key="source_type"), "source_type", "last_at", "Harvester sources — {n} {source_type} source(s) of the harvest: {told}", brand
     )
 
 
@@ -224,7 +224,7 @@ def agent_activity(table: Table, brand: str = "", *, k: int = 25) -> DataFrame:
     return _document(
         rows, "digest", "last_at",
         "Agent activity digest — agent {agent,agent_id} on {place} for the week of {@week}: {n} recorded actions. Breakdown by kind: {breakdown}."
-        "« {runs} agent run(s), {failed} failed.»« What it actually did (latest first): {notable}»", brand,
+        "« {runs} agent run(s), {failed} failed.»« Newest first: {notable}»", brand,
     )
 
 

@@ -121,7 +121,7 @@ ENTITIES = {
     ),
     "portfolios": Entity(
         "portfolios", ("created_at",),
-        "Portfolio: {title_name}« (also known as {alias}. {alias} and {title_name} are the SAME portfolio — any question about {alias} refers to {title_name}.)». "
+        "Portfolio: {title_name}« (or {alias}: two names of one portfolio)». "
         "{description}. Ventures: {members|none}",
     ),
     "decisions": Entity(
@@ -193,10 +193,10 @@ ENTITIES = {
         "Meeting transcript REPORT ({provider|-}) on {@backend_created_at|unknown date}: {title|(untitled)}. Summary: {summary} {report_md}", ref="job_id",
     ),
     "big_shift_levels": Entity(
-        "transition_level_docs", ("published_at", "updated_at"), "Big Shift transition level {level_code} (status {status|-}): {body_md}", ref="level_code"
+        "transition_level_docs", ("published_at", "updated_at"), "Transition level {level_code} (status {status|-}): {body_md}", ref="level_code"
     ),
     "big_shift_picks": Entity(
-        "transition_picks", ("updated_at", "created_at"), "Big Shift pick by {user|?} on {@at}: level {level_code|-}. Intent: {intent|-}", user_link("user", "user_id")
+        "transition_picks", ("updated_at", "created_at"), "Transition pick by {user|?} on {@at}: level {level_code|-}. Intent: {intent|-}", user_link("user", "user_id")
     ),
     "activity_scores": Entity(
         "activity_scores", ("computed_at",), "Analytics — activity score for {user|?} on {@computed_at}: {kind|-} = {score|-}. Reason: {reason}", user_link("user", "user_id")

@@ -898,7 +898,7 @@ _DIGESTS = {
         join (select campaign_id as c, count(*) as n from business_rows where length(body) >= 7 group by 1) q on q.c = r.id
         join {_told("campaign_id", f"(select *, {_short('body', 700)} as b from business_rows where length(body) >= 7)", "{b}", "")} m on m.parent = r.id""",
         'Team Pulse — ANONYMOUS messages from the team, survey "{title_en|(untitled)}"« / {title_ar}»«, revealed {@anonymous_revealed_at}» '
-        "({n} message(s), unattributed by design, original language preserved): {told}"),
+        "({n} message(s), names withheld, in the language they were written in): {told}"),
     "deployments": ("venture_id", "last_at", f"""select e.*, v.name as venture, d.line as recent from (select venture_id, count(*) as n, min(created_at) as first_at, max(created_at) as last_at,
           count(*) filter (status = 'success') as ok, count(*) filter (status = 'failed') as failed, string_agg(distinct provider, ', ' order by provider) as providers,
           string_agg(distinct env, ', ' order by env) as places from business_rows where venture_id is not null group by 1) e left join business_rows v on v.id = e.venture_id
@@ -911,7 +911,7 @@ _DIGESTS = {
         "feature catalogue — {phase} features ({n} of them): {line}"),
     "harvest_sources": ("source_type", "last_at", f"""select * from (select source_type, count(*) as n, max(coalesce(updated_at, created_at)) as last_at from business_rows
           where source_type is not null group by 1) r left join {_told("source_type", _SOURCES, "{title,url||}« ({tagged})»« — {noted}»{mark}", "title nulls last, ")} t on t.parent = r.source_type""",
-        "Harvester sources — {n} {source_type} source(s) the studio watches for research: {line}"),
+        "Harvester sources — {n} {source_type} source(s) of the harvest: {line}"),
     "curator_backlog": ("all", "last_at", f"""select 'all' as "all", count(*) as n, max(created_at) as last_at,
         (select string_agg(x, ', ' order by x) from (select distinct proposal_type || '/' || status as x from business_rows)) as kinds,
         (select string_agg(x, ', ' order by x) from (select proposal_type || ' ' || status || ' x' || count(*) as x from business_rows group by proposal_type, status)) as counted,
@@ -934,7 +934,7 @@ _DIGESTS |= {
                          "{summary}", "created_at desc, ", 25)} s on s.parent = r.digest
         left join business_rows v on v.id = r.venture_id left join business_rows a on a.id = r.agent_id""",
         "Agent activity digest — agent {agent,agent_id} on {place} for the week of {@week}: {n} recorded actions. Breakdown by kind: {breakdown}."
-        "« {runs} agent run(s), {failed} failed.»« What it actually did (latest first): {notable}»"),
+        "« {runs} agent run(s), {failed} failed.»« Newest first: {notable}»"),
     "github_pr_activity": ("repo_full_name", "last_at", f"""select r.*, w.line as who, t.line as recent from (select repo_full_name, org_slug, count(*) as n, min(created_at) as first_at,
           max(created_at) as newest_at, max(greatest(created_at, merged_at, closed_at)) as last_at, count(merged_at) as merged, count(*) filter (state = 'open') as open,
           count(*) filter (merged_at is null and state <> 'open') as dropped, {_HOURS.format("first_review_at")} as to_review, {_HOURS.format("merged_at")} as to_merge

@@ -60,6 +60,7 @@ def test_a_batch_that_is_not_whole_counts_nothing(spark, tmp_path):
     other = term_index.stored(frame(spark, [("m3", "a", "red")]), str(tmp_path / "b"))
     (tmp_path / "b/postings/batch=first").rename(tmp_path / "a/postings/batch=half")
     assert [r["id"] for r in index.ranking(["red"], 5).collect()] == ["m1"] and other.path != index.path
-    assert index.add("nothing") is index
+    assert index.add("nothing") is index and index.exists()
+    assert not term_index.TermIndex(spark, str(tmp_path / "nowhere")).exists()
     with pytest.raises(ValueError):
         index.add("../x", frame(spark, []))

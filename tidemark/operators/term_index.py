@@ -78,6 +78,10 @@ class TermIndex:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(text)
         return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
+    def exists(self) -> bool:
+        at, files = self._path(f"{self.path}/figures")
+        return files.exists(at)
+
     def batches(self) -> list[str]:
         """The batches whose figures are written; a listing of a folder with one entry a batch."""
         at, files = self._path(f"{self.path}/figures")

@@ -29,7 +29,7 @@ from ..sources import connectors as co
 from ..sources import etl
 from ..sources.adapters import Tables
 from ..streaming import refresh
-from .staging import fresh_dir, kept
+from .staging import fresh_dir
 
 NOW = dt.datetime(2024, 1, 15, 12)
 AS_OF = dt.datetime(2024, 1, 20)
@@ -83,7 +83,7 @@ _INDEXES: dict[tuple[str, ...], ti.TermIndex] = {}
 def term_index(t: Tables) -> ti.TermIndex:
     """The stored term index of the live memories, made when it is first asked for and kept for the application."""
     key = (t.spark.sparkContext.applicationId, t.sf_dir, *sorted(t.loaded.values()))
-    if key not in _INDEXES or not kept(t.spark, _INDEXES[key].path):
+    if key not in _INDEXES or not _INDEXES[key].exists():
         _INDEXES[key] = ti.stored(me.live(t.memories))
     return _INDEXES[key]
 

@@ -39,11 +39,6 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
-def kept(spark: SparkSession, path: str) -> bool:
-    """Whether a folder that was staged in the session has not been released."""
-    return path in _MADE.get(spark.sparkContext.applicationId, [])
-
-
 def release(spark: SparkSession) -> int:
     """Deletes the tables and files that this process has staged in the session; results that read them must be written by then."""
     made = _MADE.pop(spark.sparkContext.applicationId, [])

@@ -93,6 +93,18 @@ def title_matches(titles: DataFrame, ventures: DataFrame) -> DataFrame:
     return by.filter("k = 1").select("id", F.lit("MEETING_ABOUT").alias("relation"), "venture_id")
 
 
+def organized(events: DataFrame, people: DataFrame, memories: DataFrame, prefix: str = "db:event:") -> DataFrame:
+    """Owners of meetings and the meetings: src, relation, dst, since, name, memory_id.
+
+    An owner that ``people`` (id, display_name, email) lacks makes no edge.  The edge cites the memory of the meeting's ref, a live one before a retired one and then the newest.
+    """
+    name = F.coalesce(F.nullif(F.col("display_name"), F.lit("")), F.col("email"))
+    owners = people.select(F.col("id").cast("string").alias("src"), name.alias("name"))
+    cited = memories.filter("source_ref is not null").groupBy("source_ref").agg(F.max_by("id", F.struct(F.col("invalid_at").isNull(), "valid_at", "id")).alias("memory_id"))
+    held = events.select(F.col("owner_id").cast("string").alias("src"), F.col("id").cast("string").alias("dst"), F.col("start_at").alias("since"), F.concat(F.lit(prefix), F.col("id").cast("string")).alias("source_ref"))
+    return held.join(owners, "src").join(cited, "source_ref", "left").select("src", F.lit("ORGANIZED").alias("relation"), "dst", "since", "name", "memory_id")
+
+
 def _pieces(text: Column, starts: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
 

@@ -496,6 +496,7 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "coverage_gap": lambda t: ro.coverage_gap(t.github_commits, t.repo_links.filter("org = 'org0' and url_venture = 'v5'")),
     "edge_provenance_classify": _provenance,
     "episodes_latest": lambda t: ro.episodes(t.memories),
+    "organized_edges": lambda t: kn.organized(t.business_rows, t.business_rows.filter("id % 9 <> 4"), t.memories, "doc:"),
     "rollup_docs_repo": lambda t: rd.repo_weeks(t.github_commits, t.people, NOW),
     "rollup_docs_productivity": lambda t: rd.productivity_weeks(t.github_commits, t.people, t.claude_activity_events, t.user_people, NOW),
     "rollup_docs_ai_spend": lambda t: rd.ai_spend_weeks(t.claude_activity_events, NOW),

@@ -997,6 +997,9 @@ SQL["write_batch_state"] = f"""{_IN_ORDER},
     from (select id, importance::double as importance from live union all select id, 0.4 from decided where decision <> 'noop') left join hits using (id)"""
 
 
+SQL["organized_edges"] = """with m as (select * from (select id, source_ref, row_number() over (partition by source_ref order by invalid_at is null desc, valid_at desc, id desc) as r from memories) where r = 1)
+    select cast(e.owner_id as varchar) as src, 'ORGANIZED' as relation, cast(e.id as varchar) as dst, e.start_at as since, coalesce(nullif(p.display_name, ''), p.email) as name, m.id as memory_id
+    from business_rows e join business_rows p on p.id = e.owner_id left join m on m.source_ref = 'doc:' || e.id where p.id % 9 <> 4"""
 SQL["ingest_best_effort"] = r"""select *, cast(sum(ingested) over (order by run) as bigint) as doc_count from (
     select case when page_id % 2 = 0 then 'r1' else 'r2' end as run, 'ok' as status, count(*) as documents, count(*) filter (good) as ingested, count(*) filter (not good) as failed
     from (select *, page_id % 10 not in (1, 2, 3) and regexp_matches(coalesce(html, ''), '\S') as good from pages) group by 1)"""

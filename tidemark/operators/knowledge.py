@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.metadata import value
 from ..functions.vectors import hashed_embedding
 from .rollups import top_list
 
@@ -56,6 +57,35 @@ def activity_nodes(rollup: DataFrame, subject: str) -> DataFrame:
     )
 
 
+def _activity(docs: DataFrame) -> DataFrame:
+    """Rollups' documents with their node: those with a scope that is a repository, a person, an organisation or the studio."""
+    kind, subject = F.substring_index("scope", ":", 1), F.expr("if(instr(scope, ':') > 0, substring(scope, instr(scope, ':') + 1), scope)")
+    signal = F.when(F.split_part("source_ref", F.lit(":"), F.lit(2)).rlike("^(ai|studio-ai)"), "AI").otherwise("commits")
+    out = docs.filter(kind.isin("repo", "person", "org", "studio") & (F.coalesce("period", F.lit("")) != ""))
+    return out.withColumns({"id": F.concat(F.lit("activity:"), "source_ref"), "kind": kind, "subject": subject, "name": F.concat(subject, F.lit(" · "), "period", F.lit(" "), signal)})
+
+
+def rollup_nodes(docs: DataFrame) -> DataFrame:
+    """A node per rollup's document, of every scope: id, name, entity_type, subject, source_ref."""
+    return _activity(docs).select("id", "name", F.lit("activity").alias("entity_type"), "subject", "source_ref")
+
+
+def rollup_edges(docs: DataFrame, memories: DataFrame) -> DataFrame:
+    """ACTIVITY_OF a person and ACTIVITY_IN a repository: src, relation, dst, since, weight, memory_id (the live memory of the document's ref, the newest)."""
+    newest = memories.filter("invalid_at is null and source_ref is not null").groupBy("source_ref").agg(F.max_by("id", F.struct("valid_at", "id")).alias("memory_id"))
+    relation = F.when(F.col("kind") == "person", "ACTIVITY_OF").when(F.col("kind") == "repo", "ACTIVITY_IN")
+    weight = F.coalesce(value(F.col("metadata"), "commits", "double"), value(F.col("metadata"), "events", "double"), F.lit(0.0))
+    edges = _activity(docs).select("source_ref", F.col("id").alias("src"), relation.alias("relation"), F.col("subject").alias("dst"), F.col("valid_at").alias("since"), weight.alias("weight"))
+    return edges.filter("relation is not null").join(newest, "source_ref", "left").drop("source_ref")
+
+
+def restamped(edges: DataFrame, memories: DataFrame) -> DataFrame:
+    """Open edges (with source_ref and memory_id) that cite another memory than the newest live one of their ref, as they should be."""
+    newest = memories.filter("invalid_at is null and source_ref is not null").groupBy("source_ref").agg(F.max_by("id", F.struct("valid_at", "id")).alias("now_id"))
+    stale = edges.filter("valid_to is null").join(newest, "source_ref").filter(~F.col("memory_id").eqNullSafe(F.col("now_id")))
+    return stale.withColumn("memory_id", F.col("now_id")).select(*edges.columns)
+
+
 def feed_nodes(posts: DataFrame, channels: DataFrame) -> DataFrame:
     """Posts by venture, else by their channel's venture, else 'studio': how many, the three commonest kinds, the authors."""
     at = posts.join(channels.select("channel", F.col("venture_id").alias("channel_venture")), "channel", "left")

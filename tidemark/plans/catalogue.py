@@ -123,6 +123,19 @@ def _ingested(t: Tables) -> DataFrame:
     return ledger.select("run", "status", "documents", "ingested", "failed", F.sum("ingested").over(Window.orderBy("run")).alias("doc_count"))
 
 
+def _rollup_docs(t: Tables) -> DataFrame:
+    out = rd.repo_weeks(t.github_commits, t.people, NOW)
+    more = (rd.person_weeks(t.github_commits, t.people, NOW), rd.ai_person_weeks(t.claude_activity_events, t.user_people, NOW), rd.org_months(t.github_commits, t.people, NOW), rd.studio_ai_weeks(t.claude_activity_events, NOW))
+    for docs in more:
+        out = out.unionByName(docs)
+    return out
+
+
+def _restamped(t: Tables) -> DataFrame:
+    e = t.memories.select(F.concat(F.lit("e"), "id").alias("src"), "source_ref", F.col("id").alias("memory_id"), F.when(F.length("id") % 3 == 0, F.col("valid_at")).alias("valid_to"))
+    return kn.restamped(e, t.memories).select("src", "memory_id")
+
+
 def _pr_medians(t: Tables) -> DataFrame:
     path = fresh_dir(t.spark, "wait-states")
     st.refresh(path, [t.github_pull_requests], [t.github_pull_requests], st.wait_states)
@@ -496,6 +509,9 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "coverage_gap": lambda t: ro.coverage_gap(t.github_commits, t.repo_links.filter("org = 'org0' and url_venture = 'v5'")),
     "edge_provenance_classify": _provenance,
     "episodes_latest": lambda t: ro.episodes(t.memories),
+    "rollup_activity_nodes": lambda t: kn.rollup_nodes(_rollup_docs(t)),
+    "rollup_activity_edges": lambda t: kn.rollup_edges(_rollup_docs(t), t.memories.withColumn("source_ref", F.concat(F.lit("rollup:studio-ai:"), "id"))),
+    "rollup_edges_restamped": _restamped,
     "organized_edges": lambda t: kn.organized(t.business_rows, t.business_rows.filter("id % 9 <> 4"), t.memories, "doc:"),
     "rollup_docs_repo": lambda t: rd.repo_weeks(t.github_commits, t.people, NOW),
     "rollup_docs_productivity": lambda t: rd.productivity_weeks(t.github_commits, t.people, t.claude_activity_events, t.user_people, NOW),

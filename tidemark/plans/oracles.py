@@ -1000,6 +1000,14 @@ SQL["write_batch_state"] = f"""{_IN_ORDER},
 SQL["organized_edges"] = """with m as (select * from (select id, source_ref, row_number() over (partition by source_ref order by invalid_at is null desc, valid_at desc, id desc) as r from memories) where r = 1)
     select cast(e.owner_id as varchar) as src, 'ORGANIZED' as relation, cast(e.id as varchar) as dst, e.start_at as since, coalesce(nullif(p.display_name, ''), p.email) as name, m.id as memory_id
     from business_rows e join business_rows p on p.id = e.owner_id left join m on m.source_ref = 'doc:' || e.id where p.id % 9 <> 4"""
+_ACTIVITY = " union all ".join(f"select * from ({SQL[f'rollup_docs_{k}']})" for k in ("repo", "person", "ai_person", "org", "studio_ai"))
+_ACTIVITY = f"""with docs as ({_ACTIVITY}), a as (select *, 'activity:' || source_ref as id, split_part(scope, ':', 1) as kind, regexp_replace(scope, '^[a-z]+:', '') as subject,
+    case when split_part(source_ref, ':', 2) in ('ai', 'studio-ai') then 'AI' else 'commits' end as signal from docs)"""
+SQL["rollup_activity_nodes"] = f"{_ACTIVITY} select id, subject || ' · ' || period || ' ' || signal as name, 'activity' as entity_type, subject, source_ref from a"
+SQL["rollup_activity_edges"] = f"""{_ACTIVITY} select id as src, case kind when 'person' then 'ACTIVITY_OF' else 'ACTIVITY_IN' end as relation, subject as dst, valid_at as since,
+    cast(coalesce(json_extract_string(metadata, '$.commits'), json_extract_string(metadata, '$.events')) as double) as weight, cast(null as varchar) as memory_id from a where kind in ('person', 'repo')"""
+SQL["rollup_edges_restamped"] = """select 'e' || m.id as src, n.id as memory_id from memories m join (select source_ref, id, row_number() over (partition by source_ref order by valid_at desc, id desc) as r
+    from memories where invalid_at is null) n on n.source_ref = m.source_ref and n.r = 1 where length(m.id) % 3 <> 0 and m.id <> n.id"""
 SQL["ingest_best_effort"] = r"""select *, cast(sum(ingested) over (order by run) as bigint) as doc_count from (
     select case when page_id % 2 = 0 then 'r1' else 'r2' end as run, 'ok' as status, count(*) as documents, count(*) filter (good) as ingested, count(*) filter (not good) as failed
     from (select *, page_id % 10 not in (1, 2, 3) and regexp_matches(coalesce(html, ''), '\S') as good from pages) group by 1)"""

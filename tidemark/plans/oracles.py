@@ -23,7 +23,7 @@ def _in(names) -> str:
 def _merged(new: str) -> str:
     """metadata with the entries of ``new``: of an object the last value of each key in the place of its first, others in a list."""
     entries = f"""(select string_agg(to_json(key) || ':' || value, ',' order by first) from (select key, arg_max(cast(value as varchar), n) as value, min(n) as first from (
-        select key, value, row_number() over () as n from json_each(try_cast({{0}} as json))) where not list_contains(json_keys({new}), key) group by key))"""
+        select key, value, id as n from json_each(try_cast({{0}} as json))) where not list_contains(json_keys({new}), key) group by key))"""
     add = f"substring(cast({new} as varchar), 2)"
     return f"""case when metadata is null then cast({new} as varchar) when not json_valid(metadata) then '{{"unparsed":' || to_json(metadata) || ',' || {add}
         when json_type(metadata) = 'OBJECT' then '{{' || {entries.format("metadata")} || ',' || {add} else substring(metadata, 1, length(metadata) - 1) || ',' || {new} || ']' end"""

@@ -456,3 +456,61 @@ def hop_trace(edges: DataFrame, entities: DataFrame, name: str) -> DataFrame:
         .groupBy(F.col("first").alias("relation")).agg(F.count(F.lit(1)).alias("second_hop"))
     )
     return ones.join(twos, "relation", "left").select("relation", "first_hop", F.coalesce("second_hop", F.lit(0)).cast("long").alias("second_hop"))
+
+
+# What is counted at a venture, by relation, and which of its ends the venture is; then what is counted at those.
+FIRST_HOPS = (
+    ("portfolio", "BELONGS_TO"), ("repos", "REPO_OF"), ("members", "MEMBER_OF"), ("goals", "GOAL_FOR"), ("roadmaps", "PLANS"), ("okrs", "TARGETS"),
+    ("learnings", "APPLIES_TO"), ("channels", "CHANNEL_OF"), ("meetings", "MEETING_ABOUT"), ("agents", "WORKS_ON"), ("feed", "FEED_OF"),
+)
+SECOND_HOPS = (
+    ("repos", "code_modules", "CODE_IN"), ("repos", "docs", "DOC_IN"), ("repos", "committers", "COMMITS_TO"), ("repos", "repo_activity", "ACTIVITY_IN"),
+    ("members", "member_activity", "ACTIVITY_OF"), ("feed", "feed_authors", "POSTED_IN"),
+)
+
+
+def venture_trace(edges: DataFrame, entities: DataFrame, mentions: DataFrame, needle: str, now: dt.datetime, days: int = 14) -> DataFrame:
+    """How much hangs on one venture, hop by hop: place, after (the step before), step, n, a row for each step, with 0 where there is nothing.
+
+    The venture is the one of the shortest name that contains the text, case aside; without one the result is empty.  First steps count
+    known nodes at open edges of the venture, second steps nodes at open edges of those, ``recent_activity`` the members' activity that began
+    in the last days, ``feed_posts`` the mentions (entity_id) of its feeds.  Repeated edges count once.
+    """
+    root = (
+        entities.filter((F.col("entity_type") == "venture") & F.contains(F.lower("name"), F.lit(needle.lower())))
+        .orderBy(F.length("name"), "name", "id").limit(1).select(F.col("id").alias("root"), F.col("name").alias("venture"))
+    )
+    step_of = {relation: step for step, relation in FIRST_HOPS}
+    live = open_edges(edges).select("src_id", "dst_id", "relation", "valid_from")
+    # Each relation has the venture at one end: it belongs to a portfolio, all else points to it.
+    ends = live.filter(F.col("relation").isin(*step_of)).select(
+        F.when(F.col("relation") == "BELONGS_TO", F.col("src_id")).otherwise(F.col("dst_id")).alias("root"),
+        F.when(F.col("relation") == "BELONGS_TO", F.col("dst_id")).otherwise(F.col("src_id")).alias("node"), _named(F.col("relation"), step_of).alias("step"),
+    )
+    near = ends.join(F.broadcast(root.select("root")), "root").select("node", "step").distinct()
+    first = near.join(entities.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
+    second = live.filter(F.col("relation").isin(*[r for _, _, r in SECOND_HOPS])).select(
+        F.col("dst_id").alias("node"), F.col("src_id").alias("far"), "valid_from",
+        _named(F.col("relation"), {r: after for after, _, r in SECOND_HOPS}).alias("step"), _named(F.col("relation"), {r: s for _, s, r in SECOND_HOPS}).alias("next"),
+    )
+    since = F.lit(now - dt.timedelta(days=days)).cast("timestamp_ntz")
+    # One row a far node, whichever of the first nodes it hangs on.
+    reached = second.join(first, ["node", "step"]).groupBy("next", "far").agg(F.max("valid_from").alias("newest"))
+    twos = reached.groupBy("next").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("newest") > since).alias("recent"))
+    posts = mentions.join(first.filter("step = 'feed'").select(F.col("node").alias("entity_id")), "entity_id", "left_semi")
+    counted = (
+        first.groupBy("step").agg(F.count(F.lit(1)).alias("n"))
+        .unionByName(twos.select(F.col("next").alias("step"), "n"))
+        .unionByName(twos.filter("next = 'member_activity'").select(F.lit("recent_activity").alias("step"), F.col("recent").alias("n")))
+        .unionByName(posts.agg(F.count(F.lit(1)).alias("n")).select(F.lit("feed_posts").alias("step"), "n"))
+    )
+    plan = [("venture", step) for step, _ in FIRST_HOPS] + [(after, step) for after, step, _ in SECOND_HOPS] + [("members", "recent_activity"), ("feed", "feed_posts")]
+    wanted = root.select("venture", F.explode(F.array(*[F.struct(F.lit(i).alias("place"), F.lit(a).alias("after"), F.lit(s).alias("step")) for i, (a, s) in enumerate(plan)])).alias("w")).select("venture", "w.*")
+    return wanted.join(counted, "step", "left").select("venture", "place", "after", "step", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def _named(c: Column, names: dict[str, str]) -> Column:
+    out = F.lit(None).cast("string")
+    for value, name in names.items():
+        out = F.when(c == value, name).otherwise(out)
+    return out

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import iso_week_label, period_end
 from ..functions.text import scaled, thousands
 from . import rollups as ro
+from .mappings import top_children
 
 IMPORTANCE = 0.55
 
@@ -163,3 +164,66 @@ def studio_months(commits: DataFrame, pulls: DataFrame, claude: DataFrame, issue
     )
     rows, newest = ro.studio_monthly(commits, pulls, claude, issues), commits.agg(F.max("day")).scalar()
     return documents(rows, "studio", "month", None, F.lit("studio"), content, ["commits", "pulls", "merged"], newest, now)
+
+
+def coverage_report(commits: DataFrame, registry: DataFrame, now: dt.datetime, days: int = 90, k: int = 10) -> DataFrame:
+    """One document: how many repositories with commits in the last days the registry (``repo``, case aside) lacks, and the k most active of them.
+
+    Commits are counted by repository and author first, so one with a third of all commits is folded before it is moved.
+    """
+    newest = commits.agg(F.max("day")).scalar()
+    recent = commits.filter((F.col("day") > F.date_sub(newest, days)) & (F.col("repo_full_name") != ""))
+    by_author = recent.groupBy("repo_full_name", "author_login").agg(ro.n().alias("n"), F.max("day").alias("last"))
+    active = by_author.groupBy("repo_full_name").agg(F.sum("n").alias("commits"), F.count("author_login").alias("authors"), F.max("last").alias("last"))
+    known = registry.select(F.lower("repo").alias("_low")).distinct()
+    missing = active.withColumn("_low", F.lower("repo_full_name")).join(known, "_low", "left_anti")
+    line = _said(F.col("repo_full_name"), " (", _count("commits"), " commits by ", F.col("authors"), " people, last on ", F.col("last"), ")")
+    order = F.struct(-F.col("commits"), F.col("repo_full_name"), line.alias("line"))
+    first = missing.orderBy(F.desc("commits"), "repo_full_name").limit(k).agg(F.array_sort(F.collect_list(order)).alias("first"))  # at most k rows
+    row = missing.agg(ro.n().alias("unindexed")).join(first)  # one row each
+    span = _said(f"in the {days} days up to ", newest)
+    gap = _said(
+        _count("unindexed"), " repositories with commits ", span, " are not registered for indexing, so nothing can be said from their code. The most active: ",
+        F.array_join(F.transform("first", lambda x: x["line"]), "; "), ".",
+    )
+    metadata = F.to_json(F.struct(F.lit("code-coverage").alias("type"), "unindexed", F.lit(days).alias("window_days")))
+    return row.select(
+        F.lit("code:index-coverage-gap").alias("source_ref"), F.when(F.col("unindexed") > 0, gap).otherwise(_said("All repositories with commits ", span, " are registered for indexing.")).alias("content"),
+        F.lit(now).cast("timestamp_ntz").alias("valid_at"), metadata.alias("metadata"),
+    )
+
+
+def repository_overviews(files: DataFrame, docs: DataFrame, heads: DataFrame, *, opening: int = 700, languages: int = 8, folders: int = 14, largest: int = 12, listed: int = 12) -> DataFrame:
+    """A document per repository of ``files`` (repo, path, language, bytes): languages, top folders, largest files, documents, how its README begins, and its head.
+
+    ``docs`` has repo, path and content; READMEs are named first, then docs/, then the rest.  ``heads`` has repo, sha and date.
+    Lists are cut by rank and READMEs to their opening before anything is gathered, so a repository of any size sends few rows a task.
+    """
+    top = F.when(F.contains("path", F.lit("/")), F.substring_index("path", "/", 1)).otherwise("(root)")
+    base = files.groupBy("repo").agg(ro.n().alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+    by_language = files.groupBy("repo", "language").agg(ro.n().alias("n"))
+    by_folder = files.groupBy("repo", top.alias("folder")).agg(ro.n().alias("n"))
+    named = F.concat("path", F.lit(" ("), F.col("bytes").cast("string"), F.lit(" bytes)"))
+    low = F.lower("path")
+    is_readme = F.element_at(F.split(low, "/"), -1).startswith("readme")
+    place = F.struct(F.when(is_readme, 0).when(low.startswith("docs/"), 1).otherwise(2), low, F.col("path"))
+    ws = r"[ \t\n\r]+"
+    tidy = F.regexp_replace(F.regexp_replace(F.coalesce("content", F.lit("")), rf"^{ws}|{ws}$", ""), r"\n{3,}", "\n\n")
+    ordered = docs.select("repo", "path", place.alias("place"), F.when(is_readme, F.nullif(F.substring(tidy, 1, opening), F.lit(""))).alias("opening"))
+    readme = ordered.groupBy("repo").agg(ro.n().alias("n_docs"), F.min_by("opening", F.when(F.col("opening").isNotNull(), F.col("place"))).alias("readme"))
+    head = heads.groupBy("repo").agg(F.max_by(F.struct("sha", "date"), F.struct("date", "sha")).alias("head"))
+    rows = base.join(ro.top_list(by_language, ["repo"], F.coalesce("language", F.lit("other")), "n", languages, "languages"), "repo", "left")
+    rows = rows.join(ro.top_list(by_folder, ["repo"], "folder", "n", folders, "folders"), "repo", "left")
+    rows = rows.join(top_children(files, "repo", [F.desc("bytes"), F.asc("path")], named, largest, "\n").withColumnRenamed("items", "largest"), "repo", "left")
+    rows = rows.join(top_children(ordered, "repo", [F.asc("place")], F.col("path"), listed).withColumnRenamed("items", "documents"), "repo", "left")
+    rows = rows.join(readme, "repo", "left").join(head, "repo", "left")
+    content = F.concat_ws(
+        "\n\n",
+        _said(F.col("repo"), " has ", _count("files"), " files of code, ", scaled(F.col("bytes")), " bytes."),
+        _said("Its head is ", F.substring("head.sha", 1, 9), " of ", F.col("head.date"), "."),
+        _said("Languages (files): ", F.col("languages")), _said("Top folders (files): ", F.col("folders")), _said("Largest files:\n", F.col("largest")),
+        F.concat(F.lit("Documents: "), F.col("documents"), F.when(F.col("n_docs") > listed, _said(" and ", F.col("n_docs") - listed, " more")).otherwise("")),
+        _said("The README begins:\n", F.col("readme")),
+    )
+    metadata = F.to_json(F.struct(F.lit("repository-overview").alias("type"), "files", F.coalesce("n_docs", F.lit(0)).alias("documents")))
+    return rows.select(F.concat(F.lit("code:"), "repo", F.lit(":overview")).alias("source_ref"), content.alias("content"), F.col("head.date").alias("valid_at"), metadata.alias("metadata"))

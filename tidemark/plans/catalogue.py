@@ -239,6 +239,20 @@ def _doc_files(t: Tables) -> DataFrame:
     return t.documents.select(path.alias("path"), F.length("text").cast("long").alias("bytes"), F.col("text").alias("content"))
 
 
+def _repo_docs(t: Tables) -> DataFrame:
+    """Markdown files of some repositories, READMEs in some of their folders."""
+    repo = F.concat(F.lit("Brand#"), (F.pmod("doc_id", F.lit(4)) + 1).cast("string"), (F.pmod("doc_id", F.lit(3)) + 1).cast("string"))
+    place = F.when(F.pmod("doc_id", F.lit(7)) == 0, F.lit("/ReadMe.md")).when(F.pmod("doc_id", F.lit(7)) < 3, F.lit(".md"))
+    text = F.concat(F.lit("\n # title \n\n\n\n"), F.col("text"), F.lit(" \n"))
+    rows = t.documents.select(repo.alias("repo"), F.concat(F.when(F.pmod("doc_id", F.lit(5)) == 0, "Docs/g").otherwise("pkg"), F.col("doc_id").cast("string"), place).alias("path"), text.alias("content"))
+    return rows.filter("path is not null")
+
+
+def _heads(t: Tables) -> DataFrame:
+    day = F.date_add(F.lit(dt.date(2024, 1, 1)), F.pmod("p_partkey", F.lit(300)).cast("int"))
+    return t.part.filter("p_size > 48").select(F.col("p_brand").alias("repo"), F.sha2("p_name", 256).alias("sha"), day.alias("date"))
+
+
 def _labels(t: Tables) -> DataFrame:
     repos = t.part.select(F.concat(F.lit("r:"), "p_brand").alias("id"), F.col("p_brand").alias("name"), F.lit("repo").alias("kind"))
     teams = t.part.select(F.concat(F.lit("t:"), "p_brand", F.lit(":"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_brand").alias("name"), F.lit("team").alias("kind"))
@@ -506,6 +520,10 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "agent_week_digest": lambda t: ro.agent_week_digest(t.agent_actions),
     "rollup_changed_only": _changed,
     "prune_stale_refs": _stale,
+    "venture_trace": lambda t: gr.venture_trace(
+        t.entity_edges.unionByName(t.trace_edges), t.entities.unionByName(t.trace_nodes), t.memory_entities.withColumn("entity_id", F.regexp_replace("entity_id", "^n", "feed")), "ion_3", dt.datetime(2024, 2, 20)
+    ),
+    "coverage_report": lambda t: rd.coverage_report(t.github_commits, t.repo_links.filter("url_venture in ('v0', 'v4')").select(F.upper("repo").alias("repo")), NOW),
     "coverage_gap": lambda t: ro.coverage_gap(t.github_commits, t.repo_links.filter("org = 'org0' and url_venture = 'v5'")),
     "edge_provenance_classify": _provenance,
     "episodes_latest": lambda t: ro.episodes(t.memories),
@@ -560,6 +578,7 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "doc_collection": lambda t: mp.document_files(_doc_files(t)),
     "code_shortlist": lambda t: mp.code_shortlist(_files(t)),
     "repository_overview": lambda t: mp.repository_overview(_files(t)),
+    "repository_overview_documents": lambda t: rd.repository_overviews(_files(t), _repo_docs(t), _heads(t)),
     "etl_stats": lambda t: etl.stats(
         etl.watermark(t.events, "events", "ts", NOW, "full")
         .unionByName(etl.watermark(t.github_pull_requests, "pulls", "created_at", NOW, "full")).unionByName(etl.watermark(t.agent_actions, "actions", "created_at", NOW, "full"))

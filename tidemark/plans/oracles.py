@@ -1016,5 +1016,58 @@ SQL["states_pr_medians"] = f"""select week, repo_full_name, median_review_minute
     where median_review_minutes is not null or median_merge_minutes is not null"""
 
 
+SQL["venture_trace"] = """with edges as (select * from entity_edges where valid_to is null union all select * from trace_edges where valid_to is null),
+    known as (select id, name, entity_type from entities union all select id, name, entity_type from trace_nodes),
+    root as (select id, name from known where entity_type = 'venture' and lower(name) like '%ion\\_3%' escape '\\' order by length(name), name, id limit 1),
+    near as (select distinct case relation when 'BELONGS_TO' then 'portfolio' when 'REPO_OF' then 'repos' when 'MEMBER_OF' then 'members' when 'GOAL_FOR' then 'goals' when 'PLANS' then 'roadmaps'
+        when 'TARGETS' then 'okrs' when 'APPLIES_TO' then 'learnings' when 'CHANNEL_OF' then 'channels' when 'MEETING_ABOUT' then 'meetings' when 'WORKS_ON' then 'agents' when 'FEED_OF' then 'feed' end as step,
+        case when relation = 'BELONGS_TO' then dst_id else src_id end as node from edges, root where root.id = case when relation = 'BELONGS_TO' then src_id else dst_id end),
+    first as (select step, node from near where step is not null and node in (select id from known)),
+    far as (select f.step, e.relation, e.src_id, max(e.valid_from) as newest from first f join edges e on e.dst_id = f.node group by all),
+    plan as (select * from (values (0, 'venture', 'portfolio', null, null), (1, 'venture', 'repos', null, null), (2, 'venture', 'members', null, null), (3, 'venture', 'goals', null, null),
+        (4, 'venture', 'roadmaps', null, null), (5, 'venture', 'okrs', null, null), (6, 'venture', 'learnings', null, null), (7, 'venture', 'channels', null, null), (8, 'venture', 'meetings', null, null),
+        (9, 'venture', 'agents', null, null), (10, 'venture', 'feed', null, null), (11, 'repos', 'code_modules', 'CODE_IN', null), (12, 'repos', 'docs', 'DOC_IN', null),
+        (13, 'repos', 'committers', 'COMMITS_TO', null), (14, 'repos', 'repo_activity', 'ACTIVITY_IN', null), (15, 'members', 'member_activity', 'ACTIVITY_OF', null),
+        (16, 'feed', 'feed_authors', 'POSTED_IN', null), (17, 'members', 'recent_activity', 'ACTIVITY_OF', timestamp '2024-02-06'), (18, 'feed', 'feed_posts', null, null)) v(place, after, step, relation, since))
+    select root.name as venture, place, after, step, case
+        when step = 'feed_posts' then (select count(*) from memory_entities m where replace(m.entity_id, 'n', 'feed') in (select node from first f where f.step = 'feed'))
+        when relation is null then (select count(*) from first f where f.step = plan.step)
+        else (select count(*) from far where far.relation = plan.relation and far.step = plan.after and (plan.since is null or far.newest > plan.since)) end as n from plan, root"""
+SQL["coverage_report"] = """with recent as (select * from github_commits where day > (select max(day) from github_commits) - 90),
+    lacking as (select repo_full_name as repo, count(*) as n, count(distinct author_login) as people, max(day) as last from recent
+        where lower(repo_full_name) not in (select lower(repo) from repo_links where url_venture in ('v0', 'v4')) group by 1),
+    ranked as (select *, row_number() over (order by n desc, repo) as r from lacking),
+    found as (select count(*) as n, string_agg(repo || ' (' || format('{:,}', n) || ' commits by ' || people || ' people, last on ' || last || ')', '; ' order by r) filter (r <= 10) as told from ranked)
+    select 'code:index-coverage-gap' as source_ref, case when n > 0
+        then format('{:,}', n) || ' repositories with commits in the 90 days up to ' || (select max(day) from github_commits) || ' are not registered for indexing, so nothing can be said from their code. The most active: ' || told || '.'
+        else 'All repositories with commits in the 90 days up to ' || (select max(day) from github_commits) || ' are registered for indexing.' end as content,
+        timestamp '2024-01-15 12:00:00' as valid_at, '{"type":"code-coverage","unindexed":' || n || ',"window_days":90}' as metadata from found"""
+SQL["repository_overview_documents"] = rf"""with f as (select p_brand as repo, concat('src/', lower(p_type), '/', case when p_partkey % 5 = 0 then 'handler_' else '' end, replace(p_name, ' ', '_'), '_', p_partkey, '.go') as path, lower(p_type) as language, p_size * 1000 as bytes from part),
+    base as (select repo, count(*) as files, cast(sum(bytes) as bigint) as bytes from f group by 1),
+    langs as (select repo, string_agg(language || ' (' || n || ')', ', ' order by r) as said from (select *, row_number() over (partition by repo order by n desc, language) as r from (select repo, language, count(*) as n from f group by 1, 2)) where r <= 8 group by 1),
+    tops as (select repo, string_agg(folder || ' (' || n || ')', ', ' order by r) as said from (select *, row_number() over (partition by repo order by n desc, folder) as r from (select repo, case when contains(path, '/') then split_part(path, '/', 1) else '(root)' end as folder, count(*) as n from f group by 1, 2)) where r <= 14 group by 1),
+    big as (select repo, string_agg(path || ' (' || bytes || ' bytes)', chr(10) order by r) as said from (select *, row_number() over (partition by repo order by bytes desc, path) as r from f) where r <= 12 group by 1),
+    d as (select *, case when regexp_matches(lower(path), '(^|/)readme[^/]*$') then 0 when starts_with(lower(path), 'docs/') then 1 else 2 end as place from (
+        select 'Brand#' || (1 + doc_id % 4) || (1 + doc_id % 3) as repo, case when doc_id % 5 = 0 then 'Docs/g' else 'pkg' end || doc_id || case when doc_id % 7 = 0 then '/ReadMe.md' when doc_id % 7 < 3 then '.md' end as path,
+          chr(10) || ' # title ' || repeat(chr(10), 4) || text || ' ' || chr(10) as content from documents) where path is not null),
+    numbered as (select *, row_number() over (partition by repo order by place, lower(path), path) as r from d),
+    docs as (select repo, count(*) as n, string_agg(path, ', ' order by r) filter (r <= 12) as said from numbered group by 1),
+    tidy as (select repo, r, nullif(substring(regexp_replace(regexp_replace(coalesce(content, ''), '^[ 	
+
+]+|[ 	
+
+]+$', '', 'g'), '
+{{3,}}', chr(10) || chr(10), 'g'), 1, 700), '') as opening from numbered where place = 0),
+    readme as (select repo, arg_min(opening, r) as opening from tidy where opening is not null group by 1),
+    heads as (select p_brand as repo, sha256(p_name) as sha, cast(date '2024-01-01' + cast(p_partkey % 300 as integer) as date) as date from part where p_size > 48),
+    head as (select repo, sha, date from heads qualify row_number() over (partition by repo order by date desc, sha desc) = 1)
+    select 'code:' || base.repo || ':overview' as source_ref, concat_ws(chr(10) || chr(10),
+        base.repo || ' has ' || format('{{:,}}', files) || ' files of code, ' || {_scaled('bytes')} || ' bytes.', 'Its head is ' || substring(sha, 1, 9) || ' of ' || date || '.',
+        'Languages (files): ' || langs.said, 'Top folders (files): ' || tops.said, 'Largest files:' || chr(10) || big.said,
+        'Documents: ' || docs.said || case when docs.n > 12 then ' and ' || (docs.n - 12) || ' more' else '' end, 'The README begins:' || chr(10) || readme.opening) as content,
+        date as valid_at, '{{"type":"repository-overview","files":' || files || ',"documents":' || coalesce(docs.n, 0) || '}}' as metadata
+    from base left join langs using (repo) left join tops using (repo) left join big using (repo) left join docs using (repo) left join readme using (repo) left join head using (repo)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: with_adapters(text) for name, text in SQL.items()}

@@ -67,6 +67,22 @@ ADAPTERS = {
           union all select distinct concat('s', cast(l.l_suppkey as varchar(20))), p.p_brand, 'COMMITS_TO', l.l_suppkey
                  from {{lineitem}} l join {{part}} p on p.p_partkey = l.l_partkey where l.l_quantity >= 49
         ) e""",
+    "trace_nodes": """
+        select concat('feed', cast(n_nationkey as varchar(20))) id, concat('feed of ', n_name) name, 'feed' entity_type from {nation}
+        union all select concat('goal', cast(s_suppkey as varchar(20))), 'goal', 'goal' from {supplier} where s_suppkey % 2 = 0""",
+    "trace_edges": f"""
+        select src_id, dst_id, relation, cast({_DAY0} + (k % 60) * interval '1' day as {{T}}) valid_from,
+               cast(case when k % 7 = 0 then {_DAY0} + (k % 60 + 45) * interval '1' day end as {{T}}) valid_to
+        from (
+          select p_brand src_id, concat('n', cast(p_partkey % 25 as varchar(20))) dst_id, 'REPO_OF' relation, p_partkey k from {{part}}
+          union all select concat('mod', cast(p_partkey as varchar(20))), p_brand, 'CODE_IN', p_partkey from {{part}}
+          union all select concat('file', cast(p_size as varchar(20))), p_brand, 'DOC_IN', p_partkey from {{part}} where p_size < 20
+          union all select concat('week', cast(p_partkey % 30 as varchar(20)), p_brand), p_brand, 'ACTIVITY_IN', p_partkey from {{part}}
+          union all select concat('act', cast(o_orderkey as varchar(20))), concat('c', cast(o_custkey as varchar(20))), 'ACTIVITY_OF', o_orderkey from {{orders}}
+          union all select concat('goal', cast(s_suppkey as varchar(20))), concat('n', cast(s_nationkey as varchar(20))), 'GOAL_FOR', s_suppkey from {{supplier}}
+          union all select concat('feed', cast(n_nationkey as varchar(20))), concat('n', cast(n_nationkey as varchar(20))), 'FEED_OF', n_nationkey + 1 from {{nation}}
+          union all select concat('c', cast(c_custkey as varchar(20))), concat('feed', cast(c_nationkey as varchar(20))), 'POSTED_IN', c_custkey from {{customer}}
+        ) e""",
     "feature_events": """
         select event_id id, concat('f', {J}) feature_key, event_type event, user_id, ts created_at,
                concat(cast(user_id as varchar(20)), '-', cast(cast(ts as date) as varchar(20))) session_id,

@@ -91,3 +91,24 @@ def test_further_vectors_and_odd_ones(spark, indexed):
     assert got[1] == (9001, 1.0) and got[2] == (9007, 1.0) and set(got) == {1, 2}
     empty = vi.build(data.limit(0))
     assert vi.search(empty, q).count() == 0 and vi.similar(empty, q, 0.5).count() == 0
+
+
+def test_a_query_travels_once_a_shelf():
+    """Where nothing is ruled out, a batch of queries makes a row per query and shelf, in parts, and none per cell."""
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    x, centroids = rng.normal(size=(1200, 16)), rng.normal(size=(300, 16))
+    batch = pd.DataFrame({"scope": "s", "id": range(len(x)), "v": list(x), "reach": np.pi})
+    outs = list(vi._routed(centroids, np.full(300, np.pi), np.arange(300) // 100, np.ones(300, dtype=int), None, 0)(iter([batch])))
+    assert sum(map(len, outs)) == 3 * len(x) and max(map(len, outs)) <= 3 * vi.ROWS
+    assert all(len(r) == 100 for out in outs for r in out["q_cells"])
+
+
+def test_cells_on_several_shelves_lose_nothing(indexed, monkeypatch):
+    x, data, index = indexed
+    monkeypatch.setattr(vi, "SHELF", 150)
+    assert vi._shelves(index)[2].max() > 1
+    got = {(r["id"], r["top_id"]) for r in vi.similar(index, data.filter("id % 50 = 0"), 0.9).collect()}
+    sims = all_pairs(x)
+    assert got == {(i, int(j)) for i in range(0, len(x), 50) for j in np.flatnonzero(sims[i] >= 0.9)}

@@ -217,3 +217,18 @@ def test_sentences(spark):
     one = lambda s: rows.select(entity_documents.said(rows, s)).first()[0]
     assert one("#{id} {a|-} {a} {b|-}{b||none} {a,c|?} {l}") == "#7 -  none x p, q"
     assert one("{@t} {#t} {%t} {@u|never}«, till {@u}»«, by {a}»«, by {a|?} of {c}»") == "2024-02-03 04:05 2024-02-03 04:05 never, by ? of x"
+
+
+def test_chunks_leave_a_task_in_parts(spark):
+    """One batch of texts gives many batches of chunks, whole and in order."""
+    from tidemark.operators import chunking as ch
+
+    docs = spark.createDataFrame([(i, f"{i}" * 40) for i in range(9)] + [(9, None)], "doc_id long, text string").coalesce(1)
+    whole = {(r["ref"], r["content"]) for r in ch.chunked(docs, "doc_id", "text").collect()}
+    assert whole == {(str(i), f"{i}" * 40) for i in range(9)}
+    sent, ch.SENT = ch.SENT, 100
+    try:
+        rows = ch.chunked(docs, "doc_id", "text", lambda t: [t[at : at + 30] for at in range(0, len(t or ""), 30)]).collect()
+    finally:
+        ch.SENT = sent
+    assert [(r["ref"], r["chunk"], r["n_chunks"], len(r["content"])) for r in rows] == [(f"{i}#{c}", c, 2, n) for i in range(9) for c, n in ((0, 30), (1, 10))]

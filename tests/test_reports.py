@@ -66,3 +66,17 @@ def test_repository_overviews(spark):
     assert a["valid_at"] == dt.date(2024, 2, 3) and a["metadata"] == '{"type":"repository-overview","files":3,"documents":4}'
     assert b["content"].startswith("b has 1 files of code, 0 bytes.")
     assert "README begins" not in b["content"] and "head" not in b["content"] and b["valid_at"] is None
+
+
+def test_provenance_folds_equal_refs_after_they_are_dealt_out(spark):
+    """No task of the scan keeps a table of the refs that it reads."""
+    from tidemark.operators import rollups as ro
+
+    edges = spark.createDataFrame([("a", "b", "R", f"r{i % 30:02d}") for i in range(900)] + [("a", "c", "R", None)], "src string, dst string, relation string, ref string")
+    out = ro.provenance(edges)
+    assert {(r["dst"], r["kind"], r["records"], r["refs"]) for r in out.collect()} == {("b", "aggregate", 30, ",".join(f"r{i:02d}" for i in range(8))), ("c", "link", 1, "")}
+    lines = [x.strip(" +-:*()0123456789") for x in ro.provenance(edges).select("records")._jdf.queryExecution().executedPlan().toString().split("\n")]
+    scans = [i for i, x in enumerate(lines) if "Scan ExistingRDD" in x or "LocalTableScan" in x]
+    for at in scans:
+        above = next(x for x in reversed(lines[:at]) if x.startswith(("Exchange", "HashAggregate")))
+        assert above.startswith("Exchange")

@@ -2,8 +2,12 @@
 
 import datetime as dt
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
+import pytest
 
 from tidemark.functions.text import NEGATION_CUES
 from tidemark.operators import ordered_writes as ow
@@ -105,3 +109,19 @@ def test_nothing_to_write_and_nothing_there(spark):
     got = {r["seq"]: (r["decision"], r["target_id"]) for r in ow.write_batch_ordered(spark.createDataFrame(new, "seq long, " + SCHEMA), none).collect()}
     assert got == {1: ("add", None), 2: ("noop", "w1"), 3: ("add", None), 4: ("add", None)}
     assert ow.write_batch_ordered(spark.createDataFrame([], "seq long, " + SCHEMA), none).count() == 0
+
+
+@pytest.mark.parametrize("query", ["write_decision"])
+def test_a_new_application_that_lists_vectors_first(query):
+    """Columns with small ids, as in a new application, were taken for those of lambdas, and a filter was sent to the side of a join that lacks them."""
+    code = f"""
+from pyspark.sql import SparkSession
+from tidemark.plans import catalogue
+from tidemark.sources.adapters import Tables
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate()
+made = Tables.__getattr__
+Tables.__getattr__ = lambda self, name: (name == "memories" and self.embeddings, made(self, name))[1]
+print("rows:", catalogue.queries()["{query}"](spark, "/root/testdata/sf0.001").count())
+"""
+    run = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parent.parent, capture_output=True, text=True, timeout=300)
+    assert "rows: " in run.stdout, run.stderr[-2000:]

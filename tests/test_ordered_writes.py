@@ -111,7 +111,7 @@ def test_nothing_to_write_and_nothing_there(spark):
     assert ow.write_batch_ordered(spark.createDataFrame([], "seq long, " + SCHEMA), none).count() == 0
 
 
-@pytest.mark.parametrize("query", ["write_decision"])
+@pytest.mark.parametrize("query", ["write_decision", "write_applied"])
 def test_a_new_application_that_lists_vectors_first(query):
     """Columns with small ids, as in a new application, were taken for those of lambdas, and a filter was sent to the side of a join that lacks them."""
     code = f"""

@@ -103,6 +103,24 @@ def test_copies_and_refs_take_few_rounds(spark, monkeypatch):
     assert state["x0000"]["superseded_by"] == "x0001" and not state["x0000"]["live"] and state["x0199"]["live"]
 
 
+def test_a_chain_of_changes_takes_no_round_each(spark, monkeypatch):
+    """Statements and denials about one thing, each of which retires a row of the same near group, some by ref; other writes beside it."""
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=12)
+
+    def one(i, name, spread=0.09):
+        v = [float(x) for x in centre + spread * rng.normal(size=12)]
+        text = f"{'No longer: ' if i % 3 == 0 else ''}state {i}"
+        return (f"{name}{i:03d}", "a", f"ref:{i % 4}" if i % 7 == 0 else None, text, v, T0 + dt.timedelta(days=i % 5), 0.4)
+
+    current = [one(i, "m", 0.16) for i in range(40)]
+    new = [(i, *one(i, "w", 0.16)) for i in range(60)] + [(1000 + i, f"x{i}", "b", None, f"other {i}", [float(x) for x in rng.normal(size=12)], T0, 0.4) for i in range(5)]
+    rounds = []
+    monkeypatch.setattr(ow, "_round", lambda *a, f=ow._round: rounds.append(1) or f(*a))
+    decided = check(spark, new, current)
+    assert len(rounds) <= 2 and decided.filter("decision in ('update', 'invalidate')").count() > 20
+
+
 def test_nothing_to_write_and_nothing_there(spark):
     new = [(1, "w1", "a", None, "one", [1.0, 0.0], None, 0.5), (2, "w2", "a", None, "one", [1.0, 0.0], None, 0.5), (3, "w3", "a", None, "one", None, None, 0.5), (4, "w4", "a", None, "zero", [0.0, 0.0], None, 0.5)]
     none = spark.createDataFrame([], SCHEMA)

@@ -119,6 +119,10 @@ def test_a_chain_of_changes_takes_no_round_each(spark, monkeypatch):
     monkeypatch.setattr(ow, "_round", lambda *a, f=ow._round: rounds.append(1) or f(*a))
     decided = check(spark, new, current)
     assert len(rounds) <= 2 and decided.filter("decision in ('update', 'invalidate')").count() > 20
+    want = loop(new, current)
+    state = {r["id"]: r for r in ow.state_after(spark.createDataFrame(new, "seq long, " + SCHEMA), spark.createDataFrame(current, SCHEMA), decided).collect()}
+    assert set(state) == {r[0] for r in current} | {r[1] for r in new if want[r[0]][0] != "noop"}
+    assert {i for i, r in state.items() if not r["live"]} == {t for d, t in want.values() if d in ("update", "invalidate")}
 
 
 def test_nothing_to_write_and_nothing_there(spark):

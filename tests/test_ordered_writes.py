@@ -125,6 +125,37 @@ def test_a_chain_of_changes_takes_no_round_each(spark, monkeypatch):
     assert {i for i, r in state.items() if not r["live"]} == {t for d, t in want.values() if d in ("update", "invalidate")}
 
 
+def test_a_crowd_of_near_texts_needs_no_square_of_pairs(spark, monkeypatch):
+    """Many different near texts, refs that tie them to others, and writes beside them: what is listed grows with the texts, and the outcome is that of a loop."""
+    rng = np.random.default_rng(11)
+    centre, other = rng.normal(size=12), rng.normal(size=12)
+
+    def one(i, name, around, spread):
+        v = [float(x) for x in around + spread * rng.normal(size=12)]
+        return (f"{name}{i:03d}", "a", f"ref:{i % 5}" if i % 6 == 0 else None, f"{'No longer: ' if i % 4 == 0 else ''}text {name}{i}", v, T0 + dt.timedelta(days=i % 7), 0.4)
+
+    current = [one(i, "m", centre, 0.05) for i in range(120)] + [one(i, "o", other, 0.14) for i in range(12)]
+    new = [(i, *one(i, "w", centre, 0.05)) for i in range(80)] + [(100 + i, *one(i, "x", other, 0.14)) for i in range(12)] + [(200, *one(1, "y", rng.normal(size=12), 0.0))]
+    monkeypatch.setattr(ow, "CROWD", 16, raising=False)
+    listed = {}
+
+    def counting(df, name, put=ow.staged):
+        out = put(df, name)
+        listed[name] = max(listed.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(ow, "staged", counting)
+    check(spark, new, current)
+    classes = len(new) + len(current)
+    assert listed["write-near"] < 4 * classes and listed["write-touched"] < 8 * classes, listed
+
+
+def test_crowds_equal_a_loop_whatever_their_bound(spark, monkeypatch):
+    for seed, crowd in ((2, 0), (3, 2), (4, 5)):
+        monkeypatch.setattr(ow, "CROWD", crowd, raising=False)
+        check(spark, *planted(seed, 70, topics=4))
+
+
 def test_nothing_to_write_and_nothing_there(spark):
     new = [(1, "w1", "a", None, "one", [1.0, 0.0], None, 0.5), (2, "w2", "a", None, "one", [1.0, 0.0], None, 0.5), (3, "w3", "a", None, "one", None, None, 0.5), (4, "w4", "a", None, "zero", [0.0, 0.0], None, 0.5)]
     none = spark.createDataFrame([], SCHEMA)

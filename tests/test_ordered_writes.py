@@ -178,3 +178,18 @@ print("rows:", catalogue.queries()["{query}"](spark, "/root/testdata/sf0.001").c
 """
     run = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parent.parent, capture_output=True, text=True, timeout=300)
     assert "rows: " in run.stdout, run.stderr[-2000:]
+
+
+def test_decisions_are_made_once_and_no_filter_enters_their_plan(spark):
+    """What is applied reads decisions twice; a filter on them must not be sent into the search or the batch's expressions."""
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import memory
+
+    rows = [(f"m{i}", "a", f"text {i}", [float(i % 5), 1.0, float(i % 3)], 0.5) for i in range(30)]
+    current = spark.createDataFrame(rows, "id string, namespace string, content string, embedding array<float>, importance double")
+    new = current.filter("id < 'm2'").select(F.concat(F.lit("new-"), "id").alias("id"), "namespace", F.concat("content", F.lit(" more")).alias("content"), "embedding")
+    out = memory.applied(current, memory.planned_writes(new, current))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan and "lower(" not in plan.lower()
+    assert out.count() >= 30
